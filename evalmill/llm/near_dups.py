@@ -38,7 +38,13 @@ FREQUENT, STRETCH = 1 << 18, 16 << 20
 #: Byte for byte: A-Z in lower case, white space as spaces.
 _NORMAL = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-SETS = "doc_id bigint, rk bigint, n int, fp bigint, pf bigint, prefix array<bigint>"
+#: Rows up to which the ids of candidates are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+#: Groups of a bucket up to which each must fit another one to stay; larger buckets stay as they are.
+SMALL_BUCKET = 64
+
+SETS = "doc_id bigint, rk bigint, n int, fp bigint, pf bigint"
+TOKENS = "part int, tokens binary, at binary, pos binary, gids binary, sizes binary"
 ROWS = "token bigint, gid bigint, n int, pos int"
 PAIR = "u bigint, v bigint"
 
@@ -99,55 +105,112 @@ def _frequent(words: int):
     return f
 
 
+def _prefix(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, and the id of its group: a hash of them and the size."""
+    hashes, counts = frequent
+    often = np.zeros(len(x), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
+        often = np.where(hashes[at] == x, counts[at], 0)
+    first = x[np.argsort(often, kind="stable")[: prefix_size(len(x), percent)]]
+    return first, _digest(first, len(x))
+
+
+def _digest(x: np.ndarray, seed: int = 0) -> int:
+    place = mixed(np.arange(1, len(x) + 1, dtype=np.uint64)) | np.uint64(1)
+    return int(mixed(np.array([(x * place).sum() + np.uint64(seed)], np.uint64)).view(np.int64)[0])
+
+
 def _sets(words: int, percent: int, frequent):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = frequent.value
         for batch in batches:
-            n, fp, pf, prefix = [], [], [], []
-            rks = batch["rk"].to_pylist()
-            for rk, x in zip(rks, shingles(texts_of(batch["text"]), words)):
-                n.append(len(x))
-                if not len(x):
-                    fp.append(rk)
-                    pf.append(rk)
-                    prefix.append(x.view(np.int64))
-                    continue
-                at = np.searchsorted(hashes, x)
-                often = np.where(hashes[np.minimum(at, len(hashes) - 1)] == x, counts[np.minimum(at, len(hashes) - 1)], 0) if len(hashes) else np.zeros(len(x), np.int64)
-                first = x[np.argsort(often, kind="stable")[: prefix_size(len(x), percent)]]
-                # order-dependent digests: of the sorted set, and of the prefix with the size
-                place = mixed(np.arange(1, len(x) + 1, dtype=np.uint64))
-                fp.append(int(mixed(np.array([(x * (place | np.uint64(1))).sum()], np.uint64)).view(np.int64)[0]))
-                pf.append(int(mixed(np.array([(first * (place[: len(first)] | np.uint64(1))).sum() + np.uint64(len(x))], np.uint64)).view(np.int64)[0]))
-                prefix.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["rk"], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(pf, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], [c.split()[0] for c in SETS.split(", ")])
+            rks, found = batch["rk"].to_pylist(), shingles(texts_of(batch["text"]), words)
+            n = [len(x) for x in found]
+            fp = [_digest(x) if len(x) else rk for rk, x in zip(rks, found)]
+            pf = [_prefix(x, frequent.value, percent)[1] if len(x) else rk for rk, x in zip(rks, found)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["rk"], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(pf, pa.int64())], [c.split()[0] for c in SETS.split(", ")])
 
     return f
 
 
-def _columns(batch: pa.RecordBatch, names: str) -> dict[str, np.ndarray]:
-    return {c: batch[c].to_numpy(zero_copy_only=False) for c in names.split()}
+def _tokens(words: int, percent: int, frequent, parts: int):
+    """Prefix shingles dealt by hash, packed: one row per stretch of text and part."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, int]] = {}
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            gids, sizes = np.array(list(held), np.int64), np.array([n for _, n in held.values()], np.int32)
+            lengths = [len(x) for x, _ in held.values()]
+            token = np.concatenate([x for x, _ in held.values()])
+            at, pos = np.repeat(np.arange(len(gids), dtype=np.int32), lengths), np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+            part = (token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            order = np.lexsort((token, part))
+            token, at, pos, part = token[order], at[order], pos[order], part[order]
+            head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            rows = []
+            for b, e in zip(head.tolist(), [*head[1:].tolist(), len(part)]):
+                own, near = np.unique(at[b:e], return_inverse=True)
+                rows.append((int(part[b]), token[b:e].tobytes(), near.astype(np.int32).tobytes(), pos[b:e].tobytes(), gids[own].tobytes(), sizes[own].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)], [c.split()[0] for c in TOKENS.split(", ")])
+
+        for batch in batches:
+            for x in shingles(texts_of(batch["text"]), words):
+                if len(x):
+                    first, gid = _prefix(x, frequent.value, percent)
+                    if gid not in held:
+                        held[gid] = first, len(x)
+                        total += len(first)
+            if total > STRETCH >> 4:
+                yield flush()
+                held, total = {}, 0
+        if held:
+            yield flush()
+
+    return f
+
+
+def _buckets(percent: int):
+    """Rows sorted by part: of every part, the buckets in which groups fit each other."""
+
+    def bucket(rows: list[dict]) -> pa.RecordBatch:
+        token = np.concatenate([np.frombuffer(r["tokens"], np.int64) for r in rows])
+        at = [np.frombuffer(r["at"], np.int32) for r in rows]
+        gid = np.concatenate([np.frombuffer(r["gids"], np.int64)[a] for r, a in zip(rows, at)])
+        n = np.concatenate([np.frombuffer(r["sizes"], np.int32)[a] for r, a in zip(rows, at)])
+        pos = np.concatenate([np.frombuffer(r["pos"], np.int32) for r in rows])
+        order = np.lexsort((gid, token))
+        token, gid, n, pos = token[order], gid[order], n[order], pos[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1]))
+        token, gid, n, pos = token[new], gid[new], n[new], pos[new]
+        head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.repeat(np.diff(np.append(head, len(token))), np.diff(np.append(head, len(token))))
+        keep = size > SMALL_BUCKET
+        for d in range(1, SMALL_BUCKET):  # neighbours at each distance
+            i = np.flatnonzero((token[d:] == token[:-d]) & (size[d:] <= SMALL_BUCKET))
+            if not len(i):
+                break
+            i = i[_fits(n[i], pos[i], n[i + d], pos[i + d], percent)]
+            keep[i] = keep[i + d] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, gid, n, pos)], ["token", "gid", "n", "pos"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if rows and r["part"] != rows[0]["part"]:
+                    yield bucket(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield bucket(rows)
 
+    return f
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token: those whose token others have too."""
-    last, met = None, False
-    for batch in batches:
-        c = _columns(batch, "token gid n pos")
-        if not len(c["token"]):
-            continue
-        if last is not None:
-            c = {k: np.concatenate((last[k], v)) for k, v in c.items()}
-        t = c["token"]
-        same = t[1:] == t[:-1]
-        keep = np.append(met, same) | np.append(same, False)
-        met = bool(keep[-1])
-        last = {k: v[-1:] for k, v in c.items()}
-        keep = np.flatnonzero(keep[:-1])
-        if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("token", "gid", "n", "pos")], ["token", "gid", "n", "pos"])
-    if last is not None and met:
-        yield pa.RecordBatch.from_arrays([pa.array(last[k]) for k in ("token", "gid", "n", "pos")], ["token", "gid", "n", "pos"])
+
+def _columns(batch: pa.RecordBatch, names: str) -> dict[str, np.ndarray]:
+    return {c: batch[c].to_numpy(zero_copy_only=False) for c in names.split()}
 
 
 def _fits(n1, pos1, n2, pos2, percent: int):
@@ -264,17 +327,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = staged(map_batches(keyed, _sets(words, percent, often), SETS), "shingle-sets")
     classes = staged(sets.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk"), F.min("pf").alias("gid")), "shingle-classes")
     groups = classes.groupBy("gid").agg(F.min("fp").alias("rep"), F.count("*").alias("members"))
-
-    prefixes = sets.where("n > 0").groupBy("pf").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = prefixes.select(F.posexplode("prefix").alias("pos", "token"), F.col("pf").alias("gid"), "n").select("token", "gid", "n", "pos")
-    rows = staged(map_batches(tokens.repartition(parts, "token").sortWithinPartitions("token"), _shared, ROWS), "shingle-buckets")
+    packed = map_batches(keyed.select("text"), _tokens(words, percent, often, 4 * parts), TOKENS)
+    rows = staged(map_batches(packed.repartition(parts, "part").sortWithinPartitions("part"), _buckets(percent), ROWS), "shingle-buckets")
 
     # sets of all classes that can be in a pair
-    paired = rows.select("gid").distinct().unionByName(groups.where("members > 1").select("gid")).distinct()
-    wanted = classes.join(paired, "gid").select("fp", "rk")
-    hashes = staged(map_batches(keyed.select("rk", "text").join(wanted, "rk").select("fp", "text"), _hashes(words), "fp bigint, hashes binary").dropDuplicates(["fp"]), "shingle-hashes")
+    paired = rows.select("gid").unionByName(groups.where("members > 1").select("gid")).distinct()
+    wanted = staged(classes.join(paired, "gid").select("fp", "rk"), "shingle-wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    hashes = staged(map_batches(keyed.select("rk", "text").join(side, "rk").select("fp", "text"), _hashes(words), "fp bigint, hashes binary"), "shingle-hashes")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # rows that repeat a class's id and text give its set more than once, and so a pair: the links stay the same
         a = hashes.select(F.col("fp").alias("u"), F.col("hashes").alias("a"))
         b = hashes.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
         return staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), _verify(percent), PAIR), "links")
