@@ -5,8 +5,8 @@ of one plus its rate in the text, so long and short texts compare. For the label
 smoothed sum of a feature's values per toxic text over that per other text; a logistic regression with L2
 penalty is fitted to the values times r, and weight times r is one number per feature. The model is a vector of BUCKETS floats, whatever the input, and scoring needs no shuffle.
 
-It is fitted on at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows of at most SAMPLE_CHARS
-characters, those with the smallest hashes of the id.
+It is fitted on at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows, those with the smallest
+hashes of the id, less those of more than SAMPLE_CHARS characters.
 
 Edge cases. Null text is empty and gets the score of a text without features. Rows with a null label are not
 learned from; a label that repeats an id counts again; null ids are never learned from and not held out. Without labels of both
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from .common import map_batches, texts_of
 
 BUCKETS, LENGTHS = 1 << 18, (3, 4, 5)
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 3000, 40_000
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1000, 2000, 20_000
 #: Logistic regression: penalty and steps of the limited-memory quasi-Newton method.
 PENALTY, STEPS = 3e-5, 40
 #: A feature's rate is its count in so many n-grams; texts with few n-grams count as LEAST.
 RATE, LEAST = 3000, 30
+#: Training texts that are gone through at once.
+BLOCK = 256
 
 
 def features(text: bytes, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,30 +57,36 @@ def fit(texts: list[bytes], labels: list[int], penalty: float = PENALTY, steps:
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return np.zeros(BUCKETS, np.float32), -np.inf
-    rows = [features(t) for t in texts]
-    flat, value = (np.concatenate(x) for x in zip(*rows))
-    flat, of = flat.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x, _ in rows])
-    p, q = (np.bincount(flat[y[of] == k], value[y[of] == k], minlength=BUCKETS) + value.mean() for k in (1, 0))
-    r = np.log(p / y.sum()) - np.log(q / (len(y) - y.sum()))
-    r[np.bincount(flat, minlength=BUCKETS) < 3] = 0  # in fewer than three texts: nothing to learn
-    keep = r[flat] != 0
-    flat, of, value = flat[keep], of[keep], value[keep]
-    used = np.unique(flat)
-    place = np.zeros(BUCKETS, np.int32)
-    place[used] = np.arange(len(used))
-    column, ratio = place[flat], r[used]
+    blocks = []  # of rows: feature, value, row
+    p, q, df = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS, np.int32)
+    for b in range(0, len(texts), BLOCK):
+        rows = [features(t) for t in texts[b : b + BLOCK]]
+        flat, value = (np.concatenate(x) for x in zip(*rows))
+        of = np.repeat(np.arange(len(rows), dtype=np.int16), [len(x) for x, _ in rows])
+        toxic = y[b + of.astype(np.int32)] == 1
+        for total, mine in ((p, toxic), (q, ~toxic)):
+            total += np.bincount(flat[mine], value[mine], minlength=BUCKETS)
+        df += np.bincount(flat, minlength=BUCKETS).astype(np.int32)
+        blocks.append((b, len(rows), flat.astype(np.int32), value, of))
+    smooth = (p.sum() + q.sum()) / max(df.sum(), 1)
+    r = np.log(p + smooth) - np.log(y.sum()) - np.log(q + smooth) + np.log(len(y) - y.sum())
+    r[df < 3] = 0  # in fewer than three texts: nothing to learn
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        s = np.bincount(of, (w[:-1] * ratio)[column] * value, minlength=len(y)) + w[-1]
-        g = balance * (1 / (1 + np.exp(-np.clip(s, -500, 500))) - y)
-        cost = (balance * (np.logaddexp(0, s) - y * s)).sum() + penalty / 2 * (w[:-1] ** 2).sum()
-        return cost, np.append(np.bincount(column, g[of] * value, minlength=len(used)) * ratio + penalty * w[:-1], g.sum())
+        scaled, slope = w[:-1] * r, np.zeros(BUCKETS)
+        cost, bias = penalty / 2 * (w[:-1] ** 2).sum(), 0.0
+        for b, n, flat, value, of in blocks:
+            c, t = balance[b : b + n], y[b : b + n]
+            s = np.bincount(of, scaled[flat] * value, minlength=n) + w[-1]
+            g = c * (1 / (1 + np.exp(-np.clip(s, -500, 500))) - t)
+            cost += (c * (np.logaddexp(0, s) - t * s)).sum()
+            slope += np.bincount(flat, g[of] * value, minlength=BUCKETS)
+            bias += g.sum()
+        return cost, np.append(slope * r + penalty * w[:-1], bias)
 
-    w = minimise(loss, np.zeros(len(used) + 1), steps)
-    out = np.zeros(BUCKETS, np.float32)
-    out[used] = w[:-1] * ratio
-    return out, float(w[-1])
+    w = minimise(loss, np.zeros(BUCKETS + 1), steps)
+    return (w[:-1] * r).astype(np.float32), float(w[-1])
 
 
 def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
@@ -108,11 +116,14 @@ def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> tuple[np.ndarray, float]:
-    """Fit on at most toxic + other rows; see above."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> tuple[np.ndarray, float]:
+    """Fit on at most toxic + other rows of labels and their texts; see above."""
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    picked = [r for y, n in ((1, toxic), (0, other)) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked], "id long, y int"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.length(text) <= SAMPLE_CHARS)).select(F.xxhash64(id_col).alias("k"), F.col(label_col).cast("int").alias("y"), text.alias("t"))
-    sample = [r for y, n in ((1, toxic), (0, other)) for r in rows.where(F.col("y") == y).orderBy("k", "t").limit(n).collect()]
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).join(wanted, "id").where(F.length("t") <= SAMPLE_CHARS).select("id", "y", "t").collect()
+    sample.sort()
     return fit([r.t.encode() for r in sample], [r.y for r in sample])
 
 
@@ -140,8 +151,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def train_on(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """From the labelled rows that are not held out."""
-    y = labels.select("doc_id", "toxic").where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    return train(docs.select("doc_id", "text").join(y, "doc_id"))
+    return train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(~held_out()))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
