@@ -9,8 +9,9 @@ from .near_dups import op8_ngram_jaccard
 from .pieces import op6_sentencepiece
 from .pitman_yor import op9_pitman_yor
 from .repeats import op3_repeats
+from .secret_scan import op4_secret_scan
 from .sharding import op1_shard
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_repeats, op5_decontaminate, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard, op9_pitman_yor, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_repeats, op4_secret_scan, op5_decontaminate, op6_sentencepiece, op7_toxicity, op8_ngram_jaccard, op9_pitman_yor, op10_exact_dedup)}
 ORACLE_SQL = {"op5_decontaminate": OP5_SQL, "op10_exact_dedup": OP10_SQL}
