@@ -18,6 +18,8 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from functools import cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ from .common import map_batches, texts_of
 
 SPACE = "▁"
 #: Cached runs of a worker; it starts anew beyond.
-CACHE_RUNS = 400_000
+CACHE_RUNS = 700_000
+#: Characters up to which a run's pairs are looked through for each merge; longer ones have a heap.
+SHORT_RUN = 48
 
+PIECE = np.dtype([("id", "<u4"), ("size", "<u2")])
 ENCODED = "id bigint, ids binary, spans binary, decoded string"
 
 
@@ -176,11 +181,22 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space inside; runs between spaces would not be independent")
         self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _merge(self, run: str) -> list[str]:
         """The pieces of a run: the pair with the best score, leftmost of equals, is merged until none is left."""
         score, parts = self.score.get, list(run)
+        if len(parts) <= SHORT_RUN:
+            pairs = [score(x + y, -inf) for x, y in zip(parts, parts[1:])]
+            while pairs and (best := max(pairs)) > -inf:
+                i = pairs.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = score(parts[i] + parts[i + 1], -inf)
+                if i:
+                    pairs[i - 1] = score(parts[i - 1] + parts[i], -inf)
+            return parts
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
         heap = []
@@ -206,10 +222,22 @@ class Pieces:
                 offer(before[i])
         return [p for p in parts if p]
 
-    def _run(self, run: str) -> tuple[bytes, bytes]:
-        """Ids, and for each the characters of the run that it ends and starts with, packed."""
+    def _run(self, run: str) -> bytes:
+        """Packed as PIECE: ids, and of each the characters of the run, times two; or 1 for a byte piece before its character's last."""
+        parts = self._merge(run)
+        ids, sizes = list(map(self.ids.get, parts)), [len(p) << 1 for p in parts]
+        if None in ids:
+            ids, sizes = self._with_bytes(parts)
+        found = struct.pack("<" + "IH" * len(ids), *(x for pair in zip(ids, sizes) for x in pair))
+        if len(self.cache) >= CACHE_RUNS:
+            self.cache.clear()
+        if len(run) < 100:
+            self.cache[run] = found
+        return found
+
+    def _with_bytes(self, parts: list[str]) -> tuple[list[int], list[int]]:
         ids, sizes = [], []
-        for p in self._merge(run):
+        for p in parts:
             if (n := self.ids.get(p)) is not None:
                 ids.append(n)
                 sizes.append(len(p) << 1)
@@ -220,20 +248,14 @@ class Pieces:
             else:
                 ids.append(self.unk)
                 sizes.append(len(p) << 1)
-        found = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(sizes)}I", *sizes)
-        if len(self.cache) >= CACHE_RUNS:
-            self.cache.clear()
-        if len(run) < 100:
-            self.cache[run] = found
-        return found
+        return ids, sizes
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids with begin and end, and a row for each with the first and last byte (exclusive) of its source."""
         normal, first, last = self.normalizer(text)
         get, run = self.cache.get, self._run
-        found = [get(x) or run(x) for x in self.runs.findall(normal)]
-        ids = np.frombuffer(b"".join([x for x, _ in found]), np.uint32)
-        sizes = np.frombuffer(b"".join([x for _, x in found]), np.uint32)
+        found = np.frombuffer(b"".join([get(x) or run(x) for x in self.runs.findall(normal)]), PIECE)
+        ids, sizes = found["id"], found["size"].astype(np.uint32)
         n, end = len(text.encode("utf-8", "surrogatepass")), np.cumsum(sizes >> 1)
         spans = np.zeros((len(ids) + 2, 2), np.uint32)
         if len(ids):
@@ -245,16 +267,22 @@ class Pieces:
         return np.concatenate(([self.bos], ids, [self.eos])).astype("<u4"), spans
 
 
+@cache
+def _model(path: str) -> Pieces:
+    """One for all tasks of a worker."""
+    return Pieces(path)
+
+
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id; ids as little-endian unsigned 32-bit integers; spans, two such integers for each id; decoded text."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
 
-        model, library = Pieces(model_path), SentencePieceProcessor(model_file=model_path)
+        model, library = _model(model_path), SentencePieceProcessor(model_file=model_path)
         for batch in batches:
             out = [model.encode(t.decode("utf-8", "replace")) for t in texts_of(batch["text"])]
-            decoded = library.decode([ids.tolist() for ids, _ in out]) if out else []
+            decoded = library.decode([ids.tolist() for ids, _ in out], num_threads=1) if out else []
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array([ids.tobytes() for ids, _ in out], pa.binary()), pa.array([s.astype("<u4").tobytes() for _, s in out], pa.binary()), pa.array(decoded, pa.string())],
                 ["id", "ids", "spans", "decoded"],
