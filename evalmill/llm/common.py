@@ -68,6 +68,31 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+#: Keys up to which a set of dropped rows is broadcast; more are taken out by a shuffled join.
+BROADCAST_ROWS = 1 << 20
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less the rows whose keys are in dropped (rk, h: row_key and xxhash64 of the text, both over null as empty)."""
+    dropped = staged(dropped.distinct(), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    text = whole_text(text_col)
+    side = side.select(F.col("rk").alias("__rk"), F.col("h").alias("__h"))
+    return docs.join(side, (F.xxhash64(F.col(id_col).cast("long"), text) == F.col("__rk")) & (F.xxhash64(text) == F.col("__h")), "left_anti")
+
+
+def kept_batches(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose texts a function keeps; keep() makes the function once per task."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stays = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(stays(texts_of(batch[text_col])), pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(f, docs.schema)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(f, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import kept_batches, map_batches, texts_of
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -133,6 +133,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     return counted.join(merged, "h", "left").select("id", "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), *(F.coalesce(c, none).alias(c) for c in ("items", "starts", "ends")))
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of any item occurs; each block of items filters what the last one left."""
+    for block in blocks_of(items, item_col, item_text_col, block_bytes):
+        found = patterns(block, window)
+
+        def keep(found: dict[str, list[int]] = found):
+            a = automaton(found)
+            return lambda texts: [len(scan(a, t)[1]) == 0 for t in texts]
+
+        docs = kept_batches(docs, keep, text_col)
+    return docs
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(

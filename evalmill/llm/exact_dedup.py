@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, staged, texts_of, whole_text
+from .common import map_batches, partitions, staged, texts_of, whole_text, without
 
 #: Entries of a bucket before it splits.
 BUCKET_ENTRIES = 512
@@ -185,6 +185,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    index = build_index(docs, id_col, text_col)
+    text = whole_text(text_col)
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select("id", F.xxhash64("id", "text").alias("rk"), F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"))
+    found = thin.join(index.where("group_size > 1").select("h", "sha", "keep_id"), ["h", "sha"])
+    kept = without(docs, found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("rk", "h"), id_col, text_col)
+    if index.where("keep_rows > 1").isEmpty():
+        return kept
+    again = staged(index.where("keep_rows > 1").select("h", "keep_id"), "repeated-rows")
+    repeated = F.xxhash64(text) == F.col("h")
+    repeated &= F.col(id_col).cast("long").eqNullSafe(F.col("keep_id"))
+    one = kept.join(again, repeated, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, repeated, "left_anti").unionByName(one)
+
+
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, row_key, staged, texts_of, whole_text
+from .common import BROADCAST_ROWS, map_batches, partitions, staged, texts_of, whole_text, without
 from .components import components
 from .pfp import Rolling, mixed
 
@@ -38,12 +38,10 @@ FREQUENT, STRETCH = 1 << 18, 16 << 20
 #: Byte for byte: A-Z in lower case, white space as spaces.
 _NORMAL = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Rows up to which the ids of candidates are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 #: Groups of a bucket up to which each must fit another one to stay; larger buckets stay as they are.
 SMALL_BUCKET = 64
 
-SETS = "doc_id bigint, rk bigint, n int, fp bigint, pf bigint"
+SETS = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, pf bigint"
 TOKENS = "part int, tokens binary, at binary, pos binary, gids binary, sizes binary"
 ROWS = "token bigint, gid bigint, n int, pos int"
 PAIR = "u bigint, v bigint"
@@ -128,7 +126,7 @@ def _sets(words: int, percent: int, frequent):
             n = [len(x) for x in found]
             fp = [_digest(x) if len(x) else rk for rk, x in zip(rks, found)]
             pf = [_prefix(x, frequent.value, percent)[1] if len(x) else rk for rk, x in zip(rks, found)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["rk"], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(pf, pa.int64())], [c.split()[0] for c in SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["rk"], batch["h"], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(pf, pa.int64())], [c.split()[0] for c in SETS.split(", ")])
 
     return f
 
@@ -320,9 +318,26 @@ def frequent_shingles(texts: DataFrame, words: int, most: int = FREQUENT) -> tup
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the least id that links reach, its own included)."""
+    return _components(docs, words, percent, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def kept_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one per component stays: that with the least id.
+
+    Of several texts with that id, the one with the least row key; rows that repeat id and text stay or go together.
+    """
+    rows = staged(_components(docs, words, percent, id_col, text_col), "near-components")
+    at_least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.where(at_least & (F.col("n") > 0)).groupBy("component_id").agg(F.min("rk").alias("first"))
+    found = rows.where("n > 0").join(first, "component_id")
+    return without(docs, found.where(~at_least | (F.col("rk") != F.col("first"))).select("rk", "h"), id_col, text_col)
+
+
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, rk, h, n, component_id."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rk"), whole_text(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), whole_text(text_col)).alias("rk"), F.xxhash64(whole_text(text_col)).alias("h"), whole_text(text_col).alias("text"))
     often = spark.sparkContext.broadcast(frequent_shingles(keyed.select("text"), words))
     sets = staged(map_batches(keyed, _sets(words, percent, often), SETS), "shingle-sets")
     classes = staged(sets.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk"), F.min("pf").alias("gid")), "shingle-classes")
@@ -365,7 +380,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     low = classes.join(labels, F.col("fp") == F.col("node")).groupBy("label").agg(F.min("doc").alias("component"))
     named = classes.join(labels.join(low, "label").select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "n", F.coalesce("component", "doc").alias("component"))
-    return sets.select("doc_id", "n", "fp").join(named, ["fp", "n"], "left").select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "rk", "h", "n", "fp").join(named, ["fp", "n"], "left").select("doc_id", "rk", "h", "n", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

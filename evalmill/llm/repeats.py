@@ -40,7 +40,7 @@ from .pfp import Rolling, repeated
 
 SIZE, GRAM = 200, 32
 #: Bytes of text that a map task parses at once; phrases of a trigger, and bytes, that an owner puts in order at once.
-STRETCH, BLOCK_PHRASES, BLOCK_BYTES = 8 << 20, 20_000, 8 << 20
+STRETCH, BLOCK_PHRASES, BLOCK_BYTES = 2 << 20, 20_000, 3 << 20
 
 #: kind 0: windows known to be repeated; 1: a phrase with its hashes; 2: a phrase whose text is needed.
 RUNS = "kind int, deal bigint, a bigint, f bigint, twice boolean, tk bigint, rk bigint, s int, n int"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import kept_batches, map_batches, texts_of
 
 BUCKETS, LENGTHS = 1 << 18, (3, 4, 5)
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1000, 2000, 20_000
@@ -127,6 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.t.encode() for r in sample], [r.y for r in sample])
 
 
+def score(text: bytes, weights: np.ndarray, bias: float, seen: np.ndarray | None = None) -> float:
+    at, value = features(text, seen)
+    s = float(weights[at] @ value) + bias
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, s)))) if s > -np.inf else 0.0
+
+
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score."""
     weights = docs.sparkSession.sparkContext.broadcast(model)
@@ -137,14 +143,23 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
         for batch in batches:
             out = []
             for t in texts_of(batch["text"]):
-                at, value = features(t, seen)
-                s = float(w[at] @ value) + bias
-                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, s)))) if s > -np.inf else 0.0)
+                out.append(score(t, w, bias, seen))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out, pa.float64())], ["id", "score"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), f, "id bigint, score double")
 
 
+def filtered(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score below least, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        seen = np.zeros(BUCKETS, np.int32)
+        return lambda texts: [score(t, *shared.value, seen) < least for t in texts]
+
+    return kept_batches(docs, keep, text_col)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
