@@ -1,0 +1 @@
+"""Spark-native evaluation analytics."""
