@@ -54,7 +54,7 @@ def pass_label(passed: Column | str) -> Column:
 
 def parsed_list(text: Column | str) -> Column:
     """The non-blank parts between commas."""
-    return F.filter(F.transform(F.split(_c(text), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def numbers_close(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
