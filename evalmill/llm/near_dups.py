@@ -7,8 +7,9 @@ shingle within their first n - ceil(t * n) + 1, and at the first shared one enou
 
 1. Documents with equal sets form a class; classes with the same prefix and size form a group. Only groups
    enter the buckets of the prefix shingles.
-2. Round one: each bucket pairs its groups with the one that has most left behind the shingle, and each group pairs
-   its members with its first. The pairs are verified on the sets; links give components.
+2. Round one: each bucket pairs its groups with the one that has most left behind the shingle; each group keeps
+   the partner it meets most often, and pairs its members with its first. The pairs are verified on the sets
+   (after a sketch of odd counts has bounded their difference); links give components.
 3. Round two: each bucket pairs all groups that are not in one component yet and pass the filters of size and position; such
    pairs are expanded to members and verified. What is never verified is in one component already. So no
    link between components is lost, and a large group of copies never gives all its pairs.
@@ -29,18 +30,19 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, map_batches, partitions, staged, texts_of, whole_text, without
 from .components import components
-from .pfp import Rolling, mixed
+from .pfp import mixed
+from .words import word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Shingles in the table of frequent ones, which is sent to all tasks (16 bytes each), and bytes of text within which a shingle is seen to repeat.
-FREQUENT, STRETCH = 1 << 18, 16 << 20
-
-#: Byte for byte: A-Z in lower case, white space as spaces.
-_NORMAL = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+FREQUENT, STRETCH = 1 << 18, 12 << 20
 
 #: Groups of a bucket up to which each must fit another one to stay; larger buckets stay as they are.
 SMALL_BUCKET = 64
 
+#: Bits of the sketch of a set: one each for an odd number of shingles with that hash.
+SKETCH = 2048
+
 SETS = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, pf bigint"
 TOKENS = "part int, tokens binary, at binary, pos binary, gids binary, sizes binary"
 ROWS = "token bigint, gid bigint, n int, pos int"
@@ -49,15 +51,8 @@ PAIR = "u bigint, v bigint"
 
 def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The distinct shingles of each text, as sorted unsigned hashes."""
-    if not texts:
-        return []
-    data = np.frombuffer(b" ".join(texts).translate(_NORMAL) + b" ", np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts])
-    space = data == 32
-    start = np.flatnonzero(~space & np.append(True, space[:-1]))
-    end = np.flatnonzero(space & np.append(False, ~space[:-1]))
-    word = Rolling(data).of(start, end)
-    bound = np.searchsorted(start, np.concatenate(([0], np.cumsum(sizes))))
+    word, counts = word_hashes(texts)
+    bound = np.append(0, np.cumsum(counts))
     mixes = [np.uint64(int(mixed(np.array([k + 1], np.uint64))[0]) | 1) for k in range(words)]
     runs = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for k in range(words):
@@ -303,14 +298,38 @@ def _verify(percent: int):
 def _hashes(words: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array([x.tobytes() for x in shingles(texts_of(batch["text"]), words)], pa.binary())], ["fp", "hashes"])
+            sets = shingles(texts_of(batch["text"]), words)
+            odd = [np.packbits(np.bincount(x & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array([len(x) for x in sets], pa.int32()), pa.array(odd, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "n", "odd", "hashes"])
+
+    return f
+
+
+def _possible(percent: int):
+    """Pairs whose sets can be similar enough: bits of odd counts that differ are at most as many as differing shingles."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            both = batch["m"].to_numpy().astype(np.int64) + batch["n"].to_numpy()
+            ok = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * both
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], ["u", "v"]).filter(pa.array(ok))
 
     return f
 
 
 def frequent_shingles(texts: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many shingles, those with the highest counts, sorted by hash."""
-    rows = map_batches(texts, _frequent(words), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(most).toPandas()
+    """At most so many shingles, all those from some count upwards, sorted by hash, and their counts."""
+    counted = staged(map_batches(texts, _frequent(words), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    least, total = 1 << 62, 0
+    for r in counted.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).toLocalIterator():
+        total += r["count"]
+        if total > most:
+            break
+        least = r.c
+    rows = counted.where(F.col("c") >= least).toPandas()
     h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -349,17 +368,25 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     paired = rows.select("gid").unionByName(groups.where("members > 1").select("gid")).distinct()
     wanted = staged(classes.join(paired, "gid").select("fp", "rk"), "shingle-wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    hashes = staged(map_batches(keyed.select("rk", "text").join(side, "rk").select("fp", "text"), _hashes(words), "fp bigint, hashes binary"), "shingle-hashes")
+    hashes = staged(map_batches(keyed.select("rk", "text").join(side, "rk").select("fp", "text"), _hashes(words), "fp bigint, n int, odd binary, hashes binary"), "shingle-hashes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # rows that repeat a class's id and text give its set more than once, and so a pair: the links stay the same
-        a = hashes.select(F.col("fp").alias("u"), F.col("hashes").alias("a"))
-        b = hashes.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
+        a = hashes.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("odd").alias("a"))
+        b = hashes.select(F.col("fp").alias("v"), "n", F.col("odd").alias("b"))
+        pairs = staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "m", "n", "a", "b"), _possible(percent), PAIR), "possible")
+        some = staged(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "possible-sets")
+        some = hashes.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "fp").select("fp", "hashes")
+        a = some.select(F.col("fp").alias("u"), F.col("hashes").alias("a"))
+        b = some.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
         return staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), _verify(percent), PAIR), "links")
 
     # round one
     left = (F.col("n") - F.col("pos")).alias("left")
-    stars = map_batches(rows.select("*", left).repartition(parts, "token").sortWithinPartitions("token", F.desc("left"), "gid").drop("left"), _stars(percent), PAIR).distinct()
+    stars = map_batches(rows.select("*", left).repartition(parts, "token").sortWithinPartitions("token", F.desc("left"), "gid").drop("left"), _stars(percent), PAIR).groupBy("u", "v").agg(F.count("*").alias("c"))
+    both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), "c"))
+    # each group with the one that it meets in most buckets
+    stars = both.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     rep = groups.select("gid", "rep")
     across = stars.join(rep.select(F.col("gid").alias("u"), F.col("rep").alias("ru")), "u").join(rep.select(F.col("gid").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     within = classes.join(groups.where("members > 1"), "gid").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v"))
