@@ -57,16 +57,17 @@ def ranks(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     Symbols are positive; ends[i] is the end of the string that position i is in.
     """
     bits = int(symbols.max(initial=1)).bit_length()
-    place, step, packed = np.arange(len(symbols)), max(1, 62 // bits), symbols.astype(np.int64)
+    place, step, packed = np.arange(len(symbols), dtype=np.int32), max(1, 62 // bits), symbols.astype(np.int64)
     for k in range(1, step):  # so many symbols fit one integer
         after = place + k
         packed = packed << bits | np.where(after < ends, symbols[np.minimum(after, len(symbols) - 1)], 0)
-    rank = np.unique(packed, return_inverse=True)[1].astype(np.int64) + 1
+    rank = np.unique(packed, return_inverse=True)[1].astype(np.int32) + 1
+    del packed
     while step < depth:
         after = place + step
         second = np.where(after < ends, rank[np.minimum(after, len(rank) - 1)], 0)
-        key = rank * (len(rank) + 1) + second
-        new = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        key = rank.astype(np.int64) * (len(rank) + 1) + second
+        new = np.unique(key, return_inverse=True)[1].astype(np.int32) + 1
         same = new.max(initial=0) == rank.max(initial=0)
         rank, step = new, step * 2
         if same:
@@ -85,7 +86,7 @@ def corpus_order(texts: list[bytes], starts: list[int] | None = None, depth: int
     empty = np.empty(0, np.int64)
     if not len(data):
         return empty, data, ends
-    of = np.repeat(np.arange(len(texts)), sizes)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     # the parse: a phrase from each cut to the end of the trigger at the next cut, or to the end of its text
     trigger = np.zeros(len(data), bool)
     if len(data) > TRIGGER:
@@ -103,12 +104,13 @@ def corpus_order(texts: list[bytes], starts: list[int] | None = None, depth: int
     d_size = (stop - cut)[where] + last[where]  # one symbol more for the end of a text
     d_end = np.cumsum(d_size)
     d_start = d_end - d_size
-    entry = np.repeat(np.arange(len(where)), d_size)
-    inside = np.arange(d_end[-1]) - d_start[entry]
-    source = cut[where][entry] + inside
+    entry = np.repeat(np.arange(len(where), dtype=np.int32), d_size)
+    inside = (np.arange(d_end[-1]) - d_start[entry]).astype(np.int32)
+    source = (cut[where][entry] + inside).astype(np.int32)
     ended = last[where][entry] & (inside == d_size[entry] - 1)
-    symbols = np.where(ended, 1, data[np.minimum(source, len(data) - 1)].astype(np.int64) + 2)
+    symbols = np.where(ended, 1, data[np.minimum(source, len(data) - 1)].astype(np.int16) + 2).astype(np.int16)
     d_rank = ranks(symbols, d_end[entry], min(depth, int(d_size.max())))
+    del entry, inside, source, ended, symbols
     # the parse's suffixes
     bound = np.flatnonzero(last) + 1
     p_end = np.repeat(bound, np.diff(np.concatenate(([0], bound))))
@@ -117,7 +119,7 @@ def corpus_order(texts: list[bytes], starts: list[int] | None = None, depth: int
     # each place belongs to the phrase whose cut is the last at or before it
     place = np.arange(len(data)) if starts is None else np.concatenate([empty, *(np.arange(e - s, e - s + min(n, s)) for e, s, n in zip(ends, sizes, starts))])
     at = np.searchsorted(cut, place, "right") - 1
-    key = d_rank[d_start[phrase[at]] + place - cut[at]] * (int(follow.max()) + 1) + follow[at]
+    key = d_rank[d_start[phrase[at]] + place - cut[at]].astype(np.int64) * (int(follow.max()) + 1) + follow[at]
     return place[np.argsort(key)], data, ends
 
 

@@ -40,7 +40,9 @@ from .pfp import Rolling, repeated
 
 SIZE, GRAM = 200, 32
 #: Bytes of text that a map task parses at once; phrases of a trigger, and bytes, that an owner puts in order at once.
-STRETCH, BLOCK_PHRASES, BLOCK_BYTES = 2 << 20, 20_000, 3 << 20
+STRETCH, BLOCK_PHRASES, BLOCK_BYTES = 1 << 20, 20_000, 1 << 19
+#: Phrases of a block from which windows without an equal hash are left out of the order.
+CROWD = 1000
 
 #: kind 0: windows known to be repeated; 1: a phrase with its hashes; 2: a phrase whose text is needed.
 RUNS = "kind int, deal bigint, a bigint, f bigint, twice boolean, tk bigint, rk bigint, s int, n int"
@@ -208,17 +210,37 @@ def _order(size: int):
         total, at = 0, None
 
         def flush() -> pa.RecordBatch:
-            starts = [r[4] for r in rows]
-            found, out, k = repeated([r[5] for r in rows], starts, size), [], 0
-            for (_, twice, tk, s, n, _), m in zip(rows, starts):
-                hit = found[k : k + m]
-                k += m
-                if twice or not hit.any():
-                    continue
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                out += [(tk, s + int(b), int(e - b)) for b, e in edge.reshape(-1, 2)]
+            items = [(k, 0, r[4]) for k, r in enumerate(rows)] if len(rows) <= CROWD else crowd(rows)
+            same: dict[bytes, list[tuple[int, int, int]]] = {}
+            for k, b, n in items:
+                same.setdefault(rows[k][5][b : b + n - 1 + size], []).append((k, b, n))
+            distinct = list(same)
+            found, out, at = repeated(distinct, [len(t) - size + 1 for t in distinct], size), [], 0
+            for t in distinct:
+                hit = found[at : at + len(t) - size + 1] | (len(same[t]) > 1)
+                at += len(hit)
+                if hit.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).reshape(-1, 2)
+                    out += [(rows[k][2], rows[k][3] + b + int(x), int(y - x)) for k, b, _ in same[t] if not rows[k][1] for x, y in edge]
             return _mark_rows(out)
 
+        def crowd(rows: list[tuple]) -> list[tuple[int, int, int]]:
+            """Runs of the windows that have an equal hash: row, first window and windows."""
+            n, length = np.array([r[4] for r in rows]), np.array([len(r[5]) for r in rows])
+            of = np.repeat(np.arange(len(rows)), n)
+            inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            start = (np.cumsum(length) - length)[of] + inner
+            h = Rolling(np.frombuffer(b"".join(r[5] for r in rows), np.uint8)).of(start, start + size)
+            order = np.argsort(h)
+            equal = h[order[1:]] == h[order[:-1]]
+            some = np.zeros(len(h), bool)
+            some[order[1:][equal]] = some[order[:-1][equal]] = True
+            at = np.flatnonzero(some)
+            if not len(at):
+                return []
+            head = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (of[at[1:]] != of[at[:-1]])))
+            return list(zip(of[at[head]].tolist(), inner[at[head]].tolist(), np.diff(np.append(head, len(at))).tolist()))
+
         for batch in batches:
             for r in zip(*(batch[c].to_pylist() for c in ("a", "twice", "tk", "s", "n", "bytes"))):
                 if r[0] != at and total > BLOCK_BYTES:
