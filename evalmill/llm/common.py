@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,14 +18,45 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _local_roots: dict[str, str] = {}
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; a smaller setting of the session stays."""
+#: Rows of a batch that are packed stretches of a corpus, of some hundred kilobytes each.
+PACKED_ROWS = 64
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep Arrow batches small; a smaller setting of the session's own stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows or now in (BATCH_ROWS, PACKED_ROWS):
+        spark.conf.set(key, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Row by row, so that one packed row at a time is copied."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def relieve() -> None:
+    """Give freed memory back to the system: workers are used again, and share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _relieved(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], each: int = 64):
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, batch in enumerate(f(batches), 1):
+            yield batch
+            if n % each == 0:
+                relieve()
+        relieve()
+
+    return g
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a folder of our own."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
@@ -90,12 +122,12 @@ def kept_batches(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], lis
             yield batch.filter(pa.array(stays(texts_of(batch[text_col])), pa.bool_()))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(f, docs.schema)
+    return docs.mapInArrow(_relieved(f), docs.schema)
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    bounded_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    bounded_batches(df.sparkSession, rows)
+    return df.mapInArrow(_relieved(f), schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

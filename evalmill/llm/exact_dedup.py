@@ -194,9 +194,8 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kept = without(docs, found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("rk", "h"), id_col, text_col)
     if index.where("keep_rows > 1").isEmpty():
         return kept
-    again = staged(index.where("keep_rows > 1").select("h", "keep_id"), "repeated-rows")
-    repeated = F.xxhash64(text) == F.col("h")
-    repeated &= F.col(id_col).cast("long").eqNullSafe(F.col("keep_id"))
+    again = staged(index.where("keep_rows > 1").select(F.col("h").alias("__h"), F.col("keep_id").alias("__keep_id")), "repeated-rows")
+    repeated = (F.xxhash64(text) == F.col("__h")) & F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id"))
     one = kept.join(again, repeated, "left_semi").dropDuplicates([id_col, text_col])
     return kept.join(again, repeated, "left_anti").unionByName(one)
 

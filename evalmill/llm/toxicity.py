@@ -119,7 +119,14 @@ def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> tuple[np.ndarray, float]:
     """Fit on at most toxic + other rows of labels and their texts; see above."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    picked = [r for y, n in ((1, toxic), (0, other)) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+    many = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    picked = []
+    for y, n in ((1, toxic), (0, other)):
+        # the n smallest hashes lie in the lowest part of their range; twice as many rows are looked at, and all if that were too few
+        some = rows.where(F.col("y") == y).withColumn("k", F.xxhash64("id"))
+        near = some.where(F.col("k") < F.lit(int(-(2**63) + min(1.0, 2 * n / max(many.get(y, 0), 1)) * (2**64 - 2048)))) if many.get(y, 0) > 4 * n else some
+        found = near.orderBy("k", "id").limit(n).select("id", "y").collect()
+        picked += found if len(found) == n or near is some else some.orderBy("k", "id").limit(n).select("id", "y").collect()
     wanted = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked], "id long, y int"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sample = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).join(wanted, "id").where(F.length("t") <= SAMPLE_CHARS).select("id", "y", "t").collect()

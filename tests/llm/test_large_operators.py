@@ -1,0 +1,243 @@
+"""Repeats, near duplicates, toxicity, secrets, language model and the pipeline against brute force or held-out truth."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evalmill.llm import near_dups, pfp, pitman_yor, repeats, secret_scan, toxicity
+from evalmill.llm.components import components
+
+KEY = lambda x: (x is None, x)
+
+
+def test_corpus_order():
+    rng = random.Random(1)
+    for _ in range(80):
+        letters = rng.choice((b"ab", b"abcdefghij", bytes(range(256)), b"\0\xff"))
+        base = bytes(rng.choices(letters, k=60))
+        texts = [b"".join(rng.choice((base[rng.randint(0, 50) :][: rng.randint(0, 60)], bytes(rng.choices(letters, k=rng.randint(0, 30))))) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 8))]
+        order, _, ends = pfp.corpus_order(texts)
+        suffix = [texts[i := int(np.searchsorted(ends, p, "right"))][p - int(ends[i]) + len(texts[i]) :] for p in order]
+        assert suffix == sorted(suffix) and len(order) == sum(map(len, texts))
+        starts = [max(0, len(t) - 11) for t in texts]
+        windows = [t[i : i + 12] for t, n in zip(texts, starts) for i in range(n)]
+        count = Counter(windows)
+        assert pfp.repeated(texts, starts, 12).tolist() == [count[w] > 1 for w in windows]
+
+
+def cut(rows, size):
+    count = Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        count.update(b[i : i + size] for i in range(len(b) - size + 1))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, np.int8)
+        for k in range(len(b) - size + 1):
+            if count[b[k : k + size]] > 1:
+                gone[k : k + size] = 1
+        out.append((i, len(b), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=lambda r: (KEY(r[0]), r))
+
+
+@pytest.mark.parametrize(("size", "crowd", "phrases", "stretch"), [(200, 1000, 20_000, 1 << 20), (50, 1, 20_000, 1 << 20), (50, 1000, 2, 700)])
+def test_repeats(docs, hard, none, monkeypatch, size, crowd, phrases, stretch):
+    """Also with blocks so small that windows are filtered or dealt by themselves, and texts longer than a stretch."""
+    monkeypatch.setattr(repeats, "BLOCK_PHRASES", phrases)
+    for name, value in (("CROWD", crowd), ("STRETCH", stretch)):
+        monkeypatch.setattr(repeats, name, value)
+    found = repeats.without_repeats(docs, size)
+    assert sorted((tuple(r) for r in repeats.digest(found).collect()), key=lambda r: (KEY(r[0]), r)) == cut(hard, size)
+    assert repeats.without_repeats(none, size).count() == 0
+
+
+def linked(rows, words, percent):
+    table = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(table))
+        sets.append((i, frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()))
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[a][1], sets[b][1]
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            parent[root(a)] = root(b)
+    least = defaultdict(list)
+    for k, (i, x) in enumerate(sets):
+        if i is not None:
+            least[root(k)].append(i)
+    return [(i, len(x), min(least[root(k)], default=None)) for k, (i, x) in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80), (2, 50)])
+def test_near_duplicates(docs, hard, none, words, percent):
+    got = near_dups.near_duplicates(docs, words, percent).collect()
+    want = linked(hard, words, percent)
+    order = lambda r: (KEY(r[0]), r[1], KEY(r[2]))
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+    assert len({r[2] for r in want}) < len(hard) - 20
+    assert near_dups.near_duplicates(none, words, percent).count() == 0
+
+
+def test_one_document_of_each_component_stays(docs):
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    left = near_dups.kept_rows(some)
+    named = near_dups.near_duplicates(some)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == {r.component_id for r in named.collect()}
+
+
+def test_shingles_in_random_order_of_frequency(spark):
+    """Chains of links: a to b and b to c, but not a to c."""
+    w = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w)]
+    for k in range(6):
+        w = list(w)
+        w[10 + 30 * k] = f"n{k}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dups.near_duplicates(docs, 4, 95).collect()
+    assert [r.component_id for r in sorted(got)] == [r[2] for r in linked(list(enumerate(texts)), 4, 95)] and {r.component_id for r in got} == {0}
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 300 + i) for i in range(30)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: root(x) for x in parent if any(x in e for e in links if e[0] != e[1])}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def toxic_rows():
+    rng = random.Random(6)
+    say = lambda n, bad: " ".join(rng.choice(("mor", "vile", "scu")) + rng.choice("abcdefg") * 2 if bad and rng.random() < 0.08 else "".join(rng.choice("aeiou") + rng.choice("bcdfglnrst") for _ in range(3)) for _ in range(n))
+    return [(i, say(rng.randint(25, 200), i % 4 == 0), int(i % 4 == 0)) for i in range(800)]
+
+
+def test_toxicity_on_held_out_rows(spark, toxic_rows, docs, none):
+    rows = spark.createDataFrame(toxic_rows, "doc_id long, text string, toxic int")
+    labels = rows.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (5, None), (99999, 1)], "doc_id long, toxic int"))
+    model = toxicity.train_on(rows, labels)
+    got = toxicity.scored(rows, model).join(rows.select(F.col("doc_id").alias("id"), "toxic"), "id").where(toxicity.held_out("id")).collect()
+    right = sum((r.score >= 0.5) == bool(r.toxic) for r in got)
+    assert len(got) > 100 and right / len(got) > 0.95
+    odd = toxicity.scored(docs, model).collect()
+    assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
+    left = toxicity.filtered(docs, model)
+    assert left.columns == docs.columns and left.count() == sum(r.score < 0.5 for r in odd)
+    assert toxicity.scored(none, model).count() == 0
+    assert {r.score for r in toxicity.scored(docs, toxicity.train_on(rows, labels.limit(0))).collect()} == {0.0}
+
+
+def test_labels_of_held_out_rows_are_not_read(spark, toxic_rows):
+    rows = spark.createDataFrame(toxic_rows, "doc_id long, text string, toxic int")
+    turned = rows.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.train_on(rows, x.select("doc_id", "toxic")) for x in (rows, turned))
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
+def test_secrets(spark, docs, none):
+    rng = random.Random(8)
+    hexa = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [(1, f'the file has token = "{hexa}" in line'), (2, "password: your-password-here example"), (3, "see key=xxxxxxxxxxxxxxxxxxxxxxxx"), (4, None), (5, f"AKIA{'ABCDEFGHIJ234567'} and so on")]
+    rows = spark.createDataFrame([(i, t, "src1", 1) for i, t in texts], "doc_id long, text string, source string, start int")
+    labelled = secret_scan.labelled_findings(spark)
+    got = {r.id: r for r in secret_scan.scan(rows, labelled).collect()}
+    assert got[1].kept and got[1].value == hexa and texts[0][1][got[1].start : got[1].end] == hexa
+    assert not got[2].kept and not got[3].kept and got[5].kind == "aws" and 4 not in got
+    assert secret_scan.scan(none, labelled).count() == 0
+    train, test = labelled.randomSplit([0.7, 0.3], 3)
+    model = secret_scan.train(train, frozenset(("the", "data")))
+    out = model.transform(secret_scan._featured(test, frozenset(("the", "data"))))
+    assert out.where("prediction = label").count() / out.count() > 0.93
+    secret_scan.scan(docs, labelled).collect()
+
+
+def test_stirling_numbers():
+    """By their sum over set partitions: weights of tables times (1-d)(2-d)..."""
+
+    def partitions(n):
+        if n == 0:
+            yield []
+            return
+        for p in partitions(n - 1):
+            for k in range(len(p)):
+                yield p[:k] + [p[k] + 1] + p[k + 1 :]
+            yield [*p, 1]
+
+    d, want = 0.3, defaultdict(float)
+    for p in partitions(6):
+        want[len(p)] += math.prod(math.prod(k - d for k in range(1, n)) for n in p)
+    got = pitman_yor.stirling(6, d)
+    assert all(abs(math.exp(got[6, t]) - want[t]) < 1e-9 for t in want)
+
+
+def test_seating_follows_its_distribution():
+    rng, d, w = np.random.default_rng(1), 0.4, 0.7
+    numbers = pitman_yor.stirling(40, d)
+    got = np.bincount(pitman_yor.seat(np.full(40_000, 5), np.full(40_000, w), d, numbers, rng), minlength=6)[1:] / 40_000
+    p = np.exp(numbers[5, 1:6] + np.log(w) * np.arange(1, 6))
+    assert np.abs(got - p / p.sum()).max() < 0.01
+    big = pitman_yor.seat(np.array([0, 1, 10_000]), np.full(3, 2.0), d, numbers, rng)
+    assert big[0] == 0 and big[1] == 1 and 2 <= big[2] < 10_000
+
+
+def test_language_model(spark, docs, hard, none):
+    learn = docs.where(~pitman_yor.held_out()).select("text")
+    model = pitman_yor.fit(learn, parts=5)
+    rows = pitman_yor.scored(docs, model).collect()
+    table = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    said = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(table)), None]
+    import zlib
+
+    c = Counter(w for i, t in hard if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in said(t))
+    n, v = sum(c.values()), len(c)
+    assert (model.tokens, model.words) == (n, v)
+    want = sorted(((i, len(s := said(t)), sum(c[w] > 0 for w in s), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s), 6)) for i, t in hard), key=lambda r: (KEY(r[0]), r))
+    assert sorted(((r.id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows), key=lambda r: (KEY(r[0]), r)) == want
+    assert all(r.score < 0 for r in rows) and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert pitman_yor.scored(none, model).count() == 0
+    empty = pitman_yor.fit(learn.limit(0), parts=2)
+    assert {round(r.base_score, 9) for r in pitman_yor.scored(docs, empty).collect()} == {0.0}
+
+
+def test_probabilities_of_a_context_sum_to_one(spark, docs):
+    """Over all known words and the unknown one, after any context."""
+    model = pitman_yor.fit(docs.select("text"), parts=3, samples=2)
+    states = model.states
+    total = np.zeros(pitman_yor.CONTEXTS)
+    for r in model.seated.collect():
+        words, near, ctx, count = pitman_yor._unpacked(r.asDict())
+        tables, served = np.frombuffer(r.tables, np.int32).reshape(2, -1), np.frombuffer(r.parent, np.int32).reshape(2, 2, -1)
+        for s, t, (c, k) in zip(states, tables, served):
+            parent = s.parent(c.astype(float), k)
+            every = np.arange(pitman_yor.CONTEXTS)
+            total += s.probability(every, 0.0, 0.0, 1.0) * parent.sum() / 2
+            total += np.bincount(ctx, (count - s.discount * t) / (pitman_yor.STRENGTH + s.customers[ctx]), pitman_yor.CONTEXTS) / 2
+    total += sum(s.probability(np.arange(pitman_yor.CONTEXTS), 0.0, 0.0, s.parent(0.0, 0.0)) for s in states) / 2
+    assert np.abs(total - 1).max() < 1e-9
