@@ -187,14 +187,14 @@ def pool_dedup(spark, sf_dir):
     return T.dedup_pool(B.attempts(spark, sf_dir), "task_id")
 
 
-_MATCH = """pool AS (SELECT doc_id, text AS raw, source, 'describe ' || CAST(doc_id AS VARCHAR) AS description FROM documents WHERE doc_id % 4 <> 1),
+_MATCH = """pool AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || ' (other)' ELSE text END AS raw, source, 'describe ' || CAST(doc_id AS VARCHAR) AS description FROM documents),
 dd AS (SELECT text AS out, count(*) AS count FROM documents GROUP BY 1), f AS (SELECT raw, arg_min(source, doc_id) AS pool_name, arg_min(description, doc_id) AS description FROM pool GROUP BY 1)"""
 
 
 @query(f"WITH {_MATCH} SELECT sha256(out) AS out_sha256, count, raw IS NOT NULL AS matched, pool_name, coalesce(description, 'prompt') AS decoder_input FROM dd LEFT JOIN f ON out = raw")
 def dedup_first_match(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
-    pool = docs.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("pos"), F.col("text").alias("raw_code_output"), F.col("source").alias("pool_name"), F.concat(F.lit("describe "), F.col("doc_id").cast("string")).alias("decoder_input_description"))
+    pool = docs.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" (other)"))).otherwise(F.col("text")).alias("raw_code_output"), F.col("source").alias("pool_name"), F.concat(F.lit("describe "), F.col("doc_id").cast("string")).alias("decoder_input_description"))
     dedup = docs.groupBy(F.col("text").alias("out")).agg(F.count("*").alias("count"))
     return T.with_first_match(dedup, pool, F.lit("prompt")).select(F.sha2("out", 256).alias("out_sha256"), "count", "matched", "pool_name", "decoder_input")
 
@@ -436,3 +436,64 @@ def event_props(spark, sf_dir):
 @query(sql("SELECT task_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT task_id FROM attempts UNION ALL SELECT task_id FROM tasks) GROUP BY 1", "attempts", "tasks"))
 def bag_union(spark, sf_dir):
     return B.attempts(spark, sf_dir).select("task_id").unionByName(B.tasks(spark, sf_dir).select("task_id")).groupBy("task_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def compression_lengths(spark, sf_dir):
+    """Byte length and zstd length of each text (rows only: the frame's size depends on the library)."""
+    from ..functions.compress import zstd_length
+
+    return B.attempts(spark, sf_dir).select("pos", F.octet_length("decoder_input").alias("raw"), zstd_length("decoder_input").alias("zstd22"))
+
+
+def fenced_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts whose output is a small program in one of several wrappings, as decoders give it."""
+    i = F.col("pos")
+    n = (i % 41).cast("string")
+    code = F.concat(F.lit("def fn_"), n, F.lit("(x):\n    return x + "), F.when(i % 5 == 0, n).otherwise(F.lit("1")), F.lit("\n"))
+    text = (
+        F.when(i % 7 == 0, F.concat(F.lit("Sure, here it is:\n```python\n"), code, F.lit("```\nDone.")))
+        .when(i % 7 == 1, code).when(i % 7 == 2, F.concat(F.lit("```\n"), code)).when(i % 7 == 3, F.concat(code, F.lit("\nThis works because it adds.")))
+        .when(i % 7 == 4, F.lit("I cannot do that.")).when(i % 7 == 5, F.regexp_replace(code, r"\)", "")).otherwise(F.concat(F.lit("    "), F.regexp_replace(code, "\n", "\n    ")))
+    )
+    return B.attempts(spark, sf_dir).withColumn("raw_output", text)
+
+
+@query()
+def parse_extract(spark, sf_dir):
+    """Parse outcomes of all attempts (rows only: SQL has no parser)."""
+    from ..functions.extract import parse_attempts
+
+    return parse_attempts(fenced_attempts(spark, sf_dir)).drop("latency_ms", "run_id")
+
+
+@query("""SELECT doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN 'def fn_' || CAST(doc_id % 41 AS VARCHAR) || '(x):' || chr(10) || '    return x + ' || CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 41 AS VARCHAR) ELSE '1' END || chr(10) ELSE '' END AS fenced_code FROM documents""")
+def fenced_code(spark, sf_dir):
+    """The first fenced block by a pattern: what SQL can say of extraction."""
+    return fenced_attempts(spark, sf_dir).select("pos", F.regexp_extract("raw_output", r"(?s)```python\n(.*?)```", 1).alias("fenced_code"))
+
+
+@query()
+def test_execute(spark, sf_dir):
+    """Test outcomes of all attempts: each executable one runs in a process of its own (rows only)."""
+    from .jobs import parse_attempts, test_attempts
+
+    rows = fenced_attempts(spark, sf_dir)
+    rows = rows.withColumn("sample_id", C.sample_id(F.concat("task_id", F.lit("#"), F.col("pos").cast("string")), "raw_output"))  # texts repeat; each attempt is a sample
+    check = F.concat(F.lit("def check(candidate):\n    inputs = [[1], [2], [40]]\n    results = [2, 3, 41]\n"))
+    tasks = B.tasks(spark, sf_dir).select("task_id", "entry_point", "prompt", "canonical_solution", F.when(F.col("shape") == "inputs_results", check).otherwise("def check(candidate):\n    inputs = [1]\n").alias("test"))
+    return test_attempts(rows, parse_attempts(rows), tasks, 10.0, spark.sparkContext.defaultParallelism).drop("latency_ms", "run_id")
+
+
+@query()
+def stream_run(spark, sf_dir):
+    """A seeded run as a stream that ends when its jobs are done; as many results as distinct samples."""
+    import uuid
+
+    from ..streaming.runs import Run, shared_root
+
+    attempts = C.nested(T.first_per(fenced_attempts(spark, sf_dir).withColumn("sample_id", C.sample_id("task_id", "raw_output")), "sample_id"))
+    check = "def check(candidate):\n    inputs = [[1]]\n    results = [2]\n"
+    tasks = B.tasks(spark, sf_dir).select("task_id", "entry_point", "prompt", "canonical_solution", F.lit(check).alias("test"))
+    run = Run(spark, shared_root(spark), f"run-{uuid.uuid4().hex[:8]}")
+    return run.run_once(attempts, tasks, 10.0).select("sample_id", "task_id", "outcome_kind", "all_tests_passed")

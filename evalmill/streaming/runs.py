@@ -28,6 +28,17 @@ class AlreadySeeded(Exception):
     """A run is seeded once."""
 
 
+def shared_root(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir, or on a local master a temporary one."""
+    import tempfile
+
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="evalmill-runs-")
+
+
 @dataclass
 class Registry:
     """Stage functions by name, in the order they run."""
