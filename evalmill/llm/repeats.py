@@ -10,6 +10,7 @@ overlap by size-1 bytes, so each window lies in exactly one.
 
 1. Map tasks parse their texts, once per distinct text, and pass on each distinct (trigger, phrase) of a bounded
    stretch of text once; what repeats within the stretch is known to be repeated at once.
+   A trigger with many phrases in one stretch has its rows dealt by phrase; its owner is told by a row of its own.
 2. Owners read the hashes in order, in a stream. A phrase alone under its trigger holds no repeated window;
    one that occurs twice is repeated altogether. Left are triggers with several phrases: mostly the borders
    of copied passages.
@@ -41,11 +42,13 @@ from .pfp import Rolling, repeated
 SIZE, GRAM = 200, 32
 #: Bytes of text that a map task parses at once; phrases of a trigger, and bytes, that an owner puts in order at once.
 STRETCH, BLOCK_PHRASES, BLOCK_BYTES = 1 << 20, 20_000, 1 << 19
+#: Phrases of a trigger in one stretch from which they are dealt by phrase, so that no owner gets all that, say, a common line begins.
+CROWDED = 32
 #: Phrases of a block from which windows without an equal hash are left out of the order.
 CROWD = 1000
 
 #: kind 0: windows known to be repeated; 1: a phrase with its hashes; 2: a phrase whose text is needed.
-RUNS = "kind int, deal bigint, a bigint, f bigint, twice boolean, tk bigint, rk bigint, s int, n int"
+RUNS = "kind int, deal bigint, a bigint, f bigint, twice boolean, several boolean, tk bigint, rk bigint, s int, n int"
 CUT = "a bigint, twice boolean, tk bigint, s int, n int, bytes binary"
 MARKS = "tk bigint, s int, n int"
 
@@ -54,9 +57,11 @@ def _batch(columns: list[tuple[str, object, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kind) for _, v, kind in columns], [c for c, _, _ in columns])
 
 
-def _runs(kind: int, a, f, twice, tk, rk, s, n) -> pa.RecordBatch:
-    deal = tk if kind == 0 else a
-    return _batch([("kind", np.full(len(s), kind, np.int32), pa.int32()), ("deal", deal, pa.int64()), ("a", a, pa.int64()), ("f", f, pa.int64()), ("twice", twice, pa.bool_()), ("tk", tk, pa.int64()), ("rk", rk, pa.int64()), ("s", s.astype(np.int32), pa.int32()), ("n", n.astype(np.int32), pa.int32())])
+def _runs(kind: int, a, f, twice, tk, rk, s, n, several=None) -> pa.RecordBatch:
+    """several: the trigger is known to have other phrases too, so its rows are dealt by trigger and phrase."""
+    several = np.zeros(len(s), bool) if several is None else several
+    deal = tk if kind == 0 else np.where(several, a ^ f, a)
+    return _batch([("kind", np.full(len(s), kind, np.int32), pa.int32()), ("deal", deal, pa.int64()), ("a", a, pa.int64()), ("f", f, pa.int64()), ("twice", twice, pa.bool_()), ("several", several, pa.bool_()), ("tk", tk, pa.int64()), ("rk", rk, pa.int64()), ("s", s.astype(np.int32), pa.int32()), ("n", n.astype(np.int32), pa.int32())])
 
 
 def parse(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +116,14 @@ def _parse(size: int):
             head = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]))
             group = np.cumsum(head) - 1
             twice = (np.bincount(group) > 1) | (np.bincount(group, again[text]) > 0)
-            yield _runs(1, a[head], p[head], twice, tks[text[head]], rks[text[head]], s[head], n[head])
+            first = a[head]
+            bound = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+            phrases = np.diff(np.append(bound, len(first)))
+            crowd = np.repeat(phrases >= CROWDED, phrases)
+            yield _runs(1, first, p[head], twice, tks[text[head]], rks[text[head]], s[head], n[head], crowd)
+            if crowd.any():  # a row without windows tells the trigger's own owner, who gets the phrases of other stretches
+                none = np.zeros((phrases >= CROWDED).sum(), np.int64)
+                yield _runs(1, first[bound[phrases >= CROWDED]], none, none.astype(bool), none, none, none, none)
             if (known := twice[group] & ~again[text]).any():
                 yield _marks(tks[text[known]], s[known], n[known])
 
@@ -142,7 +154,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, a, f). Holds of the trigger at hand its last phrase and whether there were others."""
     last: dict | None = None  # the phrase at hand: its first row, whether it is repeated and marked, whether its trigger had others
     for batch in batches:
-        c = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("kind", "a", "f", "twice", "tk", "rk", "s", "n")}
+        c = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("kind", "a", "f", "twice", "several", "tk", "rk", "s", "n")}
         known = c["kind"] == 0
         if known.any():
             yield _marks(c["tk"][known], c["s"][known], c["n"][known])
@@ -160,22 +172,23 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(head)
         twice = (np.bincount(group) > 1) | (np.bincount(group, c["twice"]) > 0)
         trigger = np.cumsum(np.append(True, ~same_a)) - 1
-        several = np.bincount(trigger[first]) > 1
+        several = (np.bincount(trigger[first]) > 1) | (np.bincount(trigger, c["several"]) > 0)
         if sent:
             several[0] = True
         mark = twice[group]
         mark[: len(done)] &= ~done
+        mark &= c["n"] > 0
         if mark.any():
             yield _marks(c["tk"][mark], c["s"][mark], c["n"][mark])
         # all phrases but the last are complete; the last one waits for what comes
         send = first[several[trigger[first]]]
-        send = send[send < first[-1]]
+        send = send[(send < first[-1]) & (c["n"][send] > 0)]
         if len(send):
             yield _runs(2, a[send], f[send], twice[group[send]], c["tk"][send], c["rk"][send], c["s"][send], c["n"][send])
         end = first[-1]
         last = {k: v[end : end + 1] for k, v in c.items()} | {"done": twice[-1:].copy(), "sent": bool(several[-1])}
         last["twice"] = twice[-1:].copy()
-    if last is not None and last["sent"]:
+    if last is not None and last["sent"] and last["n"][0] > 0:
         yield _runs(2, *(last[k] for k in ("a", "f", "twice", "tk", "rk", "s", "n")))
 
 

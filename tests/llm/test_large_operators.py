@@ -48,11 +48,11 @@ def cut(rows, size):
     return sorted(out, key=lambda r: (KEY(r[0]), r))
 
 
-@pytest.mark.parametrize(("size", "crowd", "phrases", "stretch"), [(200, 1000, 20_000, 1 << 20), (50, 1, 20_000, 1 << 20), (50, 1000, 2, 700)])
-def test_repeats(docs, hard, none, monkeypatch, size, crowd, phrases, stretch):
+@pytest.mark.parametrize(("size", "crowd", "phrases", "stretch", "crowded"), [(200, 1000, 20_000, 1 << 20, 32), (50, 1, 20_000, 1 << 20, 1), (50, 1000, 2, 700, 2)])
+def test_repeats(docs, hard, none, monkeypatch, size, crowd, phrases, stretch, crowded):
     """Also with blocks so small that windows are filtered or dealt by themselves, and texts longer than a stretch."""
     monkeypatch.setattr(repeats, "BLOCK_PHRASES", phrases)
-    for name, value in (("CROWD", crowd), ("STRETCH", stretch)):
+    for name, value in (("CROWD", crowd), ("STRETCH", stretch), ("CROWDED", crowded)):
         monkeypatch.setattr(repeats, name, value)
     found = repeats.without_repeats(docs, size)
     assert sorted((tuple(r) for r in repeats.digest(found).collect()), key=lambda r: (KEY(r[0]), r)) == cut(hard, size)
