@@ -340,3 +340,18 @@ def digest(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:
     return digest(without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, k, md5(b[k + 1 : k + 200]) AS h FROM (SELECT r, b, unnest(range(0, greatest(octet_length(b) - 199, 0))) AS k FROM d)),
+m AS (SELECT r, k FROM w WHERE h IN (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1)),
+i AS (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS run FROM (SELECT r, k, CAST(coalesce(k > lag(k) OVER (PARTITION BY r ORDER BY k) + 200, true) AS INTEGER) AS fresh FROM m)),
+s AS (SELECT r, min(k) AS b, max(k) + 200 AS e FROM i GROUP BY r, run),
+g AS (SELECT r, e AS b, coalesce(lead(b) OVER (PARTITION BY r ORDER BY b), 1000000000000) AS e FROM s UNION ALL SELECT r, 0, min(b) FROM s GROUP BY r),
+kept AS (SELECT g.r, string_agg(hex(d.b[g.b + 1 : least(g.e, octet_length(d.b))]), '' ORDER BY g.b) AS x FROM g JOIN d ON g.r = d.r WHERE g.e > g.b AND g.b < octet_length(d.b) GROUP BY 1),
+n AS (SELECT r, count(*) AS spans, sum(e - b) AS removed FROM s GROUP BY 1)
+SELECT doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       CASE WHEN n.r IS NULL THEN sha256(d.b) ELSE sha256(unhex(coalesce(x, ''))) END AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
