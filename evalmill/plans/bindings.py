@@ -31,8 +31,10 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     task = F.concat(F.lit("HumanEval/"), (i % 41).cast("string"))
     rows = table(spark, sf_dir, "labels").join(d.select("doc_id", sample_id(task, "text").alias("sample_id"), task.alias("task_id")), "doc_id")
-    again = rows.where(i % 10 == 0).withColumns({"quality": 1 - F.col("quality"), "pos": i * 2 + 1})
-    return rows.withColumn("pos", i * 2).unionByName(again).withColumn("run_id", F.when(i % 4 != 0, F.concat(F.lit("run-"), (i % 3).cast("string"))))
+    # every tenth row comes twice: the second copy, with the other quality, is the newer one
+    copy = F.explode(F.when(i % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__copy")
+    again = F.col("__copy") == 1
+    return rows.select("*", copy).select("doc_id", F.when(again, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"), "toxic", "sample_id", "task_id", (i * 2 + F.col("__copy")).alias("pos"), F.when(i % 4 != 0, F.concat(F.lit("run-"), (i % 3).cast("string"))).alias("run_id"))
 
 
 def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
