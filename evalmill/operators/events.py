@@ -120,8 +120,8 @@ def sweep(steps: DataFrame, threshold: float = 0.1) -> DataFrame:
     return rows.withColumn("best_rate", F.coalesce(best, F.lit(0.0)))
 
 
-def metrics_report(run_id: str, expected: int, events: DataFrame, attempts: DataFrame, parse: DataFrame, test: DataFrame) -> dict:
-    """The whole report of a run, as a document; every part is an aggregate of bounded size but the missing ids."""
+def metrics_report(run_id: str, expected: int, events: DataFrame, attempts: DataFrame, parse: DataFrame, test: DataFrame, listed: int = 100_000) -> dict:
+    """The whole report of a run, as a document of aggregates. All missing ids are counted, and listed up to a bound; untested_ids() has them all."""
     from .outcomes import untested_ids
 
     mine = of_run(events, run_id)
@@ -133,13 +133,14 @@ def metrics_report(run_id: str, expected: int, events: DataFrame, attempts: Data
             by_task.setdefault(r.task_id, {})[r.stage] = r.samples_per_second
     kinds = proof_kinds(attempts, test).collect()
     tasks = proof_outcomes(attempts, parse, test).collect()
-    missing = [r.sample_id for r in untested_ids(attempts, test).collect()]
+    untested = untested_ids(attempts, test)
+    missing = [r.sample_id for r in untested.limit(listed).collect()]
     return {
         "run_id": run_id, "expected_jobs": expected, "terminal_count": one.terminal_count, "complete": one.terminal_count >= expected, "wall_seconds": one.wall_seconds,
         "throughput": {"overall_samples_per_second": one.overall_samples_per_second, "by_stage": {r.stage: r.samples_per_second for r in rates if r.task_id is None}, "by_task": by_task},
         "outcomes": {
             "attempt_count": sum(r.seeded for r in tasks), "parse_success_count": sum(r.parse_success for r in tasks), "tests_ran_count": sum(r.tested for r in tasks), "all_tests_passed_count": sum(r.all_tests_passed for r in tasks),
             "outcome_kind_counts": {r.outcome_kind: r.row_count for r in kinds}, "outcome_kind_counts_weighted": {r.outcome_kind: r.weighted_count for r in kinds},
-            "by_task": {r.task_id: {k: r[k] for k in ("seeded", "parse_success", "tested", "all_tests_passed")} for r in tasks}, "missing_test_sample_ids": missing, "missing_test_count": len(missing),
+            "by_task": {r.task_id: {k: r[k] for k in ("seeded", "parse_success", "tested", "all_tests_passed")} for r in tasks}, "missing_test_sample_ids": missing, "missing_test_count": len(missing) if len(missing) < listed else untested.count(),
         },
     }

@@ -37,10 +37,15 @@ def write_document(spark: SparkSession, document: dict[str, Any], path: str) ->
     out.close()
 
 
-def export_analysis(rows: DataFrame, path: str, missing_listed: int | None = None) -> dict[str, Any]:
-    """enriched.parquet, aggregates/<name>.parquet and summary.json. rows are read again, so they come back from the written table.
+#: Ids without an outcome up to which a document lists them; the whole lists are tables.
+LISTED = 100_000
 
-    The slices are one aggregation, told apart by name. missing_listed bounds the ids that the summary lists; all by default.
+
+def export_analysis(rows: DataFrame, path: str, listed: int = LISTED) -> dict[str, Any]:
+    """enriched.parquet, aggregates/<name>.parquet, missing/<parse, test>.parquet and summary.json.
+
+    rows are used again and again, so they come back from the written table. The slices are one aggregation, told apart by name.
+    The summary counts all missing ids and lists them up to a bound; the tables have them all.
     """
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/enriched.parquet")
@@ -50,14 +55,14 @@ def export_analysis(rows: DataFrame, path: str, missing_listed: int | None = Non
         slices.where(F.col("slice_name") == name).drop("slice_name").coalesce(1).write.mode("overwrite").parquet(f"{path}/aggregates/{name}.parquet")
     slices.unpersist()
     one, kinds, steps = S.summary(rows).first().asDict(), S.outcome_kinds(rows).collect(), S.funnel(rows).first().asDict()
-    listed = {}
+    failures = {}
     for which in ("parse", "test"):
-        ids = O.missing(rows, which)
-        found = [r.sample_id for r in (ids if missing_listed is None else ids.limit(missing_listed)).collect()]
-        listed |= {f"missing_{which}_count": rows.where(~F.col(f"has_{which}_outcome")).count(), f"missing_{which}_sample_ids": found}
+        O.missing(rows, which).write.mode("overwrite").parquet(f"{path}/missing/{which}.parquet")
+        ids = spark.read.parquet(f"{path}/missing/{which}.parquet")
+        failures |= {f"missing_{which}_count": ids.count(), f"missing_{which}_sample_ids": [r.sample_id for r in ids.orderBy("pos").limit(listed).collect()]}
     summary = one | {
         "outcome_kind_counts": {r.outcome_kind: r.row_count for r in kinds}, "outcome_kind_counts_weighted": {r.outcome_kind: r.weighted_count for r in kinds},
-        "parse_funnel": steps, "join_failures": listed, "joint_objective_preview": {"formula": "pass - lambda * zstd bytes", "lambda_default": S.JOINT_LAMBDA},
+        "parse_funnel": steps, "join_failures": failures, "joint_objective_preview": {"formula": "pass - lambda * zstd bytes", "lambda_default": S.JOINT_LAMBDA},
     }
     write_document(spark, summary, f"{path}/summary.json")
     return summary
@@ -75,7 +80,7 @@ def upsert(results: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "sam
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     merged = results
     if fs.exists(target):
-        runs = F.broadcast(results.select("run_id").distinct())  # the runs of one batch
+        runs = results.select("run_id").distinct()
         old = spark.read.schema(results.schema).parquet(path).join(runs, "run_id", "left_semi")
         merged = old.select(*results.columns).unionByName(results)
     beside = f"{path}.next"
