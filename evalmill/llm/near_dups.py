@@ -7,10 +7,11 @@ shingle within their first n - ceil(t * n) + 1, and at the first shared one enou
 
 1. Documents with equal sets form a class; classes with the same prefix and size form a group. Only groups
    enter the buckets of the prefix shingles.
-2. Round one: each bucket pairs its groups with the one that has most left behind the shingle; each group keeps
-   the partner it meets most often, and pairs its members with its first. The pairs are verified on the sets
-   (after a sketch of odd counts has bounded their difference); links give components.
-3. Round two: each bucket pairs all groups that are not in one component yet and pass the filters of size and position; such
+2. Star rounds: each bucket pairs its groups with the one that has most left behind the shingle; each group keeps the partner
+   it meets most often and the one with most left, and (in the first round) pairs its members with its first. The pairs are
+   verified on the sets (after a sketch of odd counts has bounded their difference); links give components, and the next
+   round looks only across them.
+3. Last, each bucket pairs all groups that are not in one component yet and pass the filters of size and position; such
    pairs are expanded to members and verified. What is never verified is in one component already. So no
    link between components is lost, and a large group of copies never gives all its pairs.
 
@@ -37,6 +38,8 @@ WORDS, PERCENT = 5, 80
 #: Shingles in the table of frequent ones, which is sent to all tasks (16 bytes each), and bytes of text within which a shingle is seen to repeat.
 FREQUENT, STRETCH = 1 << 18, 12 << 20
 
+#: Rounds in which groups look for a component through one or two partners each, before all pairs across components are looked at.
+ROUNDS = 2
 #: Groups of a bucket up to which each must fit another one to stay; larger buckets stay as they are.
 SMALL_BUCKET = 64
 
@@ -218,23 +221,23 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 
 
 def _stars(percent: int):
-    """Rows sorted by token and what is left behind it, most first: the first of a bucket with each other one."""
+    """Rows sorted by token and what is left behind it, most first: the first of a bucket with each other one of another label, and what is left of it."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = None
         for batch in batches:
-            c = _columns(batch, "token gid n pos")
-            t = c["token"].astype(np.int64)
-            if not len(t):
+            c = {k: v.astype(np.int64) for k, v in _columns(batch, "token gid n pos label").items()}
+            if not len(c["token"]):
                 continue
-            c = {k: v.astype(np.int64) for k, v in c.items()}
             if centre is not None:
                 c = {k: np.append(centre[k], v) for k, v in c.items()}
-                t = c["token"]
+            t, label = c["token"], c["label"]
             head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             first = np.repeat(head, np.diff(np.append(head, len(t))))
-            ok = (first != np.arange(len(t))) & (c["gid"][first] != c["gid"]) & _fits(c["n"][first], c["pos"][first], c["n"], c["pos"], percent)
-            yield _pairs(c["gid"][first[ok]], c["gid"][ok])
+            other = (label[first] != label) | (label == 0)
+            ok = (c["gid"][first] != c["gid"]) & other & _fits(c["n"][first], c["pos"][first], c["n"], c["pos"], percent)
+            u, v = c["gid"][first[ok]], c["gid"][ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(c["n"][first[ok]] - c["pos"][first[ok]])], ["u", "v", "rest"])
             centre = {k: v[head[-1]] for k, v in c.items()}
 
     return f
@@ -320,6 +323,11 @@ def _possible(percent: int):
     return f
 
 
+def _group_labels(member: DataFrame) -> DataFrame:
+    """The component of each group's members, or 0 if they are in several."""
+    return member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(0)).alias("label"))
+
+
 def frequent_shingles(texts: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """At most so many shingles, all those from some count upwards, sorted by hash, and their counts."""
     counted = staged(map_batches(texts, _frequent(words), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
@@ -381,21 +389,31 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
         b = some.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
         return staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), _verify(percent), PAIR), "links")
 
-    # round one
-    left = (F.col("n") - F.col("pos")).alias("left")
-    stars = map_batches(rows.select("*", left).repartition(parts, "token").sortWithinPartitions("token", F.desc("left"), "gid").drop("left"), _stars(percent), PAIR).groupBy("u", "v").agg(F.count("*").alias("c"))
-    both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), "c"))
-    # each group with the one that it meets in most buckets
-    stars = both.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     rep = groups.select("gid", "rep")
-    across = stars.join(rep.select(F.col("gid").alias("u"), F.col("rep").alias("ru")), "u").join(rep.select(F.col("gid").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    within = classes.join(groups.where("members > 1"), "gid").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v"))
-    links = verified(staged(across.unionByName(within), "pairs"))
-    labels = staged(components(links), "labels")
-
-    # round two
-    member = staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("gid", "fp", F.coalesce("label", "fp").alias("label")), "members")
-    one = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(0)).alias("label"))
+    member = classes.select("gid", "fp", F.col("fp").alias("label"))
+    links = tried = None
+    for k in range(ROUNDS):
+        one = _group_labels(member)
+        left = (F.col("n") - F.col("pos")).alias("left")
+        labelled = rows.join(one, "gid").select("token", "gid", "n", "pos", "label", left).repartition(parts, "token").sortWithinPartitions("token", F.desc("left"), "gid")
+        stars = map_batches(labelled.drop("left"), _stars(percent), f"{PAIR}, rest bigint").groupBy("u", "v").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
+        if tried is not None:
+            stars = stars.join(tried, ["u", "v"], "left_anti")
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), "c", "rest"))
+        # each group with the one that it meets in most buckets, and with the one that has most left
+        best = both.groupBy("u").agg(F.array(F.max_by("v", F.struct("c", "v")), F.max_by("v", F.struct("rest", "c", "v"))).alias("vs")).select("u", F.explode("vs").alias("v"))
+        best = staged(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "partners")
+        tried = best if tried is None else tried.unionByName(best)
+        pairs = best.join(rep.select(F.col("gid").alias("u"), F.col("rep").alias("ru")), "u").join(rep.select(F.col("gid").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        if not k:
+            pairs = pairs.unionByName(classes.join(groups.where("members > 1"), "gid").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v")))
+        found = verified(staged(pairs, "pairs"))
+        links = found if links is None else links.unionByName(found)
+        labels = staged(components(links), "labels")
+        member = staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("gid", "fp", F.coalesce("label", "fp").alias("label")), "members")
+
+    # all that is left
+    one = _group_labels(member)
     labelled = rows.join(one, "gid").select("token", "gid", "n", "pos", "label")
     crossed = map_batches(labelled.repartition(parts, "token").sortWithinPartitions("token"), _crossed(percent), PAIR).distinct()
     pairs = crossed.unionByName(one.where("label = 0").select(F.col("gid").alias("u"), F.col("gid").alias("v")))
