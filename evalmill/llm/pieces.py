@@ -30,7 +30,9 @@ from .common import map_batches, texts_of
 
 SPACE = "▁"
 #: Cached runs of a worker; it starts anew beyond.
-CACHE_RUNS = 700_000
+CACHE_RUNS = 500_000
+#: Texts that are encoded before their results are passed on.
+TEXTS = 100
 #: Characters up to which a run's pairs are looked through for each merge; longer ones have a heap.
 SHORT_RUN = 48
 
@@ -281,12 +283,14 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
         model, library = _model(model_path), SentencePieceProcessor(model_file=model_path)
         for batch in batches:
-            out = [model.encode(t.decode("utf-8", "replace")) for t in texts_of(batch["text"])]
-            decoded = library.decode([ids.tolist() for ids, _ in out], num_threads=1) if out else []
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array([ids.tobytes() for ids, _ in out], pa.binary()), pa.array([s.astype("<u4").tobytes() for _, s in out], pa.binary()), pa.array(decoded, pa.string())],
-                ["id", "ids", "spans", "decoded"],
-            )
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                out = [model.encode(t.decode("utf-8", "replace")) for t in texts_of(part["text"])]
+                decoded = library.decode([ids.tolist() for ids, _ in out], num_threads=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part["id"], pa.array([ids.tobytes() for ids, _ in out], pa.binary()), pa.array([s.astype("<u4").tobytes() for _, s in out], pa.binary()), pa.array(decoded, pa.string())],
+                    ["id", "ids", "spans", "decoded"],
+                )
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), f, ENCODED)
 
