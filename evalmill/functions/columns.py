@@ -148,7 +148,7 @@ def stamped(attempts: DataFrame, run_id: str) -> DataFrame:
 
 def envelopes(attempts: DataFrame, run_id: Column, pipeline_id: str, position: Column) -> DataFrame:
     """Jobs: each attempt as payload, repeat the position from 0."""
-    return attempts.select(run_id.alias("run_id"), F.lit("default").alias("lane"), position.cast("long").alias("repeat"), F.lit(0).alias("step_index"), F.lit(pipeline_id).alias("pipeline_id"), F.to_json(F.struct(F.struct(*attempts.columns).alias("attempt")), {"ignoreNullFields": "false"}).alias("payload"))
+    return attempts.select(run_id.alias("run_id"), F.lit("default").alias("lane"), position.cast("long").alias("repeat"), F.lit(0).alias("step_index"), F.lit(pipeline_id).alias("pipeline_id"), F.to_json(F.struct(F.struct(*(c for c in attempts.columns if c != "__at")).alias("attempt")), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def opened(jobs: DataFrame, schema: str) -> DataFrame:

@@ -74,6 +74,14 @@ def select_tasks(tasks: DataFrame, wanted: list[str], n: int | None = None) -> D
     return slice_limit(found, n).orderBy("pos")
 
 
+def numbered(rows: DataFrame, name: str, pos: str = "pos") -> DataFrame:
+    """rows (persisted, in order) with their position from 0. Sorted ranges are numbered apart and put behind each other; no task sorts all rows."""
+    ordered = rows.orderBy(pos).withColumns({"__part": F.spark_partition_id(), "__nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row per partition
+    return ordered.join(before, "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
+
+
 def dedup_pool(pool: DataFrame, *keys: str, text: str = "raw_output") -> DataFrame:
     return pool.groupBy(*keys, text).agg(F.count("*").alias("count"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.extract import parse_attempts
 from ..operators import outcomes as O
+from ..operators.stats import numbered
 from ..plans.jobs import test_attempts
 from ..schemas import ATTEMPTS, SEED_SOURCES
 from ..sources.sinks import upsert
@@ -99,7 +100,8 @@ class Run:
             raise ValueError(f"unknown seed source {source!r}")
         stamped = C.stamped(attempts, self.run_id)
         about = O.seed_digest(stamped).first()
-        jobs = C.envelopes(stamped.drop("pos"), F.lit(self.run_id), "eval", F.monotonically_increasing_id())
+        placed = numbered(stamped, "__at")
+        jobs = C.envelopes(placed.drop("pos"), F.lit(self.run_id), "eval", F.col("__at"))
         jobs.write.mode("append").json(self.path("jobs"))
         seed = {"source": source, "source_path": source_path, "expected_jobs": about.expected_jobs, "sample_ids_hash": about.sample_ids_hash, "task_ids": [t for t in about.task_ids.split(",") if t]}
         self._write(there | {"seed": seed})

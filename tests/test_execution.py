@@ -114,6 +114,7 @@ def test_stream_equals_batch(spark, tasks, tmp_path):
     with pytest.raises(ValueError, match="not initialised"):
         run_.seed(a)
     got = {(r.sample_id, r.outcome_kind) for r in run_.run_once(a, tasks, 10.0).collect()}
+    assert sorted(r.repeat for r in spark.read.json(run_.path("jobs")).collect()) == [0, 1, 2]
     batch = test_attempts(a, parse_attempts(a), tasks, 10.0)
     assert got == {(r.sample_id, r.outcome_kind) for r in batch.collect()}
     with pytest.raises(AlreadySeeded):

@@ -140,3 +140,11 @@ def test_metadata(spark):
     assert ("a", "n", None) in {tuple(x) for x in O.insert_if_absent(t, new, True).collect()}
     seeds = spark.createDataFrame([("a", "x"), ("b", "x")], "run_id string, seed string")
     assert {(x.run_id, x.seed, x.accepted) for x in O.set_seed(t, seeds).collect()} == {("a", "s", False), ("b", "x", True)}
+
+
+def test_numbered(spark):
+    rng = random.Random(2)
+    values = rng.sample(range(1000), 50)
+    rows = spark.createDataFrame([(v,) for v in values], "pos long").repartition(7)
+    assert [r.at for r in T.numbered(rows, "at").orderBy("pos").collect()] == list(range(50))
+    assert T.numbered(rows.limit(0), "at").count() == 0
