@@ -183,6 +183,7 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space inside; runs between spaces would not be independent")
         self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.packed = {p: struct.pack("<IH", n, len(p) << 1) for p, n in self.ids.items()}
         self.cache: dict[str, bytes] = {}
 
     def _merge(self, run: str) -> list[str]:
@@ -227,30 +228,28 @@ class Pieces:
     def _run(self, run: str) -> bytes:
         """Packed as PIECE: ids, and of each the characters of the run, times two; or 1 for a byte piece before its character's last."""
         parts = self._merge(run)
-        ids, sizes = list(map(self.ids.get, parts)), [len(p) << 1 for p in parts]
-        if None in ids:
-            ids, sizes = self._with_bytes(parts)
-        found = struct.pack("<" + "IH" * len(ids), *(x for pair in zip(ids, sizes) for x in pair))
+        try:
+            found = b"".join([self.packed[p] for p in parts])
+        except KeyError:
+            found = self._with_bytes(parts)
         if len(self.cache) >= CACHE_RUNS:
             self.cache.clear()
         if len(run) < 100:
             self.cache[run] = found
         return found
 
-    def _with_bytes(self, parts: list[str]) -> tuple[list[int], list[int]]:
-        ids, sizes = [], []
+    def _with_bytes(self, parts: list[str]) -> bytes:
+        """The same where some parts are no pieces."""
+        found = []
         for p in parts:
-            if (n := self.ids.get(p)) is not None:
-                ids.append(n)
-                sizes.append(len(p) << 1)
+            if p in self.packed:
+                found.append(self.packed[p])
             elif self.byte:
                 raw = p.encode("utf-8", "surrogatepass")
-                ids += [self.byte[b] for b in raw]
-                sizes += [1] * (len(raw) - 1) + [len(p) << 1]  # 1: part of the character whose last byte piece follows
+                found += [struct.pack("<IH", self.byte[b], len(p) << 1 if k == len(raw) - 1 else 1) for k, b in enumerate(raw)]
             else:
-                ids.append(self.unk)
-                sizes.append(len(p) << 1)
-        return ids, sizes
+                found.append(struct.pack("<IH", self.unk, len(p) << 1))
+        return b"".join(found)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids with begin and end, and a row for each with the first and last byte (exclusive) of its source."""
