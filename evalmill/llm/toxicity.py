@@ -27,8 +27,8 @@ from .common import kept_batches, map_batches, texts_of
 
 BUCKETS, LENGTHS = 1 << 18, (3, 4, 5)
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1000, 2000, 20_000
-#: Logistic regression: penalty and steps of the limited-memory quasi-Newton method.
-PENALTY, STEPS = 3e-5, 40
+#: Logistic regression: penalty, most steps of the limited-memory quasi-Newton method, and the gain below which it ends.
+PENALTY, STEPS, ENOUGH = 3e-5, 40, 3e-5
 #: A feature's rate is its count in so many n-grams; texts with few n-grams count as LEAST.
 RATE, LEAST = 3000, 30
 #: Training texts that are gone through at once.
@@ -71,22 +71,30 @@ def fit(texts: list[bytes], labels: list[int], penalty: float = PENALTY, steps:
     smooth = (p.sum() + q.sum()) / max(df.sum(), 1)
     r = np.log(p + smooth) - np.log(y.sum()) - np.log(q + smooth) + np.log(len(y) - y.sum())
     r[df < 3] = 0  # in fewer than three texts: nothing to learn
+    used = np.flatnonzero(r)
+    place, ratio = np.full(BUCKETS, -1, np.int32), r[used]
+    place[used] = np.arange(len(used))
+    for k, (b, n, flat, value, of) in enumerate(blocks):
+        keep = r[flat] != 0
+        blocks[k] = b, n, place[flat[keep]], value[keep], of[keep]
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        scaled, slope = w[:-1] * r, np.zeros(BUCKETS)
+        scaled, slope = w[:-1] * ratio, np.zeros(len(used))
         cost, bias = penalty / 2 * (w[:-1] ** 2).sum(), 0.0
         for b, n, flat, value, of in blocks:
             c, t = balance[b : b + n], y[b : b + n]
             s = np.bincount(of, scaled[flat] * value, minlength=n) + w[-1]
             g = c * (1 / (1 + np.exp(-np.clip(s, -500, 500))) - t)
             cost += (c * (np.logaddexp(0, s) - t * s)).sum()
-            slope += np.bincount(flat, g[of] * value, minlength=BUCKETS)
+            slope += np.bincount(flat, g[of] * value, minlength=len(used))
             bias += g.sum()
-        return cost, np.append(slope * r + penalty * w[:-1], bias)
+        return cost, np.append(slope * ratio + penalty * w[:-1], bias)
 
-    w = minimise(loss, np.zeros(BUCKETS + 1), steps)
-    return (w[:-1] * r).astype(np.float32), float(w[-1])
+    w = minimise(loss, np.zeros(len(used) + 1), steps)
+    out = np.zeros(BUCKETS, np.float32)
+    out[used] = w[:-1] * ratio
+    return out, float(w[-1])
 
 
 def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
@@ -107,11 +115,12 @@ def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
         slope, step = g @ d, 1.0
         while (new := f(x + step * d))[0] > value + 1e-4 * step * slope and step > 1e-8:
             step /= 2
+        small = value - new[0] < ENOUGH
         s, v = step * d, new[1] - g
         if s @ v > 1e-12:
             past = [*past, (s, v)][-memory:]
         x, value, g = x + s, *new
-        if np.abs(g).max() < 1e-7:
+        if small:
             break
     return x
 
