@@ -19,7 +19,7 @@ _local_roots: dict[str, str] = {}
 
 
 #: Rows of a batch that are packed stretches of a corpus, of some hundred kilobytes each.
-PACKED_ROWS = 64
+PACKED_ROWS = 16
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
