@@ -207,6 +207,21 @@ def test_seating_follows_its_distribution():
     assert big[0] == 0 and big[1] == 1 and 2 <= big[2] < 10_000
 
 
+@pytest.mark.parametrize("d", [0.05, 0.6, 0.8])
+def test_seating_has_one_law_below_and_above_the_exact_table(d):
+    """Mean and spread of the tables of 256, 257 and more customers, against Stirling numbers of that many."""
+    rng, numbers = np.random.default_rng(2), pitman_yor.stirling(1000, d)
+    own = pitman_yor.stirling(pitman_yor.EXACT, d)
+    for c in (256, 257, 300, 1000):
+        t = np.arange(1, c + 1)
+        for w in (0.01, 1.0, 10.0, 50.0, 300.0):
+            p = np.exp((row := numbers[c, 1 : c + 1] + np.log(w) * t) - row.max())
+            mean = (p * t).sum() / p.sum()
+            spread = math.sqrt((p * (t - mean) ** 2).sum() / p.sum())
+            got = pitman_yor.seat(np.full(4000, c), np.full(4000, w), d, own, rng)
+            assert abs(got.mean() - mean) < 0.015 * mean + 0.08 * spread and abs(got.std() - spread) < 0.08 * spread + 0.01, (c, w)
+
+
 @pytest.mark.parametrize("parts", [5, 200])
 def test_language_model(spark, docs, hard, none, parts):
     learn = docs.where(~pitman_yor.held_out()).select("text")
