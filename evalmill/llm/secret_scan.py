@@ -6,19 +6,21 @@ transitions of character classes, how much of it dictionary words cover, what it
 beside it. The forest (Spark ML) is trained from labelled findings; a candidate stays if its probability is `least` or
 more.
 
-The dictionary is learned from the words beside all candidates of the corpus: those that several findings have beside them, at most
-DICTIONARY of them, so its size is bounded whatever the input. Whole texts are scanned; the text itself never leaves the
-map task, only its candidates do.
+The dictionary is learned from the words beside all candidates of the corpus: all that several findings have beside them. It is a
+table: what a value's runs of letters contain is joined with it, so no task and no driver holds it. Whole texts are scanned, and values are
+taken whole, however long; the text itself never leaves the map task, only its candidates do.
 
 Edge cases. Null and empty texts have no candidate. Rows with a null id or path are scanned like others. Repeated rows give
 their findings once each. An empty table gives no rows. Other columns are never read.
 """
 
+import hashlib
 import math
 import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, staged
 
-DICTIONARY, BESIDE, LEAST = 20_000, 60, 0.5
+BESIDE, LEAST = 60, 0.5
 
 #: Public formats of keys, names of secrets, and words that mark a placeholder or a test.
 NAMES = "key|token|secret|passw(?:or)?d|pwd|credential"
@@ -39,7 +41,7 @@ FORMATS = {
     "slack": r"xox[abpr]-[A-Za-z0-9-]{10,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+",
     "pem": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
-    "assigned": rf"(?i:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"',;]{{8,200}})",
+    "assigned": rf"(?i:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"',;]{{8,}})",
     "run": r"[A-Za-z0-9+/_=-]{32,}",
 }
 PLACEHOLDER = ("example", "sample", "dummy", "placeholder", "changeme", "your", "test", "todo", "none", "null", "fake", "xxx")
@@ -49,6 +51,7 @@ DOUBTS = ("commit", "hash", "sha", "checksum", "digest", "uuid", "id", "integrit
 
 CANDIDATE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 WORD = re.compile(r"[^\W\d_]{3,}")
+PARTS = "v string, w string"
 FOUND = "id bigint, path string, start bigint, end bigint, kind string, value string, before string, after string"
 
 
@@ -76,11 +79,36 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text")), _find, FOUND)
 
 
-def dictionary(found: DataFrame, most: int = DICTIONARY) -> frozenset[str]:
-    """The words most often beside candidates, of those that at least three have."""
+def dictionary(found: DataFrame) -> DataFrame:
+    """w: the words that at least three candidates have beside them."""
     beside = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"(\p{L}{3,})"), F.lit(1)))
-    rows = found.select(F.explode(beside).alias("w")).groupBy("w").count().where("count >= 3").orderBy(F.desc("count"), "w").limit(most).collect()
-    return frozenset(r.w for r in rows)
+    return found.select(F.explode(beside).alias("w")).groupBy("w").count().where("count >= 3").select("w")
+
+
+def _parts(most: int):
+    """What may be a word of 3 to most letters within each value, with the value's hash."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch["value"].to_pylist():
+                v = hashlib.sha256(value.encode()).hexdigest()
+                for run in WORD.findall(value.lower()):
+                    for b in range(0, len(run), 1000):
+                        own = sorted({run[i : i + n] for i in range(b, min(b + 1000, len(run))) for n in range(3, min(most, len(run) - i) + 1)})
+                        yield pa.RecordBatch.from_arrays([pa.array([v] * len(own), pa.string()), pa.array(own, pa.string())], ["v", "w"])
+
+    return f
+
+
+def _words_in(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """v, w: the dictionary words that stand in each distinct value of the rows, by its SHA-256."""
+    most = words.agg(F.max(F.length("w"))).first()[0] or 0
+    return map_batches(rows.select("value").where("value is not null").distinct(), _parts(most), PARTS).join(words, "w", "left_semi")
+
+
+@lru_cache(8)
+def _sizes(words: frozenset[str]) -> list[int]:
+    return sorted({len(w) for w in words})
 
 
 def _class(c: str) -> int:
@@ -91,9 +119,9 @@ def features(value: str, path: str | None, before: str, after: str, words: froze
     n, counts = max(len(value), 1), Counter(value)
     classes = [_class(c) for c in value]
     low, near, where = value.lower(), [w.lower() for w in WORD.findall(before)[-6:] + WORD.findall(after)[:3]], (path or "").lower()
-    covered = [False] * len(value)
-    for size in (8, 7, 6, 5, 4, 3):
-        for i in range(min(len(low), 200) - size + 1):
+    covered = [False] * len(low)
+    for size in _sizes(words):
+        for i in range(len(low) - size + 1):
             if low[i : i + size] in words:
                 covered[i : i + size] = [True] * size
     has = lambda marks, texts: float(any(m in t for m in marks for t in texts))
@@ -106,7 +134,7 @@ def features(value: str, path: str | None, before: str, after: str, words: froze
         sum(a == b for a, b in zip(value, value[1:])) / n,
         sum(ord(b) - ord(a) == 1 for a, b in zip(value, value[1:])) / n,
         float(all(c in "0123456789abcdef-" for c in low)),
-        sum(covered) / n,
+        sum(covered) / max(len(low), 1),
         has(PLACEHOLDER, [low]),
         has(MARKS_PATH, [where]),
         has(HINTS, near),
@@ -115,7 +143,13 @@ def features(value: str, path: str | None, before: str, after: str, words: froze
     ]
 
 
-def _featured(found: DataFrame, words: frozenset[str]) -> DataFrame:
+def _featured(found: DataFrame, words: frozenset[str] | DataFrame) -> DataFrame:
+    """words: those of a small dictionary, or a table with the column w."""
+    if isinstance(words, DataFrame):
+        own = _words_in(found, words).groupBy(F.col("v").alias("__v")).agg(F.collect_set("w").alias("__words"))
+        f = F.pandas_udf(lambda *columns: pd.Series([features(*x[:4], frozenset(() if x[4] is None else x[4])) for x in zip(*columns)], dtype=object), "array<double>")
+        rows = found.join(own, F.sha2("value", 256) == F.col("__v"), "left").drop("__v")
+        return rows.withColumn("features", array_to_vector(f("value", "path", "before", "after", "__words"))).drop("__words")
     shared = found.sparkSession.sparkContext.broadcast(words)
 
     def f(value: pd.Series, path: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
@@ -157,8 +191,9 @@ def train(labelled: DataFrame, words: frozenset[str], trees: int = 40, depth: in
 def scan(docs: DataFrame, labelled: DataFrame, least: float = LEAST, **columns: str | None) -> DataFrame:
     """One row per candidate: id, start, end (characters), kind, value, probability, kept."""
     found = staged(candidates(docs, **columns), "candidates")
-    words = dictionary(found)
-    rows = train(labelled, words).transform(_featured(found, words))
+    words = staged(dictionary(found), "dictionary")
+    known = frozenset(r.w for r in _words_in(labelled, words).select("w").distinct().collect())  # as many as the labelled values contain
+    rows = train(labelled, known).transform(_featured(found, words))
     p = vector_to_array("probability")[1]
     return rows.select("id", "start", "end", "kind", "value", p.alias("probability"), (p >= least).alias("kept"))
 

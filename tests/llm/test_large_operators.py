@@ -178,6 +178,26 @@ def test_secrets(spark, docs, none):
     secret_scan.scan(docs, labelled).collect()
 
 
+def test_secrets_are_taken_whole():
+    rng = random.Random(3)
+    pick = lambda n: "".join(rng.choice("ABCDEFGHJKabcdefghjk23456789") for _ in range(n))
+    for value in (pick(210), pick(240), pick(5000), f"eyJ{pick(150)}.{pick(300)}.{pick(90)}"):
+        for text in (f'token = "{value}" and', f"secret:{value}\nnext"):
+            assert [(text[b:e], v) for b, e, _, v in secret_scan.candidates_of(text)] == [(value, value)]
+
+
+def test_dictionary_words_cover_whole_values(spark):
+    share = lambda value, *words: secret_scan.features(value, None, "", "", frozenset(words))[11]
+    assert share("information-" * 50, "information") == 11 / 12 and share("9" * 300 + "data" * 75, "data") == 0.5
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) + "word" for k in range(20_500)]
+    rows = [(f"9{words[k]}9{'z' * 30}", "p", " ".join(words[k : k + 500]), "") for k in range(0, len(words), 500)] * 3
+    found = spark.createDataFrame(rows, "value string, path string, before string, after string")
+    known = secret_scan.dictionary(found)
+    assert {r.w for r in known.collect()} == set(words)
+    got = secret_scan._featured(found, known)
+    assert got.count() == len(rows) and {r.features[11] for r in got.collect()} == {8 / 40}
+
+
 def test_stirling_numbers():
     """By their sum over set partitions: weights of tables times (1-d)(2-d)..."""
 
