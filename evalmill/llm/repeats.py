@@ -42,6 +42,8 @@ from .pfp import Rolling, repeated
 SIZE, GRAM = 200, 32
 #: Bytes of text that a map task parses at once; phrases of a trigger, and bytes, that an owner puts in order at once.
 STRETCH, BLOCK_PHRASES, BLOCK_BYTES = 1 << 20, 20_000, 1 << 19
+#: Bits of a place in what parse() compares: it takes STRETCH bytes and a window at once, and no more than 2^PLACE_BITS.
+PLACE_BITS = 24
 #: Phrases of a trigger in one stretch from which they are dealt by phrase, so that no owner gets all that, say, a common line begins.
 CROWDED = 32
 #: Phrases of a block from which windows without an equal hash are left out of the order.
@@ -71,8 +73,10 @@ def parse(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if len(data) < size:
         return tuple(np.empty(0, np.int64) for _ in range(5))
     hashes = Rolling(data)
-    low = np.uint64((1 << 24) - 1)  # places of a stretch, under the upper bits of the hash
+    low = np.uint64((1 << PLACE_BITS) - 1)  # places of a stretch, under the upper bits of the hash
     gram = hashes.all(GRAM)
+    if len(gram) > 1 << PLACE_BITS:
+        raise ValueError(f"{len(gram)} places to parse at once, more than {1 << PLACE_BITS}")
     least = gram & ~low | np.arange(len(gram), dtype=np.uint64)
     span, step = size - GRAM + 1, 1
     while step * 2 <= span:
@@ -104,7 +108,15 @@ def _parse(size: int):
             again = np.array([e[2] for _, e in items], bool)
             tks, rks = np.array([k for k, _ in items], np.int64), np.array([e[1] for _, e in items], np.int64)
             pieces = [(i, b, e[0][b : b + STRETCH + size - 1]) for i, (_, e) in enumerate(items) for b in range(0, len(e[0]) - size + 1, STRETCH)]
-            a, p, piece, s, n = parse([t for _, _, t in pieces], size)
+            parsed, b = [], 0
+            while b < len(pieces) or not parsed:  # places of one parse() fit its keys
+                e, room = b + 1, STRETCH
+                while e < len(pieces) and (room := room - len(pieces[e - 1][2])) >= len(pieces[e][2]):
+                    e += 1
+                a, p, piece, s, n = parse([t for _, _, t in pieces[b:e]], size)
+                parsed.append((a, p, piece + b, s, n))
+                b = e
+            a, p, piece, s, n = (np.concatenate(x) for x in zip(*parsed))
             text, s = np.array([i for i, _, _ in pieces])[piece], s + np.array([b for _, b, _ in pieces])[piece]
             if whole := [(k, len(e[0]) - size + 1) for k, e in items if e[2]]:
                 k, m = (np.array(x, np.int64) for x in zip(*whole))

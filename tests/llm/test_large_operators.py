@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,27 @@ def test_repeats(docs, hard, none, monkeypatch, size, crowd, phrases, stretch, c
     assert repeats.without_repeats(none, size).count() == 0
 
 
+def test_triggers_beyond_16_mib_of_one_text():
+    """A window's trigger depends on its own bytes only, wherever in a long text it stands."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 3000, np.uint8).tobytes()
+    text = rng.integers(97, 123, (1 << 24) + 5000, np.uint8).tobytes() + passage
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([1], pa.int64()), pa.array([text.decode()])], ["tk", "rk", "text"])
+    found = pa.Table.from_batches(repeats._parse(200)(iter([batch]))).select(["a", "s", "n"]).to_pydict()
+    start = len(text) - len(passage)
+    at = {}
+    for a, s, n in zip(found["a"], found["s"], found["n"]):
+        at.update((k, a) for k in range(max(s, start), s + n))
+    trigger, _, _, first, count = repeats.parse([passage], 200)
+    assert at == {start + k: a for a, s, n in zip(trigger.tolist(), first.tolist(), count.tolist()) for k in range(s, s + n)}
+
+
+def test_no_more_places_than_their_bits_hold(monkeypatch):
+    monkeypatch.setattr(repeats, "PLACE_BITS", 10)
+    with pytest.raises(ValueError, match="places"):
+        repeats.parse([bytes(2000)], 200)
+
+
 def linked(rows, words, percent):
     table = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
