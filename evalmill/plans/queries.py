@@ -446,6 +446,27 @@ def compression_lengths(spark, sf_dir):
     return B.attempts(spark, sf_dir).select("pos", F.octet_length("decoder_input").alias("raw"), zstd_length("decoder_input").alias("zstd22"))
 
 
+def enriched_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched rows with their zstd lengths, and the quartiles by these."""
+    return O.with_quartile(O.enriched(B.attempts(spark, sf_dir), B.parse_outcomes(spark, sf_dir), B.test_outcomes(spark, sf_dir)))
+
+
+@query()
+def enriched_rows_zstd(spark, sf_dir):
+    """Like enriched_rows, by zstd length (rows only, as the next two: SQL has no such length)."""
+    return enriched_zstd(spark, sf_dir).select(*_ROW.split(", "), "decoder_input_len_zstd22")
+
+
+@query()
+def slices_all_zstd(spark, sf_dir):
+    return S.all_slices(enriched_zstd(spark, sf_dir))
+
+
+@query()
+def joint_objective_zstd(spark, sf_dir):
+    return S.joint_objective(enriched_zstd(spark, sf_dir))
+
+
 def fenced_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts whose output is a small program in one of several wrappings, as decoders give it."""
     i = F.col("pos")

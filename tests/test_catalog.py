@@ -31,6 +31,29 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, map(tuple, df.collect())) == rows([c[0] for c in want.description], want.fetchall())
 
 
+def test_analysis_by_zstd_lengths(spark, duck):
+    """Quartiles, slices and objective, by plain Python from the frames' real sizes."""
+    import statistics
+
+    import zstandard
+
+    size = {pos: len(zstandard.ZstdCompressor(level=22).compress(t.encode())) for pos, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
+    order = sorted(size.values())
+    p25, p75 = (order[round(q * (len(order) - 1))] for q in (0.25, 0.75))
+    p50 = int(statistics.median(order))
+    quartile = {k: "Q1" if n <= p25 else "Q2" if n <= p50 else "Q3" if n <= p75 else "Q4" for k, n in size.items()}
+    got = {r.pos: r for r in QUERIES["enriched_rows_zstd"](spark, SF).collect()}
+    assert {k: (r.decoder_input_len_zstd22, r.compression_quartile) for k, r in got.items()} == {k: (size[k], quartile[k]) for k in size}
+    plain = {r.pos: r for r in QUERIES["enriched_rows"](spark, SF).collect()}
+    assert any(plain[k].compression_quartile != quartile[k] for k in size)
+    tested = {k: bool(r.all_tests_passed) for k, r in got.items() if r.has_test_outcome and r.outcome_kind == "tested"}
+    want = {q: (sum(x == q for x in quartile.values()), sum(quartile[k] == q for k in tested), sum(p for k, p in tested.items() if quartile[k] == q)) for q in set(quartile.values())}
+    slices = QUERIES["slices_all_zstd"](spark, SF).where("slice_name = 'by_compression_quartile'").collect()
+    assert {r.slice_key: (r.row_count, r.tested_count, r.pass_count) for r in slices} == want
+    objective = {r.pos: r.objective for r in QUERIES["joint_objective_zstd"](spark, SF).collect()}
+    assert objective == pytest.approx({k: p - 0.001 * size[k] for k, p in tested.items()})
+
+
 def test_flagship(spark):
     import __spark_entry__
 
