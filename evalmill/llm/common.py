@@ -104,13 +104,31 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
 BROADCAST_ROWS = 1 << 20
 
 
+def own_name(name: str) -> str:
+    """A column name that no input has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if it has few rows; df should be staged, as it is counted."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """All bytes of the texts: what sizes the parts that tasks hold at once."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(whole_text(text_col)).cast("long")), F.lit(0)).alias("n")).first().n
+
+
+def parts_for(spark: SparkSession, amount: int, each: int, times: int = 1) -> int:
+    """Parts of at most about so much each, and `times` for each shuffle partition at least: their number grows with the input, not their size."""
+    return max(times * partitions(spark), -(-amount // each))
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less the rows whose keys are in dropped (rk, h: row_key and xxhash64 of the text, both over null as empty)."""
-    dropped = staged(dropped.distinct(), "dropped")
-    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    text = whole_text(text_col)
-    side = side.select(F.col("rk").alias("__rk"), F.col("h").alias("__h"))
-    return docs.join(side, (F.xxhash64(F.col(id_col).cast("long"), text) == F.col("__rk")) & (F.xxhash64(text) == F.col("__h")), "left_anti")
+    rk, h, text = own_name("rk"), own_name("h"), whole_text(text_col)
+    side = small_side(staged(dropped.distinct(), "dropped")).select(F.col("rk").alias(rk), F.col("h").alias(h))
+    return docs.join(side, (F.xxhash64(F.col(id_col).cast("long"), text) == F.col(rk)) & (F.xxhash64(text) == F.col(h)), "left_anti")
 
 
 def kept_batches(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:

@@ -6,9 +6,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from evalmill.llm import chat, decontaminate, exact_dedup, pieces, sharding
+from evalmill.llm import chat, common, decontaminate, exact_dedup, pieces, sharding
 
 KEY = lambda x: (x is None, x)
 
@@ -52,11 +53,10 @@ def test_directory_doubles_and_chains():
     assert all(f"{k:064b}".startswith(p) for _, p, e in d.buckets() for k, _ in e)
 
 
-def test_exact_dedup(docs, hard, none):
+def hold_exact(rows, hard):
     groups = defaultdict(list)
     for i, t in hard:
         groups[t or ""].append(i)
-    rows = exact_dedup.exact_dedup(docs, capacity=3).collect()
     assert len(rows) == len(hard)
     sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
     kept = Counter()
@@ -67,19 +67,69 @@ def test_exact_dedup(docs, hard, none):
         assert not r.kept or r.doc_id == r.keep_id
         kept[r.text_sha256] += r.kept
     assert set(kept.values()) == {1}
+    return groups
+
+
+@pytest.mark.parametrize(("collapse", "owner_bytes", "lookup_rows", "broadcast"), [(32 << 20, 16 << 20, 1 << 16, 1 << 20), (2000, 3000, 2, 0)])
+def test_exact_dedup(docs, hard, none, monkeypatch, collapse, owner_bytes, lookup_rows, broadcast):
+    """Also with map tasks that pass on what they hold, many owners, owners that several tasks look up, and without broadcasts."""
+    monkeypatch.setattr(exact_dedup, "COLLAPSE_BYTES", collapse)
+    monkeypatch.setattr(exact_dedup, "OWNER_BYTES", owner_bytes)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    groups = hold_exact(exact_dedup.exact_dedup(docs, capacity=3, owner_bytes=owner_bytes, lookup_rows=lookup_rows).collect(), hard)
     left = exact_dedup.kept_rows(docs)
     assert left.columns == docs.columns and sorted(r.text or "" for r in left.collect()) == sorted(groups)
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.kept_rows(none).count() == 0
 
 
+def test_hot_owners_are_looked_up_in_shares(spark):
+    rows = [(i, "one text that most rows share" if i % 3 else f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    index = exact_dedup.build_index(docs, lookup_rows=300)
+    assert max(r.copies for r in index.hot.collect()) >= 3
+    hold_exact(exact_dedup.exact_dedup(docs, lookup_rows=300).collect(), rows)
+
+
+def test_lookup_goes_through_directory_and_bucket(docs):
+    """Slots that point elsewhere find nothing or the wrong bucket; without them a row is not found."""
+    from pyspark.errors import PythonException
+    from pyspark.sql import functions as F
+
+    index = exact_dedup.build_index(docs, capacity=2)
+    heads = index.rows.where("kind = 0")
+    assert heads.where("depth > 0").count() > 0 and index.entries().where("bucket > 0").count() > 0
+    assert exact_dedup.look_up(docs, index).count() == docs.count()
+    index.rows = index.rows.withColumn("slots", F.when(F.col("kind") == 0, F.reverse("slots").cast("binary")))
+    with pytest.raises(PythonException):
+        exact_dedup.look_up(docs, index).collect()
+    # a row's result is that of the bucket it is led to, not of a join
+    index = exact_dedup.build_index(docs, capacity=2)
+    index.rows = index.rows.withColumn("group_size", F.when(F.col("kind") == 1, F.col("bucket").cast("long")))
+    got = {r.sha: r.group_size for r in exact_dedup.look_up(docs, index).collect()}
+    assert got == {r.sha: r.bucket for r in index.entries().collect()}
+
+
+def test_owner_columns_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    edge = [-(1 << 63), (1 << 63) - 1, 0, -1, 1, *(rng.getrandbits(64) - (1 << 63) for _ in range(500))]
+    for owners in (1, 3, 16, 1000, 999_983):
+        edge += [min(max((o << 64) // owners - (1 << 63) + d, -(1 << 63)), (1 << 63) - 1) for o in range(1, 4) for d in (-1, 0, 1)]
+        want = [exact_dedup.owner_key(h, owners)[0] for h in edge]
+        assert exact_dedup._owners_of(np.array(edge, np.int64), owners).tolist() == want
+        df = spark.createDataFrame([(h,) for h in edge], "h long")
+        assert [r.o for r in df.select(exact_dedup._owner_column(F.col("h"), owners).alias("o")).collect()] == want
+
+
 def test_exact_dedup_chains_equal_hashes():
     """Entries of one hash with other bytes stay apart."""
     import pyarrow as pa
 
     batch = exact_dedup._entries({b"a": [5, 1, 1, 1], b"b": [5, 9, 1, 2]}, 4)
     again = exact_dedup._entries({b"a": [5, 3, 1, 1]}, 4)
-    table = pa.Table.from_batches([*batch, *again]).sort_by([("owner", "ascending"), ("h", "ascending")])
-    out = pa.Table.from_batches(exact_dedup._own(4, 8)(iter(table.to_batches()))).to_pylist()
+    table = pa.Table.from_batches([*batch, *again])
+    out = [r for r in pa.Table.from_batches(exact_dedup._own(4, 8)(iter(table.to_batches()))).to_pylist() if r["kind"] == 1]
     assert {(r["keep_id"], r["group_size"]) for r in out} == {(3, 2), (9, 2)} and {r["chain"] for r in out} == {0, 1}
 
 
