@@ -28,3 +28,14 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:  # no step changes the links any more
             return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         edges, before = new, now
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label: what components() gave for earlier links) after more links: only links between components, by their labels, are looked at."""
+    if labels is None:
+        return staged(components(links), "labels")
+    lu, lv = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "uv")
+    between = links.join(lu, "u", "left").join(lv, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    new = staged(components(between), "labels")
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return staged(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "labels")

@@ -5,14 +5,18 @@ those not known to be frequent first, by hash, then the frequent ones by count.
 keeps passages that many documents share out of the prefixes. Two sets with Jaccard similarity t or more share a
 shingle within their first n - ceil(t * n) + 1, and at the first shared one enough of either set must be left.
 
+Texts are cut into shingles once; the sets are written to the shared folder and read from there.
+
 1. Documents with equal sets form a class; classes with the same prefix and size form a group. Only groups
    enter the buckets of the prefix shingles.
 2. Star rounds: each bucket pairs its groups with the one that has most left behind the shingle; each group keeps the partner
    it meets most often and the one with most left, and (in the first round) pairs its members with its first. The pairs are
    verified on the sets (after a sketch of odd counts has bounded their difference); links give components, and the next
    round looks only across them.
-3. Last, each bucket pairs all groups that are not in one component yet and pass the filters of size and position; such
-   pairs are expanded to members and verified. What is never verified is in one component already. So no
+3. Last, each bucket pairs all groups that are not in one component yet and pass the filters of size and position. A bucket of more
+   than BLOCK groups is cut into blocks, and pairs of blocks are dealt to tasks; blocks of one component only are never paired with each other.
+   Group pairs are expanded to blocks of members, whose sketches are compared before a pair of members is passed on to be
+   verified. What is never verified is in one component already. So no
    link between components is lost, and a large group of copies never gives all its pairs.
 
 Edge cases. Null text is empty; texts without words have an empty set and are linked with nothing. Texts with
@@ -26,27 +30,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, map_batches, partitions, staged, texts_of, whole_text, without
-from .components import components
+from .common import map_batches, partitions, parts_for, small_side, staged, texts_of, whole_text, without
+from .components import merged
 from .pfp import mixed
 from .words import word_hashes
 
 WORDS, PERCENT = 5, 80
-#: Shingles in the table of frequent ones, which is sent to all tasks (16 bytes each), and bytes of text within which a shingle is seen to repeat.
+#: Shingles in the table of frequent ones, which is sent to all tasks (16 bytes each), and bytes of sets within which a shingle is seen to repeat.
 FREQUENT, STRETCH = 1 << 18, 12 << 20
+#: Count from which the histogram of counts has SCALE bins to the octave instead of one for each count.
+EXACT_COUNTS, SCALE = 1 << 16, 16
 
 #: Rounds in which groups look for a component through one or two partners each, before all pairs across components are looked at.
 ROUNDS = 2
+#: Prefix shingles to a part, and those of one part beyond which they are passed on as they are.
+PART_TOKENS, LOOSE = 1 << 19, 1 << 22
 #: Groups of a bucket up to which each must fit another one to stay; larger buckets stay as they are.
 SMALL_BUCKET = 64
+#: Groups of a bucket, and members of a group, that one task compares at once with others.
+BLOCK, MEMBERS = 1024, 256
 
 #: Bits of the sketch of a set: one each for an odd number of shingles with that hash.
 SKETCH = 2048
 
-SETS = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, pf bigint"
+SETS = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, hashes binary"
+PREFIXES = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, gid bigint, first binary"
 TOKENS = "part int, tokens binary, at binary, pos binary, gids binary, sizes binary"
 ROWS = "token bigint, gid bigint, n int, pos int"
 PAIR = "u bigint, v bigint"
@@ -75,8 +86,23 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _frequent(words: int):
-    """Shingles that several texts of a stretch have, and how many have them."""
+def _hashed(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _sets(words: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rks, found = batch["rk"].to_pylist(), shingles(texts_of(batch["text"]), words)
+            fp = [_digest(x) if len(x) else rk for rk, x in zip(rks, found)]
+            columns = [batch["id"], batch["rk"], batch["h"], pa.array([len(x) for x in found], pa.int32()), pa.array(fp, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SETS.split(", ")])
+
+    return f
+
+
+def _frequent(stretch: int):
+    """Shingles that several sets of a stretch have, and how many have them."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -89,13 +115,13 @@ def _frequent(words: int):
             return pa.RecordBatch.from_arrays([pa.array(found[head[count > 1]].view(np.int64)), pa.array(count[count > 1], pa.int64())], ["h", "c"])
 
         for batch in batches:
-            texts = texts_of(batch["text"])
-            held += [x for x in shingles(texts, words) if len(x)]
-            size += sum(map(len, texts))
-            if size > STRETCH and held:
+            sets = _hashed(batch["hashes"])
+            held += sets
+            size += sum(x.nbytes for x in sets)
+            if size > stretch:
                 yield flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
     return f
@@ -117,20 +143,27 @@ def _digest(x: np.ndarray, seed: int = 0) -> int:
     return int(mixed(np.array([(x * place).sum() + np.uint64(seed)], np.uint64)).view(np.int64)[0])
 
 
-def _sets(words: int, percent: int, frequent):
+def _prefixes(percent: int, frequent):
+    """Each set's group; the prefix itself only from the first of a group in a stretch."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            rks, found = batch["rk"].to_pylist(), shingles(texts_of(batch["text"]), words)
-            n = [len(x) for x in found]
-            fp = [_digest(x) if len(x) else rk for rk, x in zip(rks, found)]
-            pf = [_prefix(x, frequent.value, percent)[1] if len(x) else rk for rk, x in zip(rks, found)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["rk"], batch["h"], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(pf, pa.int64())], [c.split()[0] for c in SETS.split(", ")])
+            gids, firsts = [], []
+            for rk, x in zip(batch["rk"].to_pylist(), _hashed(batch["hashes"])):
+                first, gid = _prefix(x, frequent.value, percent) if len(x) else (x, rk)
+                gids.append(gid)
+                firsts.append(first.tobytes() if len(x) and gid not in seen else None)
+                seen.add(gid)
+            if len(seen) > STRETCH >> 6:
+                seen = set()
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "rk", "h", "n", "fp")), pa.array(gids, pa.int64()), pa.array(firsts, pa.binary())], [c.split()[0] for c in PREFIXES.split(", ")])
 
     return f
 
 
-def _tokens(words: int, percent: int, frequent, parts: int):
-    """Prefix shingles dealt by hash, packed: one row per stretch of text and part."""
+def _tokens(parts: int):
+    """Prefix shingles dealt by hash, packed: one row per stretch and part."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -152,12 +185,10 @@ def _tokens(words: int, percent: int, frequent, parts: int):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)], [c.split()[0] for c in TOKENS.split(", ")])
 
         for batch in batches:
-            for x in shingles(texts_of(batch["text"]), words):
-                if len(x):
-                    first, gid = _prefix(x, frequent.value, percent)
-                    if gid not in held:
-                        held[gid] = first, len(x)
-                        total += len(first)
+            for gid, n, first in zip(batch["gid"].to_pylist(), batch["n"].to_pylist(), _hashed(batch["first"])):
+                if gid not in held:
+                    held[gid] = first, n
+                    total += len(first)
             if total > STRETCH >> 4:
                 yield flush()
                 held, total = {}, 0
@@ -170,7 +201,7 @@ def _tokens(words: int, percent: int, frequent, parts: int):
 def _buckets(percent: int):
     """Rows sorted by part: of every part, the buckets in which groups fit each other."""
 
-    def bucket(rows: list[dict]) -> pa.RecordBatch:
+    def bucket(rows: list[dict], loose: bool) -> pa.RecordBatch:
         token = np.concatenate([np.frombuffer(r["tokens"], np.int64) for r in rows])
         at = [np.frombuffer(r["at"], np.int32) for r in rows]
         gid = np.concatenate([np.frombuffer(r["gids"], np.int64)[a] for r, a in zip(rows, at)])
@@ -180,6 +211,8 @@ def _buckets(percent: int):
         token, gid, n, pos = token[order], gid[order], n[order], pos[order]
         new = np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1]))
         token, gid, n, pos = token[new], gid[new], n[new], pos[new]
+        if loose:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, gid, n, pos)], ["token", "gid", "n", "pos"])
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.repeat(np.diff(np.append(head, len(token))), np.diff(np.append(head, len(token))))
         keep = size > SMALL_BUCKET
@@ -193,14 +226,17 @@ def _buckets(percent: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
+        held, loose = 0, False  # loose: the part at hand is too large to be held, so its rows go on unfiltered
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and r["part"] != rows[0]["part"]:
-                    yield bucket(rows)
-                    rows = []
+                if rows and (r["part"] != rows[0]["part"] or held > LOOSE):
+                    same = r["part"] == rows[0]["part"]
+                    yield bucket(rows, loose or same)
+                    rows, held, loose = [], 0, same
                 rows.append(r)
+                held += len(r["tokens"]) >> 3
         if rows:
-            yield bucket(rows)
+            yield bucket(rows, loose)
 
     return f
 
@@ -220,68 +256,110 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
-def _stars(percent: int):
-    """Rows sorted by token and what is left behind it, most first: the first of a bucket with each other one of another label, and what is left of it."""
+def _fit(a: str, b: str, percent: int) -> Column:
+    """_fits() of two rows' n and pos, as a column."""
+    n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    need = F.ceil((n + m) * percent / (100 + percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n - F.col(f"{a}.pos") >= need) & (m - F.col(f"{b}.pos") >= need)
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = None
-        for batch in batches:
-            c = {k: v.astype(np.int64) for k, v in _columns(batch, "token gid n pos label").items()}
-            if not len(c["token"]):
-                continue
-            if centre is not None:
-                c = {k: np.append(centre[k], v) for k, v in c.items()}
-            t, label = c["token"], c["label"]
-            head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            first = np.repeat(head, np.diff(np.append(head, len(t))))
-            other = (label[first] != label) | (label == 0)
-            ok = (c["gid"][first] != c["gid"]) & other & _fits(c["n"][first], c["pos"][first], c["n"], c["pos"], percent)
-            u, v = c["gid"][first[ok]], c["gid"][ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(c["n"][first[ok]] - c["pos"][first[ok]])], ["u", "v", "rest"])
-            centre = {k: v[head[-1]] for k, v in c.items()}
-
-    return f
 
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: token, gid, n, pos, label. The group of each bucket with most left behind the shingle, with each other one of another label: u, v, rest.
 
-def _crossed(percent: int, block: int = 256):
-    """Rows sorted by token: all pairs of a bucket that fit and don't have one label. label 0: a group whose members have several."""
-
-    def cross(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n, pos, gid, label = (c[k].astype(np.int64) for k in ("n", "pos", "gid", "label"))
-        if len(n) < 2 or (label[0] and (label == label[0]).all()):
-            return
-        order = np.argsort(n, kind="stable")
-        n, pos, gid, label = n[order], pos[order], gid[order], label[order]
-        top = np.searchsorted(n, 100 * n // percent, "right")
-        for b in range(0, len(n), block):
-            i = np.arange(b, min(b + block, len(n)))
-            j = np.arange(b + 1, top[i[-1]])
-            if not len(j):
-                continue
-            ok = (j > i[:, None]) & ((label[i][:, None] != label[j]) | (label[j] == 0)) & _fits(n[i][:, None], pos[i][:, None], n[j], pos[j], percent)
-            x, y = np.nonzero(ok)
-            if len(x):
-                yield _pairs(gid[i[x]], gid[j[y]])
+    The first of a bucket is an aggregate and comes back by a join, so that adaptive execution may split a crowded bucket.
+    """
+    centre = rows.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct((F.col("n") - F.col("pos")).alias("rest"), "gid", "n", "pos", "label")).alias("c"))
+    centre = small_side(staged(centre.where("many > 1").select("token", "c.*"), "centres"))
+    both = rows.alias("a").join(centre.alias("c"), "token").where((F.col("a.gid") != F.col("c.gid")) & ((F.col("a.label") != F.col("c.label")) | (F.col("a.label") == 0)) & _fit("c", "a", percent))
+    return both.select(F.least("a.gid", "c.gid").alias("u"), F.greatest("a.gid", "c.gid").alias("v"), "c.rest")
+
+
+def _across(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, percent: int, block: int = 256) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups of a, or of a and b, that fit and don't have one label. label 0: a group whose members have several."""
+    if b is None:
+        order = np.argsort(a["n"], kind="stable")
+        a = {k: v[order] for k, v in a.items()}
+    other = a if b is None else b
+    for k in range(0, len(a["n"]), block):
+        i = np.arange(k, min(k + block, len(a["n"])))
+        ok = (a["label"][i][:, None] != other["label"]) | (other["label"] == 0)
+        ok &= _fits(a["n"][i][:, None], a["pos"][i][:, None], other["n"], other["pos"], percent)
+        if b is None:
+            ok &= np.arange(len(a["n"])) > i[:, None]
+        x, y = np.nonzero(ok & (a["gid"][i][:, None] != other["gid"]))
+        if len(x):
+            yield _pairs(a["gid"][i[x]], other["gid"][y])
+
+
+def _cells(percent: int, key: str):
+    """Rows sorted by a cell's key and side: pairs within a cell of one side, and across those of two."""
+    names = [*key.split(), "side", "gid", "n", "pos", "label"]
+
+    def cell(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b = ({k: c[k][c["side"] == s].astype(np.int64) for k in ("gid", "n", "pos", "label")} for s in (0, 1))
+        if not len(b["n"]):  # one side alone; a pair of blocks has both, as blocks without rows are in no cell
+            if len(a["n"]) > 1 and not (a["label"][0] and (a["label"] == a["label"][0]).all()):
+                yield from _across(a, None, percent)
+        else:
+            yield from _across(a, b, percent)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[dict[str, np.ndarray]] = []  # of the cell at hand
         for batch in batches:
-            c = _columns(batch, "token gid n pos label")
-            if held is not None:
-                c = {k: np.concatenate((held[k], v)) for k, v in c.items()}
-            t = c["token"]
-            if not len(t):
+            if not batch.num_rows:
                 continue
-            head = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t))
-            for b, e in zip(head[:-2].tolist(), head[1:-1].tolist()):
-                yield from cross({k: v[b:e] for k, v in c.items()})
-            held = {k: v[head[-2] :] for k, v in c.items()}
-        if held is not None:
-            yield from cross(held)
+            c = _columns(batch, " ".join(names))
+            new = np.zeros(batch.num_rows, bool)
+            for k in key.split():
+                new[1:] |= c[k][1:] != c[k][:-1]
+            head = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for b, e in zip(head, head[1:]):
+                part = {k: v[b:e] for k, v in c.items()}
+                if held and any(held[0][k][0] != part[k][0] for k in key.split()):
+                    yield from cell({k: np.concatenate([x[k] for x in held]) for k in names})
+                    held = []
+                held.append(part)
+        if held:
+            yield from cell({k: np.concatenate([x[k] for x in held]) for k in names})
 
     return f
 
 
+def _crossed(rows: DataFrame, percent: int, block: int | None = None) -> DataFrame:
+    """rows: token, gid, n, pos, label (staged). All pairs of groups of a bucket that fit and aren't in one component: u, v.
+
+    A bucket of at most a block is one cell, held by one task. Of larger ones, components with more than a block of groups have blocks of
+    their own, other groups are dealt to blocks by component, and each pair of blocks is a cell, but for those within one component.
+    """
+    block = BLOCK if block is None else block
+    parts = partitions(rows.sparkSession)
+    mixed = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = staged(mixed.where((F.col("m") > 1) & ((F.col("lo") != F.col("hi")) | (F.col("lo") == 0))).select("token", "m"), "mixed-buckets")
+    small, large = (rows.join(small_side(staged(mixed.where(c), "buckets")), "token") for c in (F.col("m") <= block, F.col("m") > block))
+    one = map_batches(small.withColumn("side", F.lit(0)).select("token", "side", "gid", "n", "pos", "label").repartition(parts, "token").sortWithinPartitions("token"), _cells(percent, "token"), PAIR)
+    large = staged(large, "crowded-buckets")
+    if large.isEmpty():
+        return one.distinct()
+    giant = large.groupBy("token", "label").agg(F.count("*").alias("c")).where((F.col("label") != 0) & (F.col("c") > block))
+    giant = staged(giant.select("token", "label", F.ceil(F.col("c") / block).cast("long").alias("own")), "giant-components")
+    large = large.join(small_side(giant), ["token", "label"], "left")
+    rest = F.pmod(F.xxhash64(F.when(F.col("label") == 0, F.col("gid")).otherwise(F.col("label"))), F.ceil(F.col("m") / block).cast("long"))
+    large = staged(large.withColumns({"lab": F.when(F.col("own").isNull(), F.lit(0)).otherwise(F.col("label")), "part": F.when(F.col("own").isNull(), rest).otherwise(F.pmod(F.xxhash64("gid"), F.col("own")))}), "block-rows")
+    blocks = large.select("token", "lab", "part").distinct()
+    a, b = (blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("lab", "part"))) for s in "ab")
+    ordered = (F.col("lab_a") < F.col("lab_b")) | ((F.col("lab_a") == F.col("lab_b")) & (F.col("lab_a") == 0) & (F.col("part_a") <= F.col("part_b")))
+    cells = staged(a.join(b, "token").where(ordered), "cells")
+    key = ["token", "lab_a", "part_a", "lab_b", "part_b"]
+
+    def side(s: int, those: DataFrame) -> DataFrame:
+        own = large.select("token", F.col("lab").alias(f"lab_{'ab'[s]}"), F.col("part").alias(f"part_{'ab'[s]}"), "gid", "n", "pos", "label")
+        return own.join(those, ["token", f"lab_{'ab'[s]}", f"part_{'ab'[s]}"]).select(*key, F.lit(s).alias("side"), "gid", "n", "pos", "label")
+
+    apart = (F.col("lab_a") != F.col("lab_b")) | (F.col("part_a") != F.col("part_b"))
+    dealt = side(0, cells).unionByName(side(1, cells.where(apart))).repartition(4 * parts, *key).sortWithinPartitions(*key, "side")
+    return one.unionByName(map_batches(dealt, _cells(percent, " ".join(key)), PAIR)).distinct()
+
+
 def _verify(percent: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,14 +376,10 @@ def _verify(percent: int):
     return f
 
 
-def _hashes(words: int):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingles(texts_of(batch["text"]), words)
-            odd = [np.packbits(np.bincount(x & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array([len(x) for x in sets], pa.int32()), pa.array(odd, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "n", "odd", "hashes"])
-
-    return f
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        odd = [np.packbits(np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes() for x in _hashed(batch["hashes"])]
+        yield pa.RecordBatch.from_arrays([batch["fp"], batch["n"], pa.array(odd, pa.binary())], ["fp", "n", "odd"])
 
 
 def _possible(percent: int):
@@ -323,21 +397,49 @@ def _possible(percent: int):
     return f
 
 
+def _possible_members(percent: int):
+    """Rows of two blocks of members (fu, lu, ou, fv, lv, ov: lists; n, m: sizes): pairs of members in two components that can be similar enough."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for r in range(batch.num_rows):
+                fu, lu, fv, lv = (np.asarray(batch[c][r].values) for c in ("fu", "lu", "fv", "lv"))
+                ou, ov = (np.frombuffer(b"".join(batch[c][r].as_py()), np.uint64).reshape(-1, SKETCH // 64) for c in ("ou", "ov"))
+                both = (batch["n"][r].as_py() + batch["m"][r].as_py()) * (100 - percent)
+                for k in range(0, len(fu), 64):
+                    ok = np.bitwise_count(ou[k : k + 64, None] ^ ov).sum(2, dtype=np.int64) * (100 + percent) <= both
+                    x, y = np.nonzero(ok & (lu[k : k + 64, None] != lv))
+                    us.append(fu[k + x])
+                    vs.append(fv[y])
+            yield _pairs(np.concatenate(us), np.concatenate(vs))
+
+    return f
+
+
 def _group_labels(member: DataFrame) -> DataFrame:
     """The component of each group's members, or 0 if they are in several."""
     return member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(0)).alias("label"))
 
 
-def frequent_shingles(texts: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many shingles, all those from some count upwards, sorted by hash, and their counts."""
-    counted = staged(map_batches(texts, _frequent(words), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
-    least, total = 1 << 62, 0
-    for r in counted.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).toLocalIterator():
-        total += r["count"]
-        if total > most:
+def frequent_shingles(sets: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """About so many shingles at most (a quarter more by chance), those with the highest counts, sorted by hash, and their counts.
+
+    Of the shingles in the bin of counts that no longer fits, those with the least hashes are taken, so the table is never
+    empty where shingles repeat, however often.
+    """
+    most = FREQUENT if most is None else most
+    counted = staged(map_batches(sets.select("hashes"), _frequent(STRETCH), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    bin_of = F.when(F.col("c") < EXACT_COUNTS, F.col("c")).otherwise(EXACT_COUNTS + F.floor(F.log2(F.col("c") / EXACT_COUNTS) * SCALE)).cast("long")
+    binned, least, total, share = counted.withColumn("bin", bin_of), 1 << 62, 0, 0.0
+    for r in binned.groupBy("bin").count().orderBy(F.desc("bin")).toLocalIterator():
+        if total + r["count"] > most:
+            share = (most - total) / r["count"]
             break
-        least = r.c
-    rows = counted.where(F.col("c") >= least).toPandas()
+        least, total = r.bin, total + r["count"]
+    below = F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
+    last = binned.where((F.col("bin") < least) & (F.col("h") < below)).agg(F.max("bin")).first()[0] if share else None
+    rows = binned.where((F.col("bin") >= least) | ((F.col("bin") == F.lit(last).cast("long")) & (F.col("h") < below))).select("h", "c").toPandas()
     h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -363,40 +465,42 @@ def kept_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_co
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, rk, h, n, component_id."""
     spark = docs.sparkSession
-    parts = partitions(spark)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), whole_text(text_col)).alias("rk"), F.xxhash64(whole_text(text_col)).alias("h"), whole_text(text_col).alias("text"))
-    often = spark.sparkContext.broadcast(frequent_shingles(keyed.select("text"), words))
-    sets = staged(map_batches(keyed, _sets(words, percent, often), SETS), "shingle-sets")
-    classes = staged(sets.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk"), F.min("pf").alias("gid")), "shingle-classes")
-    groups = classes.groupBy("gid").agg(F.min("fp").alias("rep"), F.count("*").alias("members"))
-    packed = map_batches(keyed.select("text"), _tokens(words, percent, often, 4 * parts), TOKENS)
-    rows = staged(map_batches(packed.repartition(parts, "part").sortWithinPartitions("part"), _buckets(percent), ROWS), "shingle-buckets")
-
-    # sets of all classes that can be in a pair
+    sets = staged(map_batches(keyed, _sets(words), SETS), "shingle-sets")
+    often = spark.sparkContext.broadcast(frequent_shingles(sets.where("n > 0")))
+    prefixes = staged(map_batches(sets, _prefixes(percent, often), PREFIXES), "shingle-prefixes")
+    classes = staged(prefixes.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk"), F.min("gid").alias("gid")), "shingle-classes")
+    groups = staged(classes.groupBy("gid").agg(F.min("fp").alias("rep"), F.count("*").alias("members")), "shingle-groups")
+    firsts = prefixes.where("first is not null").select("gid", "n", "first")
+    parts = parts_for(spark, firsts.agg(F.coalesce(F.sum(F.octet_length("first").cast("long")), F.lit(0))).first()[0] >> 3, PART_TOKENS, 4)
+    packed = map_batches(firsts, _tokens(parts), TOKENS)
+    rows = staged(map_batches(packed.repartition(-(-parts // 4), "part").sortWithinPartitions("part"), _buckets(percent), ROWS), "shingle-buckets")
+
+    # sketches of all classes that can be in a pair
     paired = rows.select("gid").unionByName(groups.where("members > 1").select("gid")).distinct()
     wanted = staged(classes.join(paired, "gid").select("fp", "rk"), "shingle-wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    hashes = staged(map_batches(keyed.select("rk", "text").join(side, "rk").select("fp", "text"), _hashes(words), "fp bigint, n int, odd binary, hashes binary"), "shingle-hashes")
+    sketches = staged(map_batches(sets.select("rk", "n", "hashes").join(small_side(wanted), "rk").select("fp", "n", "hashes"), _sketches, "fp bigint, n int, odd binary").dropDuplicates(["fp"]), "shingle-sketches")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        a = sketches.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("odd").alias("a"))
+        b = sketches.select(F.col("fp").alias("v"), "n", F.col("odd").alias("b"))
+        return staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "m", "n", "a", "b"), _possible(percent), PAIR), "possible")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # rows that repeat a class's id and text give its set more than once, and so a pair: the links stay the same
-        a = hashes.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("odd").alias("a"))
-        b = hashes.select(F.col("fp").alias("v"), "n", F.col("odd").alias("b"))
-        pairs = staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "m", "n", "a", "b"), _possible(percent), PAIR), "possible")
-        some = staged(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "possible-sets")
-        some = hashes.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "fp").select("fp", "hashes")
+        some = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+        some = staged(wanted.join(some, "fp"), "possible-sets")
+        some = sets.select("rk", "hashes").join(small_side(some), "rk").select("fp", "hashes")
         a = some.select(F.col("fp").alias("u"), F.col("hashes").alias("a"))
         b = some.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
         return staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), _verify(percent), PAIR), "links")
 
     rep = groups.select("gid", "rep")
     member = classes.select("gid", "fp", F.col("fp").alias("label"))
-    links = tried = None
+    labels = tried = None
     for k in range(ROUNDS):
-        one = _group_labels(member)
-        left = (F.col("n") - F.col("pos")).alias("left")
-        labelled = rows.join(one, "gid").select("token", "gid", "n", "pos", "label", left).repartition(parts, "token").sortWithinPartitions("token", F.desc("left"), "gid")
-        stars = map_batches(labelled.drop("left"), _stars(percent), f"{PAIR}, rest bigint").groupBy("u", "v").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
+        labelled = staged(rows.join(_group_labels(member), "gid"), "labelled")
+        stars = _stars(labelled, percent).groupBy("u", "v").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
         if tried is not None:
             stars = stars.join(tried, ["u", "v"], "left_anti")
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), "c", "rest"))
@@ -407,25 +511,26 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
         pairs = best.join(rep.select(F.col("gid").alias("u"), F.col("rep").alias("ru")), "u").join(rep.select(F.col("gid").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         if not k:
             pairs = pairs.unionByName(classes.join(groups.where("members > 1"), "gid").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v")))
-        found = verified(staged(pairs, "pairs"))
-        links = found if links is None else links.unionByName(found)
-        labels = staged(components(links), "labels")
+        labels = merged(labels, verified(possible(pairs)))
         member = staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("gid", "fp", F.coalesce("label", "fp").alias("label")), "members")
 
     # all that is left
-    one = _group_labels(member)
-    labelled = rows.join(one, "gid").select("token", "gid", "n", "pos", "label")
-    crossed = map_batches(labelled.repartition(parts, "token").sortWithinPartitions("token"), _crossed(percent), PAIR).distinct()
-    pairs = crossed.unionByName(one.where("label = 0").select(F.col("gid").alias("u"), F.col("gid").alias("v")))
-    m1 = member.select(F.col("gid").alias("u"), F.col("fp").alias("fu"), F.col("label").alias("lu"))
-    m2 = member.select(F.col("gid").alias("v"), F.col("fp").alias("fv"), F.col("label").alias("lv"))
-    more = pairs.join(m1, "u").join(m2, "v").where("lu <> lv").select(F.least("fu", "fv").alias("u"), F.greatest("fu", "fv").alias("v")).distinct()
-    links = links.unionByName(verified(staged(more, "pairs")))
-    labels = components(links)
+    one = staged(_group_labels(member), "group-labels")
+    crossed = _crossed(staged(rows.join(one, "gid"), "labelled"), percent)
+    pairs = staged(crossed.unionByName(one.where("label = 0").select(F.col("gid").alias("u"), F.col("gid").alias("v"))), "group-pairs")
+    block = F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / MEMBERS).cast("long"))
+    about = member.join(pairs.select(F.explode(F.array("u", "v")).alias("gid")).distinct(), "gid").join(groups.select("gid", "members"), "gid").join(sketches, "fp")
+    blocks = about.withColumn("block", block).groupBy("gid", "block").agg(F.min("n").alias("n"), F.collect_list(F.struct("fp", "label", "odd")).alias("x"))
+    blocks = staged(blocks.select("gid", "block", "n", *(F.col(f"x.{c}").alias(c) for c in ("fp", "label", "odd"))), "member-blocks")
+    a = blocks.select(F.col("gid").alias("u"), F.col("block").alias("bu"), "n", F.col("fp").alias("fu"), F.col("label").alias("lu"), F.col("odd").alias("ou"))
+    b = blocks.select(F.col("gid").alias("v"), F.col("block").alias("bv"), F.col("n").alias("m"), F.col("fp").alias("fv"), F.col("label").alias("lv"), F.col("odd").alias("ov"))
+    both = pairs.join(a, "u").join(b, "v").where("u <> v or bu <= bv").select("n", "m", "fu", "lu", "ou", "fv", "lv", "ov")
+    more = staged(map_batches(both, _possible_members(percent), PAIR).distinct(), "possible")
+    labels = merged(labels, verified(more))
 
     low = classes.join(labels, F.col("fp") == F.col("node")).groupBy("label").agg(F.min("doc").alias("component"))
     named = classes.join(labels.join(low, "label").select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "n", F.coalesce("component", "doc").alias("component"))
-    return sets.select("doc_id", "rk", "h", "n", "fp").join(named, ["fp", "n"], "left").select("doc_id", "rk", "h", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    return prefixes.select("doc_id", "rk", "h", "n", "fp").join(named, ["fp", "n"], "left").select("doc_id", "rk", "h", "n", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

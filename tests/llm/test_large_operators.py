@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.llm import near_dups, pfp, pitman_yor, repeats, secret_scan, toxicity
-from evalmill.llm.components import components
+from evalmill.llm import common, near_dups, pfp, pitman_yor, repeats, secret_scan, toxicity
+from evalmill.llm.components import components, merged
 
 KEY = lambda x: (x is None, x)
 
@@ -115,6 +115,59 @@ def test_near_duplicates(docs, hard, none, words, percent):
     assert near_dups.near_duplicates(none, words, percent).count() == 0
 
 
+def test_near_duplicates_in_small_blocks(spark, docs, hard, monkeypatch):
+    """Buckets cut into blocks, members compared in blocks, parts passed on unfiltered, a short table of frequent shingles, no broadcasts, no star rounds' help."""
+    for name, value in (("BLOCK", 3), ("MEMBERS", 2), ("SMALL_BUCKET", 2), ("LOOSE", 50), ("PART_TOKENS", 300), ("STRETCH", 20_000), ("FREQUENT", 40), ("EXACT_COUNTS", 4), ("ROUNDS", 1)):
+        monkeypatch.setattr(near_dups, name, value)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    more = []
+    for k in range(60):  # families within families, so that some groups have members in several components
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(60)] = f"v{rng.randint(0, 30)}"
+        more.append((1000 + k, " ".join(w)))
+    rows = [(i, t) for i, t in hard if i is not None] + more
+    order = lambda r: (KEY(r[0]), r[1], KEY(r[2]))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, 70).collect()
+    assert sorted(map(tuple, got), key=order) == sorted(linked(rows, 2, 70), key=order)
+
+
+def test_crossed_blocks_lose_no_pair(spark):
+    """One bucket with a large component, small ones, and groups with members in several."""
+    rng = random.Random(3)
+    rows = [(t, g, rng.choice((50, 55, 60)), rng.randint(0, 3), 7 if k < 40 else 0 if k < 50 else rng.randint(8, 12)) for t in (1, 2) for k, g in enumerate(range(100 * t, 100 * t + 70))]
+    df = spark.createDataFrame(rows, "token long, gid long, n int, pos int, label long")
+    want = set()
+    for (t, g, n, p, a), (s, h, m, q, b) in itertools.combinations(rows, 2):
+        if t == s and (a != b or b == 0) and near_dups._fits(np.int64(n), np.int64(p), np.int64(m), np.int64(q), 85):
+            want.add((min(g, h), max(g, h)))
+    for block in (4, 16, 1024):
+        got = [tuple(r) for r in near_dups._crossed(df, 85, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_table_of_frequent_shingles_is_bounded_and_not_empty(spark):
+    """Also where more shingles have one high count than the table takes."""
+    x = np.sort(pfp.mixed(np.arange(1, 3001, dtype=np.uint64)))
+    sets = spark.createDataFrame([(bytearray(x.tobytes()),)] * 20, "hashes binary").repartition(2)
+    for most, low, high in ((10_000, 3000, 3000), (500, 350, 650), (1, 0, 20)):
+        hashes, counts = near_dups.frequent_shingles(sets, most)
+        assert low <= len(hashes) <= high and set(counts.tolist()) <= {20} and (np.diff(hashes.astype(float)) > 0).all()
+
+
+def test_labels_merge_as_if_found_at_once(spark):
+    rng = random.Random(4)
+    links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)]
+    frames = [spark.createDataFrame(x, "u long, v long") for x in (links[:25], links[25:45], links[45:], [])]
+    labels = None
+    for f in frames:
+        labels = merged(labels, f)
+    whole = components(frames[0].unionByName(frames[1]).unionByName(frames[2]))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_one_document_of_each_component_stays(docs):
     some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     left = near_dups.kept_rows(some)
