@@ -1,7 +1,7 @@
 """Secret scans: candidates by public formats, false positives removed by a random forest.
 
 Candidates are values assigned to names such as token or password, strings of well-known key formats, and
-long runs of base64 or hexadecimal characters. A candidate's features are its length, entropy, shares and
+long runs of base64 or hexadecimal characters; of a PEM key the whole block. A candidate's features are its length, entropy, shares and
 transitions of character classes, how much of it dictionary words cover, what its path looks like, and words
 beside it. The forest (Spark ML) is trained from labelled findings; a candidate stays if its probability is `least` or
 more.
@@ -40,10 +40,14 @@ FORMATS = {
     "github": r"gh[pousr]_[A-Za-z0-9]{36}",
     "slack": r"xox[abpr]-[A-Za-z0-9-]{10,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+",
-    "pem": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
+    "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
     "assigned": rf"(?i:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"',;]{{8,}})",
     "run": r"[A-Za-z0-9+/_=-]{32,}",
 }
+#: What every candidate but a run has in it, in lower case.
+CORES = ("key", "token", "secret", "passw", "pwd", "credential", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "eyj")
+#: Letters that matching without case takes for s, i and k, but str.lower() doesn't (or not for these alone).
+ODD_CASES = ("\u017f", "\u0130", "\u0131", "\u212a")
 PLACEHOLDER = ("example", "sample", "dummy", "placeholder", "changeme", "your", "test", "todo", "none", "null", "fake", "xxx")
 MARKS_PATH = ("test", "example", "doc", "mock", "fixture", "sample", "spec", "lock")
 HINTS = ("key", "token", "secret", "password", "pwd", "credential", "auth", "private", "api", "bearer")
@@ -55,8 +59,23 @@ PARTS = "v string, w string"
 FOUND = "id bigint, path string, start bigint, end bigint, kind string, value string, before string, after string"
 
 
+def _run_table() -> bytes:
+    return bytes(97 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-") else 32 for b in range(256))
+
+
+RUN_TABLE, RUN = _run_table(), b"a" * 32
+
+
+def may_have(text: str) -> bool:
+    """Is there any candidate? Never false where CANDIDATE matches: most texts need no search by the pattern, which is slow."""
+    low = text.lower()
+    return any(c in low for c in CORES) or RUN in text.encode("utf-8", "surrogatepass").translate(RUN_TABLE) or any(c in text for c in ODD_CASES)
+
+
 def candidates_of(text: str) -> Iterator[tuple[int, int, str, str]]:
     """First and last character (exclusive), kind and value of each candidate."""
+    if not may_have(text):
+        return
     for m in CANDIDATE.finditer(text):
         inner = m.lastgroup == "value" or m["value"] is not None
         kind = next(k for k in FORMATS if m[k] is not None)
@@ -176,6 +195,10 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 7) -> Data
             rows.append((value, plain_path if rng.random() < 0.9 else odd_path, f"{beside} {name}", beside, 1.0))
         else:
             value = rng.choice((lambda: rng.choice(("your-", "example_", "test", "dummy-", "changeme")) + speak(1, 3, "_"), lambda: speak(4, 12, rng.choice(("", "-", "_", "/"))), lambda: rng.choice("x*0-=_a") * rng.randint(8, 60), lambda: "0123456789abcdefghijklmnopqrstuvwxyz"[: rng.randint(10, 36)], lambda: pick(hexa, 40, 40), lambda: pick(hexa, 8, 8) + "-" + "-".join(pick(hexa, 4, 4) for _ in range(3)) + "-" + pick(hexa, 12, 12)))()
+            if rng.random() < 0.25:  # as random as a secret, but known by its neighbours
+                value = rng.choice((lambda: "sha512-" + pick(b64, 86, 86) + "==", lambda: pick(b64, 43, 43) + "=", lambda: pick(hexa, 32, 32), lambda: pick(hexa, 64, 64)))()
+                rows.append((value, odd_path if rng.random() < 0.3 else plain_path, f"{beside} {rng.choice(('integrity ', 'checksum: ', 'md5 ', 'digest=', 'commit ', 'revision ', 'hash: '))}", beside, 0.0))
+                continue
             sha = len(value) >= 36 and set(value) <= set(hexa + "-")
             name = rng.choice(("commit ", "sha256: ", "checksum=", "uuid ", "revision ")) if sha else rng.choice(("token = \"", "password: ", "path ", "key=", "see "))
             rows.append((value, odd_path if rng.random() < 0.5 else plain_path, f"{beside} {name}", beside, 0.0))
