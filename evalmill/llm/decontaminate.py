@@ -5,12 +5,14 @@ byte for one byte; words are what the spaces separate. A pattern is a run of `wi
 single spaces. Each document is scanned once; a match's end gives its last word by a count of spaces, and a
 word's number gives its place in the original bytes.
 
-The benchmark is a query set and is sent to the tasks only in blocks of at most BLOCK_BYTES of normalised text: the number of
+The benchmark is a query set and is sent to the tasks only in blocks of at most BLOCK_BYTES of text: the number of
 blocks, not their size, grows with the benchmark, every block scans all documents, and the hits of the blocks are
-united per document. One block, the usual case, needs no shuffle at all.
+written and united per document. The driver reads the benchmark once and holds one block at a time. One block, the usual case, needs no
+shuffle at all. Workers keep the automaton from task to task.
 
 Edge cases. Null and empty texts have no words; items without words have no window and are never found;
-repeated items and items that share a window are each found. Repeated documents give a row each. Empty tables give no
+repeated items and items that share a window are each found. Windows of an item without an id (null, or not a number) hit, but
+such an item is neither counted nor listed. Repeated documents give a row each. Empty tables give no
 rows, or rows without hits. Other columns are never read.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_batches, map_batches, texts_of
+from .common import kept_batches, map_batches, staged, texts_of
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -42,14 +44,14 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def patterns(items: list[tuple[int, bytes]], window: int) -> dict[str, list[int]]:
+def patterns(items: list[tuple[int | None, bytes]], window: int) -> dict[str, list[int]]:
     """Every window of every item, as latin-1 text between spaces, and the items that have it."""
     out: dict[str, list[int]] = {}
     for item, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
             own = out.setdefault(f" {b' '.join(words[i : i + window]).decode('latin-1')} ", [])
-            if item not in own:
+            if item is not None and item not in own:
                 own.append(item)
     return out
 
@@ -62,18 +64,35 @@ def automaton(found: dict[str, list[int]]) -> ahocorasick.Automaton:
     return a
 
 
+#: A worker's last patterns and their automaton.
+_kept: list = [None, None]
+
+
+def _automaton_of(shared) -> ahocorasick.Automaton:
+    """That of broadcast patterns, built once per worker: a worker has one value for all tasks of a broadcast."""
+    if _kept[0] is not shared.value:
+        _kept[:] = shared.value, automaton(shared.value)
+    return _kept[1]
+
+
+def hits(a: ahocorasick.Automaton, text: bytes) -> bool:
+    """Does any window occur?"""
+    words = text.translate(NORMAL).split()
+    return bool(words and len(a) and next(a.iter(f" {b' '.join(words).decode('latin-1')} "), None))
+
+
 def scan(a: ahocorasick.Automaton, text: bytes) -> tuple[int, np.ndarray, list[int], list[int], list[int]]:
     """Words; numbers of the words that are hit; items; first and last byte (exclusive) of each hit run in the text."""
     normal = text.translate(NORMAL)
     words = normal.split()
-    hits = list(a.iter(f" {b' '.join(words).decode('latin-1')} ")) if words and len(a) else []
-    if not hits:
+    found = list(a.iter(f" {b' '.join(words).decode('latin-1')} ")) if words and len(a) else []
+    if not found:
         return len(words), np.empty(0, np.int32), [], [], []
     line = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     spaces = np.cumsum(line == 32)  # at the end of a match: the words before it, and its own
     change = np.zeros(len(words) + 1, np.int64)
     items: set[int] = set()
-    for end, (n, own) in hits:
+    for end, (n, own) in found:
         last = int(spaces[end]) - 1
         change[last - n] += 1
         change[last] -= 1
@@ -85,9 +104,9 @@ def scan(a: ahocorasick.Automaton, text: bytes) -> tuple[int, np.ndarray, list[i
     return len(words), hit, sorted(items), [places[i][0] for i in first], [places[i][1] for i in last]
 
 
-def _scan_all(found: dict[str, list[int]]):
+def _scan_all(shared):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(found)
+        a = _automaton_of(shared)
         for batch in batches:
             out = [scan(a, t) for t in texts_of(batch["text"])]
             yield pa.RecordBatch.from_arrays(
@@ -98,10 +117,10 @@ def _scan_all(found: dict[str, list[int]]):
     return f
 
 
-def blocks_of(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+def blocks_of(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks of at most block_bytes (or one item); the driver holds one block at a time."""
     block, size = [], 0
-    for r in items.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct().toLocalIterator():
+    for r in items.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct().toLocalIterator():
         text = r.t.encode()
         if block and size + len(text) > block_bytes:
             yield block
@@ -113,16 +132,22 @@ def blocks_of(items: DataFrame, item_col: str, text_col: str, block_bytes: int)
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, n_words, hit_words (numbers), items, starts and ends (byte spans in the original text)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scans = [map_batches(rows, _scan_all(patterns(b, window)), SPANS) for b in blocks_of(items, item_col, item_text_col, block_bytes)]
-    if len(scans) == 1:
-        return scans[0]
+    blocks = blocks_of(items, item_col, item_text_col, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return map_batches(rows, _scan_all(spark.sparkContext.broadcast(patterns(block, window))), SPANS)
     # more than one block: each document's hits are put together again, by a number that the row has in every scan
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
     united = None
-    for b in blocks_of(items, item_col, item_text_col, block_bytes):
-        one = map_batches(rows.select(F.col("h").alias("id"), "text"), _scan_all(patterns(b, window)), SPANS).where("size(hit_words) > 0").dropDuplicates(["id"])
+    while block is not None:
+        shared = spark.sparkContext.broadcast(patterns(block, window))
+        one = map_batches(rows.select(F.col("h").alias("id"), "text"), _scan_all(shared), SPANS).where("size(hit_words) > 0").dropDuplicates(["id"])
+        one = staged(one, "block-hits")
+        shared.destroy()
         united = one if united is None else united.unionByName(one)
+        block, after = after, next(blocks, None)
     merged = united.groupBy("id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -134,15 +159,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of any item occurs; each block of items filters what the last one left."""
-    for block in blocks_of(items, item_col, item_text_col, block_bytes):
-        found = patterns(block, window)
+    """The rows of docs, with all their columns, in which no window of any item occurs; each block of items filters what the last one left.
+
+    Edge cases as above: documents without words stay, repeated ones stay or go together, columns may have any names.
+    """
+    blocks = blocks_of(items, item_col, item_text_col, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    while block is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(patterns(block, window))
 
-        def keep(found: dict[str, list[int]] = found):
-            a = automaton(found)
-            return lambda texts: [len(scan(a, t)[1]) == 0 for t in texts]
+        def keep(shared=shared):
+            a = _automaton_of(shared)
+            return lambda texts: [not hits(a, t) for t in texts]
 
         docs = kept_batches(docs, keep, text_col)
+        if after is not None:
+            docs = staged(docs, "block-clean")
+            shared.destroy()
+        block, after = after, next(blocks, None)
     return docs
 
 
@@ -168,7 +202,7 @@ p AS (SELECT r, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS x
       FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM g))),
 m AS (SELECT p.r, p.s, p.k, g.item_id FROM p JOIN g ON p.k = g.k AND p.x = array_to_string(g.x, ' ')),
 h AS (SELECT r, count(DISTINCT n) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS n FROM m) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY r)
+t AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
