@@ -6,10 +6,11 @@ smoothed sum of a feature's values per toxic text over that per other text; a lo
 penalty is fitted to the values times r, and weight times r is one number per feature. The model is a vector of BUCKETS floats, whatever the input, and scoring needs no shuffle.
 
 It is fitted on at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows, those with the smallest
-hashes of the id, less those of more than SAMPLE_CHARS characters.
+hashes of the id, whole texts whatever their length; of each label the rows in that order up to SAMPLE_BYTES bytes of text in all (one row at least).
 
 Edge cases. Null text is empty and gets the score of a text without features. Rows with a null label are not
-learned from; a label that repeats an id counts again; null ids are never learned from and not held out. Without labels of both
+learned from; a label that repeats an id counts again; of documents that repeat an id one text is learned from (that with the least
+hash); null ids are never learned from and not held out. Without labels of both
 kinds every score is 0.0. Repeated rows get equal scores. Other columns are never read.
 """
 
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_batches, map_batches, texts_of
+from .common import kept_batches, map_batches, staged, texts_of
 
 BUCKETS, LENGTHS = 1 << 18, (3, 4, 5)
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1000, 2000, 20_000
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES = 1000, 2000, 64 << 20
 #: Logistic regression: penalty, most steps of the limited-memory quasi-Newton method, and the gain below which it ends.
 PENALTY, STEPS, ENOUGH = 3e-5, 40, 3e-5
 #: A feature's rate is its count in so many n-grams; texts with few n-grams count as LEAST.
@@ -125,7 +126,7 @@ def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     """Fit on at most toxic + other rows of labels and their texts; see above."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     many = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -136,11 +137,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         near = some.where(F.col("k") < F.lit(int(-(2**63) + min(1.0, 2 * n / max(many.get(y, 0), 1)) * (2**64 - 2048)))) if many.get(y, 0) > 4 * n else some
         found = near.orderBy("k", "id").limit(n).select("id", "y").collect()
         picked += found if len(found) == n or near is some else some.orderBy("k", "id").limit(n).select("id", "y").collect()
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked], "id long, y int"))
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(r.id,) for r in picked], "id long").distinct())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).join(wanted, "id").where(F.length("t") <= SAMPLE_CHARS).select("id", "y", "t").collect()
-    sample.sort()
-    return fit([r.t.encode() for r in sample], [r.y for r in sample])
+    # one text per id, so no more than were picked come to the driver however often documents repeat an id
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).join(wanted, "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x"))
+    own = staged(own.select("id", "x.t"), "toxicity-sample")
+    size = {r.id: r.n for r in own.select("id", F.octet_length("t").alias("n")).collect()}
+    labels_of: dict[int, list[int]] = {}
+    for y in (1, 0):
+        total = 0
+        for r in picked:
+            if r.y == y and r.id in size and (not total or total + size[r.id] <= most_bytes):
+                total += size[r.id] + 1
+                labels_of.setdefault(r.id, []).append(y)
+            elif r.y == y and r.id in size:
+                break
+    chosen = spark.createDataFrame([(i,) for i in labels_of], "id long")
+    sample = sorted((r.id, y, r.t.encode()) for r in own.join(F.broadcast(chosen), "id").toLocalIterator() for y in labels_of[r.id])
+    return fit([t for _, _, t in sample], [y for _, y, _ in sample])
 
 
 def score(text: bytes, weights: np.ndarray, bias: float, seen: np.ndarray | None = None) -> float:
@@ -166,7 +181,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
 
 
 def filtered(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs that score below least, with all their columns."""
+    """The rows of docs that score below least, with all their columns; null texts are empty, repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep():
