@@ -27,30 +27,50 @@ def test_differencing():
     assert max(sums.values()) - min(sums.values()) <= 5
 
 
-@pytest.mark.parametrize("items", [4, 4096])
-def test_shards(docs, hard, none, items):
-    rows = sharding.shard(docs, 4, items=items).collect()
+def test_differencing_of_partial_partitions():
+    """Vectors that are partitions themselves; each sum goes to one part, those of one vector to different ones."""
+    rng = random.Random(3)
+    vectors = [[rng.randint(0, 9000) for _ in range(rng.randint(1, 8))] for _ in range(300)]
+    parts, sums = sharding.combined(vectors, 8)
+    assert all(len(set(p)) == len(p) == len(v) for p, v in zip(parts, vectors))
+    got = Counter()
+    for v, p in zip(vectors, parts):
+        for x, to in zip(v, p):
+            got[to] += x
+    assert [got[k] for k in range(8)] == sums and max(sums) - min(sums) <= 50
+
+
+@pytest.mark.parametrize(("items", "chunk"), [(4, 4096), (4, 3), (1024, 4096), (16, 5)])
+def test_shards(docs, hard, none, items, chunk):
+    rows = sharding.shard(docs, 4, items=items, chunk=chunk).collect()
     assert len(rows) == len(hard) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
-    of, slots = defaultdict(set), defaultdict(list)
+    of, slots, sizes, groups = defaultdict(set), defaultdict(list), Counter(), Counter()
     want = sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in hard), key=lambda x: (KEY(x[0]), x))
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in rows), key=lambda x: (KEY(x[0]), x)) == want
     for r in rows:
         of[r.text_crc32].add(r.shard)
         slots[r.shard].append(r.slot)
+        sizes[r.shard] += r["size"]
+        groups[r.text_crc32] += r["size"]
     assert all(len(s) == 1 for s in of.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # one group holds most bytes: a shard of its own; the others are as even as differencing in one heap makes them
+    most = groups.most_common(1)[0][1]
+    rest = sorted(sizes.values())
+    assert rest[-1] == most and rest[-2] - rest[0] <= 5000  # a chunk of three groups misses by kilobytes
     assert sharding.shard(none).count() == 0
 
 
-def test_directory_doubles_and_chains():
-    d = exact_dedup.Directory(4)
-    rng = random.Random(2)
-    keys = [rng.getrandbits(64) for _ in range(500)] + [7] * 20
-    for n, k in enumerate(keys):
-        d.insert(k, (n,))
-    assert len(d.slots) == 1 << d.depth and d.depth > 5
-    assert all((n,) in d.lookup(k) for n, k in enumerate(keys)) and len(d.lookup(7)) == 20
-    assert sum(len(e) for _, _, e in d.buckets()) == len(keys)
-    assert all(f"{k:064b}".startswith(p) for _, p, e in d.buckets() for k, _ in e)
+def test_quotas_fill_up_to_one_level():
+    assert sharding.quotas([0, 0, 0], 9) == [3, 3, 3] and sharding.quotas([10, 0, 0], 4) == [0, 2, 2]
+    assert sharding.quotas([10, 4, 0], 6) == [0, 1, 5] and sharding.quotas([5, 5], 0) == [0, 0] and sharding.quotas([7], 5) == [5]
+
+
+def test_shards_of_many_groups_are_even(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, "x" * rng.randint(0, 4000) + str(i)) for i in range(3000)], "doc_id long, text string").repartition(3)
+    for items, chunk in ((8, 50), (1024, 4096)):
+        sizes = [r.s for r in sharding.shard(docs, 16, items=items, chunk=chunk).groupBy("shard").agg({"size": "sum"}).toDF("shard", "s").collect()]
+        assert len(sizes) == 16 and max(sizes) - min(sizes) <= 500
 
 
 def hold_exact(rows, hard):
@@ -133,7 +153,7 @@ def test_exact_dedup_chains_equal_hashes():
     assert {(r["keep_id"], r["group_size"]) for r in out} == {(3, 2), (9, 2)} and {r["chain"] for r in out} == {0, 1}
 
 
-ITEMS = [(1, "Alpha1 beta2, gamma3 delta4 a b c d e f g h"), (2, "two WORDS"), (3, ""), (4, None), (5, "Alpha1 beta2, gamma3 delta4 a b c d e f g h"), (10, "x y z x y z x y z x y z"), (None, "one")]
+ITEMS = [(1, "Alpha1 beta2, gamma3 delta4 a b c d e f g h"), (2, "two WORDS"), (3, ""), (4, None), (5, "Alpha1 beta2, gamma3 delta4 a b c d e f g h"), (10, "x y z x y z x y z x y z"), (None, "one"), (None, "two WORDS")]
 
 
 def contaminated(docs, items, n):
@@ -142,15 +162,14 @@ def contaminated(docs, items, n):
     wins = defaultdict(set)
     for i, t in items:
         w = words(t)
-        if i is not None and w:
-            for k in range(max(1, len(w) - n + 1)):
-                wins[tuple(w[k : k + n])].add(i)
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            wins[tuple(w[k : k + n])] |= {i} - {None}  # an item without an id hits, but isn't listed
     out = []
     for i, t in docs:
         w, hit, found = words(t), set(), set()
         for size in {len(x) for x in wins}:
             for k in range(len(w) - size + 1):
-                if own := wins.get(tuple(w[k : k + size])):
+                if (own := wins.get(tuple(w[k : k + size]))) is not None:
                     hit.update(range(k, k + size))
                     found |= own
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
