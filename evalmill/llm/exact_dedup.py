@@ -39,7 +39,7 @@ COLLAPSE_BYTES = 32 << 20
 #: Bytes of text to an owner, and owners to a task.
 OWNER_BYTES, OWNERS_PER_TASK = 16 << 20, 4
 #: Rows that one task looks up at an owner, unless the average owner has a quarter of that.
-LOOKUP_ROWS = 1 << 16
+LOOKUP_ROWS = 1 << 10
 
 ENTRY = "owner int, h bigint, text binary, max_id bigint, at_max bigint, rows bigint"
 #: kind 0: an owner's directory (slots: bucket numbers as 32-bit integers); kind 1: an entry of a bucket.
