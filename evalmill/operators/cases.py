@@ -32,27 +32,33 @@ def reclassified(cases: Column) -> Column:
 def routed(attempts: DataFrame, parse: DataFrame, tasks: DataFrame) -> DataFrame:
     """What becomes of each attempt before any code runs: route is skipped, internal_error or execute.
 
-    parse: one row per sample. tasks: task_id, shape, task_entry_point. The task side is a small dimension; it is left
+    parse: one row per sample. tasks: task_id, shape, task_entry_point, problem (why the suite can't be read, else null). An attempt with code whose
+    task is unknown or whose suite is broken is an internal error, with the message. The task side is a small dimension; it is left
     to adaptive execution to broadcast it.
     """
     side = parse.select("sample_id", F.struct(*(c for c in parse.columns if c != "sample_id")).alias("p"))
-    rows = attempts.join(side, "sample_id", "left").join(tasks, "task_id", "left")
-    p = F.col("p")
-    supported = F.coalesce(F.col("shape") == "inputs_results", F.lit(False))
+    dimension = tasks.select("task_id", F.struct("shape", "task_entry_point", "problem").alias("k"))
+    rows = attempts.join(side, "sample_id", "left").join(dimension, "task_id", "left")
+    p, k = F.col("p"), F.col("k")
     failed = ~F.coalesce(p["parse_success"], F.lit(False))
     uncoded = p["extracted_code"].isNull()
-    route = F.when(p.isNull(), "internal_error").when(failed | uncoded | ~supported, "skipped").otherwise("execute")
+    wrong = (
+        F.when(p.isNull(), F.lit("missing_parse_outcome")).when(failed | uncoded, None)
+        .when(k.isNull(), F.concat(F.lit("unknown task: "), F.col("task_id"))).otherwise(k["problem"])
+    )
+    supported = F.coalesce(k["shape"] == "inputs_results", F.lit(False))
+    route = F.when(wrong.isNotNull(), "internal_error").when(failed | uncoded | ~supported, "skipped").otherwise("execute")
     reason = (
-        F.when(p.isNull(), None)
+        F.when(wrong.isNotNull(), None)
         .when(failed, F.coalesce(F.nullif(p["skip_reason"], F.lit("")), F.lit("parse_failed")))
         .when(uncoded, F.lit("parse_failed"))
         .when(~supported, F.lit("unsupported_test_shape"))
     )
     code = F.when((route == "execute") | (reason == "unsupported_test_shape"), p["extracted_code"])
-    entry = F.when(route == "execute", F.col("entry_point")).when(reason == "unsupported_test_shape", F.col("task_entry_point"))
+    entry = F.when(route == "execute", F.col("entry_point")).when(reason == "unsupported_test_shape", k["task_entry_point"])
     return rows.select(
         "pos", "sample_id", F.coalesce(F.nullif(p["run_id"], F.lit("")), F.col("run_id")).alias("run_id"), "task_id", route.alias("route"), reason.alias("skip_reason"),
-        F.when(p.isNull(), F.lit("missing_parse_outcome")).alias("internal_error"), entry.alias("entry_point"), code.alias("extracted_code"), F.coalesce(p["parse_success"], F.lit(False)).alias("parse_success"),
+        wrong.alias("internal_error"), entry.alias("entry_point"), code.alias("extracted_code"), F.coalesce(p["parse_success"], F.lit(False)).alias("parse_success"),
     )
 
 

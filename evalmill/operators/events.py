@@ -107,6 +107,31 @@ def stalls(events: DataFrame, gap_us: int, by: Column) -> DataFrame:
     return out.where(F.col("gap_us") > gap_us).select("seq", "gap_us")
 
 
+def reliable(before: Column, after: Column, least: int = 5) -> Column:
+    """Did enough jobs end within a window to trust its rate?"""
+    return (after - before) >= least
+
+
+def worker_status(workers: DataFrame, now: Column, stale_us: int) -> DataFrame:
+    """workers: worker_id, stage, status, concurrency, heartbeat (timestamp). status becomes stale where a worker that should run was silent too long."""
+    silent = F.col("status").isin("running", "stop_requested") & (F.unix_micros(now) - micros("heartbeat") > stale_us)
+    return workers.withColumn("status", F.when(silent, F.lit("stale")).otherwise(F.col("status")))
+
+
+def worker_roll_up(workers: DataFrame) -> DataFrame:
+    """Per stage: workers, those active with their concurrency, stale ones and those asked to stop."""
+    active = F.col("status").isin("running", "stop_requested")
+    return workers.groupBy("stage").agg(
+        F.count("*").alias("workers"), F.count_if(active).alias("active_workers"), F.coalesce(F.sum(F.when(active, F.col("concurrency"))), F.lit(0)).cast("long").alias("active_concurrency"),
+        F.count_if(F.col("status") == "stale").alias("stale_workers"), F.count_if(F.col("status") == "stop_requested").alias("stop_requested"),
+    )
+
+
+def start_order(stages: list[str]) -> list[str]:
+    """Later stages start first, so that what an earlier one gives finds a worker."""
+    return list(reversed(stages))
+
+
 def sweep(steps: DataFrame, threshold: float = 0.1) -> DataFrame:
     """steps: workers, rate, reliable. Gain over the last reliable step, the best rate so far, and where a sweep would stop."""
     up = Window.orderBy("workers")  # a sweep has some ten steps

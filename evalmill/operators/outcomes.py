@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import UNKNOWN  # noqa: F401
+def _extreme(rows: DataFrame, keys: tuple[str, ...], pos: str, last: bool, null_keys: bool = False) -> DataFrame:
+    """Rows at their key's extreme pos. Only keys and pos are aggregated (by hash, if pos is a number); the wide rows are shuffled once and
+    not sorted. Both sides share the partitioning by key, as pos is compared and not joined on."""
+    at = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg((F.max if last else F.min)(pos).alias("__at"))
+    same = None
+    for k in keys:
+        equal = F.col(k).eqNullSafe(F.col(f"__{k}")) if null_keys else F.col(k) == F.col(f"__{k}")
+        same = equal if same is None else same & equal
+    reached = F.col(pos) >= F.col("__at") if last else F.col(pos) <= F.col("__at")
+    return rows.join(at.hint("shuffle_hash"), same & reached, "left_semi")
 
 
-def latest(outcomes: DataFrame, *keys: str, pos: str = "pos") -> DataFrame:
-    """The last row per key; pos is unique. A max over structs combines before the shuffle."""
-    rest = [c for c in outcomes.columns if c not in keys]
-    return outcomes.groupBy(*keys).agg(F.max_by(F.struct(*rest), pos).alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest))
+def latest(outcomes: DataFrame, *keys: str, pos: str = "pos", null_keys: bool = False) -> DataFrame:
+    """The last row per key; pos is unique within a key, rows with a null pos are left out, and those with a null key unless null is a key like others."""
+    return _extreme(outcomes, keys, pos, True, null_keys).select(*keys, *(c for c in outcomes.columns if c not in keys))
 
 
 def first(rows: DataFrame, *keys: str, pos: str = "pos") -> DataFrame:
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), pos).alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest))
+    """The first row per key; see latest()."""
+    return _extreme(rows, keys, pos, False).select(*keys, *(c for c in rows.columns if c not in keys))
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -36,15 +44,26 @@ def with_outcome(attempts: DataFrame, outcomes: DataFrame, name: str, check_run:
     return joined
 
 
+def measured(attempts: DataFrame) -> DataFrame:
+    """attempts with the byte and zstd lengths of their decoder input, without the texts, as a written table: each text is compressed once,
+    for cut points and rows alike."""
+    from ..functions.compress import zstd_length
+    from ..staging import staged
+
+    sized = attempts.withColumns({"decoder_input_len_raw": F.octet_length("decoder_input").cast("long"), "decoder_input_len_zstd22": zstd_length("decoder_input")})
+    return staged(sized.drop("decoder_input", "raw_output"), "measured-attempts")
+
+
 def enriched(attempts: DataFrame, parse: DataFrame, test: DataFrame, zstd: Column | None = None) -> DataFrame:
-    """attempts: pos and the flat columns. zstd: an expression for the compressed length."""
+    """attempts: pos and the flat columns, with their lengths if they come from measured(). zstd: an expression for the compressed length."""
     from ..functions.compress import zstd_length
 
     rows = with_outcome(with_outcome(attempts, parse, "p"), test, "t")
+    known = "decoder_input_len_raw" in attempts.columns
+    raw = F.col("decoder_input_len_raw") if known else F.octet_length("decoder_input").cast("long")
+    packed = zstd if zstd is not None else F.col("decoder_input_len_zstd22") if known else zstd_length("decoder_input")
     return rows.select(
-        "pos", "sample_id", "run_id", "task_id", "entry_point",
-        F.octet_length("decoder_input").cast("long").alias("decoder_input_len_raw"),
-        (zstd_length("decoder_input") if zstd is None else zstd).alias("decoder_input_len_zstd22"),
+        "pos", "sample_id", "run_id", "task_id", "entry_point", raw.alias("decoder_input_len_raw"), packed.alias("decoder_input_len_zstd22"),
         *(c for c in attempts.columns if c.startswith("provenance_") and c != "provenance_extra_json"),
         F.col("p.parse_success").alias("parse_success"), F.col("p.skip_reason").alias("parse_skip_reason"),
         F.col("t").isNotNull().alias("has_test_outcome"), F.col("p").isNotNull().alias("has_parse_outcome"),
@@ -53,17 +72,18 @@ def enriched(attempts: DataFrame, parse: DataFrame, test: DataFrame, zstd: Colum
 
 
 def percentiles(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
-    """One row p<percent>: nearest rank with half-even rounding; 50 is the truncated mean of the middle two; 0 if empty.
+    """One row p<percent>: nearest rank with half-even rounding; 50 is the truncated mean of the middle two; 0 if empty."""
+    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c"))
+    return hist_percentiles(hist, percents)
 
-    The rank is found in a histogram of distinct values, which for lengths is small whatever the input.
-    """
+
+def hist_percentiles(hist: DataFrame, percents: tuple[int, ...]) -> DataFrame:
+    """percentiles() from a histogram (v, c) of distinct values, which for lengths is small whatever the input."""
     from pyspark.sql import Window
 
-    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c"))
-    upto = hist.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    upto = hist.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
     n = F.col("n")
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    total = hist.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     out = []
     for p in percents:
         if p == 50:
@@ -71,12 +91,15 @@ def percentiles(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFra
             out.append(F.coalesce(middle.cast("long"), F.lit(0)).alias(f"p{p}"))
         else:
             out.append(F.coalesce(at(F.bround(F.lit(p / 100) * (n - 1))), F.lit(0)).cast("long").alias(f"p{p}"))
-    return upto.join(F.broadcast(total)).agg(*out)  # total is one row
+    return upto.agg(*out)
+
 
+def with_quartile(rows: DataFrame, value: str = "decoder_input_len_zstd22", name: str = "compression_quartile", sizes: DataFrame | None = None) -> DataFrame:
+    """Q1 to Q4 by cut points over all rows; equal values share a label.
 
-def with_quartile(rows: DataFrame, value: str = "decoder_input_len_zstd22", name: str = "compression_quartile") -> DataFrame:
-    """Q1 to Q4 by cut points over all rows; equal values share a label."""
-    cuts = percentiles(rows, value, (25, 50, 75))  # one row
+    sizes: the same values from a cheaper table (the attempts without their outcomes), so that rows need not be computed for the cuts.
+    """
+    cuts = percentiles(rows if sizes is None else sizes, value, (25, 50, 75))  # one row
     v = F.col(value)
     label = F.when(v.isNull(), None).when(v <= F.col("p25"), "Q1").when(v <= F.col("p50"), "Q2").when(v <= F.col("p75"), "Q3").otherwise("Q4")
     return rows.join(F.broadcast(cuts)).withColumn(name, label).drop("p25", "p50", "p75")
@@ -110,7 +133,54 @@ def set_seed(table: DataFrame, seeds: DataFrame) -> DataFrame:
     return joined.select("run_id", "init", F.coalesce("seed", "new_seed").alias("seed"), (F.col("seed").isNull() & F.col("new_seed").isNotNull()).alias("accepted"))
 
 
+#: Bytes of ids that travel as one row of seed_digest.
+DIGEST_BYTES = 1 << 20
+
+
+def _packed(batches):
+    """Ids of a sorted partition, each with a NUL, in rows of some megabyte."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    held, size, n = [], 0, 0
+    part = TaskContext.get().partitionId()
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["part", "n", "ids"])
+
+    for batch in batches:
+        for x in batch["sample_id"].to_pylist():
+            if x is not None:
+                held.append(x.encode() + b"\0")
+                size += len(held[-1])
+                if size >= DIGEST_BYTES:
+                    yield row()
+                    held, size, n = [], 0, n + 1
+    if held:
+        yield row()
+
+
+def _hashed(batches):
+    import hashlib
+
+    import pyarrow as pa
+
+    digest = hashlib.sha256()
+    for batch in batches:
+        for x in batch["ids"]:
+            digest.update(x.as_buffer())
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["sample_ids_hash"])
+
+
 def seed_digest(attempts: DataFrame, pos: str = "pos") -> DataFrame:
-    """The order-sensitive hash of all sample ids, the tasks in order, and the count."""
-    ids = F.expr(f"listagg(concat(sample_id, char(0)), '') WITHIN GROUP (ORDER BY {pos})")
-    return attempts.agg(F.sha2(F.coalesce(ids, F.lit("")), 256).alias("sample_ids_hash"), F.array_join(F.array_sort(F.collect_set("task_id")), ",").alias("task_ids"), F.count("*").alias("expected_jobs"))
+    """The order-sensitive hash of all sample ids, the tasks in order, and the count.
+
+    Ids are sorted in ranges and packed in parallel; one task then hashes the packed rows one after the other, as SHA-256 has to be, and holds one
+    of them at a time. The distinct tasks are a small dimension.
+    """
+    ranges = attempts.select(pos, "sample_id").repartitionByRange(pos).sortWithinPartitions(pos)
+    packed = ranges.mapInArrow(_packed, "part int, n bigint, ids binary")
+    hashed = packed.repartition(1).sortWithinPartitions("part", "n").mapInArrow(_hashed, "sample_ids_hash string")
+    about = attempts.agg(F.array_join(F.array_sort(F.collect_set("task_id")), ",").alias("task_ids"), F.count("*").alias("expected_jobs"))
+    one = about.join(F.broadcast(hashed), F.lit(True), "left")  # one row each; none of hashed where there are no attempts
+    return one.select(F.coalesce("sample_ids_hash", F.sha2(F.lit(""), 256)).alias("sample_ids_hash"), "task_ids", "expected_jobs")

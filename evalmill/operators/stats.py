@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .outcomes import percentiles
+from ..staging import staged
+from .outcomes import hist_percentiles
 
 
 def attempt_stats(attempts: DataFrame) -> DataFrame:
-    """One row; zeros for no attempts."""
-    main = attempts.agg(F.count("*").alias("record_count"), F.coalesce(F.sum("provenance_occurrence_count"), F.lit(0)).cast("long").alias("weighted_count"), F.countDistinct("task_id").alias("unique_tasks"))
-    sizes = attempts.select(F.length("decoder_input").alias("d"), F.length("raw_output").alias("r"))
+    """One row; zeros for no attempts. One scan: histograms of tasks and of both lengths are grouping sets of one aggregation."""
+    sized = attempts.select("task_id", F.length("decoder_input").cast("long").alias("d"), F.length("raw_output").cast("long").alias("r"), F.col("provenance_occurrence_count").alias("w"))
+    sets = {"t": F.col("task_id"), "d": F.col("d"), "r": F.col("r")}
+    hist = sized.groupingSets([[c] for c in sets.values()], *sets.values()).agg(F.grouping_id().alias("g"), F.count("*").alias("c"), F.sum("w").alias("w"))
+    hist = staged(hist, "attempt-histograms")
+    of = {"t": F.col("g") == 3, "d": F.col("g") == 5, "r": F.col("g") == 6}
+    main = hist.where(of["t"]).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("record_count"), F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("weighted_count"), F.count("task_id").alias("unique_tasks"))
     for c, name in (("d", "decoder_input"), ("r", "raw_output")):
-        p = percentiles(sizes, c, (50, 90)).select(F.col("p50").alias(f"{name}_length_p50"), F.col("p90").alias(f"{name}_length_p90"))
-        main = main.join(F.broadcast(p))  # one row each
+        p = hist_percentiles(hist.where(of[c] & F.col(c).isNotNull()).select(F.col(c).alias("v"), "c"), (50, 90))
+        main = main.join(F.broadcast(p.select(F.col("p50").alias(f"{name}_length_p50"), F.col("p90").alias(f"{name}_length_p90"))))  # one row each
     return main
 
 
@@ -33,7 +38,12 @@ def first_samples(attempts: DataFrame, n: int = 3, size: int = 120) -> DataFrame
     return attempts.orderBy("pos").limit(n).select("pos", *record_preview(size))
 
 
-def nth_of_task(attempts: DataFrame, task_id: str, n: int = 0) -> DataFrame:
+def nth_of_task(attempts: DataFrame, task_id: str, n: int = 0, strict: bool = False) -> DataFrame:
+    """The nth row of a task, from 0; strict: out of range is an error that names how many there are."""
+    if strict:
+        have = attempts.where(F.col("task_id") == task_id).count()
+        if not 0 <= n < have:
+            raise IndexError(f"no row {n} of task {task_id}: it has {have}")
     return attempts.where(F.col("task_id") == task_id).orderBy("pos").offset(n).limit(1)
 
 
@@ -49,6 +59,16 @@ def spot_check(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("task_id").agg(at("pool").alias("pool_sample_id"), at("fresh_stub").alias("fresh_sample_id")).orderBy("task_id")
 
 
+def both_sides(attempts: DataFrame, task_id: str) -> dict[str, Row]:
+    """The first pool and the first fresh attempt of a task; a side without any is an error."""
+    found = {}
+    for source in ("pool", "fresh_stub"):
+        found[source] = attempts.where((F.col("task_id") == task_id) & (F.col("provenance_source") == source)).orderBy("pos").first()
+        if found[source] is None:
+            raise ValueError(f"task {task_id} has no {source} attempt")
+    return found
+
+
 def limit_per(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The first n rows per file or task; a limit below 1 keeps one, as it is looked at after each row."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
@@ -75,8 +95,9 @@ def select_tasks(tasks: DataFrame, wanted: list[str], n: int | None = None) -> D
 
 
 def numbered(rows: DataFrame, name: str, pos: str = "pos") -> DataFrame:
-    """rows (persisted, in order) with their position from 0. Sorted ranges are numbered apart and put behind each other; no task sorts all rows."""
-    ordered = rows.orderBy(pos).withColumns({"__part": F.spark_partition_id(), "__nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    """rows (staged in order) with their position from 0. Sorted ranges are numbered apart and put behind each other; no task sorts all rows."""
+    ordered = rows.orderBy(pos).withColumns({"__part": F.spark_partition_id(), "__nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ordered = staged(ordered, "numbered")
     sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row per partition
     return ordered.join(before, "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")

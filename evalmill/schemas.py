@@ -46,6 +46,20 @@ def only_keys(line: str, allowed: list[str]) -> Column:
     return required(F.col(line), F.coalesce(F.size(odd), F.lit(0)) > 0, F.concat(F.lit("unknown keys: "), F.array_join(odd, ", "))).alias(line)
 
 
+def checked_outcomes(test: DataFrame) -> DataFrame:
+    """Test outcomes, or an error where a row contradicts its kind: results come with tested rows only, and an error's text with its kind."""
+    kind, cases = F.col("outcome_kind"), F.coalesce(F.size("test_case_results"), F.lit(0))
+    tested = kind == "tested"
+    wrong = (
+        (tested & (F.col("test_pass_rate").isNull() | (cases <= 0) | F.col("infra_error").isNotNull() | F.col("internal_error").isNotNull()))
+        | (~tested & (F.col("test_pass_rate").isNotNull() | (cases > 0)))
+        | ((kind == "infra_error") & F.col("infra_error").isNull())
+        | ((kind == "internal_error") & F.col("internal_error").isNull())
+    )
+    bad = F.coalesce(wrong, F.lit(True)) | ~F.coalesce(kind.isin(*OUTCOME_KINDS), F.lit(False))
+    return test.withColumn("outcome_kind", required(kind, bad, F.concat(F.lit("contradictory outcome of sample "), F.coalesce("sample_id", F.lit("null")))))
+
+
 def cast_to(df: DataFrame, ddl: str) -> DataFrame:
     """Columns of a schema, cast; those that a file lacks (or stores as void) are null."""
     from pyspark.sql.types import StructType
