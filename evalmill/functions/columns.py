@@ -165,6 +165,32 @@ def step_label(extractor: Column, produced: Column, valid: Column, notes: Column
     return F.when(F.coalesce(notes, F.lit("")) == "", head).otherwise(F.concat(head, F.lit(":"), notes))
 
 
+def parse_step_output() -> Column:
+    """What a parse stage tells the next one."""
+    return F.struct("parse_success", "sample_id", "task_id")
+
+
+def test_step_output() -> Column:
+    return F.struct("outcome_kind", "sample_id", "task_id", "all_tests_passed")
+
+
+test_step_output.__test__ = False
+
+
+def eval_code(code: Column | str, entry_point: Column | str) -> Column:
+    """Code with a function that runs one case. Fixed value: the function's name and text."""
+    head = F.regexp_replace(_c(code), r"\s+$", "")
+    return F.concat(head, F.lit("\n\n\ndef run_single_test_case(input_value):\n    return "), _c(entry_point), F.lit("(*input_value)\n"))
+
+
+def seed_source(attempts: Column | str, attempts_path: Column | str, dump_dir: Column | str) -> Column:
+    """Which of its sources a run was seeded from; exactly one is given."""
+    given = [F.when(_c(c).isNotNull(), F.lit(k)) for c, k in ((attempts, "in_memory"), (attempts_path, "attempts_path"), (dump_dir, "dump_dir"))]
+    many = sum((g.isNotNull().cast("int") for g in given[1:]), given[0].isNotNull().cast("int"))
+    return F.when(many != 1, F.raise_error(F.lit("give exactly one seed source")).cast("string")).otherwise(F.coalesce(*given))
+
+
+#: Texts that stand for an outcome's kind.
 def outcome_banner() -> Column:
     """One line for a row of test outcomes."""
     cases = F.col("test_case_results")

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..operators.cases import INFRA_MARKERS
 
 TIMEOUT_SECONDS, ANSWER_BYTES = 30.0, 16 << 20
+#: Samples that a task runs before it passes their outcomes on, and samples to a task.
+FRAME_SAMPLES, TASK_SAMPLES = 32, 256
+#: Fixed value: the name of this way of execution. Names of error stages below are fixed values too.
 MODE = "local_fork_worker"
 #: Fixed value: the environment of a candidate.
 ENVIRONMENT = {"HOME": "/tmp", "LANG": "C.UTF-8", "PATH": "/usr/bin:/bin:/usr/sbin:/sbin", "PYTHONHASHSEED": "0"}
@@ -69,6 +72,16 @@ def cases_of(source: str) -> list[tuple[Any, Any]]:
     return list(zip(inputs, results, strict=True))
 
 
+def literals(source: str, name: str) -> list[str]:
+    """The elements of a list literal of the check function, as they are written: some values, like an infinite float, have no literal of their own."""
+    check = next(n for n in ast.parse(source).body if isinstance(n, ast.FunctionDef) and n.name == "check")
+    for node in check.body:
+        target = node.targets[0] if isinstance(node, ast.Assign) and len(node.targets) == 1 else node.target if isinstance(node, ast.AnnAssign) and node.value else None
+        if isinstance(target, ast.Name) and target.id == name:
+            return [ast.unparse(e) for e in node.value.elts]
+    return []
+
+
 def task_cases(tasks: DataFrame) -> DataFrame:
     """tasks with shape, cases (Python literals) and problem: each task is parsed once, not once per sample."""
 
@@ -78,8 +91,10 @@ def task_cases(tasks: DataFrame) -> DataFrame:
             for test in frame["test"]:
                 try:
                     shape, inputs, results = read_suite(test or "")
-                    pairs = zip(inputs, results, strict=True) if results is not None else ()
-                    out.append((shape, [{"input_value": repr(a), "expected_output": repr(b)} for a, b in pairs], None))
+                    if results is not None and len(inputs) != len(results):
+                        raise ValueError("inputs and results differ in length")
+                    pairs = zip(literals(test, "inputs"), literals(test, "results")) if results is not None else ()
+                    out.append((shape, [{"input_value": a, "expected_output": b} for a, b in pairs], None))
                 except Exception as e:
                     out.append((None, [], f"{type(e).__name__}: {e}"))
             yield frame.assign(shape=[x[0] for x in out], cases=[x[1] for x in out], problem=[x[2] for x in out])
@@ -99,13 +114,9 @@ def run_cases(code: str, entry_point: str, cases: list[tuple[str, str]], timeout
         except OSError as e:
             raise InfraError("fork_failed", f"fork failed: {e}") from e
         try:
-            answer, _ = child.communicate(request, timeout=timeout)
-        except subprocess.TimeoutExpired as e:
-            raise InfraError("worker_timeout", f"worker timed out after {timeout}s") from e
+            answer = _answer(child, request, timeout)
         finally:
             _kill(child)
-    if len(answer) > ANSWER_BYTES:
-        raise InfraError("worker_payload_too_large", f"worker wrote {len(answer)} bytes")
     if child.returncode:
         raise InfraError("worker_nonzero_exit", f"worker exited with rc={child.returncode}")
     try:
@@ -119,6 +130,43 @@ def run_cases(code: str, entry_point: str, cases: list[tuple[str, str]], timeout
     return payload["results"]
 
 
+def _answer(child: subprocess.Popen, request: bytes, timeout: float, most: int | None = None) -> bytes:
+    """What the child writes until it closes its output: bounded while it is read, in time and size."""
+    import selectors
+
+    most = ANSWER_BYTES if most is None else most
+    end, parts, size, sent = time.monotonic() + timeout, [], 0, 0
+    with selectors.DefaultSelector() as wait:
+        for pipe, kind in ((child.stdin, selectors.EVENT_WRITE), (child.stdout, selectors.EVENT_READ)):
+            os.set_blocking(pipe.fileno(), False)
+            wait.register(pipe, kind)
+        while wait.get_map():
+            ready = wait.select(max(0.0, end - time.monotonic()))
+            if not ready and time.monotonic() >= end:
+                raise InfraError("worker_timeout", f"worker timed out after {timeout}s")
+            for key, _ in ready:
+                if key.fileobj is child.stdin:
+                    try:
+                        sent += os.write(child.stdin.fileno(), request[sent : sent + (1 << 16)])
+                    except BrokenPipeError:
+                        sent = len(request)
+                    if sent == len(request):
+                        wait.unregister(child.stdin)
+                        child.stdin.close()
+                elif data := os.read(child.stdout.fileno(), 1 << 16):
+                    parts.append(data)
+                    size += len(data)
+                    if size > most:
+                        raise InfraError("worker_payload_too_large", f"worker wrote more than {most} bytes")
+                else:
+                    wait.unregister(child.stdout)
+    try:
+        child.wait(max(0.0, end - time.monotonic()))
+    except subprocess.TimeoutExpired as e:
+        raise InfraError("worker_timeout", f"worker timed out after {timeout}s") from e
+    return b"".join(parts)
+
+
 def _kill(child: subprocess.Popen) -> None:
     """The process and all it has started."""
     import signal
@@ -157,13 +205,21 @@ def execute(code: str, entry_point: str, cases: list[tuple[str, str]], timeout:
 
 
 def run_tests(rows: DataFrame, timeout: float | None = None, parallel: int | None = None) -> DataFrame:
-    """rows: sample_id, entry_point, extracted_code, cases. Outcomes of all; spread evenly, as one sample may take the whole timeout."""
+    """rows: sample_id, entry_point, extracted_code, cases. Outcomes of all; dealt evenly into small tasks, as one sample may take the whole timeout."""
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for sample, entry, code, cases in zip(frame["sample_id"], frame["entry_point"], frame["extracted_code"], frame["cases"]):
-                pairs = [(c["input_value"], c["expected_output"]) for c in cases]
-                yield pd.DataFrame([{"sample_id": sample, **execute(code, entry, pairs, timeout)}])
+            for k in range(0, len(frame), FRAME_SAMPLES):
+                some = frame.iloc[k : k + FRAME_SAMPLES]
+                out = []
+                for sample, entry, code, cases in zip(some["sample_id"], some["entry_point"], some["extracted_code"], some["cases"]):
+                    out.append({"sample_id": sample, **execute(code, entry, [(c["input_value"], c["expected_output"]) for c in cases], timeout)})
+                yield pd.DataFrame(out)
 
     picked = rows.select("sample_id", "entry_point", "extracted_code", F.col("cases"))
     return (picked.repartition(parallel) if parallel else picked.repartition("sample_id")).mapInPandas(f, TESTED)
+
+
+def tasks_for(samples: int, least: int) -> int:
+    """How many tasks run so many samples."""
+    return max(least, -(-samples // TASK_SAMPLES))
