@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators.outcomes import first, latest
 from ..operators.stats import limit_per, strict_tasks
+from ..staging import exists
 from ..schemas import ATTEMPTS, DEDUP, EVENTS, PARSE_OUTCOMES, TEST_OUTCOMES, cast_to, only_keys
 
 
@@ -97,7 +98,9 @@ def attempts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, path: str, schema: str, last: bool = True) -> DataFrame:
-    """Outcomes of JSON lines; last: only the last line of each sample."""
+    """Outcomes of JSON lines; last: only the last line of each sample. A file that isn't there has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, pos STRUCT<file: STRING, block: BIGINT, row: BIGINT>")
     rows = strict_json(spark, path, schema)
     return latest(rows, "sample_id") if last else rows
 
@@ -113,7 +116,8 @@ def test_outcomes(spark: SparkSession, path: str, last: bool = True) -> DataFram
 def events(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """The event log, in the order of its lines."""
     rows = spark.read.schema(EVENTS).json(path)
-    rows = rows.select("*", F.to_timestamp("timestamp").alias("ts"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"))
+    attempt = lambda c: F.get_json_object("payload", f"$.payload.attempt.{c}").alias(c)
+    rows = rows.select("*", attempt("task_id"), attempt("sample_id"), F.to_timestamp("timestamp").alias("ts"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"))
     return rows if run_id is None else rows.where(F.col("run_id") == run_id)
 
 
@@ -137,5 +141,7 @@ def tests_from_events(events_: DataFrame) -> DataFrame:
 
 
 def flat_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table as a schema wants it, whatever its writer inferred (void columns, or none for no rows)."""
+    """A Parquet table as a schema wants it, whatever its writer inferred (void columns, or none for no rows); without the file, no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return cast_to(spark.read.parquet(path), schema)

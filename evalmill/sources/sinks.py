@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import outcomes as O
 from ..operators import slices as S
+from ..schemas import checked_outcomes
+from ..staging import exists, file_system, staged
 
 
 def write_attempts(attempts: DataFrame, path: str) -> None:
@@ -28,11 +32,22 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_dedup(rows: DataFrame, folder: str) -> None:
+    """rows: task_id (HumanEval/<n>), out, count. One file of JSON lines for each task, named by it; tasks are some hundred."""
+    n = F.regexp_extract("task_id", r"(\d+)$", 1).alias("n")
+    rows.select("out", "count", n).repartition("n").write.mode("overwrite").partitionBy("n").json(folder)
+    glob, fs = file_system(rows.sparkSession, f"{folder}/n=*/*.json")
+    for f in fs.globStatus(glob) or []:
+        at = f.getPath()
+        name = f"{folder}/human_eval-{at.getParent().getName().removeprefix('n=')}-decode-dedup.jsonl"
+        if not fs.rename(at, file_system(rows.sparkSession, name)[0]):
+            raise OSError(f"cannot write {name}")
+
+
 def write_document(spark: SparkSession, document: dict[str, Any], path: str) -> None:
     """A small JSON document, written through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    target, fs = file_system(spark, path)
+    out = fs.create(target, True)
     out.write(bytearray((json.dumps(document, indent=2, ensure_ascii=False) + "\n").encode()))
     out.close()
 
@@ -50,10 +65,9 @@ def export_analysis(rows: DataFrame, path: str, listed: int = LISTED) -> dict[st
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/enriched.parquet")
     rows = spark.read.parquet(f"{path}/enriched.parquet")
-    slices = S.all_slices(rows).persist()
+    slices = staged(S.all_slices(rows), "slices")
     for name in S.slice_keys():
         slices.where(F.col("slice_name") == name).drop("slice_name").coalesce(1).write.mode("overwrite").parquet(f"{path}/aggregates/{name}.parquet")
-    slices.unpersist()
     one, kinds, steps = S.summary(rows).first().asDict(), S.outcome_kinds(rows).collect(), S.funnel(rows).first().asDict()
     failures = {}
     for which in ("parse", "test"):
@@ -68,25 +82,54 @@ def export_analysis(rows: DataFrame, path: str, listed: int = LISTED) -> dict[st
     return summary
 
 
+def write_json_lines_as_done(parts: Iterable[DataFrame], path: str) -> None:
+    """Rows of several frames, each appended as soon as it is computed: what is done stays when a later one fails."""
+    for k, part in enumerate(parts):
+        part.write.mode("append" if k else "overwrite").option("ignoreNullFields", False).json(path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring an upsert to its end that was broken off: a new state that was whole is put in place again, one that wasn't is removed.
+
+    One writer at a time has a table.
+    """
+    glob, fs = file_system(spark, f"{path}.next-*")
+    beside = sorted(str(f.getPath()) for f in fs.globStatus(glob) or [])
+    for marker in (b for b in beside if b.endswith(".ready")):
+        _put_in_place(spark, marker.removesuffix(".ready"), path)
+    for rest in beside:
+        fs.delete(file_system(spark, rest)[0], True)
+
+
+def _put_in_place(spark: SparkSession, beside: str, path: str) -> None:
+    """Overwrite the partitions of a table by a whole state beside it; may be done again."""
+    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
 def upsert(results: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "sample_id")) -> None:
-    """Put results into a Parquet table partitioned by run: per key the row with the largest pos holds.
+    """Put results into a Parquet table partitioned by run: per key the row with the largest pos holds, of equals the new one.
 
-    Only the partitions of the runs in results are read and rewritten. The new state is written beside the table first, as a
-    table can't be overwritten while it is read.
+    Only the partitions of the runs in results are read and rewritten. Their new state is written beside the table first, then marked as whole, and only
+    then replaces them; whatever breaks off before the mark leaves the table as it was, and after it recover() ends the work.
     """
     spark = results.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    merged = results
-    if fs.exists(target):
-        runs = results.select("run_id").distinct()
-        old = spark.read.schema(results.schema).parquet(path).join(runs, "run_id", "left_semi")
-        merged = old.select(*results.columns).unionByName(results)
-    beside = f"{path}.next"
-    O.latest(merged, *key).select(*results.columns).write.mode("overwrite").parquet(beside)
-    spark.read.schema(results.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
+    recover(spark, path)
+    new = staged(O.latest(results, *key).dropDuplicates(list(key)).select(*results.columns), "upsert")
+    merged = new
+    if exists(spark, path):
+        old = spark.read.schema(results.schema).parquet(path).join(F.broadcast(new.select("run_id").distinct()), "run_id", "left_semi").select(*results.columns)
+        newer = new.select(*key, F.col("pos").alias("__new"))
+        older = old.select(*key, F.col("pos").alias("__old"))
+        stays = old.join(newer, list(key), "left").where("__new is null or pos > __new").select(*results.columns)
+        comes = new.join(older, list(key), "left").where("__old is null or pos >= __old").select(*results.columns)
+        merged = stays.unionByName(comes)
+    beside = f"{path}.next-{uuid.uuid4().hex}"
+    merged.write.parquet(beside)
+    write_document(spark, {"table": path}, f"{beside}.ready")
+    _put_in_place(spark, beside, path)
+    for done in (f"{beside}.ready", beside):  # the mark goes first
+        p, fs = file_system(spark, done)
+        fs.delete(p, True)
 
 
 def export_run(path: str, attempts: DataFrame, parse: DataFrame, test: DataFrame, manifest: dict[str, Any], report: dict[str, Any]) -> dict[str, str]:
@@ -95,7 +138,7 @@ def export_run(path: str, attempts: DataFrame, parse: DataFrame, test: DataFrame
     paths = {"attempts": f"{path}/attempts.jsonl", "parse": f"{path}/parse_outcomes.jsonl", "test": f"{path}/test_outcomes.jsonl", "manifest": f"{path}/manifest.json"}
     write_attempts(attempts, paths["attempts"])
     write_json_lines(parse.drop("pos"), paths["parse"])
-    write_json_lines(test.drop("pos"), paths["test"])
+    write_json_lines(checked_outcomes(test.drop("pos")), paths["test"])
     write_document(spark, manifest, paths["manifest"])
     if report["terminal_count"] and report["terminal_count"] >= report["expected_jobs"]:
         paths["proof_report"] = f"{path}/proof_report.json"

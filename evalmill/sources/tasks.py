@@ -7,25 +7,38 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators.outcomes import latest
-from ..schemas import TASKS
+from ..operators.stats import select_tasks
+from ..schemas import TASKS, cast_to
+from ..staging import exists
 
 
 def snapshot(spark: SparkSession, *paths: str) -> DataFrame:
-    """Tasks from the first of the JSON arrays that is there; of repeated ids the last holds."""
-    from pyspark.errors import AnalysisException
-
+    """Tasks from the first of the sources that is there; of repeated ids the last holds. A source is a JSON array or, by its suffix, a Parquet dataset."""
     for path in paths:
-        try:
-            rows = spark.read.schema(TASKS).option("multiLine", True).json(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if not exists(spark, path):
             continue
+        if path.rstrip("/").endswith(".parquet"):
+            rows = cast_to(spark.read.parquet(path), TASKS)
+        else:
+            rows = spark.read.schema(TASKS).option("multiLine", True).json(path)
         return latest(rows.withColumn("pos", F.monotonically_increasing_id()), "task_id").drop("pos")
     raise FileNotFoundError(f"no task snapshot at {', '.join(paths)}")
 
 
+def task_sources(snapshot_path: str | None, dataset_path: str | None, prefer_snapshot: bool = True) -> list[str]:
+    """The order in which snapshot() looks at the two kinds of source."""
+    order = [snapshot_path, dataset_path] if prefer_snapshot else [dataset_path, snapshot_path]
+    return [p for p in order if p]
+
+
+def stub_attempts(spark: SparkSession, tasks: DataFrame, profile: dict[str, Any], run_id: str, wanted: list[str] | None = None) -> DataFrame:
+    """A batch of attempts without a model: each task's own prompt goes in, its reference solution comes out. wanted: tasks in order, an unknown one is an error."""
+    chosen = tasks if wanted is None else select_tasks(tasks, wanted).drop("pos")
+    return C.fresh_stub(chosen, C.decoder_prompt("prompt"), C.full_source(), F.lit(run_id), F.lit(profile["model"]), F.lit(profile["profile_id"]))
+
+
 def write_snapshot(tasks: DataFrame, path: str) -> None:
     """One JSON array, by one task: some hundred tasks are a small dimension."""
     array = F.to_json(F.array_sort(F.collect_list(F.struct(*(c.strip().split()[0] for c in TASKS.split(","))))))
