@@ -18,7 +18,8 @@ from .operators import stats as T
 from .plans import jobs
 from .sources import attempts as A
 from .sources import sinks
-from .sources.tasks import Profiles, snapshot
+from .sources.tasks import Profiles, snapshot, stub_attempts
+from .staging import staged
 
 
 def preflight(spark: SparkSession, *paths: str) -> list[str]:
@@ -79,39 +80,70 @@ def analyse(spark: SparkSession, args: argparse.Namespace) -> Any:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> Any:
-    """init, seed, start, status, export or all of a run, by args.step."""
-    from .streaming.runs import Run
+    """One step of a run's life, or all: preflight, init, seed, start, replace, stop, workers, wait, status, export, show."""
+    from .streaming.runs import Run, new_run_id
 
-    r = Run(spark, args.root, args.run_id)
+    r = Run(spark, args.root, args.run_id or new_run_id())
     tasks, rows = _load(spark, args)
-    if args.step in ("init", "all"):
-        r.init()
-    if args.step in ("seed", "all"):
+    step = args.step
+    if step == "preflight":
+        return "ready"  # main() has looked at the paths
+    if step in ("init", "all"):
+        r.init(overwrite=args.overwrite == "yes")
+    if step in ("seed", "all"):
         r.seed(rows, "attempts_path", args.attempts)
-    if args.step in ("start", "all"):
-        query = r.start(tasks, args.timeout)
+    if step in ("start", "replace", "all"):
+        more = {"timeout": args.timeout, "handlers": args.handlers}
+        query = r.replace(tasks, args.stage or "test", args.concurrency or spark.sparkContext.defaultParallelism, **more) if step == "replace" else r.start(tasks, concurrency=args.concurrency, **more)
         if not query.awaitTermination(args.wait):
             query.stop()
-            raise TimeoutError(f"run {args.run_id} did not end in {args.wait} s")
-    if args.step == "export":
-        sinks.write_json_lines(r.results(), r.path("export", "test_outcomes.jsonl"))
+            raise TimeoutError(f"run {r.run_id} did not end in {args.wait} s")
+        r.finish()
+    if step == "stop":
+        return display.worker_table(r.stop(args.worker, args.stage))
+    if step == "workers":
+        return display.worker_table(r.workers(args.stage))
+    if step == "wait":
+        return json.dumps(r.wait(args.target, args.wait))
+    if step == "show":
+        return display.run_text(r.metadata() or {"run_id": r.run_id})
+    if step in ("export", "all"):
+        paths = r.export(args.out)
+        if step == "export":
+            return display.pretty(paths)
     return json.dumps(r.status())
 
 
 def tune(spark: SparkSession, args: argparse.Namespace) -> Any:
     """The parallelism of the test stage: doubled until the rate falls or gains too little."""
-    from .streaming.runs import sweep
+    from .streaming.runs import Window, sweep
 
     tasks, rows = _load(spark, args)
-    rows = T.slice_limit(rows, args.limit).persist()
-    parsed = A.parse_outcomes(spark, args.parse).persist()
+    rows = staged(T.slice_limit(rows, args.limit), "tune-attempts")
+    parsed = staged(A.parse_outcomes(spark, args.parse), "tune-parsed")
 
-    def measure(n: int) -> float:
+    def measure(n: int) -> Window:
         began = time.perf_counter()
-        return jobs.test_attempts(rows, parsed, tasks, args.timeout, n).count() / (time.perf_counter() - began)
+        done = jobs.test_attempts(rows, parsed, tasks, args.timeout, n).agg(F.count("*").alias("n"), F.count_if(F.col("outcome_kind") == "infra_error").alias("bad")).first()
+        return Window(0, done.n, time.perf_counter() - began, 0, done.bad)
 
-    best, reason, steps = sweep(measure, args.start, args.most)
-    return display.sweep_table(steps, best, reason)
+    report = sweep(measure, args.start, args.most, least_samples=args.least, dry_run=args.dry_run == "yes")
+    if args.out:
+        sinks.write_document(spark, report, args.out)
+    return display.sweep_table(report)
+
+
+def spot_check(spark: SparkSession, args: argparse.Namespace) -> Any:
+    """The first pool and the first fresh attempt of a task, to be compared by eye."""
+    flat = C.flattened(A.attempts(spark, args.attempts))
+    return display.spot_check_text(args.task, {k: r.asDict() for k, r in T.both_sides(flat, args.task).items()})
+
+
+def generate(spark: SparkSession, args: argparse.Namespace) -> Any:
+    """A batch of attempts without a model, from the tasks' own solutions."""
+    made = stub_attempts(spark, snapshot(spark, args.tasks), Profiles.load(args.file).resolve(args.id), args.run_id)
+    sinks.write_attempts(made, args.out)
+    return f"wrote {A.attempts(spark, args.out).count()} attempts"
 
 
 def profiles(spark: SparkSession, args: argparse.Namespace) -> Any:
@@ -126,15 +158,17 @@ def main(argv: list[str] | None = None) -> None:
     def command(name: str, f, *options: str, **defaults: Any) -> None:
         sub = commands.add_parser(name, help=(f.__doc__ or "").split("\n")[0])
         for o in options:
-            sub.add_argument(f"--{o}", required=o not in defaults, default=defaults.get(o), type=type(defaults[o]) if defaults.get(o) is not None else int if o == "limit" else str)
+            sub.add_argument(f"--{o}", required=o not in defaults, default=defaults.get(o), type=type(defaults[o]) if defaults.get(o) is not None else int if o in ("limit", "concurrency") else str)
         sub.set_defaults(f=f)
 
     command("import-pool", import_pool, "source", "tasks", "out", "pool", "limit", pool=None, limit=None)
     command("parse", parse, "attempts", "out", "limit", limit=None)
     command("test", test, "attempts", "parse", "tasks", "out", "limit", "timeout", limit=None, timeout=30.0)
     command("analyse", analyse, "attempts", "parse", "test", "out", "limit", limit=None)
-    command("run", run, "root", "run_id", "step", "attempts", "tasks", "timeout", "wait", step="all", attempts=None, tasks=None, timeout=30.0, wait=28_800.0)
-    command("tune", tune, "attempts", "parse", "tasks", "limit", "timeout", "start", "most", limit=None, timeout=30.0, start=2, most=64)
+    command("run", run, "root", "run_id", "step", "attempts", "tasks", "timeout", "wait", "overwrite", "handlers", "concurrency", "stage", "worker", "target", "out", run_id=None, step="all", attempts=None, tasks=None, timeout=30.0, wait=28_800.0, overwrite="no", handlers="evalmill.streaming.runs", concurrency=None, stage=None, worker=None, target="terminal", out=None)
+    command("tune", tune, "attempts", "parse", "tasks", "limit", "timeout", "start", "most", "least", "dry_run", "out", limit=None, timeout=30.0, start=2, most=64, least=5, dry_run="no", out=None)
+    command("spot-check", spot_check, "attempts", "task")
+    command("generate", generate, "tasks", "file", "id", "run_id", "out", run_id="run-stub")
     command("profiles", profiles, "file", "id", id=None)
     args = parser.parse_args(argv)
     spark = session.get()

@@ -1,13 +1,18 @@
-"""Evaluation runs as streams: files of jobs go in, parse and test are one chain of maps, results are upserted by key.
+"""Evaluation runs as streams: files of jobs go in, the stages of a registry are one chain of maps, results are upserted by key.
 
 Delivery is at least once: a batch may run again after a failure, and the keyed sink then writes the same rows.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
+import os
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,34 +20,28 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.extract import parse_attempts
+from ..operators import events as E
 from ..operators import outcomes as O
 from ..operators.stats import numbered
 from ..plans.jobs import test_attempts
-from ..schemas import ATTEMPTS, SEED_SOURCES
-from ..sources.sinks import upsert
+from ..schemas import ATTEMPTS, PARSE_OUTCOMES, SEED_SOURCES, TEST_OUTCOMES, cast_to
+from ..sources import attempts as A
+from ..sources.sinks import export_run, recover, upsert, write_document
+from ..staging import exists, file_system, shared_root, staged
 
 JOBS = "run_id STRING, lane STRING, repeat BIGINT, step_index INT, pipeline_id STRING, payload STRING"
-Stage = Callable[[DataFrame], DataFrame]
+HANDLERS = "evalmill.streaming.runs"
+#: A stage gets attempts, the outcomes of the stages before it by name, and the options of the run; it gives outcomes by sample.
+Stage = Callable[[DataFrame, dict[str, DataFrame], dict[str, Any]], DataFrame]
 
 
 class AlreadySeeded(Exception):
     """A run is seeded once."""
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, or on a local master a temporary one."""
-    import tempfile
-
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="evalmill-runs-")
-
-
 @dataclass
 class Registry:
-    """Stage functions by name, in the order they run."""
+    """Stage functions by name, in the order they run. A module with another `registry` is a set of handlers of its own."""
 
     stages: dict[str, Stage] = field(default_factory=dict)
 
@@ -53,32 +52,64 @@ class Registry:
 
         return keep
 
+    @staticmethod
+    def load(module: str) -> Registry:
+        found = getattr(importlib.import_module(module), "registry", None)
+        if not isinstance(found, Registry) or not found.stages:
+            raise ValueError(f"{module} has no registry with stages")
+        return found
+
+
+registry = Registry()
+
+
+@registry.stage("parse")
+def parse_stage(attempts: DataFrame, before: dict[str, DataFrame], options: dict[str, Any]) -> DataFrame:
+    return parse_attempts(attempts)
+
+
+@registry.stage("test")
+def test_stage(attempts: DataFrame, before: dict[str, DataFrame], options: dict[str, Any]) -> DataFrame:
+    return test_attempts(attempts, before["parse"], options["tasks"], options.get("timeout"), options.get("concurrency"))
+
+
+test_stage.__test__ = False
+
+
+def new_run_id(prefix: str = "run") -> str:
+    return f"{prefix}-{uuid.uuid4().hex[:8]}"
+
+
+def utc_now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
+def plain_path(path: str | None) -> str | None:
+    """A local path as an absolute one without links and the home sign; paths of other file systems as they are."""
+    return path if path is None or "://" in path else os.path.realpath(os.path.expanduser(path))
+
 
 @dataclass
 class Run:
-    """A run's folder: jobs in, results out, checkpoint and metadata beside them."""
+    """A run's folder: jobs in, results out, checkpoint, events, workers and metadata beside them."""
 
     spark: SparkSession
     root: str
     run_id: str
+    queries: dict[str, Any] = field(default_factory=dict)
 
     def path(self, *parts: str) -> str:
         return "/".join((self.root, self.run_id, *parts))
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path("metadata.json"))
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _read(self, path: str) -> dict[str, Any] | None:
+        if not exists(self.spark, path):
+            return None
+        return json.loads("\n".join(r.value for r in self.spark.read.text(path, wholetext=True).collect()))
 
     def metadata(self) -> dict[str, Any] | None:
-        path, fs = self._fs()
-        if not fs.exists(path):
-            return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(self.path("metadata.json"), wholetext=True).collect()))
+        return self._read(self.path("metadata.json"))
 
     def _write(self, document: dict[str, Any]) -> None:
-        from ..sources.sinks import write_document
-
         write_document(self.spark, document, self.path("metadata.json"))
 
     def init(self, overwrite: bool = False, **about: Any) -> dict[str, Any]:
@@ -86,7 +117,7 @@ class Run:
         there = self.metadata()
         if there is not None and not overwrite:
             return there
-        self._write(new := {"run_id": self.run_id, "init": about, "seed": None})
+        self._write(new := {"run_id": self.run_id, "init": {"created": utc_now()} | about, "seed": None})
         return new
 
     def seed(self, attempts: DataFrame, source: str = "in_memory", source_path: str | None = None) -> dict[str, Any]:
@@ -103,48 +134,178 @@ class Run:
         placed = numbered(stamped, "__at")
         jobs = C.envelopes(placed.drop("pos"), F.lit(self.run_id), "eval", F.col("__at"))
         jobs.write.mode("append").json(self.path("jobs"))
-        seed = {"source": source, "source_path": source_path, "expected_jobs": about.expected_jobs, "sample_ids_hash": about.sample_ids_hash, "task_ids": [t for t in about.task_ids.split(",") if t]}
+        seed = {"source": source, "source_path": plain_path(source_path), "expected_jobs": about.expected_jobs, "sample_ids_hash": about.sample_ids_hash, "task_ids": [t for t in about.task_ids.split(",") if t]}
         self._write(there | {"seed": seed})
         return seed
 
-    def start(self, tasks: DataFrame, timeout: float | None = None, max_files: int = 64, trigger: dict[str, Any] | None = None):
-        """A streaming query over the jobs: parse, test, upsert. By default it ends when all jobs are done."""
+    # -- workers: streaming queries, each with a record in the run's folder
+
+    def _record(self, worker: dict[str, Any]) -> None:
+        write_document(self.spark, worker, self.path("workers", f"{worker['worker_id']}.json"))
+
+    def workers(self, stage: str | None = None, stale_seconds: float = 600.0) -> list[dict[str, Any]]:
+        """Records of all workers, by their start; a worker that should run and was silent too long is stale."""
+        glob, fs = file_system(self.spark, self.path("workers", "*.json"))
+        found = [w for f in fs.globStatus(glob) or [] if (w := self._read(str(f.getPath())))]
+        now = time.time()
+        for w in found:
+            if w["status"] in ("running", "stop_requested") and now - w["heartbeat"] > stale_seconds:
+                w["status"] = "stale"
+        return sorted((w for w in found if stage is None or stage in w["stages"]), key=lambda w: w["started"])
+
+    def start(self, tasks: DataFrame, timeout: float | None = None, max_files: int = 64, trigger: dict[str, Any] | None = None, handlers: str = HANDLERS, concurrency: int | None = None):
+        """A streaming query over the jobs through all stages of the handlers. By default it ends when all jobs are done."""
+        stages = Registry.load(handlers).stages
         stream = self.spark.readStream.schema(JOBS).option("maxFilesPerTrigger", max_files).json(self.path("jobs"))
+        worker = {"worker_id": f"w-{uuid.uuid4().hex[:8]}", "run_id": self.run_id, "stages": list(stages), "concurrency": concurrency or self.spark.sparkContext.defaultParallelism, "status": "running", "started": time.time(), "heartbeat": time.time()}
+        options = {"tasks": tasks, "timeout": timeout, "concurrency": concurrency}
 
         def batch(jobs: DataFrame, n: int) -> None:
-            attempts = C.opened(jobs, ATTEMPTS).withColumnRenamed("repeat", "pos")
-            parsed = parse_attempts(attempts).persist()
-            try:
-                tested = test_attempts(attempts, parsed, tasks, timeout)
-                about = attempts.select("sample_id", F.col("provenance.source").alias("provenance_source"), F.coalesce("provenance.occurrence_count", F.lit(1)).alias("occurrence_count"))
-                results = O.latest(tested.join(about.dropDuplicates(["sample_id"]), "sample_id").withColumn("pos", F.lit(n).cast("long")).dropDuplicates(["run_id", "sample_id"]), "run_id", "sample_id")
-                upsert(results, self.path("results"))
-                parsed.withColumn("batch", F.lit(n)).write.mode("overwrite").json(self.path("parse", f"batch={n}"))
-            finally:
-                parsed.unpersist()
-
+            attempts = staged(C.opened(jobs, ATTEMPTS).withColumnRenamed("repeat", "pos"), "batch-attempts")
+            done: dict[str, DataFrame] = {}
+            began: dict[str, float] = {}
+            for name, f in stages.items():
+                began[name] = time.time()
+                done[name] = staged(f(attempts, done, options), f"batch-{name}")
+            last = list(stages)[-1]
+            about = attempts.select("sample_id", F.col("provenance.source").alias("provenance_source"), F.coalesce("provenance.occurrence_count", F.lit(1)).alias("occurrence_count"))
+            results = done[last].join(about.dropDuplicates(["sample_id"]), "sample_id").withColumn("pos", F.lit(n).cast("long")).dropDuplicates(["run_id", "sample_id"])
+            upsert(results, self.path("results"))
+            for name, rows in done.items():
+                rows.write.mode("overwrite").json(self.path(name, f"batch={n}"))
+            self._events(attempts, done, began).write.mode("overwrite").json(self.path("events", f"batch={n}"))
+            worker["heartbeat"] = time.time()
+            self._record(worker)
+
+        self._record(worker)
         writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", self.path("checkpoint"))
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+        query = writer.trigger(**(trigger or {"availableNow": True})).start()
+        self.queries[worker["worker_id"]] = query
+        return query
+
+    def _events(self, attempts: DataFrame, done: dict[str, DataFrame], began: dict[str, float]) -> DataFrame:
+        """Start and output of every stage, and the end of every job with its records; a stage's output is as late as its sample took."""
+        lines = None
+        jobs = attempts.select("pos", "sample_id", "task_id")
+        last = list(done)[-1]
+        for name, rows in done.items():
+            start = F.timestamp_micros(F.lit(int(began[name] * 1e6)))
+            one = rows.dropDuplicates(["sample_id"])
+            record = F.to_json(F.struct(*one.columns), {"ignoreNullFields": "false"})
+            end = F.timestamp_micros((F.lit(int(began[name] * 1e6)) + F.coalesce("latency_ms", F.lit(0.0)) * 1000).cast("long"))
+            own = jobs.join(one.select("sample_id", record.alias("record"), end.alias("end")), "sample_id")
+            attempt = F.struct(F.struct("sample_id", "task_id").alias("attempt"))
+            kinds = [(E.STARTED, start, F.to_json(F.struct(attempt.alias("payload")))), (E.OUTPUT, F.col("end"), F.concat(F.lit('{"step_record":'), F.col("record"), F.lit("}")))]
+            if name == last:
+                ended = F.concat(F.lit('{"payload":'), F.to_json(attempt), F.lit(f',"step_records":{{"{name}":'), F.col("record"), F.lit("}}"))
+                kinds.append((E.TERMINAL, F.col("end"), ended))
+            for kind, at, payload in kinds:
+                some = own.select(
+                    F.lit(self.run_id).alias("run_id"), F.concat(F.lit(f"{self.run_id}-"), F.col("pos").cast("string")).alias("job_id"), F.lit("default").alias("lane"), F.lit(name).alias("stage"),
+                    F.lit(kind).alias("event"), F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"), payload.alias("payload"),
+                )
+                lines = some if lines is None else lines.unionByName(some)
+        return lines.orderBy("job_id", "timestamp", F.when(F.col("event") == E.STARTED, 0).when(F.col("event") == E.OUTPUT, 1).otherwise(2))
+
+    def stop(self, worker_id: str | None = None, stage: str | None = None) -> list[dict[str, Any]]:
+        """Ask workers to stop, by id or by stage, or all. Those of this process stop once their batch is done; jobs that are not done stay for the next one."""
+        if worker_id and stage:
+            raise ValueError("stop by worker or by stage, not by both")
+        known = self.workers(stage)
+        chosen = [w for w in known if w["status"] in ("running", "stop_requested", "stale") and (worker_id is None or w["worker_id"] == worker_id)]
+        if worker_id and not chosen:
+            raise ValueError(f"no running worker {worker_id}")
+        for w in chosen:
+            query = self.queries.get(w["worker_id"])
+            if query is not None and query.isActive:
+                query.stop()
+            w["status"] = "stopped" if query is not None else "stop_requested"
+            self._record(w)
+        return chosen
+
+    def replace(self, tasks: DataFrame, stage: str, concurrency: int, **more: Any):
+        """Stop the workers of a stage and start one with another concurrency; the checkpoint tells it what is left."""
+        stages = Registry.load(more.get("handlers", HANDLERS)).stages
+        if stage not in stages:
+            raise ValueError(f"unknown stage {stage!r}; known: {', '.join(stages)}")
+        self.stop(stage=stage)
+        return self.start(tasks, concurrency=concurrency, **more)
+
+    def wait(self, target: str = "terminal", timeout: float | None = None, poll: float = 1.0) -> dict[str, Any]:
+        """Wait until all expected jobs have ended, or a stage has done them; the status then."""
+        end = None if timeout is None else time.monotonic() + timeout
+        while True:
+            for w, query in self.queries.items():
+                if query.exception() is not None:
+                    raise RuntimeError(f"worker {w} failed: {query.exception()}")
+            now = self.status()
+            if now["expected_jobs"] and (now["terminals"] if target == "terminal" else now["stages"].get(target, 0)) >= now["expected_jobs"]:
+                return now
+            if end is not None and time.monotonic() >= end:
+                raise TimeoutError(f"run {self.run_id} has {now['terminals']} of {now['expected_jobs']} jobs after {timeout} s")
+            time.sleep(poll)
 
     def run_once(self, attempts: DataFrame, tasks: DataFrame, timeout: float | None = None, wait_seconds: float = 7200) -> DataFrame:
         """Init, seed, run to the end; the results, which must be as many as the distinct samples."""
         self.init()
-        self.seed(attempts)
+        seed = self.seed(attempts)
         query = self.start(tasks, timeout)
         if not query.awaitTermination(wait_seconds):
             query.stop()
             raise TimeoutError(f"run {self.run_id} did not end in {wait_seconds} s")
+        self.finish()
+        ended = E.wall(self.events()).first().terminal_count
+        if ended < seed["expected_jobs"]:
+            raise RuntimeError(f"run {self.run_id}: {ended} of {seed['expected_jobs']} jobs ended")
         return self.results()
 
+    def finish(self) -> None:
+        """Note which workers of this process have ended."""
+        for w in self.workers():
+            query = self.queries.get(w["worker_id"])
+            if query is not None and not query.isActive and w["status"] == "running":
+                self._record(w | {"status": "failed" if query.exception() is not None else "stopped"})
+
     def results(self) -> DataFrame:
+        recover(self.spark, self.path("results"))
         return self.spark.read.parquet(self.path("results"))
 
-    def status(self) -> dict[str, int]:
-        """Expected jobs and results by kind."""
+    def _has_results(self) -> bool:
+        recover(self.spark, self.path("results"))
+        return exists(self.spark, self.path("results"))
+
+    def events(self) -> DataFrame:
+        return A.events(self.spark, self.path("events", "batch=*"), self.run_id)
+
+    def attempts(self) -> DataFrame:
+        """The seeded attempts in the order of their jobs."""
+        return C.opened(self.spark.read.schema(JOBS).json(self.path("jobs")), ATTEMPTS).withColumnRenamed("repeat", "pos")
+
+    def status(self) -> dict[str, Any]:
+        """Expected jobs, jobs that have ended, results by kind, outputs by stage, and the workers."""
+        seed = (self.metadata() or {}).get("seed") or {}
+        kinds = {r.outcome_kind: r["count"] for r in self.results().groupBy("outcome_kind").count().collect()} if self._has_results() else {}
+        stages: dict[str, int] = {}
+        ended = 0
+        if exists(self.spark, self.path("events", "batch=*")):
+            for r in E.status(self.events()).collect():
+                stages[r.stage] = r.completed
+                ended += r.terminals
+        active = [w for w in self.workers() if w["status"] in ("running", "stop_requested")]
+        return {"expected_jobs": seed.get("expected_jobs", 0), "terminals": ended, "kinds": kinds, "stages": stages, "active_workers": len(active), "active_concurrency": sum(w["concurrency"] for w in active)}
+
+    def report(self) -> dict[str, Any]:
+        """The whole report of the run, from its events and outcomes."""
         seed = (self.metadata() or {}).get("seed") or {}
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path("results"))
-        done = {} if not self._fs()[1].exists(path) else {r.outcome_kind: r["count"] for r in self.results().groupBy("outcome_kind").count().collect()}
-        return {"expected_jobs": seed.get("expected_jobs", 0), "terminals": sum(done.values()), **done}
+        events = self.events()
+        flat = C.flattened(self.attempts())
+        return E.metrics_report(self.run_id, seed.get("expected_jobs", 0), events, flat, A.parse_from_events(events), A.tests_from_events(events))
+
+    def export(self, path: str | None = None) -> dict[str, str]:
+        """The run's bundle: attempts, outcomes, manifest, and the report if all jobs have ended."""
+        results = cast_to(self.results(), TEST_OUTCOMES)
+        parsed = cast_to(self.spark.read.schema(PARSE_OUTCOMES).json(self.path("parse", "batch=*")), PARSE_OUTCOMES)
+        return export_run(path or self.path("export"), self.attempts(), parsed.dropDuplicates(["sample_id"]), results, self.metadata() or {}, self.report())
 
 
 def throughput(progress: list[Any], warm_up_batches: int = 1) -> float:
@@ -154,19 +315,57 @@ def throughput(progress: list[Any], warm_up_batches: int = 1) -> float:
     return sum(p["numInputRows"] for p in rest) / (ms / 1000) if ms else 0.0
 
 
-def sweep(measure: Callable[[int], float], start: int, most: int, factor: int = 2, threshold: float = 0.1) -> tuple[int, str, list[tuple[int, float]]]:
-    """Best parallelism, why the search ended, and the steps: workers grow by factor until the rate falls or gains too little."""
-    steps: list[tuple[int, float]] = []
-    workers, best = start, (start, 0.0)
-    while True:
-        rate = measure(workers)
-        before = steps[-1][1] if steps else None
-        steps.append((workers, rate))
-        best = max(best, (workers, rate), key=lambda x: x[1])
-        if before is not None and rate < before:
-            return best[0], f"regression at workers={workers}", steps
-        if before and (rate - before) / before < threshold:
-            return best[0], f"diminishing returns at workers={workers} (gain={(rate - before) / before:.1%})", steps
-        if workers * factor > most:
-            return best[0], f"reached max_workers={most}", steps
+@dataclass
+class Window:
+    """What was seen in a window of measurement: jobs ended and infrastructure errors before and after it, and its seconds."""
+
+    terminals_before: int
+    terminals_after: int
+    seconds: float
+    infra_before: int = 0
+    infra_after: int = 0
+
+
+def sweep(
+    measure: Callable[[int], Window], start: int, most: int, factor: int = 2, threshold: float = 0.1, least_samples: int = 5,
+    swap: Callable[[int], None] | None = None, warm_up_seconds: float = 0.0, on_step: Callable[[dict[str, Any]], None] | None = None, apply_best: bool = True, dry_run: bool = False,
+) -> dict[str, Any]:
+    """The best parallelism, as a report: workers grow by factor until the rate of a reliable step falls or gains too little.
+
+    swap changes the number of workers; its effect is measured after the warm-up. A step in which too few jobs ended is not reliable:
+    it is neither the best nor what the next one is compared with.
+    """
+    steps: list[dict[str, Any]] = []
+    workers, best, previous, reason = start, (start, None), None, f"reached {most} workers"
+    while workers <= most:
+        swapped = swap is not None and workers != start and not dry_run
+        if swapped:
+            swap(workers)
+            time.sleep(warm_up_seconds)
+        w = Window(0, 0, 0.0) if dry_run else measure(workers)
+        rate = (w.terminals_after - w.terminals_before) / w.seconds if w.seconds > 0 else 0.0
+        good = not dry_run and w.terminals_after - w.terminals_before >= least_samples
+        step = {
+            "workers": workers, "swapped": swapped, "terminals_before": w.terminals_before, "terminals_after": w.terminals_after, "warmup_seconds": warm_up_seconds if swapped else 0.0,
+            "measure_seconds": w.seconds, "samples_per_second": rate, "infra_error_before": w.infra_before, "infra_error_after": w.infra_after, "infra_error_delta": w.infra_after - w.infra_before, "reliable": good,
+        }
+        steps.append(step)
+        if on_step is not None:
+            on_step(step)
+        if good:
+            if best[1] is None or rate > best[1]:
+                best = workers, rate
+            if previous is not None and rate < previous:
+                reason = f"slower with {workers} workers"
+                break
+            if previous and (rate - previous) / previous < threshold:
+                reason = f"little gain with {workers} workers: {(rate - previous) / previous:.1%}"
+                break
+            previous = rate
         workers *= factor
+    if apply_best and swap is not None and not dry_run and steps and steps[-1]["workers"] != best[0]:
+        swap(best[0])
+    return {"steps": steps, "best_workers": best[0], "best_samples_per_second": best[1] or 0.0, "stop_reason": reason}
+
+
+__all__ = ["AlreadySeeded", "Registry", "Run", "Window", "new_run_id", "plain_path", "registry", "shared_root", "sweep", "throughput", "utc_now"]
