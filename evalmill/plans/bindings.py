@@ -55,9 +55,13 @@ def test_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40")
-    n = F.col("item_id").cast("string")
-    return b.select(F.concat(F.lit("HumanEval/"), n).alias("task_id"), F.concat(F.lit("task_fn_"), n).alias("entry_point"), F.col("text").alias("prompt"), F.concat(F.lit("    return "), n).alias("canonical_solution"), F.when(F.col("item_id") % 3 == 0, "inputs_ref_func").otherwise("inputs_results").alias("shape"))
+    """All items; item 40 has a name of its own, so attempts of HumanEval/40 have no task. Some suites can't be read."""
+    i, n = F.col("item_id"), F.col("item_id").cast("string")
+    broken = i % 13 == 5
+    return table(spark, sf_dir, "benchmark").select(
+        F.when(i == 40, "Other/40").otherwise(F.concat(F.lit("HumanEval/"), n)).alias("task_id"), F.concat(F.lit("task_fn_"), n).alias("entry_point"), F.col("text").alias("prompt"), F.concat(F.lit("    return "), n).alias("canonical_solution"),
+        F.when(broken, None).when(i % 3 == 0, "inputs_ref_func").otherwise("inputs_results").alias("shape"), F.when(broken, "ValueError: no check function").alias("problem"),
+    )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +110,8 @@ cuts AS (SELECT v[CAST(round_even(0.25 * (n - 1), 0) AS BIGINT) + 1] AS p25, CAS
   FROM (SELECT list_sort(list(decoder_input_len_zstd22)) AS v, count(*) AS n FROM e1)),
 enriched AS (SELECT e1.*, CASE WHEN decoder_input_len_zstd22 <= p25 THEN 'Q1' WHEN decoder_input_len_zstd22 <= p50 THEN 'Q2' WHEN decoder_input_len_zstd22 <= p75 THEN 'Q3' ELSE 'Q4' END AS compression_quartile,
   has_test_outcome AND coalesce(outcome_kind = 'tested', false) AS is_tested, has_test_outcome AND coalesce(outcome_kind = 'tested', false) AND coalesce(all_tests_passed, false) AS is_passed FROM e1, cuts)""",
-    "tasks": """tasks AS (SELECT 'HumanEval/' || CAST(item_id AS VARCHAR) AS task_id, 'task_fn_' || CAST(item_id AS VARCHAR) AS entry_point, text AS prompt, '    return ' || CAST(item_id AS VARCHAR) AS canonical_solution,
-  CASE WHEN item_id % 3 = 0 THEN 'inputs_ref_func' ELSE 'inputs_results' END AS shape FROM benchmark WHERE item_id < 40)""",
+    "tasks": """tasks AS (SELECT CASE WHEN item_id = 40 THEN 'Other/40' ELSE 'HumanEval/' || CAST(item_id AS VARCHAR) END AS task_id, 'task_fn_' || CAST(item_id AS VARCHAR) AS entry_point, text AS prompt, '    return ' || CAST(item_id AS VARCHAR) AS canonical_solution,
+  CASE WHEN item_id % 13 = 5 THEN NULL WHEN item_id % 3 = 0 THEN 'inputs_ref_func' ELSE 'inputs_results' END AS shape, CASE WHEN item_id % 13 = 5 THEN 'ValueError: no check function' END AS problem FROM benchmark)""",
     "log": """log AS (SELECT event_id AS seq, 'run-' || CAST(user_id % 2 AS VARCHAR) AS run_id, user_id AS job_id, CASE WHEN event_type IN ('signup', 'click') THEN 'parse' ELSE 'test' END AS stage,
   CASE WHEN event_type IN ('signup', 'view') THEN 'stage_started' WHEN event_type IN ('click', 'purchase') THEN 'stage_output' ELSE 'terminal' END AS event, ts, epoch_us(ts) AS us,
   CASE WHEN event_id % 3 <> 0 THEN 'HumanEval/' || CAST(user_id % 41 AS VARCHAR) END AS task_id, value, props FROM events)""",

@@ -9,13 +9,13 @@ from ..functions import sandbox
 from ..functions.extract import parse_attempts
 from ..operators import cases as K
 from ..operators import outcomes as O
-from ..schemas import TEST_OUTCOMES, cast_to
+from ..schemas import TEST_OUTCOMES, cast_to, checked_outcomes
 
 
 def test_attempts(attempts: DataFrame, parse: DataFrame, tasks: DataFrame, timeout: float | None = None, parallel: int | None = None) -> DataFrame:
     """Test outcomes of all attempts. The router is relational, so only rows that can run reach the sandbox."""
     suites = sandbox.task_cases(tasks.select("task_id", F.col("entry_point").alias("task_entry_point"), "test"))
-    routed = K.routed(attempts if "pos" in attempts.columns else attempts.withColumn("pos", F.lit(None).cast("long")), O.latest(parse, "sample_id") if "pos" in parse.columns else parse, suites.select("task_id", "shape", "task_entry_point"))
+    routed = K.routed(attempts if "pos" in attempts.columns else attempts.withColumn("pos", F.lit(None).cast("long")), O.latest(parse, "sample_id") if "pos" in parse.columns else parse, suites.select("task_id", "shape", "task_entry_point", "problem"))
     todo = routed.where("route = 'execute'").join(suites.select("task_id", "cases"), "task_id")
     ran = sandbox.run_tests(todo, timeout, parallel)
     plain = routed.select("sample_id", "run_id", "task_id", "parse_success", "entry_point", "extracted_code", "skip_reason", "route", F.col("internal_error").alias("__problem"))
@@ -26,14 +26,15 @@ def test_attempts(attempts: DataFrame, parse: DataFrame, tasks: DataFrame, timeo
         "test_case_results": F.coalesce("test_case_results", F.array().cast(f"array<struct<{sandbox._CASE}>>")),
         "internal_error": F.coalesce("internal_error", "__problem"),
     })
-    return cast_to(out, TEST_OUTCOMES)
+    return checked_outcomes(cast_to(out, TEST_OUTCOMES))
 
 
 def analyse(attempts: DataFrame, parse: DataFrame, test: DataFrame, path: str) -> dict:
     """Enriched rows with quartiles, slices and summary, written to path. attempts are flat, with pos."""
     from ..sources.sinks import export_analysis
 
-    return export_analysis(O.with_quartile(O.enriched(attempts, parse, test)), path)
+    sized = O.measured(attempts)
+    return export_analysis(O.with_quartile(O.enriched(sized, parse, test), sizes=sized), path)
 
 
 __all__ = ["analyse", "parse_attempts", "test_attempts"]

@@ -14,7 +14,7 @@ from ..operators import outcomes as O
 from ..operators import slices as S
 from ..operators import stats as T
 from . import bindings as B
-from .bindings import sql
+from .bindings import _TASK, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,12 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def quartiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with quartiles; the cut points need the attempts only."""
+    sizes = B.attempts(spark, sf_dir).select(F.octet_length("decoder_input").cast("long").alias("decoder_input_len_zstd22"))
+    return O.with_quartile(enriched(spark, sf_dir), sizes=sizes)
+
+
 MEASURES = """count(*) AS row_count, CAST(sum(provenance_occurrence_count) AS BIGINT) AS weighted_count, CAST(count_if(is_tested) AS BIGINT) AS tested_count,
 CAST(coalesce(sum(provenance_occurrence_count) FILTER (is_tested), 0) AS BIGINT) AS tested_weighted_count, CAST(count_if(is_passed) AS BIGINT) AS pass_count,
 CAST(coalesce(sum(provenance_occurrence_count) FILTER (is_passed), 0) AS BIGINT) AS weighted_pass_count,
@@ -66,12 +72,12 @@ def slice_by_task(spark, sf_dir):
 
 @query(_slice_sql("coalesce(compression_quartile, '(unknown)')"))
 def slice_by_quartile(spark, sf_dir):
-    return S.slice_by(O.with_quartile(enriched(spark, sf_dir)), F.coalesce("compression_quartile", F.lit(C.UNKNOWN)))
+    return S.slice_by(quartiled(spark, sf_dir), F.coalesce("compression_quartile", F.lit(C.UNKNOWN)))
 
 
 @query(sql(" UNION ALL ".join(f"SELECT '{n}' AS slice_name, {k} AS slice_key, {MEASURES} FROM enriched GROUP BY 2" for n, k in (("by_source", "provenance_source"), ("by_model", _MODEL), ("by_task", "task_id"), ("by_compression_quartile", "compression_quartile"))), "enriched"))
 def slices_all(spark, sf_dir):
-    return S.all_slices(O.with_quartile(enriched(spark, sf_dir)))
+    return S.all_slices(quartiled(spark, sf_dir))
 
 
 _ROW = "pos, sample_id, run_id, task_id, entry_point, decoder_input_len_raw, provenance_source, provenance_model, provenance_occurrence_count, parse_success, parse_skip_reason, has_test_outcome, outcome_kind, tests_ran, all_tests_passed, test_pass_rate, skipped, skip_reason, compression_quartile"
@@ -79,7 +85,7 @@ _ROW = "pos, sample_id, run_id, task_id, entry_point, decoder_input_len_raw, pro
 
 @query(sql(f"SELECT {_ROW} FROM enriched", "enriched"))
 def enriched_rows(spark, sf_dir):
-    return O.with_quartile(enriched(spark, sf_dir)).select(*_ROW.split(", "))
+    return quartiled(spark, sf_dir).select(*_ROW.split(", "))
 
 
 @query(sql("""SELECT count(*) AS attempt_count, CAST(count_if(is_passed) AS BIGINT) AS tested_pass_count, CAST(count_if(is_tested AND NOT is_passed) AS BIGINT) AS tested_fail_count,
@@ -134,7 +140,7 @@ def latest_outcome(spark, sf_dir):
 
 @query(sql("SELECT run_id, sample_id, pos, outcome_kind FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sample_id ORDER BY pos DESC) AS rn FROM test) WHERE rn = 1", "test"))
 def upserted_results(spark, sf_dir):
-    return O.latest(B.test_outcomes(spark, sf_dir), "run_id", "sample_id").select("run_id", "sample_id", "pos", "outcome_kind")
+    return O.latest(B.test_outcomes(spark, sf_dir), "run_id", "sample_id", null_keys=True).select("run_id", "sample_id", "pos", "outcome_kind")
 
 
 @query(sql("SELECT run_id, outcome_kind, count(*) AS row_count FROM test GROUP BY 1, 2", "test"))
@@ -204,10 +210,22 @@ def unknown_tasks(spark, sf_dir):
     return T.unknown_tasks(B.attempts(spark, sf_dir), B.tasks(spark, sf_dir))
 
 
-@query(sql("SELECT a.pos, a.task_id, t.entry_point FROM attempts a JOIN tasks t ON a.task_id = t.task_id", "attempts", "tasks"))
+def known_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks, and one for the attempts that have none."""
+    t = B.tasks(spark, sf_dir).select("task_id", "entry_point", "prompt")
+    return t.unionByName(spark.range(1).select(F.lit("HumanEval/40").alias("task_id"), F.lit("task_fn_40").alias("entry_point"), F.lit("no item").alias("prompt")))
+
+
+KNOWN = "known AS (SELECT task_id, entry_point, prompt FROM tasks UNION ALL SELECT 'HumanEval/40', 'task_fn_40', 'no item')"
+
+
+def known_sql(body: str, *names: str) -> str:
+    return sql("", *names, "tasks").rstrip() + f", {KNOWN} {body}"
+
+
+@query(known_sql("SELECT a.pos, a.task_id, t.entry_point FROM attempts a JOIN known t ON a.task_id = t.task_id", "attempts"))
 def strict_task_join(spark, sf_dir):
-    known = B.attempts(spark, sf_dir).where("task_id <> 'HumanEval/40'").drop("entry_point")
-    return T.strict_tasks(known, B.tasks(spark, sf_dir)).select("pos", "task_id", "entry_point")
+    return T.strict_tasks(B.attempts(spark, sf_dir).drop("entry_point"), known_tasks(spark, sf_dir)).select("pos", "task_id", "entry_point")
 
 
 @query(sql("SELECT job_id, stage, latency_us FROM timing", "timing"))
@@ -285,13 +303,19 @@ def outcome_banner(spark, sf_dir):
     return rows.select("l_orderkey", C.outcome_banner().alias("banner"))
 
 
-@query(sql("""SELECT a.pos, a.sample_id, coalesce(nullif(p.run_id, ''), a.run_id) AS run_id, CASE WHEN p.sample_id IS NULL THEN 'internal_error' WHEN NOT p.parse_success OR p.extracted_code IS NULL OR coalesce(t.shape, '') <> 'inputs_results' THEN 'skipped' ELSE 'execute' END AS route,
-CASE WHEN p.sample_id IS NULL THEN NULL WHEN NOT p.parse_success THEN coalesce(p.skip_reason, 'parse_failed') WHEN p.extracted_code IS NULL THEN 'parse_failed' WHEN coalesce(t.shape, '') <> 'inputs_results' THEN 'unsupported_test_shape' END AS skip_reason,
-CASE WHEN p.parse_success AND p.extracted_code IS NOT NULL THEN CASE WHEN coalesce(t.shape, '') = 'inputs_results' THEN a.entry_point ELSE t.entry_point END END AS entry_point
-FROM attempts a LEFT JOIN lp p ON a.sample_id = p.sample_id LEFT JOIN tasks t ON a.task_id = t.task_id""", "attempts", "last", "tasks"))
+_ROUTE = """CASE WHEN p.sample_id IS NULL THEN 'missing_parse_outcome' WHEN NOT p.parse_success OR p.extracted_code IS NULL THEN NULL
+WHEN t.task_id IS NULL THEN 'unknown task: ' || a.task_id ELSE t.problem END"""
+
+
+@query(sql(f"""SELECT pos, sample_id, run_id, internal_error, CASE WHEN internal_error IS NOT NULL THEN 'internal_error' WHEN skip_reason IS NOT NULL THEN 'skipped' ELSE 'execute' END AS route, skip_reason,
+CASE WHEN internal_error IS NULL AND skip_reason IS NULL THEN entry_point WHEN skip_reason = 'unsupported_test_shape' THEN task_entry_point END AS entry_point FROM (
+SELECT *, CASE WHEN internal_error IS NOT NULL THEN NULL WHEN NOT parse_success THEN coalesce(nullif(sr, ''), 'parse_failed') WHEN extracted_code IS NULL THEN 'parse_failed' WHEN shape <> 'inputs_results' THEN 'unsupported_test_shape' END AS skip_reason FROM (
+SELECT a.pos, a.sample_id, coalesce(nullif(p.run_id, ''), a.run_id) AS run_id, {_ROUTE} AS internal_error, p.parse_success, p.extracted_code, p.skip_reason AS sr, t.shape, a.entry_point, t.entry_point AS task_entry_point
+FROM attempts a LEFT JOIN lp p ON a.sample_id = p.sample_id LEFT JOIN tasks t ON a.task_id = t.task_id))""", "attempts", "last", "tasks"))
 def test_router(spark, sf_dir):
-    tasks = B.tasks(spark, sf_dir).select("task_id", "shape", F.col("entry_point").alias("task_entry_point"))
-    return K.routed(B.attempts(spark, sf_dir), O.latest(B.parse_outcomes(spark, sf_dir), "sample_id"), tasks).select("pos", "sample_id", "run_id", "route", "skip_reason", "entry_point")
+    """What becomes of each attempt: unknown tasks and broken suites are internal errors."""
+    tasks = B.tasks(spark, sf_dir).select("task_id", "shape", "problem", F.col("entry_point").alias("task_entry_point"))
+    return K.routed(B.attempts(spark, sf_dir), O.latest(B.parse_outcomes(spark, sf_dir), "sample_id"), tasks).select("pos", "sample_id", "run_id", "internal_error", "route", "skip_reason", "entry_point")
 
 
 @query(sql("SELECT sha256(string_agg(sample_id || chr(0), '' ORDER BY pos)) AS sample_ids_hash, (SELECT string_agg(task_id, ',' ORDER BY task_id) FROM (SELECT DISTINCT task_id FROM attempts)) AS task_ids, count(*) AS expected_jobs FROM attempts", "attempts"))
@@ -448,7 +472,8 @@ def compression_lengths(spark, sf_dir):
 
 def enriched_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched rows with their zstd lengths, and the quartiles by these."""
-    return O.with_quartile(O.enriched(B.attempts(spark, sf_dir), B.parse_outcomes(spark, sf_dir), B.test_outcomes(spark, sf_dir)))
+    sized = O.measured(B.attempts(spark, sf_dir))
+    return O.with_quartile(O.enriched(sized, B.parse_outcomes(spark, sf_dir), B.test_outcomes(spark, sf_dir)), sizes=sized)
 
 
 @query()
@@ -468,53 +493,96 @@ def joint_objective_zstd(spark, sf_dir):
 
 
 def fenced_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts whose output is a small program in one of several wrappings, as decoders give it."""
-    i = F.col("pos")
+    """Attempts whose output is a small program within or before the document's whole text, wrapped in several ways, as decoders give it."""
+    i, text = F.col("pos"), F.col("raw_output")
     n = (i % 41).cast("string")
     code = F.concat(F.lit("def fn_"), n, F.lit("(x):\n    return x + "), F.when(i % 5 == 0, n).otherwise(F.lit("1")), F.lit("\n"))
-    text = (
-        F.when(i % 7 == 0, F.concat(F.lit("Sure, here it is:\n```python\n"), code, F.lit("```\nDone.")))
-        .when(i % 7 == 1, code).when(i % 7 == 2, F.concat(F.lit("```\n"), code)).when(i % 7 == 3, F.concat(code, F.lit("\nThis works because it adds.")))
-        .when(i % 7 == 4, F.lit("I cannot do that.")).when(i % 7 == 5, F.regexp_replace(code, r"\)", "")).otherwise(F.concat(F.lit("    "), F.regexp_replace(code, "\n", "\n    ")))
+    out = (
+        F.when(i % 7 == 0, F.concat(text, F.lit("\n```python\n"), code, F.lit("```\n"), text))
+        .when(i % 7 == 1, code).when(i % 7 == 2, F.concat(text, F.lit("\n```\n"), code)).when(i % 7 == 3, F.concat(code, F.lit("\nThis works because: "), text))
+        .when(i % 7 == 4, F.concat(F.lit("I cannot do that: "), text)).when(i % 7 == 5, F.concat(F.lit("It is ((\n"), text)).otherwise(F.concat(F.lit("    "), F.regexp_replace(code, "\n", "\n    ")))
     )
-    return B.attempts(spark, sf_dir).withColumn("raw_output", text)
+    return B.attempts(spark, sf_dir).withColumn("raw_output", out)
 
 
-@query()
+_CODE = "'def fn_' || CAST(doc_id % 41 AS VARCHAR) || '(x):' || chr(10) || '    return x + ' || CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 41 AS VARCHAR) ELSE '1' END"
+#: parsed: whether code is found, and whether it adds one, as the cases want.
+FENCED = f"""fenced AS (SELECT doc_id AS pos, {_TASK} AS task_id, {_CODE} AS code, doc_id % 7 NOT IN (4, 5) AS parsed, doc_id % 5 <> 0 OR doc_id % 41 = 1 AS adds_one,
+'describe' AS decoder_input, 1 + n_chars % 5 AS weight FROM documents)"""
+
+
+def fenced_sql(body: str, *names: str) -> str:
+    return (sql("", *names).rstrip() + f", {FENCED} {body}") if names else f"WITH {FENCED} {body}"
+
+
+@query(fenced_sql("SELECT pos, task_id, parsed AS parse_success, CASE WHEN parsed THEN code END AS extracted_code, CASE WHEN NOT parsed THEN 'no_valid_candidate' END AS skip_reason, parsed AS has_log, parsed AS has_valid FROM fenced"))
 def parse_extract(spark, sf_dir):
-    """Parse outcomes of all attempts (rows only: SQL has no parser)."""
+    """Parse outcomes of all attempts: code found in, before and without prose, fenced and not, indented; none where there is none."""
     from ..functions.extract import parse_attempts
 
-    return parse_attempts(fenced_attempts(spark, sf_dir)).drop("latency_ms", "run_id")
+    rows = fenced_attempts(spark, sf_dir).withColumn("sample_id", F.col("pos").cast("string"))
+    out = parse_attempts(rows)
+    return out.select(
+        F.col("sample_id").cast("long").alias("pos"), "task_id", "parse_success", F.rtrim("extracted_code", F.lit("\n")).alias("extracted_code"), "skip_reason",
+        F.coalesce(F.size("code_eval.extractor_path") > 0, F.lit(False)).alias("has_log"), (F.col("valid_count") > 0).alias("has_valid"),
+    )
 
 
-@query("""SELECT doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN 'def fn_' || CAST(doc_id % 41 AS VARCHAR) || '(x):' || chr(10) || '    return x + ' || CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 41 AS VARCHAR) ELSE '1' END || chr(10) ELSE '' END AS fenced_code FROM documents""")
+@query(f"""SELECT doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN {_CODE} || chr(10) ELSE '' END AS fenced_code FROM documents""")
 def fenced_code(spark, sf_dir):
     """The first fenced block by a pattern: what SQL can say of extraction."""
     return fenced_attempts(spark, sf_dir).select("pos", F.regexp_extract("raw_output", r"(?s)```python\n(.*?)```", 1).alias("fenced_code"))
 
 
-@query()
+CHECK = "def check(candidate):\n    inputs = [[1], [2], [40]]\n    results = [2, 3, 41]\n"
+SUITES = "def check(candidate):\n    inputs = [1]\n"
+
+
+def suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks with test sources: readable ones, ones without results, and broken ones."""
+    test = F.when(F.col("shape") == "inputs_results", CHECK).when(F.col("shape") == "inputs_ref_func", SUITES).otherwise("x = 1\n")
+    return B.tasks(spark, sf_dir).select("task_id", "entry_point", "prompt", "canonical_solution", test.alias("test"))
+
+
+def sample_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fenced_attempts; texts repeat, but each attempt is a sample."""
+    return fenced_attempts(spark, sf_dir).withColumn("sample_id", C.sample_id(F.concat("task_id", F.lit("#"), F.col("pos").cast("string")), F.lit("")))
+
+
+#: What becomes of the fenced attempts.
+TESTED = """tested AS (SELECT f.*, substr(sha256(f.task_id || '#' || CAST(pos AS VARCHAR) || chr(0)), 1, 16) AS sample_id, CASE WHEN NOT parsed THEN 'skipped' WHEN t.task_id IS NULL OR t.problem IS NOT NULL THEN 'internal_error'
+WHEN t.shape = 'inputs_results' THEN 'tested' ELSE 'skipped' END AS outcome_kind, t.entry_point FROM fenced f LEFT JOIN tasks t ON f.task_id = t.task_id)"""
+
+
+def tested_sql(body: str) -> str:
+    return fenced_sql("", "tasks").rstrip() + f", {TESTED} {body}"
+
+
+@query(tested_sql("""SELECT sample_id, task_id, parsed AS parse_success, outcome_kind, outcome_kind = 'skipped' AS skipped, CASE WHEN outcome_kind = 'skipped' THEN CASE WHEN parsed THEN 'unsupported_test_shape' ELSE 'no_valid_candidate' END END AS skip_reason,
+outcome_kind = 'tested' AS tests_ran, CASE WHEN outcome_kind = 'tested' THEN 'fn_' || CAST(pos % 41 AS VARCHAR) WHEN outcome_kind = 'skipped' AND parsed THEN entry_point END AS entry_point,
+CASE WHEN outcome_kind = 'tested' THEN CASE WHEN adds_one THEN 1.0 ELSE 0.0 END END AS test_pass_rate, CASE WHEN outcome_kind = 'tested' THEN adds_one END AS all_tests_passed, CAST(CASE WHEN outcome_kind = 'tested' THEN 3 ELSE 0 END AS BIGINT) AS case_count,
+outcome_kind = 'internal_error' AS has_internal_error FROM tested""").replace("THEN 1.0 ELSE 0.0 END END", "THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END"))
 def test_execute(spark, sf_dir):
-    """Test outcomes of all attempts: each executable one runs in a process of its own (rows only)."""
+    """Test outcomes of all attempts: each executable one runs in a process of its own."""
+    from ..functions.sandbox import tasks_for
     from .jobs import parse_attempts, test_attempts
 
-    rows = fenced_attempts(spark, sf_dir)
-    rows = rows.withColumn("sample_id", C.sample_id(F.concat("task_id", F.lit("#"), F.col("pos").cast("string")), "raw_output"))  # texts repeat; each attempt is a sample
-    check = F.concat(F.lit("def check(candidate):\n    inputs = [[1], [2], [40]]\n    results = [2, 3, 41]\n"))
-    tasks = B.tasks(spark, sf_dir).select("task_id", "entry_point", "prompt", "canonical_solution", F.when(F.col("shape") == "inputs_results", check).otherwise("def check(candidate):\n    inputs = [1]\n").alias("test"))
-    return test_attempts(rows, parse_attempts(rows), tasks, 10.0, spark.sparkContext.defaultParallelism).drop("latency_ms", "run_id")
+    rows = sample_attempts(spark, sf_dir)
+    out = test_attempts(rows, parse_attempts(rows), suites(spark, sf_dir), 10.0, tasks_for(rows.count(), spark.sparkContext.defaultParallelism))
+    return out.select(
+        "sample_id", "task_id", "parse_success", "outcome_kind", "skipped", "skip_reason", "tests_ran", "entry_point", "test_pass_rate", "all_tests_passed",
+        F.size("test_case_results").cast("long").alias("case_count"), F.col("internal_error").isNotNull().alias("has_internal_error"),
+    )
 
 
-@query()
+@query(tested_sql("SELECT sample_id, task_id, outcome_kind, CASE WHEN outcome_kind = 'tested' THEN adds_one END AS all_tests_passed FROM tested"))
 def stream_run(spark, sf_dir):
-    """A seeded run as a stream that ends when its jobs are done; as many results as distinct samples."""
-    import uuid
+    """A seeded run as a stream that ends when its jobs are done; as many results as samples."""
+    from ..staging import shared_root
+    from ..streaming.runs import Run, new_run_id
+
+    run = Run(spark, shared_root(spark), new_run_id())
+    return run.run_once(C.nested(sample_attempts(spark, sf_dir)), suites(spark, sf_dir), 10.0).select("sample_id", "task_id", "outcome_kind", "all_tests_passed")
 
-    from ..streaming.runs import Run, shared_root
 
-    attempts = C.nested(T.first_per(fenced_attempts(spark, sf_dir).withColumn("sample_id", C.sample_id("task_id", "raw_output")), "sample_id"))
-    check = "def check(candidate):\n    inputs = [[1]]\n    results = [2]\n"
-    tasks = B.tasks(spark, sf_dir).select("task_id", "entry_point", "prompt", "canonical_solution", F.lit(check).alias("test"))
-    run = Run(spark, shared_root(spark), f"run-{uuid.uuid4().hex[:8]}")
-    return run.run_once(attempts, tasks, 10.0).select("sample_id", "task_id", "outcome_kind", "all_tests_passed")
+from . import files as _files  # noqa: E402, F401  (registers its queries)

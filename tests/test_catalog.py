@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from evalmill.plans.queries import ORACLE, QUERIES
+from evalmill.plans.queries import ORACLE, QUERIES, enriched
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,9 +61,24 @@ def test_flagship(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scans_read_the_columns_they_need(spark):
     """Projections and filters reach the Parquet scan."""
-    plan = QUERIES["results_per_run"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(QUERIES["results_per_run"](spark, SF))
     assert "n_chars" not in plan.split("ReadSchema", 1)[1]
-    plan = QUERIES["task_selection"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(item_id), LessThan(item_id,40)" in plan
+    plan = plan_of(QUERIES["slices_all"](spark, SF))
+    assert "lang" not in plan and plan.count("ReadSchema: struct<text:string>") == 1  # cut points read the texts alone
+
+
+@pytest.mark.parametrize("name", ["latest_outcome", "enriched_rows", "slices_all", "dedup_first_match"])
+def test_last_rows_are_found_without_sorting_wide_rows(spark, name):
+    assert "SortAggregate" not in plan_of(QUERIES[name](spark, SF))
+
+
+def test_cut_points_need_no_joins(spark):
+    """Quartile cuts come from a scan of the attempts: enriched rows are planned once."""
+    plan = plan_of(QUERIES["enriched_rows"](spark, SF))
+    assert plan.count("FileScan") == plan_of(enriched(spark, SF)).count("FileScan") + 1

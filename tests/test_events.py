@@ -70,11 +70,16 @@ def test_reclassification(spark, cases, want):
 
 
 def test_router(spark):
-    attempts = spark.createDataFrame([(i, f"s{i}", "r", "t1" if i < 4 else "t2", "f") for i in range(6)], "pos long, sample_id string, run_id string, task_id string, entry_point string")
-    parse = spark.createDataFrame([("s0", "", True, "c", None), ("s1", None, False, None, "bad"), ("s2", None, False, None, None), ("s3", "x", True, None, None), ("s4", None, True, "c", None)], "sample_id string, run_id string, parse_success boolean, extracted_code string, skip_reason string")
-    tasks = spark.createDataFrame([("t1", "inputs_results", "g1"), ("t2", "inputs_ref_func", "g2")], "task_id string, shape string, task_entry_point string")
-    got = [(r.route, r.skip_reason, r.run_id, r.entry_point) for r in K.routed(attempts, parse, tasks).orderBy("pos").collect()]
-    assert got == [("execute", None, "r", "f"), ("skipped", "bad", "r", None), ("skipped", "parse_failed", "r", None), ("skipped", "parse_failed", "x", None), ("skipped", "unsupported_test_shape", "r", "g2"), ("internal_error", None, "r", None)]
+    task_of = lambda i: "t1" if i < 4 else f"t{i - 2}"
+    attempts = spark.createDataFrame([(i, f"s{i}", "r", task_of(i), "f") for i in range(8)], "pos long, sample_id string, run_id string, task_id string, entry_point string")
+    parse = [("s0", "", True, "c", None), ("s1", None, False, None, "bad"), ("s2", None, False, None, None), ("s3", "x", True, None, None), ("s4", None, True, "c", None), ("s5", None, True, "c", None), ("s6", None, True, "c", None)]
+    parse = spark.createDataFrame(parse, "sample_id string, run_id string, parse_success boolean, extracted_code string, skip_reason string")
+    tasks = spark.createDataFrame([("t1", "inputs_results", "g1", None), ("t2", "inputs_ref_func", "g2", None), ("t3", None, "g3", "ValueError: no check function")], "task_id string, shape string, task_entry_point string, problem string")
+    got = [(r.route, r.skip_reason, r.internal_error, r.run_id, r.entry_point) for r in K.routed(attempts, parse, tasks).orderBy("pos").collect()]
+    assert got == [
+        ("execute", None, None, "r", "f"), ("skipped", "bad", None, "r", None), ("skipped", "parse_failed", None, "r", None), ("skipped", "parse_failed", None, "x", None), ("skipped", "unsupported_test_shape", None, "r", "g2"),
+        ("internal_error", None, "ValueError: no check function", "r", None), ("internal_error", None, "unknown task: t4", "r", None), ("internal_error", None, "missing_parse_outcome", "r", None),
+    ]
 
 
 def test_fail_fast_and_zip(spark):

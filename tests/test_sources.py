@@ -1,28 +1,30 @@
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from evalmill.functions import columns as C
 from evalmill.functions.compress import zstd_length
+from evalmill.operators import events as E
 from evalmill.schemas import ATTEMPTS, TASKS
 from evalmill.sources import attempts as A
 from evalmill.sources import sinks
 from evalmill.sources.tasks import Profiles, get, snapshot, write_snapshot
 
-FENCED = "```python\ndef has_close_elements(numbers, threshold):\n    return False\n```"
-DEDUP = [(FENCED, 42), ("def has_close_elements(numbers, threshold):\n    pass\n", 7), ("def has_close_elements(numbers, threshold):\n    return True\n", 3)]
+FENCED = "```python\ndef widest(spans):\n    return max(b - a for a, b in spans)\n```"
+DEDUP = [(FENCED, 42), ("def widest(spans):\n    return 0\n", 7), ("def widest(spans):\n    return len(spans)\n", 3)]
 
 
 @pytest.fixture
 def tasks(spark):
-    return spark.createDataFrame([("HumanEval/0", "has_close_elements", "from typing import List\n", "    return 0", "x"), ("HumanEval/1", "g", "p1", "s1", "y")], TASKS)
+    return spark.createDataFrame([("HumanEval/0", "widest", "def widest(spans):\n", "    return 0", "x"), ("HumanEval/1", "g", "p1", "s1", "y")], TASKS)
 
 
 @pytest.fixture
 def pool(spark, tmp_path):
-    rows = [("HumanEval/0", "from typing import List: first", FENCED, "m", "budget", "keep-me"), ("HumanEval/0", "second", FENCED, "m", "other", None), ("HumanEval/1", "third", "x = 1", None, "budget", "k"), ("HumanEval/1", "fourth", "y", "m", None, "k")]
+    rows = [("HumanEval/0", "the widest span: first", FENCED, "m", "budget", "keep-me"), ("HumanEval/0", "second", FENCED, "m", "other", None), ("HumanEval/1", "third", "x = 1", None, "budget", "k"), ("HumanEval/1", "fourth", "y", "m", None, "k")]
     path = str(tmp_path / "dump/per_elem/human_eval-0-decode.parquet")
     spark.createDataFrame(rows, "human_eval_task_id string, decoder_input_description string, raw_code_output string, model string, pool_name string, extra_col string").coalesce(1).write.parquet(path)
     (tmp_path / "dump/per_elem/human_eval-0-decode-dedup.jsonl").write_text("\n\n".join(json.dumps({"out": o, "count": n}) for o, n in DEDUP) + "\n")
@@ -31,7 +33,7 @@ def pool(spark, tmp_path):
 
 def test_pool(spark, tasks, pool):
     rows = A.pool_parquet(spark, pool[0], tasks).orderBy("pos").collect()
-    assert len(rows) == 4 and rows[0].entry_point == "has_close_elements" and {r.provenance.source for r in rows} == {"pool"}
+    assert len(rows) == 4 and rows[0].entry_point == "widest" and {r.provenance.source for r in rows} == {"pool"}
     assert rows[0].provenance.extra == {"extra_col": "keep-me"} and rows[1].provenance.extra == {}
     assert rows[0].sample_id == hashlib.sha256(f"HumanEval/0\0{FENCED}".encode()).hexdigest()[:16]
     assert A.pool_parquet(spark, pool[0], tasks, limit=0).count() == 1
@@ -43,8 +45,8 @@ def test_dedup(spark, tasks, pool):
     rows = A.pool_dedup(spark, pool[1], tasks).orderBy("pos").collect()
     assert [r.provenance.occurrence_count for r in rows] == [42, 7, 3] and rows[0].task_id == "HumanEval/0"
     joined = A.pool_dedup_with_parquet(spark, pool[1], pool[0], tasks).orderBy("pos").collect()
-    assert joined[0].provenance.pool_name == "budget" and joined[0].decoder_input == "from typing import List: first" and joined[0].provenance.occurrence_count == 42
-    assert joined[2].decoder_input.startswith("from typing import") and joined[2].provenance.pool_name is None
+    assert joined[0].provenance.pool_name == "budget" and joined[0].decoder_input == "the widest span: first" and joined[0].provenance.occurrence_count == 42
+    assert joined[2].decoder_input.startswith("def widest") and joined[2].provenance.pool_name is None
     run = A.proof_attempts(spark, pool[2], [0], tasks, "run-9", 2).collect()
     assert len(run) == 2 and {r.run_id for r in run} == {"run-9"}
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
@@ -119,6 +121,51 @@ def test_upsert(spark, tmp_path):
     assert {(r.run_id, r.sample_id, r.outcome_kind) for r in spark.read.parquet(path).collect()} == {("r1", "a", "skipped"), ("r1", "b", "tested"), ("r2", "a", "tested")}
 
 
+def test_broken_upserts_recover(spark, tmp_path, monkeypatch):
+    """Stopped before the mark: as if it had not begun. Stopped after it, with a damaged table: the whole state comes back."""
+    path = str(tmp_path / "results")
+    schema = "run_id string, sample_id string, outcome_kind string, pos long"
+    first = spark.createDataFrame([("r1", "a", "tested", 0), ("r1", "c", "tested", 0), ("r2", "a", "tested", 0)], schema)
+    second = spark.createDataFrame([("r1", "a", "skipped", 1), ("r1", "b", "tested", 1), ("r1", "c", "late", -1)], schema)
+    rows = lambda: {(r.run_id, r.sample_id, r.outcome_kind) for r in spark.read.parquet(path).collect()}
+    sinks.upsert(first, path)
+    before = rows()
+
+    def stop(*a):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_document", stop)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.upsert(second, path)
+    assert rows() == before
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_put_in_place", stop)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.upsert(second, path)
+    shutil.rmtree(tmp_path / "results/run_id=r1")  # as an overwrite that was broken off leaves it
+    want = {("r1", "a", "skipped"), ("r1", "b", "tested"), ("r1", "c", "tested"), ("r2", "a", "tested")}
+    sinks.recover(spark, path)
+    assert rows() == want and not list(tmp_path.glob("results.next-*"))
+    sinks.upsert(second, path)
+    assert rows() == want
+
+
+def test_absent_files_are_empty(spark, tmp_path):
+    assert A.parse_outcomes(spark, str(tmp_path / "none.jsonl")).count() == 0 and A.test_outcomes(spark, str(tmp_path / "none.jsonl"), last=False).count() == 0
+    assert A.flat_table(spark, str(tmp_path / "none.parquet"), TASKS).count() == 0
+
+
+def test_events_of_a_file_tell_their_attempts(spark, tmp_path):
+    event = lambda job, attempt: json.dumps({"run_id": "r", "job_id": job, "lane": "default", "stage": "test", "event": "terminal", "timestamp": "2026-01-01T00:00:00+00:00", "payload": json.dumps({"payload": {"attempt": attempt}})})
+    (tmp_path / "e.json").write_text("\n".join([event("j1", {"task_id": "t1"}), event("j2", {"sample_id": "s2"}), event("j3", {"sample_id": "unknown"})]))
+    attempts = spark.createDataFrame([(0, "s2", "t2", 1)], "pos long, sample_id string, task_id string, provenance_occurrence_count long")
+    e = A.events(spark, str(tmp_path / "e.json"), "r")
+    assert {(r.job_id, r.task_id) for r in E.job_tasks(e, attempts).collect()} == {("j1", "t1"), ("j2", "t2")}
+    none = spark.createDataFrame([], "pos long, sample_id string, parse_success boolean, outcome_kind string, all_tests_passed boolean")
+    assert E.metrics_report("r", 3, e, attempts, none, none)["terminal_count"] == 3
+
+
 def test_constructors(spark):
     t = spark.createDataFrame([("t", "e", "d", "r", "enc")], "task_id string, entry_point string, decoder_input string, raw_output string, enc string")
     b = C.from_bottleneck(t, "enc", model=F.lit("m")).first()
