@@ -5,7 +5,8 @@ those not known to be frequent first, by hash, then the frequent ones by count.
 keeps passages that many documents share out of the prefixes. Two sets with Jaccard similarity t or more share a
 shingle within their first n - ceil(t * n) + 1, and at the first shared one enough of either set must be left.
 
-Texts are cut into shingles once; the sets are written to the shared folder and read from there.
+Texts are cut into shingles anew for each of four passes, as sets of hashes take twice the room of texts and prefixes half of it: to count frequent shingles, for
+sizes and groups, for prefixes, and for the sets of those documents that any pair could have.
 
 1. Documents with equal sets form a class; classes with the same prefix and size form a group. Only groups
    enter the buckets of the prefix shingles.
@@ -14,7 +15,8 @@ Texts are cut into shingles once; the sets are written to the shared folder and
    verified on the sets (after a sketch of odd counts has bounded their difference); links give components, and the next
    round looks only across them.
 3. Last, each bucket pairs all groups that are not in one component yet and pass the filters of size and position. A bucket of more
-   than BLOCK groups is cut into blocks, and pairs of blocks are dealt to tasks; blocks of one component only are never paired with each other.
+   than BLOCK groups is cut into blocks, and pairs of blocks are dealt to tasks; groups of the bucket's largest component have blocks of their own, which are never
+   paired with each other.
    Group pairs are expanded to blocks of members, whose sketches are compared before a pair of members is passed on to be
    verified. What is never verified is in one component already. So no
    link between components is lost, and a large group of copies never gives all its pairs.
@@ -51,13 +53,12 @@ PART_TOKENS, LOOSE = 1 << 19, 1 << 22
 #: Groups of a bucket up to which each must fit another one to stay; larger buckets stay as they are.
 SMALL_BUCKET = 64
 #: Groups of a bucket, and members of a group, that one task compares at once with others.
-BLOCK, MEMBERS = 1024, 256
+BLOCK, MEMBERS = 256, 256
 
 #: Bits of the sketch of a set: one each for an odd number of shingles with that hash.
 SKETCH = 2048
 
-SETS = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, hashes binary"
-PREFIXES = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, gid bigint, first binary"
+SETS = "doc_id bigint, rk bigint, h bigint, n int, fp bigint, gid bigint"
 TOKENS = "part int, tokens binary, at binary, pos binary, gids binary, sizes binary"
 ROWS = "token bigint, gid bigint, n int, pos int"
 PAIR = "u bigint, v bigint"
@@ -90,18 +91,7 @@ def _hashed(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _sets(words: int):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rks, found = batch["rk"].to_pylist(), shingles(texts_of(batch["text"]), words)
-            fp = [_digest(x) if len(x) else rk for rk, x in zip(rks, found)]
-            columns = [batch["id"], batch["rk"], batch["h"], pa.array([len(x) for x in found], pa.int32()), pa.array(fp, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SETS.split(", ")])
-
-    return f
-
-
-def _frequent(stretch: int):
+def _frequent(words: int, stretch: int):
     """Shingles that several sets of a stretch have, and how many have them."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +105,7 @@ def _frequent(stretch: int):
             return pa.RecordBatch.from_arrays([pa.array(found[head[count > 1]].view(np.int64)), pa.array(count[count > 1], pa.int64())], ["h", "c"])
 
         for batch in batches:
-            sets = _hashed(batch["hashes"])
+            sets = [x for x in shingles(texts_of(batch["text"]), words) if len(x)]
             held += sets
             size += sum(x.nbytes for x in sets)
             if size > stretch:
@@ -143,26 +133,21 @@ def _digest(x: np.ndarray, seed: int = 0) -> int:
     return int(mixed(np.array([(x * place).sum() + np.uint64(seed)], np.uint64)).view(np.int64)[0])
 
 
-def _prefixes(percent: int, frequent):
-    """Each set's group; the prefix itself only from the first of a group in a stretch."""
+def _sets(words: int, percent: int, frequent):
+    """Each set's size, digest and group."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            gids, firsts = [], []
-            for rk, x in zip(batch["rk"].to_pylist(), _hashed(batch["hashes"])):
-                first, gid = _prefix(x, frequent.value, percent) if len(x) else (x, rk)
-                gids.append(gid)
-                firsts.append(first.tobytes() if len(x) and gid not in seen else None)
-                seen.add(gid)
-            if len(seen) > STRETCH >> 6:
-                seen = set()
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "rk", "h", "n", "fp")), pa.array(gids, pa.int64()), pa.array(firsts, pa.binary())], [c.split()[0] for c in PREFIXES.split(", ")])
+            rks, sets = batch["rk"].to_pylist(), shingles(texts_of(batch["text"]), words)
+            fps = [_digest(x) if len(x) else rk for rk, x in zip(rks, sets)]
+            gids = [_prefix(x, frequent.value, percent)[1] if len(x) else rk for rk, x in zip(rks, sets)]
+            columns = [batch["id"], batch["rk"], batch["h"], pa.array([len(x) for x in sets], pa.int32()), pa.array(fps, pa.int64()), pa.array(gids, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SETS.split(", ")])
 
     return f
 
 
-def _tokens(parts: int):
+def _tokens(words: int, percent: int, frequent, parts: int):
     """Prefix shingles dealt by hash, packed: one row per stretch and part."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +170,12 @@ def _tokens(parts: int):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)], [c.split()[0] for c in TOKENS.split(", ")])
 
         for batch in batches:
-            for gid, n, first in zip(batch["gid"].to_pylist(), batch["n"].to_pylist(), _hashed(batch["first"])):
-                if gid not in held:
-                    held[gid] = first, n
-                    total += len(first)
+            for x in shingles(texts_of(batch["text"]), words):
+                if len(x):
+                    first, gid = _prefix(x, frequent.value, percent)
+                    if gid not in held:
+                        held[gid] = first, len(x)
+                        total += len(first)
             if total > STRETCH >> 4:
                 yield flush()
                 held, total = {}, 0
@@ -269,7 +256,7 @@ def _stars(rows: DataFrame, percent: int) -> DataFrame:
     The first of a bucket is an aggregate and comes back by a join, so that adaptive execution may split a crowded bucket.
     """
     centre = rows.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct((F.col("n") - F.col("pos")).alias("rest"), "gid", "n", "pos", "label")).alias("c"))
-    centre = small_side(staged(centre.where("many > 1").select("token", "c.*"), "centres"))
+    centre = centre.where("many > 1").select("token", "c.*")
     both = rows.alias("a").join(centre.alias("c"), "token").where((F.col("a.gid") != F.col("c.gid")) & ((F.col("a.label") != F.col("c.label")) | (F.col("a.label") == 0)) & _fit("c", "a", percent))
     return both.select(F.least("a.gid", "c.gid").alias("u"), F.greatest("a.gid", "c.gid").alias("v"), "c.rest")
 
@@ -291,17 +278,17 @@ def _across(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, percent:
             yield _pairs(a["gid"][i[x]], other["gid"][y])
 
 
-def _cells(percent: int, key: str):
-    """Rows sorted by a cell's key and side: pairs within a cell of one side, and across those of two."""
-    names = [*key.split(), "side", "gid", "n", "pos", "label"]
+def _cells(percent: int):
+    """Rows sorted by token, cell (a, b) and side: pairs within a block (a = b), and across two."""
+    key, names = ("token", "a", "b"), ("token", "a", "b", "side", "gid", "n", "pos", "label")
 
-    def cell(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = ({k: c[k][c["side"] == s].astype(np.int64) for k in ("gid", "n", "pos", "label")} for s in (0, 1))
-        if not len(b["n"]):  # one side alone; a pair of blocks has both, as blocks without rows are in no cell
-            if len(a["n"]) > 1 and not (a["label"][0] and (a["label"] == a["label"][0]).all()):
-                yield from _across(a, None, percent)
-        else:
-            yield from _across(a, b, percent)
+    def cell(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        c = {k: np.concatenate([x[k] for x in parts]) for k in names}
+        x, y = ({k: c[k][c["side"] == s].astype(np.int64) for k in ("gid", "n", "pos", "label")} for s in (0, 1))
+        if c["a"][0] == c["b"][0]:
+            yield from _across(x, None, percent)
+        elif len(x["n"]) and len(y["n"]):
+            yield from _across(x, y, percent)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []  # of the cell at hand
@@ -310,17 +297,17 @@ def _cells(percent: int, key: str):
                 continue
             c = _columns(batch, " ".join(names))
             new = np.zeros(batch.num_rows, bool)
-            for k in key.split():
+            for k in key:
                 new[1:] |= c[k][1:] != c[k][:-1]
             head = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
             for b, e in zip(head, head[1:]):
                 part = {k: v[b:e] for k, v in c.items()}
-                if held and any(held[0][k][0] != part[k][0] for k in key.split()):
-                    yield from cell({k: np.concatenate([x[k] for x in held]) for k in names})
+                if held and any(held[0][k][0] != part[k][0] for k in key):
+                    yield from cell(held)
                     held = []
                 held.append(part)
         if held:
-            yield from cell({k: np.concatenate([x[k] for x in held]) for k in names})
+            yield from cell(held)
 
     return f
 
@@ -328,36 +315,30 @@ def _cells(percent: int, key: str):
 def _crossed(rows: DataFrame, percent: int, block: int | None = None) -> DataFrame:
     """rows: token, gid, n, pos, label (staged). All pairs of groups of a bucket that fit and aren't in one component: u, v.
 
-    A bucket of at most a block is one cell, held by one task. Of larger ones, components with more than a block of groups have blocks of
-    their own, other groups are dealt to blocks by component, and each pair of blocks is a cell, but for those within one component.
+    A bucket of at most a block is one cell, held by one task. In a larger one, groups of the largest component are dealt to `major` blocks and all others to
+    `minor` blocks; cells are the pairs of minor blocks and those of a major with a minor one. Each row goes to all of its cells.
     """
     block = BLOCK if block is None else block
-    parts = partitions(rows.sparkSession)
-    mixed = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = staged(mixed.where((F.col("m") > 1) & ((F.col("lo") != F.col("hi")) | (F.col("lo") == 0))).select("token", "m"), "mixed-buckets")
-    small, large = (rows.join(small_side(staged(mixed.where(c), "buckets")), "token") for c in (F.col("m") <= block, F.col("m") > block))
-    one = map_batches(small.withColumn("side", F.lit(0)).select("token", "side", "gid", "n", "pos", "label").repartition(parts, "token").sortWithinPartitions("token"), _cells(percent, "token"), PAIR)
-    large = staged(large, "crowded-buckets")
-    if large.isEmpty():
-        return one.distinct()
-    giant = large.groupBy("token", "label").agg(F.count("*").alias("c")).where((F.col("label") != 0) & (F.col("c") > block))
-    giant = staged(giant.select("token", "label", F.ceil(F.col("c") / block).cast("long").alias("own")), "giant-components")
-    large = large.join(small_side(giant), ["token", "label"], "left")
-    rest = F.pmod(F.xxhash64(F.when(F.col("label") == 0, F.col("gid")).otherwise(F.col("label"))), F.ceil(F.col("m") / block).cast("long"))
-    large = staged(large.withColumns({"lab": F.when(F.col("own").isNull(), F.lit(0)).otherwise(F.col("label")), "part": F.when(F.col("own").isNull(), rest).otherwise(F.pmod(F.xxhash64("gid"), F.col("own")))}), "block-rows")
-    blocks = large.select("token", "lab", "part").distinct()
-    a, b = (blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("lab", "part"))) for s in "ab")
-    ordered = (F.col("lab_a") < F.col("lab_b")) | ((F.col("lab_a") == F.col("lab_b")) & (F.col("lab_a") == 0) & (F.col("part_a") <= F.col("part_b")))
-    cells = staged(a.join(b, "token").where(ordered), "cells")
-    key = ["token", "lab_a", "part_a", "lab_b", "part_b"]
-
-    def side(s: int, those: DataFrame) -> DataFrame:
-        own = large.select("token", F.col("lab").alias(f"lab_{'ab'[s]}"), F.col("part").alias(f"part_{'ab'[s]}"), "gid", "n", "pos", "label")
-        return own.join(those, ["token", f"lab_{'ab'[s]}", f"part_{'ab'[s]}"]).select(*key, F.lit(s).alias("side"), "gid", "n", "pos", "label")
-
-    apart = (F.col("lab_a") != F.col("lab_b")) | (F.col("part_a") != F.col("part_b"))
-    dealt = side(0, cells).unionByName(side(1, cells.where(apart))).repartition(4 * parts, *key).sortWithinPartitions(*key, "side")
-    return one.unionByName(map_batches(dealt, _cells(percent, " ".join(key)), PAIR)).distinct()
+    by = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    own = F.when(F.col("label") != 0, F.struct("c", "label"))
+    about = by.groupBy("token").agg(F.sum("c").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(own).alias("most"))
+    about = about.where((F.col("m") > 1) & ((F.col("lo") != F.col("hi")) | (F.col("lo") == 0)))
+    crowded, most = F.col("m") > block, F.coalesce("most.c", F.lit(0))
+    blocks = lambda c: F.when(crowded, F.ceil(c / block)).otherwise(F.lit(0)).cast("int")
+    about = about.select("token", F.when(crowded, F.col("most.label")).alias("largest"), blocks(most).alias("major"), blocks(F.col("m") - most).alias("minor"))
+    dealt = rows.join(about, "token")
+    is_major = F.coalesce(F.col("label") == F.col("largest"), F.lit(False))
+    number = lambda n: F.pmod(F.xxhash64("gid"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    dealt = dealt.withColumns({"is_major": is_major, "at": F.when(is_major, number("major")).otherwise(number("minor"))})
+    # a cell: blocks a and b, minor ones from 0, major ones below 0 and never with each other; side: which of the two the row is in
+    cell = lambda a, b, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"))
+    others = F.sequence(F.lit(0), F.greatest("minor", F.lit(1)) - 1)
+    majors = F.when(F.col("major") > 0, F.sequence(F.lit(1), F.col("major"))).otherwise(F.array().cast("array<int>"))
+    of_major = F.transform(others, lambda j: cell(-1 - F.col("at"), j, 0))
+    of_minor = F.concat(F.transform(others, lambda j: F.when(j < F.col("at"), cell(j, F.col("at"), 1)).otherwise(cell(F.col("at"), j, 0))), F.transform(majors, lambda i: cell(-i, F.col("at"), 1)))
+    dealt = dealt.withColumn("cell", F.explode(F.when(F.col("is_major"), of_major).otherwise(of_minor))).select("token", "cell.a", "cell.b", "cell.side", "gid", "n", "pos", "label")
+    dealt = dealt.repartition(partitions(rows.sparkSession), "token", "a", "b").sortWithinPartitions("token", "a", "b", "side")
+    return map_batches(dealt, _cells(percent), PAIR).distinct()
 
 
 def _verify(percent: int):
@@ -376,10 +357,22 @@ def _verify(percent: int):
     return f
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        odd = [np.packbits(np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes() for x in _hashed(batch["hashes"])]
-        yield pa.RecordBatch.from_arrays([batch["fp"], batch["n"], pa.array(odd, pa.binary())], ["fp", "n", "odd"])
+def _hashes(words: int):
+    """Sets with their sketches, each once in a stretch of rows."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fps = batch["fp"].to_pylist()
+            new = [k for k, fp in enumerate(fps) if fp not in seen and not seen.add(fp)]
+            batch = batch.take(pa.array(new, pa.int64()))
+            if len(seen) > STRETCH >> 6:
+                seen = set()
+            sets = shingles(texts_of(batch["text"]), words)
+            odd = [np.packbits(np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array([len(x) for x in sets], pa.int32()), pa.array(odd, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "n", "odd", "hashes"])
+
+    return f
 
 
 def _possible(percent: int):
@@ -422,14 +415,14 @@ def _group_labels(member: DataFrame) -> DataFrame:
     return member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(0)).alias("label"))
 
 
-def frequent_shingles(sets: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(texts: DataFrame, words: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """About so many shingles at most (a quarter more by chance), those with the highest counts, sorted by hash, and their counts.
 
     Of the shingles in the bin of counts that no longer fits, those with the least hashes are taken, so the table is never
     empty where shingles repeat, however often.
     """
     most = FREQUENT if most is None else most
-    counted = staged(map_batches(sets.select("hashes"), _frequent(STRETCH), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    counted = staged(map_batches(texts.select("text"), _frequent(words, STRETCH), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
     bin_of = F.when(F.col("c") < EXACT_COUNTS, F.col("c")).otherwise(EXACT_COUNTS + F.floor(F.log2(F.col("c") / EXACT_COUNTS) * SCALE)).cast("long")
     binned, least, total, share = counted.withColumn("bin", bin_of), 1 << 62, 0, 0.0
     for r in binned.groupBy("bin").count().orderBy(F.desc("bin")).toLocalIterator():
@@ -466,20 +459,20 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     """doc_id, rk, h, n, component_id."""
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), whole_text(text_col)).alias("rk"), F.xxhash64(whole_text(text_col)).alias("h"), whole_text(text_col).alias("text"))
-    sets = staged(map_batches(keyed, _sets(words), SETS), "shingle-sets")
-    often = spark.sparkContext.broadcast(frequent_shingles(sets.where("n > 0")))
-    prefixes = staged(map_batches(sets, _prefixes(percent, often), PREFIXES), "shingle-prefixes")
-    classes = staged(prefixes.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk"), F.min("gid").alias("gid")), "shingle-classes")
-    groups = staged(classes.groupBy("gid").agg(F.min("fp").alias("rep"), F.count("*").alias("members")), "shingle-groups")
-    firsts = prefixes.where("first is not null").select("gid", "n", "first")
-    parts = parts_for(spark, firsts.agg(F.coalesce(F.sum(F.octet_length("first").cast("long")), F.lit(0))).first()[0] >> 3, PART_TOKENS, 4)
-    packed = map_batches(firsts, _tokens(parts), TOKENS)
+    often = spark.sparkContext.broadcast(frequent_shingles(keyed, words))
+    sets = staged(map_batches(keyed, _sets(words, percent, often), SETS), "shingle-sets")
+    classes = staged(sets.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk"), F.min("gid").alias("gid")), "shingle-classes")
+    groups = staged(classes.groupBy("gid").agg(F.min("fp").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n")), "shingle-groups")
+    expected = groups.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n").cast("long") * percent / 100) + 1), F.lit(0)).cast("long")).first()[0]
+    parts = parts_for(spark, expected, PART_TOKENS, 4)
+    packed = map_batches(keyed.select("text"), _tokens(words, percent, often, parts), TOKENS)
     rows = staged(map_batches(packed.repartition(-(-parts // 4), "part").sortWithinPartitions("part"), _buckets(percent), ROWS), "shingle-buckets")
 
-    # sketches of all classes that can be in a pair
+    # sets and sketches of all classes that can be in a pair
     paired = rows.select("gid").unionByName(groups.where("members > 1").select("gid")).distinct()
     wanted = staged(classes.join(paired, "gid").select("fp", "rk"), "shingle-wanted")
-    sketches = staged(map_batches(sets.select("rk", "n", "hashes").join(small_side(wanted), "rk").select("fp", "n", "hashes"), _sketches, "fp bigint, n int, odd binary").dropDuplicates(["fp"]), "shingle-sketches")
+    hashes = staged(map_batches(keyed.select("rk", "text").join(small_side(wanted), "rk").select("fp", "text"), _hashes(words), "fp bigint, n int, odd binary, hashes binary"), "shingle-hashes")
+    sketches = hashes.select("fp", "n", "odd")
 
     def possible(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("fp").alias("u"), F.col("n").alias("m"), F.col("odd").alias("a"))
@@ -487,17 +480,15 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
         return staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "m", "n", "a", "b"), _possible(percent), PAIR), "possible")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # rows that repeat a class's id and text give its set more than once, and so a pair: the links stay the same
-        some = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-        some = staged(wanted.join(some, "fp"), "possible-sets")
-        some = sets.select("rk", "hashes").join(small_side(some), "rk").select("fp", "hashes")
+        # rows that repeat a class's id and text may give its set more than once, and so a pair: the links stay the same
+        some = hashes.select("fp", "hashes").join(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi")
         a = some.select(F.col("fp").alias("u"), F.col("hashes").alias("a"))
         b = some.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
         return staged(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), _verify(percent), PAIR), "links")
 
     rep = groups.select("gid", "rep")
     member = classes.select("gid", "fp", F.col("fp").alias("label"))
-    labels = tried = None
+    tried = None
     for k in range(ROUNDS):
         labelled = staged(rows.join(_group_labels(member), "gid"), "labelled")
         stars = _stars(labelled, percent).groupBy("u", "v").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
@@ -510,12 +501,11 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
         tried = best if tried is None else tried.unionByName(best)
         pairs = best.join(rep.select(F.col("gid").alias("u"), F.col("rep").alias("ru")), "u").join(rep.select(F.col("gid").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         if not k:
-            pairs = pairs.unionByName(classes.join(groups.where("members > 1"), "gid").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v")))
-        labels = merged(labels, verified(possible(pairs)))
-        member = staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("gid", "fp", F.coalesce("label", "fp").alias("label")), "members")
+            pairs = pairs.unionByName(classes.join(groups.where("members > 1").select("gid", "rep"), "gid").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v")))
+        member = merged(member, verified(possible(pairs)))
 
     # all that is left
-    one = staged(_group_labels(member), "group-labels")
+    one = _group_labels(member)
     crossed = _crossed(staged(rows.join(one, "gid"), "labelled"), percent)
     pairs = staged(crossed.unionByName(one.where("label = 0").select(F.col("gid").alias("u"), F.col("gid").alias("v"))), "group-pairs")
     block = F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / MEMBERS).cast("long"))
@@ -526,11 +516,12 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     b = blocks.select(F.col("gid").alias("v"), F.col("block").alias("bv"), F.col("n").alias("m"), F.col("fp").alias("fv"), F.col("label").alias("lv"), F.col("odd").alias("ov"))
     both = pairs.join(a, "u").join(b, "v").where("u <> v or bu <= bv").select("n", "m", "fu", "lu", "ou", "fv", "lv", "ov")
     more = staged(map_batches(both, _possible_members(percent), PAIR).distinct(), "possible")
-    labels = merged(labels, verified(more))
+    member = merged(member, verified(more))
 
-    low = classes.join(labels, F.col("fp") == F.col("node")).groupBy("label").agg(F.min("doc").alias("component"))
-    named = classes.join(labels.join(low, "label").select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "n", F.coalesce("component", "doc").alias("component"))
-    return prefixes.select("doc_id", "rk", "h", "n", "fp").join(named, ["fp", "n"], "left").select("doc_id", "rk", "h", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    named = member.select("fp", "label").join(classes.select("fp", "n", "doc"), "fp")
+    low = named.groupBy("label").agg(F.min("doc").alias("component"))
+    named = named.join(low, "label").select("fp", "n", F.coalesce("component", "doc").alias("component"))
+    return sets.select("doc_id", "rk", "h", "n", "fp").join(named, ["fp", "n"], "left").select("doc_id", "rk", "h", "n", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
