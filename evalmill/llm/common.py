@@ -69,22 +69,36 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+#: Folders that staged() has written, by application, in order.
+_written: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as written to the shared folder: cuts the lineage, outlives executors, and is read as often as needed.
 
-    The folder is <shared root>/evalmill/<application>/<name>-<random>; release() removes all of an application.
+    The folder is <shared root>/evalmill/<application>/<name>-<random>; release() removes them.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/evalmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what staged() has written in this application; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/evalmill/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def mark(spark: SparkSession) -> int:
+    """The place in the list of written folders, for release()."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Delete what staged() has written in this application since a mark, but the last so many folders; call it once results are stored."""
+    app = spark.sparkContext.applicationId
+    paths = _written.get(app, [])
+    gone = paths[since : len(paths) - but_last]
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[app] = [p for p in paths if p not in gone]
 
 
 def partitions(spark: SparkSession) -> int:
