@@ -19,17 +19,19 @@ from .plans import jobs
 from .sources import attempts as A
 from .sources import sinks
 from .sources.tasks import Profiles, snapshot, stub_attempts
-from .staging import staged
+from .staging import exists, staged
 
 
-def preflight(spark: SparkSession, *paths: str) -> list[str]:
-    """What is missing before a run: paths that can't be seen, a shared folder."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    wrong = []
-    for path in filter(None, paths):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(conf).exists(p):
-            wrong.append(f"no such path: {path}")
+def preflight(spark: SparkSession, *paths: str, handlers: str | None = None) -> list[str]:
+    """What is missing before a run: paths that can't be seen, handlers that can't be loaded, a shared folder."""
+    from .streaming.runs import Registry
+
+    wrong = [f"no such path: {path}" for path in filter(None, paths) if not exists(spark, path)]
+    if handlers:
+        try:
+            Registry.load(handlers)
+        except (ImportError, ValueError) as e:
+            wrong.append(f"no handlers: {e}")
     if not spark.sparkContext.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
         wrong.append("spark.checkpoint.dir is not set")
     return wrong
@@ -172,7 +174,7 @@ def main(argv: list[str] | None = None) -> None:
     command("profiles", profiles, "file", "id", id=None)
     args = parser.parse_args(argv)
     spark = session.get()
-    wrong = preflight(spark, *(getattr(args, k, None) for k in ("source", "tasks", "attempts", "parse", "pool") if isinstance(getattr(args, k, None), str)))
+    wrong = preflight(spark, *(getattr(args, k, None) for k in ("source", "tasks", "attempts", "parse", "pool") if isinstance(getattr(args, k, None), str)), handlers=getattr(args, "handlers", None))
     if wrong:
         raise SystemExit("\n".join(wrong))
     print(args.f(spark, args))

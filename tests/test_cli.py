@@ -45,6 +45,8 @@ def test_import_to_analysis(spark, tmp_path, capsys):
         cli.main(["spot-check", "--attempts", at("a.jsonl"), "--task", "HumanEval/0"])
     cli.main(["tune", "--attempts", at("a.jsonl"), "--parse", at("p.jsonl"), "--tasks", at("tasks.json"), "--timeout", "10", "--start", "1", "--most", "1", "--least", "1", "--out", at("sweep.json")])
     assert "best: 1 workers" in capsys.readouterr().out and json.loads((tmp_path / "sweep.json").read_text())["steps"][0]["reliable"]
+    with pytest.raises(SystemExit, match="no handlers"):
+        step("preflight", "--handlers", "no_such_module")
     with pytest.raises(SystemExit, match="no such path"):
         cli.main(["parse", "--attempts", at("none.jsonl"), "--out", at("x")])
 
