@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.llm import common, near_dups, pfp, pitman_yor, repeats, secret_scan, toxicity
+from evalmill.llm import components as component_steps
 from evalmill.llm.components import components, merged
 
 KEY = lambda x: (x is None, x)
@@ -133,6 +135,7 @@ def test_near_duplicates_in_small_blocks(spark, docs, hard, monkeypatch):
     """Buckets cut into blocks, members compared in blocks, parts passed on unfiltered, a short table of frequent shingles, no broadcasts, no star rounds' help."""
     for name, value in (("BLOCK", 3), ("MEMBERS", 2), ("SMALL_BUCKET", 2), ("LOOSE", 50), ("PART_TOKENS", 300), ("STRETCH", 20_000), ("FREQUENT", 40), ("EXACT_COUNTS", 4), ("ROUNDS", 1)):
         monkeypatch.setattr(near_dups, name, value)
+    monkeypatch.setattr(component_steps, "TASK_LINKS", 0)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(60)]
@@ -175,11 +178,13 @@ def test_labels_merge_as_if_found_at_once(spark):
     rng = random.Random(4)
     links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)]
     frames = [spark.createDataFrame(x, "u long, v long") for x in (links[:25], links[25:45], links[45:], [])]
-    labels = None
-    for f in frames:
-        labels = merged(labels, f)
-    whole = components(frames[0].unionByName(frames[1]).unionByName(frames[2]))
-    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
+    nodes = spark.createDataFrame([(k, k, "x") for k in range(90)], "fp long, label long, gid string")
+    whole = {r.node: r.label for r in components(frames[0].unionByName(frames[1]).unionByName(frames[2])).collect()}
+    for task_links in (0, 1000):
+        member = nodes
+        for f in frames:
+            member = merged(member, f, task_links)
+        assert member.columns == nodes.columns and {r.fp: r.label for r in member.collect()} == {k: whole.get(k, k) for k in range(90)}
 
 
 def test_one_document_of_each_component_stays(docs):
@@ -216,8 +221,9 @@ def test_components(spark):
     for a, b in links:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    got = {r.node: r.label for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
-    assert got == {x: root(x) for x in parent if any(x in e for e in links if e[0] != e[1])}
+    for task_links in (0, 1000):  # by steps over tables, and in one task
+        got = {r.node: r.label for r in components(spark.createDataFrame(links, "u long, v long"), task_links).collect()}
+        assert got == {x: root(x) for x in parent if any(x in e for e in links if e[0] != e[1])}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -508,6 +514,31 @@ def test_scores_equal_a_plain_sampler(spark):
         assert abs(g - w) < 0.02 * (len(t) + 1) + 0.02 * abs(w), (t, g, w)
 
 
+def test_counts_do_not_depend_on_stretches(hard, monkeypatch):
+    """Texts packed in many stretches, also such as are longer than one, and merged in many steps give the counts of one."""
+    monkeypatch.setattr(pitman_yor, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in hard], pa.int64()), pa.array([t for _, t in hard])], ["id", "text"])
+    frequent = SimpleNamespace(value=np.sort(pitman_yor.word_hashes([t.encode() for _, t in hard if t])[0])[::50])
+
+    def counts(stretch, docs, merge):
+        for name, value in (("STRETCH", stretch), ("STRETCH_DOCS", docs), ("MERGE", merge)):
+            monkeypatch.setattr(pitman_yor, name, value)
+        rows = list(pitman_yor._pack(5, True, frequent)(iter([batch])))
+        table = pa.Table.from_batches(rows).sort_by([("part", "ascending"), ("stretch", "ascending")])
+        return len(rows), {r["part"]: {k: r[k] for k in ("words", "pairs", "contexts", "counts", "sums")} for b in pitman_yor._add_up(iter(table.to_batches())) for r in b.to_pylist()}
+
+    (one, want), (many, got) = counts(6 << 20, 60_000, 1 << 19), counts(700, 4, 100)
+    assert one == 5 and many > 100 and got == want
+
+
+def test_scores_do_not_depend_on_what_owners_hold(spark, docs, monkeypatch):
+    model = pitman_yor.fit(docs.select("text"), parts=4, samples=1, rounds=1)
+    want = sorted(round(r.score, 9) for r in pitman_yor.scored(docs, model).collect())
+    for name, value in (("HELD", 1), ("STRETCH", 5000)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    assert sorted(round(r.score, 9) for r in pitman_yor.scored(docs, model).collect()) == want
+
+
 def test_strengths_follow_their_posterior():
     """Seatings drawn with a known strength give it back."""
     rng = np.random.default_rng(5)

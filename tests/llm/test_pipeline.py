@@ -1,9 +1,12 @@
 """The pipeline's stages, each by brute force over what its predecessor kept."""
 
 import hashlib
+import os
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalmill.llm import common, pieces, toxicity
+from evalmill.llm import common, exact_dedup, near_dups, pieces, toxicity
 
 from test_large_operators import linked
 from test_small_operators import contaminated
@@ -41,6 +44,27 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, kept[4]))
 
 
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """Columns that helpers might use as names of their own, and repeated rows."""
+    names = ("__rk", "__h", "__keep_id", "rk", "h", "fp", "gid", "owner", "copy", "kind", "label", "token", "nth", "first", "u", "v", "n")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"{k} stays").alias(k) for k in names))
+    for stage in (exact_dedup.kept_rows, near_dups.kept_rows):
+        left, plain = stage(odd), stage(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+        assert left.columns == odd.columns
+        rows = left.collect()
+        assert sorted((r.doc_id is None, r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id is None, r.doc_id, r.text or "") for r in plain.collect())
+        assert all(r[k] == f"{k} stays" for r in rows for k in names)
+
+
+def test_what_stages_write_is_released(spark, docs):
+    since = common.mark(spark)
+    exact_dedup.exact_dedup(docs).collect()
+    paths = [p.removeprefix("file://") for p in common._written[spark.sparkContext.applicationId][since:]]
+    assert len(paths) >= 2 and all(map(os.path.exists, paths))
+    common.release(spark, since, but_last=1)
+    assert [os.path.exists(p) for p in paths] == [False] * (len(paths) - 1) + [True] and common.mark(spark) == since + 1
+
+
 def test_stages_on_hard_rows(spark, docs, none):
     """Nulls, repeated rows and an empty table go through; columns stay."""
     small = docs.select("doc_id", "text", "lang", "source", "n_chars")
