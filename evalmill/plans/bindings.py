@@ -74,10 +74,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What cases of an order say: messages of broken sandboxes, and one of a candidate.
+MESSAGES = ("worker exited with rc=1", "Fork failed: no memory", "Worker timed out after 3s", "worker returned no output", "Missing results list", "ValueError: worker")
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with its cases; their order in the array is not fixed."""
-    flag = F.col("l_returnflag")
-    case = F.struct((flag == "A").alias("passed"), F.when(flag == "R", None).when(F.col("l_linestatus") == "F", "worker exited with rc=1").otherwise("other").alias("error"), F.lit(None).cast("string").alias("compile_error"))
+    """One row per order with its cases; their order in the array is not fixed. Messages of broken sandboxes and one that only looks like it take turns."""
+    flag, kind = F.col("l_returnflag"), F.col("l_orderkey") % len(MESSAGES)
+    said = F.element_at(F.array(*map(F.lit, MESSAGES)), (kind + 1).cast("int"))
+    case = F.struct((flag == "A").alias("passed"), F.when(flag == "R", None).when(F.col("l_linestatus") == "F", said).otherwise("other").alias("error"), F.lit(None).cast("string").alias("compile_error"))
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(case).alias("test_case_results"))
 
 

@@ -279,7 +279,8 @@ def proof_outcome_kinds(spark, sf_dir):
     return E.proof_kinds(B.attempts(spark, sf_dir), B.test_outcomes(spark, sf_dir))
 
 
-_CASES = "SELECT l_orderkey, l_returnflag = 'A' AS passed, CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linestatus = 'F' THEN 'worker exited with rc=1' ELSE 'other' END AS error FROM lineitem"
+_SAID = "CASE l_orderkey % 6 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(B.MESSAGES)) + " END"
+_CASES = f"SELECT l_orderkey, l_returnflag = 'A' AS passed, CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linestatus = 'F' THEN {_SAID} ELSE 'other' END AS error FROM lineitem"
 
 
 @query(f"SELECT l_orderkey, count(*) AS case_count, CAST(count_if(passed) AS DOUBLE) / count(*) AS test_pass_rate FROM ({_CASES}) GROUP BY 1")
@@ -287,7 +288,7 @@ def case_pass_rate(spark, sf_dir):
     return B.cases(spark, sf_dir).select("l_orderkey", F.size("test_case_results").cast("long").alias("case_count"), K.pass_rate(F.col("test_case_results")).alias("test_pass_rate"))
 
 
-@query(f"SELECT l_orderkey, CASE WHEN NOT bool_or(passed) AND count(error) = count(*) AND count(DISTINCT error) = 1 AND min(error) LIKE '%worker exited%' THEN 'infra_error' ELSE 'tested' END AS outcome_kind FROM ({_CASES}) GROUP BY 1")
+@query(f"SELECT l_orderkey, CASE WHEN NOT bool_or(passed) AND count(error) = count(*) AND count(DISTINCT error) = 1 AND min(error) <> 'other' AND min(error) <> 'ValueError: worker' THEN 'infra_error' ELSE 'tested' END AS outcome_kind FROM ({_CASES}) GROUP BY 1")
 def infra_reclassify(spark, sf_dir):
     return B.cases(spark, sf_dir).select("l_orderkey", K.reclassified(F.col("test_case_results")).alias("outcome_kind"))
 
@@ -382,9 +383,13 @@ def throughput_windows(spark, sf_dir):
     return E.windows(B.events(spark, sf_dir)).select(F.unix_micros("window_start").alias("window_us"), "terminals")
 
 
-@query(sql("SELECT seq, gap_us FROM (SELECT seq, us - lag(us) OVER (ORDER BY us, seq) AS gap_us FROM log WHERE event = 'terminal') WHERE gap_us > 1800000000", "log"))
+@query(sql("""SELECT seq, gap_us FROM (SELECT seq, us - lag(us) OVER (ORDER BY us, seq) AS gap_us FROM log WHERE event = 'terminal')
+WHERE gap_us > (SELECT 2 * ((max(us) - min(us)) // greatest(count(*) - 1, 1)) FROM log WHERE event = 'terminal')""", "log"))
 def stalls(spark, sf_dir):
-    return E.stalls(B.events(spark, sf_dir), 1_800_000_000, F.to_date("ts"))
+    """Gaps of more than twice the mean one."""
+    e = B.events(spark, sf_dir)
+    r = e.where(F.col("event") == E.TERMINAL).agg(F.min(E.micros("ts")).alias("a"), F.max(E.micros("ts")).alias("b"), F.count("*").alias("n")).first()
+    return E.stalls(e, 2 * ((r.b - r.a) // max(r.n - 1, 1)) if r.n else 0, F.to_date("ts"))
 
 
 @query("SELECT 'run-' || CAST(user_id AS VARCHAR) AS run_id, CASE WHEN user_id % 2 = 0 THEN 'old' ELSE 'new' END AS init, CASE WHEN user_id % 2 = 0 AND user_id % 3 = 0 THEN 'seeded' END AS seed FROM (SELECT DISTINCT user_id FROM events)")
