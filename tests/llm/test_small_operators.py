@@ -212,6 +212,14 @@ def test_pieces_equal_the_library(docs, hard, none, library):
     assert pieces.digest(pieces.encoded(none, pieces.model_path())).count() == 0
 
 
+def test_the_cache_starts_anew(hard, library, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_RUNS", 50)
+    model = pieces.Pieces(pieces.model_path())
+    for _, t in hard:
+        assert model.encode(t or "")[0].tolist() == library.encode(t or "", add_bos=True, add_eos=True)
+    assert len(model.cache) <= 50
+
+
 def test_spans_cover_the_text(hard, library):
     model = pieces.Pieces(pieces.model_path())
     rng = random.Random(4)
@@ -261,6 +269,30 @@ def test_character_map():
     assert text == "▁Xeec▁d" and first.tolist() == [2, 2, 5, 5, 7, 8, 10] and last.tolist() == [2, 4, 7, 7, 8, 9, 11]
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+def test_character_maps_of_the_library(rule):
+    """Normalising by the library's own compiled maps: the same text, from the same places."""
+    from sentencepiece import SentencePieceNormalizer
+
+    library = SentencePieceNormalizer(rule_name=rule)
+    spec = dict(pieces._fields(dict(pieces._fields(library.serialized_model_proto()))[3]))
+    own = pieces.Normalizer(spec[2], bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)))
+    assert len(own.map.units) > 10_000
+    rng = random.Random(15)
+    letters = "aÀéßſİ ﬁﬃ①㍿Ａｂｶﾞ가각　  \t\n½²™…‥日本😀e\u0301o\u0308\u200b\u00ad\ufeffDŽǆΩΩ"
+    mapped = 0
+    for k in range(1500):
+        text = "".join(rng.choice(letters) if rng.random() < 0.7 else chr(rng.choice((rng.randint(0x21, 0x2FF), rng.randint(0x300, 0x36F), rng.randint(0x3040, 0x30FF), rng.randint(0xF900, 0xFAFF), rng.randint(0xFF01, 0xFFEF)))) for _ in range(rng.randint(0, 25)))
+        want, places = library.normalize(text, with_offsets=True)
+        normal, first, last = own(text)
+        assert normal == want, (text, normal, want)
+        raw = text.encode()
+        assert [len(raw[:b].decode()) for b in first[1:].tolist()] == places[1 : len(want)], text
+        assert (first <= last).all() and all(b >= a for a, b in zip(first.tolist(), first[1:].tolist()))
+        mapped += normal != "▁" + text
+    assert mapped > 500
+
+
 CHATS = [
     (1, 0, "system", "be <|endoftext|> kind"), (1, 1, "user", "<\\|a\\\\ [INST]"), (1, 2, "assistant", "</s> ok\n\n"), (1, 3, "assistant", " \nagain"), (2, 0, "assistant", None), (2, 1, None, ""),
     (3, 1, "user", "later"), (3, 0, "assistant", "é日本😀" * 30), (3, 0, "assistant", "same turn"), (None, 0, "user", "no id"), (4, None, "assistant", "null turn <<SYS>> <\\s>"), (5, 0, "user", ""),
@@ -284,6 +316,18 @@ def test_chats(spark):
     assert chat.digest(chat.format_chats(turns.limit(0), chat.tokenizer_path())).count() == 0
 
 
+def test_chats_of_many_megabytes(spark):
+    """More than a task holds at once, and one conversation that is longer than that."""
+    rng = random.Random(16)
+    say = lambda n: " ".join(rng.choice(("alpha", "beta", "[INST]", "<|endoftext|>", "日本", "x\n\n")) for _ in range(n))
+    rows = [(c, n, ("user", "assistant")[n % 2], say(200_000 if c == 7 else 3000)) for c in range(40) for n in range(4)]
+    found = {r.conv_id: r for r in chat.digest(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), chat.tokenizer_path())).collect()}
+    assert len(found) == 40
+    for c in range(40):
+        loss = "".join(t for i, _, role, t in rows if i == c and role == "assistant")
+        assert found[c].n_turns == 4 and found[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_escaping():
     rng = random.Random(3)
     for _ in range(2000):
