@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -37,12 +37,11 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, task_links: int | None = None) -> DataFrame:
     """links: u, v (long). One row per linked node: node, label, the least node of its component.
 
-    Every step is a pair of thin shuffles over the links that are left; nothing is collected but a count and a checksum, seen while links are written.
+    Every step is a pair of thin shuffles over the links that are left; nothing is collected but a count and a checksum of the written links.
     """
-    seen = Observation()
     first = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = staged(first.observe(seen, F.count("*").alias("n")), "links")
-    if seen.get["n"] <= (TASK_LINKS if task_links is None else task_links):
+    edges = staged(first, "links")
+    if edges.count() <= (TASK_LINKS if task_links is None else task_links):
         return edges.coalesce(1).mapInArrow(_in_one_task, "node bigint, label bigint")
     before = None
     while True:
@@ -53,10 +52,9 @@ def components(links: DataFrame, task_links: int | None = None) -> DataFrame:
         # small-star: a node and its smaller neighbours point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        seen = Observation()
+        new = staged(small, "links")
         h = F.xxhash64("u", "v")
-        new = staged(small.observe(seen, F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")), "links")
-        now = tuple(seen.get[k] for k in "nxs")
+        now = tuple(new.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
         if now == before:  # no step changes the links any more
             return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         edges, before = new, now

@@ -206,9 +206,9 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 7) -> Data
 
 
 def train(labelled: DataFrame, words: frozenset[str], trees: int = 40, depth: int = 8, seed: int = 1) -> RandomForestClassificationModel:
-    """labelled: value, path, before, after, label."""
+    """labelled: value, path, before, after, label. The model comes without its training summary, which holds the session and so can't travel to tasks."""
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return forest.fit(_featured(labelled, words).select("features", "label"))
+    return forest.fit(_featured(labelled, words).select("features", "label")).copy()
 
 
 def scan(docs: DataFrame, labelled: DataFrame, least: float = LEAST, **columns: str | None) -> DataFrame:
