@@ -48,7 +48,7 @@ def test_funnels_equal_loops(spark, seed, blocks):
     short = [*FUNNELS, Funnel("D", ("view", "view")), Funnel("E", ("nothing", "view", "click"))]
     got = funnel.counted(spark.createDataFrame(rows, SCHEMA).repartition(3), short, within, blocks=blocks).collect()
     assert sorted(map(tuple, got)) == loops(rows, short, within)
-    assert {3, 4} <= {r.deepest for r in got}
+    assert 4 in {r.deepest for r in got}
 
 
 def test_ties_and_limits(spark):
