@@ -250,12 +250,12 @@ def run_bundle(spark, sf_dir):
 
 @query(sql("SELECT coalesce(run_id, 'none') AS run_id, sample_id, pos, outcome_kind FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(run_id, 'none'), sample_id ORDER BY pos DESC) AS rn FROM test) WHERE rn = 1", "test"))
 def upserted_table(spark, sf_dir):
-    """The written table of results after three upserts, the last one again."""
+    """The versioned table of results after three upserts, the last one again."""
     path = path_of(spark, "results")
     rows = B.test_outcomes(spark, sf_dir).select(F.coalesce("run_id", F.lit("none")).alias("run_id"), "sample_id", "pos", "outcome_kind")
     for k in (1, 0, 2, 2):
         sinks.upsert(rows.where(F.col("pos") % 3 == k), path)
-    return spark.read.parquet(path).select("run_id", "sample_id", "pos", "outcome_kind")
+    return sinks.Table(spark, path).read().select("run_id", "sample_id", "pos", "outcome_kind")
 
 
 @query(ORACLE["slices_all"])

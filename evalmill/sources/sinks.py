@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import outcomes as O
 from ..operators import slices as S
 from ..schemas import checked_outcomes
-from ..staging import exists, file_system, staged
+from ..staging import file_system, staged
+from .documents import write_document
+from .versions import Table
 
 
 def write_attempts(attempts: DataFrame, path: str) -> None:
@@ -44,14 +44,6 @@ def write_dedup(rows: DataFrame, folder: str) -> None:
             raise OSError(f"cannot write {name}")
 
 
-def write_document(spark: SparkSession, document: dict[str, Any], path: str) -> None:
-    """A small JSON document, written through Hadoop's file system."""
-    target, fs = file_system(spark, path)
-    out = fs.create(target, True)
-    out.write(bytearray((json.dumps(document, indent=2, ensure_ascii=False) + "\n").encode()))
-    out.close()
-
-
 #: Ids without an outcome up to which a document lists them; the whole lists are tables.
 LISTED = 100_000
 
@@ -88,48 +80,9 @@ def write_json_lines_as_done(parts: Iterable[DataFrame], path: str) -> None:
         part.write.mode("append" if k else "overwrite").option("ignoreNullFields", False).json(path)
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Bring an upsert to its end that was broken off: a new state that was whole is put in place again, one that wasn't is removed.
-
-    One writer at a time has a table.
-    """
-    glob, fs = file_system(spark, f"{path}.next-*")
-    beside = sorted(str(f.getPath()) for f in fs.globStatus(glob) or [])
-    for marker in (b for b in beside if b.endswith(".ready")):
-        _put_in_place(spark, marker.removesuffix(".ready"), path)
-    for rest in beside:
-        fs.delete(file_system(spark, rest)[0], True)
-
-
-def _put_in_place(spark: SparkSession, beside: str, path: str) -> None:
-    """Overwrite the partitions of a table by a whole state beside it; may be done again."""
-    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-
-
-def upsert(results: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "sample_id")) -> None:
-    """Put results into a Parquet table partitioned by run: per key the row with the largest pos holds, of equals the new one.
-
-    Only the partitions of the runs in results are read and rewritten. Their new state is written beside the table first, then marked as whole, and only
-    then replaces them; whatever breaks off before the mark leaves the table as it was, and after it recover() ends the work.
-    """
-    spark = results.sparkSession
-    recover(spark, path)
-    new = staged(O.latest(results, *key).dropDuplicates(list(key)).select(*results.columns), "upsert")
-    merged = new
-    if exists(spark, path):
-        old = spark.read.schema(results.schema).parquet(path).join(F.broadcast(new.select("run_id").distinct()), "run_id", "left_semi").select(*results.columns)
-        newer = new.select(*key, F.col("pos").alias("__new"))
-        older = old.select(*key, F.col("pos").alias("__old"))
-        stays = old.join(newer, list(key), "left").where("__new is null or pos > __new").select(*results.columns)
-        comes = new.join(older, list(key), "left").where("__old is null or pos >= __old").select(*results.columns)
-        merged = stays.unionByName(comes)
-    beside = f"{path}.next-{uuid.uuid4().hex}"
-    merged.write.parquet(beside)
-    write_document(spark, {"table": path}, f"{beside}.ready")
-    _put_in_place(spark, beside, path)
-    for done in (f"{beside}.ready", beside):  # the mark goes first
-        p, fs = file_system(spark, done)
-        fs.delete(p, True)
+def upsert(results: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "sample_id")) -> int:
+    """Put results into the versioned table at a path: per key the row with the largest pos holds, of equals the new one. The version that has them."""
+    return Table(results.sparkSession, path, key).upsert(results)
 
 
 def export_run(path: str, attempts: DataFrame, parse: DataFrame, test: DataFrame, manifest: dict[str, Any], report: dict[str, Any]) -> dict[str, str]:

@@ -1,6 +1,5 @@
 import hashlib
 import json
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,44 +112,6 @@ def test_scalars(spark):
     assert (r.i, r.c, r.u, r.z, r.l) == ("  a\n  b", "abc...", "(unknown)", 20, ["1", "2"]) and r.p.endswith('"""\nabcdefgh\n"""\n')
 
 
-def test_upsert(spark, tmp_path):
-    path = str(tmp_path / "results")
-    schema = "run_id string, sample_id string, outcome_kind string, pos long"
-    sinks.upsert(spark.createDataFrame([("r1", "a", "tested", 0), ("r2", "a", "tested", 0)], schema), path)
-    sinks.upsert(spark.createDataFrame([("r1", "a", "skipped", 1), ("r1", "b", "tested", 1)], schema), path)
-    assert {(r.run_id, r.sample_id, r.outcome_kind) for r in spark.read.parquet(path).collect()} == {("r1", "a", "skipped"), ("r1", "b", "tested"), ("r2", "a", "tested")}
-
-
-def test_broken_upserts_recover(spark, tmp_path, monkeypatch):
-    """Stopped before the mark: as if it had not begun. Stopped after it, with a damaged table: the whole state comes back."""
-    path = str(tmp_path / "results")
-    schema = "run_id string, sample_id string, outcome_kind string, pos long"
-    first = spark.createDataFrame([("r1", "a", "tested", 0), ("r1", "c", "tested", 0), ("r2", "a", "tested", 0)], schema)
-    second = spark.createDataFrame([("r1", "a", "skipped", 1), ("r1", "b", "tested", 1), ("r1", "c", "late", -1)], schema)
-    rows = lambda: {(r.run_id, r.sample_id, r.outcome_kind) for r in spark.read.parquet(path).collect()}
-    sinks.upsert(first, path)
-    before = rows()
-
-    def stop(*a):
-        raise KeyboardInterrupt
-
-    with monkeypatch.context() as m:
-        m.setattr(sinks, "write_document", stop)
-        with pytest.raises(KeyboardInterrupt):
-            sinks.upsert(second, path)
-    assert rows() == before
-    with monkeypatch.context() as m:
-        m.setattr(sinks, "_put_in_place", stop)
-        with pytest.raises(KeyboardInterrupt):
-            sinks.upsert(second, path)
-    shutil.rmtree(tmp_path / "results/run_id=r1")  # as an overwrite that was broken off leaves it
-    want = {("r1", "a", "skipped"), ("r1", "b", "tested"), ("r1", "c", "tested"), ("r2", "a", "tested")}
-    sinks.recover(spark, path)
-    assert rows() == want and not list(tmp_path.glob("results.next-*"))
-    sinks.upsert(second, path)
-    assert rows() == want
-
-
 def test_absent_files_are_empty(spark, tmp_path):
     assert A.parse_outcomes(spark, str(tmp_path / "none.jsonl")).count() == 0 and A.test_outcomes(spark, str(tmp_path / "none.jsonl"), last=False).count() == 0
     assert A.flat_table(spark, str(tmp_path / "none.parquet"), TASKS).count() == 0
