@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -18,12 +19,14 @@ from .operators import stats as T
 from .plans import jobs
 from .sources import attempts as A
 from .sources import sinks
+from .sources.documents import write_document
 from .sources.tasks import Profiles, snapshot, stub_attempts
 from .staging import exists, staged
 
 
-def preflight(spark: SparkSession, *paths: str, handlers: str | None = None) -> list[str]:
-    """What is missing before a run: paths that can't be seen, handlers that can't be loaded, a shared folder."""
+def preflight(spark: SparkSession, *paths: str, handlers: str | None = None, root: str | None = None) -> list[str]:
+    """What is missing before a run: paths that can't be seen, handlers that can't be loaded, a shared folder; and, of a root, renames of folders as a run needs them."""
+    from .sources.versions import claim, claimed, delete
     from .streaming.runs import Registry
 
     wrong = [f"no such path: {path}" for path in filter(None, paths) if not exists(spark, path)]
@@ -34,6 +37,14 @@ def preflight(spark: SparkSession, *paths: str, handlers: str | None = None) ->
             wrong.append(f"no handlers: {e}")
     if not spark.sparkContext.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
         wrong.append("spark.checkpoint.dir is not set")
+    if root:
+        probe = f"{root}/preflight/{uuid.uuid4().hex}"
+        try:
+            if [claim(spark, f"{probe}/once", {"n": n}) for n in (1, 2)] != [True, False] or claimed(spark, f"{probe}/once") != {"n": 1}:
+                wrong.append(f"a folder that is renamed twice doesn't stay as it was: {root}")
+        except Exception as e:  # noqa: BLE001
+            wrong.append(f"cannot write: {root}: {str(e).splitlines()[0]}")
+        delete(spark, probe)
     return wrong
 
 
@@ -82,33 +93,39 @@ def analyse(spark: SparkSession, args: argparse.Namespace) -> Any:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> Any:
-    """One step of a run's life, or all: preflight, init, seed, start, replace, stop, workers, wait, status, export, show."""
+    """One step of a run's life, or all: preflight, init, seed, start, replace, stop, workers, wait, status, export, show, vacuum."""
     from .streaming.runs import Run, new_run_id
 
-    r = Run(spark, args.root, args.run_id or new_run_id())
+    r = Run(spark, args.root, args.run_id or new_run_id(), args.handlers)
     tasks, rows = _load(spark, args)
     step = args.step
     if step == "preflight":
-        return "ready"  # main() has looked at the paths
+        return "ready"  # main() has looked at paths, handlers and root
     if step in ("init", "all"):
         r.init(overwrite=args.overwrite == "yes")
     if step in ("seed", "all"):
         r.seed(rows, "attempts_path", args.attempts)
-    if step in ("start", "replace", "all"):
-        more = {"timeout": args.timeout, "handlers": args.handlers}
-        query = r.replace(tasks, args.stage or "test", args.concurrency or spark.sparkContext.defaultParallelism, **more) if step == "replace" else r.start(tasks, concurrency=args.concurrency, **more)
-        if not query.awaitTermination(args.wait):
-            query.stop()
-            raise TimeoutError(f"run {r.run_id} did not end in {args.wait} s")
-        r.finish()
+    if step in ("start", "all"):  # one stage, or all; until their jobs are done or they are stopped from elsewhere
+        r.work(tasks, [args.stage] if args.stage else None, args.wait, timeout=args.timeout, concurrency=args.concurrency)
+    if step == "replace":
+        stage = args.stage or r.stages[-1]
+        worker = r.replace(tasks, stage, args.concurrency or spark.sparkContext.defaultParallelism, timeout=args.timeout)
+        try:
+            while worker.watch.is_alive() and r.progress.jobs(stage).get(stage, 0) < r.expected():
+                worker.wait(1.0)
+        finally:
+            worker.stopping = True
+            worker.wait()
     if step == "stop":
-        return display.worker_table(r.stop(args.worker, args.stage))
+        return display.worker_table(r.stop(args.worker, args.stage, min(args.wait, 600.0)))
     if step == "workers":
         return display.worker_table(r.workers(args.stage))
     if step == "wait":
-        return json.dumps(r.wait(args.target, args.wait))
+        return json.dumps(r.wait(args.target, args.wait, stall_seconds=args.stall))
     if step == "show":
         return display.run_text(r.metadata() or {"run_id": r.run_id})
+    if step == "vacuum":
+        return f"{r.table.vacuum()} folders deleted"
     if step in ("export", "all"):
         paths = r.export(args.out)
         if step == "export":
@@ -117,21 +134,31 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Any:
 
 
 def tune(spark: SparkSession, args: argparse.Namespace) -> Any:
-    """The parallelism of the test stage: doubled until the rate falls or gains too little."""
-    from .streaming.runs import Window, sweep
+    """The parallelism of a stage: doubled until the rate falls or gains too little. With a root and a run, of the run while it goes on; else of the test stage over the given files."""
+    from .streaming.runs import Run, Window, sweep
 
     tasks, rows = _load(spark, args)
-    rows = staged(T.slice_limit(rows, args.limit), "tune-attempts")
-    parsed = staged(A.parse_outcomes(spark, args.parse), "tune-parsed")
+    if args.root and args.run_id:
+        r = Run(spark, args.root, args.run_id)
+        report = r.tune(tasks, args.stage or r.stages[-1], args.start, args.most, args.measure, args.warm_up, args.least, timeout=args.timeout)
+        for w in r.local:
+            if w.watch.is_alive():  # the best worker goes on until the jobs are done
+                while w.watch.is_alive() and r.progress.jobs(w.stage).get(w.stage, 0) < r.expected():
+                    w.wait(1.0)
+                w.stopping = True
+                w.wait()
+    else:
+        rows = staged(T.slice_limit(rows, args.limit), "tune-attempts")
+        parsed = staged(A.parse_outcomes(spark, args.parse), "tune-parsed")
 
-    def measure(n: int) -> Window:
-        began = time.perf_counter()
-        done = jobs.test_attempts(rows, parsed, tasks, args.timeout, n).agg(F.count("*").alias("n"), F.count_if(F.col("outcome_kind") == "infra_error").alias("bad")).first()
-        return Window(0, done.n, time.perf_counter() - began, 0, done.bad)
+        def measure(n: int) -> Window:
+            began = time.perf_counter()
+            done = jobs.test_attempts(rows, parsed, tasks, args.timeout, n).agg(F.count("*").alias("n"), F.count_if(F.col("outcome_kind") == "infra_error").alias("bad")).first()
+            return Window(0, done.n, time.perf_counter() - began, 0, done.bad)
 
-    report = sweep(measure, args.start, args.most, least_samples=args.least, dry_run=args.dry_run == "yes")
+        report = sweep(measure, args.start, args.most, least_samples=args.least, dry_run=args.dry_run == "yes")
     if args.out:
-        sinks.write_document(spark, report, args.out)
+        write_document(spark, report, args.out)
     return display.sweep_table(report)
 
 
@@ -160,21 +187,21 @@ def main(argv: list[str] | None = None) -> None:
     def command(name: str, f, *options: str, **defaults: Any) -> None:
         sub = commands.add_parser(name, help=(f.__doc__ or "").split("\n")[0])
         for o in options:
-            sub.add_argument(f"--{o}", required=o not in defaults, default=defaults.get(o), type=type(defaults[o]) if defaults.get(o) is not None else int if o in ("limit", "concurrency") else str)
+            sub.add_argument(f"--{o}", required=o not in defaults, default=defaults.get(o), type=type(defaults[o]) if defaults.get(o) is not None else int if o in ("limit", "concurrency") else float if o == "stall" else str)
         sub.set_defaults(f=f)
 
     command("import-pool", import_pool, "source", "tasks", "out", "pool", "limit", pool=None, limit=None)
     command("parse", parse, "attempts", "out", "limit", limit=None)
     command("test", test, "attempts", "parse", "tasks", "out", "limit", "timeout", limit=None, timeout=30.0)
     command("analyse", analyse, "attempts", "parse", "test", "out", "limit", limit=None)
-    command("run", run, "root", "run_id", "step", "attempts", "tasks", "timeout", "wait", "overwrite", "handlers", "concurrency", "stage", "worker", "target", "out", run_id=None, step="all", attempts=None, tasks=None, timeout=30.0, wait=28_800.0, overwrite="no", handlers="evalmill.streaming.runs", concurrency=None, stage=None, worker=None, target="terminal", out=None)
-    command("tune", tune, "attempts", "parse", "tasks", "limit", "timeout", "start", "most", "least", "dry_run", "out", limit=None, timeout=30.0, start=2, most=64, least=5, dry_run="no", out=None)
+    command("run", run, "root", "run_id", "step", "attempts", "tasks", "timeout", "wait", "overwrite", "handlers", "concurrency", "stage", "worker", "target", "out", "stall", run_id=None, step="all", attempts=None, tasks=None, timeout=30.0, wait=28_800.0, overwrite="no", handlers="evalmill.streaming.runs", concurrency=None, stage=None, worker=None, target="terminal", out=None, stall=None)
+    command("tune", tune, "attempts", "parse", "tasks", "limit", "timeout", "start", "most", "least", "dry_run", "out", "root", "run_id", "stage", "measure", "warm_up", attempts=None, parse=None, root=None, run_id=None, stage=None, measure=60.0, warm_up=15.0, limit=None, timeout=30.0, start=2, most=64, least=5, dry_run="no", out=None)
     command("spot-check", spot_check, "attempts", "task")
     command("generate", generate, "tasks", "file", "id", "run_id", "out", run_id="run-stub")
     command("profiles", profiles, "file", "id", id=None)
     args = parser.parse_args(argv)
     spark = session.get()
-    wrong = preflight(spark, *(getattr(args, k, None) for k in ("source", "tasks", "attempts", "parse", "pool") if isinstance(getattr(args, k, None), str)), handlers=getattr(args, "handlers", None))
+    wrong = preflight(spark, *(getattr(args, k, None) for k in ("source", "tasks", "attempts", "parse", "pool") if isinstance(getattr(args, k, None), str)), handlers=getattr(args, "handlers", None), root=args.root if getattr(args, "step", None) == "preflight" else None)
     if wrong:
         raise SystemExit("\n".join(wrong))
     print(args.f(spark, args))

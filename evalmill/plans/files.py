@@ -225,7 +225,7 @@ def run_seed(spark, sf_dir):
     except AlreadySeeded:
         refused = True
     seed = run.metadata()["seed"]
-    jobs = spark.read.schema(JOBS).json(run.path("jobs")).agg(F.count("*").alias("published"))
+    jobs = spark.read.schema(JOBS).json(run.path("jobs", "*")).agg(F.count("*").alias("published"))
     return jobs.select("published", F.lit(seed["sample_ids_hash"]).alias("sample_ids_hash"), F.lit(seed["expected_jobs"]).cast("long").alias("expected_jobs"), F.lit(len(seed["task_ids"])).cast("long").alias("task_count"), F.lit(seed["source"]).alias("source"), F.lit(refused).alias("refused"))
 
 

@@ -504,8 +504,8 @@ def fenced_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("def fn_"), n, F.lit("(x):\n    return x + "), F.when(i % 5 == 0, n).otherwise(F.lit("1")), F.lit("\n"))
     out = (
         F.when(i % 7 == 0, F.concat(text, F.lit("\n```python\n"), code, F.lit("```\n"), text))
-        .when(i % 7 == 1, code).when(i % 7 == 2, F.concat(text, F.lit("\n```\n"), code)).when(i % 7 == 3, F.concat(code, F.lit("\nThis works because: "), text))
-        .when(i % 7 == 4, F.concat(F.lit("I cannot do that: "), text)).when(i % 7 == 5, F.concat(F.lit("It is ((\n"), text)).otherwise(F.concat(F.lit("    "), F.regexp_replace(code, "\n", "\n    ")))
+        .when(i % 7 == 1, F.concat(text, F.lit("\n\n"), code)).when(i % 7 == 2, F.concat(text, F.lit("\n```\n"), code)).when(i % 7 == 3, F.concat(code, F.lit("\nThis works because: "), text))
+        .when(i % 7 == 4, F.concat(F.lit("I cannot do that: "), text)).when(i % 7 == 5, F.concat(F.lit("It is ((\n"), text)).otherwise(F.concat(text, F.lit("\n```\n    "), F.regexp_replace(code, "\n", "\n    "), F.lit("\n```\n"), text))
     )
     return B.attempts(spark, sf_dir).withColumn("raw_output", out)
 
@@ -580,7 +580,10 @@ def test_execute(spark, sf_dir):
     )
 
 
-@query(tested_sql("SELECT sample_id, task_id, outcome_kind, CASE WHEN outcome_kind = 'tested' THEN adds_one END AS all_tests_passed FROM tested"))
+_RESULTS = "SELECT sample_id, task_id, outcome_kind, CASE WHEN outcome_kind = 'tested' THEN adds_one END AS all_tests_passed FROM tested"
+
+
+@query(tested_sql(_RESULTS))
 def stream_run(spark, sf_dir):
     """A seeded run as a stream that ends when its jobs are done; as many results as samples."""
     from ..staging import shared_root
@@ -590,4 +593,25 @@ def stream_run(spark, sf_dir):
     return run.run_once(C.nested(sample_attempts(spark, sf_dir)), suites(spark, sf_dir), 10.0).select("sample_id", "task_id", "outcome_kind", "all_tests_passed")
 
 
+@query(tested_sql(_RESULTS))
+def replaced_run(spark, sf_dir):
+    """The same where the test worker is stopped after its first batches and replaced by one with another concurrency while parse goes on: nothing is lost or doubled."""
+    from ..staging import shared_root
+    from ..streaming.runs import Run, new_run_id
+
+    run, tasks = Run(spark, shared_root(spark), new_run_id()), suites(spark, sf_dir)
+    run.init()
+    run.seed(C.nested(sample_attempts(spark, sf_dir)))
+    n = spark.sparkContext.defaultParallelism
+    run.start(tasks, "test", 10.0, max_files=1, concurrency=n)
+    run.start(tasks, "parse", max_files=1)
+    while run.progress.jobs("test").get("test", 0) == 0 and run.expected():
+        run.wait("parse", 1800)
+    run.replace(tasks, "test", 2 * n, timeout=10.0)
+    if run.expected():
+        run.wait(timeout=3600)
+    run.stop(seconds=600)
+    return run.results().select("sample_id", "task_id", "outcome_kind", "all_tests_passed")
+
+
 from . import files as _files  # noqa: E402, F401  (registers its queries)

@@ -1,13 +1,13 @@
-"""Evaluation runs as streams: files of jobs go in, the stages of a registry are one chain of maps, results are upserted by key.
+"""Evaluation runs as streams: files of jobs go in, each stage of a registry is a streaming query of its own that hands its batches on, results are upserted by key.
 
-Delivery is at least once: a batch may run again after a failure, and the keyed sink then writes the same rows.
+Delivery is at least once: a batch may run again after a failure; it then writes the same rows, and what it had put in place stays.
 """
 
 from __future__ import annotations
 
 import importlib
-import json
 import os
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -17,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import columns as C
 from ..functions.extract import parse_attempts
@@ -26,8 +27,11 @@ from ..operators.stats import numbered
 from ..plans.jobs import test_attempts
 from ..schemas import ATTEMPTS, PARSE_OUTCOMES, SEED_SOURCES, TEST_OUTCOMES, cast_to
 from ..sources import attempts as A
-from ..sources.sinks import export_run, recover, upsert, write_document
-from ..staging import exists, file_system, shared_root, staged
+from ..sources.sinks import export_run
+from ..sources.versions import Table, claim, claimed, delete, moved, names
+from ..staging import shared_root, staged
+from .control import ACTIVE, STALE_SECONDS, Busy, Control, StopAsked
+from .progress import Measured, Progress, Stalled, Window
 
 JOBS = "run_id STRING, lane STRING, repeat BIGINT, step_index INT, pipeline_id STRING, payload STRING"
 HANDLERS = "evalmill.streaming.runs"
@@ -89,43 +93,83 @@ def plain_path(path: str | None) -> str | None:
     return path if path is None or "://" in path else os.path.realpath(os.path.expanduser(path))
 
 
+@dataclass
+class Worker:
+    """A streaming query of this process that works on a stage."""
+
+    worker_id: str
+    stage: str
+    generation: int
+    concurrency: int | None
+    query: Any = None
+    #: Held while a batch runs; stopping is set before it is waited for, so no batch begins after that.
+    batch: Any = field(default_factory=threading.Lock)
+    stopping: bool = False
+    watch: Any = None
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Wait until it has ended and said so."""
+        self.watch.join(seconds)
+        return not self.watch.is_alive()
+
+    def problem(self) -> str | None:
+        """Why it has failed, if it has; a stop is no failure."""
+        found = None if self.query.isActive else self.query.exception()
+        return None if found is None or "StopAsked" in str(found) else str(found)[:2000]
+
+
 @dataclass
 class Run:
-    """A run's folder: jobs in, results out, checkpoint, events, workers and metadata beside them."""
+    """A run's folder: jobs in, results out, and metadata, events, progress, hand-offs, checkpoints and workers beside them. See stage_input() for how stages are joined.
+
+    Several processes may use it at a time. init and seed are claims, a stage has one worker at a time, and results are a versioned table.
+    """
 
     spark: SparkSession
     root: str
     run_id: str
-    queries: dict[str, Any] = field(default_factory=dict)
+    handlers: str = HANDLERS
+    local: list[Worker] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.progress = Progress(self.spark, self.path("progress"))
+        self.table = Table(self.spark, self.path("results"))
+        self.stages = list(Registry.load(self.handlers).stages)
+        self._measured: Measured | None = None
 
     def path(self, *parts: str) -> str:
         return "/".join((self.root, self.run_id, *parts))
 
-    def _read(self, path: str) -> dict[str, Any] | None:
-        if not exists(self.spark, path):
-            return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(path, wholetext=True).collect()))
+    # -- metadata: each initialisation is a generation of its own, with one seed
 
-    def metadata(self) -> dict[str, Any] | None:
-        return self._read(self.path("metadata.json"))
+    def _initialised(self) -> int:
+        return max((int(n.rpartition("-")[2]) for n in names(self.spark, self.path("meta")) if n.startswith("init-")), default=-1)
 
-    def _write(self, document: dict[str, Any]) -> None:
-        write_document(self.spark, document, self.path("metadata.json"))
+    def metadata(self) -> dict[str, Any] | None:
+        n = self._initialised()
+        if n < 0:
+            return None
+        seed = claimed(self.spark, self.path("meta", f"seed-{n:06d}"))
+        return {"run_id": self.run_id, "init": claimed(self.spark, self.path("meta", f"init-{n:06d}")), "seed": {k: v for k, v in seed.items() if k != "jobs"} if seed else None}
 
     def init(self, overwrite: bool = False, **about: Any) -> dict[str, Any]:
-        """Insert if absent; overwriting replaces the metadata and clears the seed."""
-        there = self.metadata()
-        if there is not None and not overwrite:
-            return there
-        self._write(new := {"run_id": self.run_id, "init": {"created": utc_now()} | about, "seed": None})
-        return new
+        """Insert if absent, for one of several processes; overwriting replaces the metadata and clears the seed."""
+        n = self._initialised()
+        if n < 0 or overwrite:
+            claim(self.spark, self.path("meta", f"init-{n + 1:06d}"), {"created": utc_now()} | about)
+        return self.metadata()
 
     def seed(self, attempts: DataFrame, source: str = "in_memory", source_path: str | None = None) -> dict[str, Any]:
-        """Publish attempts (with pos) as jobs: refused if the run isn't there or has a seed, before anything is written."""
-        there = self.metadata()
+        """Publish attempts (with pos) as jobs: refused if the run isn't there or has a seed.
+
+        Jobs are written out of sight; the seed is claimed with their folder in it, which one of several processes does; then the folder is renamed to where workers see it. What breaks off
+        before the claim was nothing, and after it publish() ends the work, so jobs stand once.
+        """
+        n, there = self._initialised(), self.metadata()
         if there is None:
             raise ValueError(f"run {self.run_id} is not initialised")
         if there["seed"] is not None:
+            self.publish()
             raise AlreadySeeded(self.run_id)
         if source not in SEED_SOURCES:
             raise ValueError(f"unknown seed source {source!r}")
@@ -133,197 +177,268 @@ class Run:
         about = O.seed_digest(stamped).first()
         placed = numbered(stamped, "__at")
         jobs = C.envelopes(placed.drop("pos"), F.lit(self.run_id), "eval", F.col("__at"))
-        jobs.write.mode("append").json(self.path("jobs"))
+        folder = f"seed-{n:06d}-{uuid.uuid4().hex}"
+        jobs.write.json(self.path("pending", folder))
         seed = {"source": source, "source_path": plain_path(source_path), "expected_jobs": about.expected_jobs, "sample_ids_hash": about.sample_ids_hash, "task_ids": [t for t in about.task_ids.split(",") if t]}
-        self._write(there | {"seed": seed})
+        if not claim(self.spark, self.path("meta", f"seed-{n:06d}"), seed | {"jobs": folder}):
+            delete(self.spark, self.path("pending", folder))
+            raise AlreadySeeded(self.run_id)
+        self.publish()
         return seed
 
-    # -- workers: streaming queries, each with a record in the run's folder
-
-    def _record(self, worker: dict[str, Any]) -> None:
-        write_document(self.spark, worker, self.path("workers", f"{worker['worker_id']}.json"))
-
-    def workers(self, stage: str | None = None, stale_seconds: float = 600.0) -> list[dict[str, Any]]:
-        """Records of all workers, by their start; a worker that should run and was silent too long is stale."""
-        glob, fs = file_system(self.spark, self.path("workers", "*.json"))
-        found = [w for f in fs.globStatus(glob) or [] if (w := self._read(str(f.getPath())))]
-        now = time.time()
-        for w in found:
-            if w["status"] in ("running", "stop_requested") and now - w["heartbeat"] > stale_seconds:
-                w["status"] = "stale"
-        return sorted((w for w in found if stage is None or stage in w["stages"]), key=lambda w: w["started"])
-
-    def start(self, tasks: DataFrame, timeout: float | None = None, max_files: int = 64, trigger: dict[str, Any] | None = None, handlers: str = HANDLERS, concurrency: int | None = None):
-        """A streaming query over the jobs through all stages of the handlers. By default it ends when all jobs are done."""
-        stages = Registry.load(handlers).stages
-        stream = self.spark.readStream.schema(JOBS).option("maxFilesPerTrigger", max_files).json(self.path("jobs"))
-        worker = {"worker_id": f"w-{uuid.uuid4().hex[:8]}", "run_id": self.run_id, "stages": list(stages), "concurrency": concurrency or self.spark.sparkContext.defaultParallelism, "status": "running", "started": time.time(), "heartbeat": time.time()}
-        options = {"tasks": tasks, "timeout": timeout, "concurrency": concurrency}
-
-        def batch(jobs: DataFrame, n: int) -> None:
-            attempts = staged(C.opened(jobs, ATTEMPTS).withColumnRenamed("repeat", "pos"), "batch-attempts")
-            done: dict[str, DataFrame] = {}
-            began: dict[str, float] = {}
-            for name, f in stages.items():
-                began[name] = time.time()
-                done[name] = staged(f(attempts, done, options), f"batch-{name}")
-            last = list(stages)[-1]
+    def publish(self) -> None:
+        """Put the jobs of claimed seeds where workers see them; may be done again, and by any process."""
+        for n in range(self._initialised() + 1):
+            seed = claimed(self.spark, self.path("meta", f"seed-{n:06d}"))
+            if seed and not names(self.spark, self.path("jobs", seed["jobs"])) and names(self.spark, self.path("pending", seed["jobs"])):
+                moved(self.spark, self.path("pending", seed["jobs"]), self.path("jobs", seed["jobs"]))
+
+    def expected(self) -> int:
+        return ((self.metadata() or {}).get("seed") or {}).get("expected_jobs", 0)
+
+    # -- stages
+
+    def control(self, stage: str) -> Control:
+        if stage not in self.stages:
+            raise ValueError(f"unknown stage {stage!r}; known: {', '.join(self.stages)}")
+        return Control(self.spark, self.path("control", stage))
+
+    def stage_input(self, stage: str, options: dict[str, Any]) -> tuple[str, Any]:
+        """Where a stage's rows come from, and their schema: the jobs for the first one; for the others the hand-off of the stage before, which has the jobs and, as a struct each, the
+        outcomes of all stages so far. A batch is handed on by one rename, so the next stage's stream sees it as a whole and once."""
+        k = self.stages.index(stage)
+        schema = StructType.fromDDL(JOBS)
+        if not k:
+            return self.path("jobs", "*"), schema
+        registered, done = Registry.load(self.handlers).stages, {}
+        none = C.opened(self.spark.createDataFrame([], JOBS), ATTEMPTS).withColumnRenamed("repeat", "pos")
+        for name in self.stages[:k]:
+            done[name] = registered[name](none, dict(done), options)  # only its schema is looked at
+            schema = schema.add(name, done[name].schema)
+        return self.path("handoff", self.stages[k - 1], "*"), schema
+
+    def start(self, tasks: DataFrame, stage: str, timeout: float | None = None, max_files: int = 64, trigger: dict[str, Any] | None = None, concurrency: int | None = None, stale_seconds: float = STALE_SECONDS) -> Worker:
+        """A worker for a stage: a streaming query with a checkpoint of the stage's own, which tells it what is left. It runs until it is stopped, here or in another process; refused if the stage has a worker."""
+        self.publish()
+        control, options = self.control(stage), {"tasks": tasks, "timeout": timeout, "concurrency": concurrency}
+        me = f"w-{uuid.uuid4().hex[:8]}"
+        at, schema = self.stage_input(stage, options)
+        g = control.begin({"worker_id": me, "run_id": self.run_id, "stages": [stage], "concurrency": concurrency or self.spark.sparkContext.defaultParallelism}, stale_seconds)
+        worker = Worker(me, stage, g, concurrency)
+        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("maxFileAge", "36500d")
+        stream = (stream.parquet if self.stages.index(stage) else stream.json)(at)
+
+        def batch(rows: DataFrame, n: int) -> None:
+            with worker.batch:
+                if worker.stopping or not control.allowed(g):
+                    worker.stopping = True
+                    raise StopAsked(f"worker {me}")
+                if not self.progress.counted(stage, n):
+                    self._batch(worker, rows, n, options)
+
+        try:
+            if self._measured is None:
+                self._measured = Measured(self.progress)
+                self.spark.streams.addListener(self._measured)
+            writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", self.path("checkpoint", stage))
+            worker.query = writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+        except BaseException as e:
+            control.end(g, "failed", str(e)[:2000])
+            raise
+        self._measured.stages[str(worker.query.id)] = stage
+        worker.watch = threading.Thread(target=self._watch, args=(worker, control), daemon=True)
+        worker.watch.start()
+        self.local.append(worker)
+        return worker
+
+    def _watch(self, worker: Worker, control: Control, poll: float = 0.5) -> None:
+        """Keep a worker's heartbeat, stop it between two batches when that is asked for, and say how it ended."""
+        while worker.query.isActive:
+            control.beat(worker.generation)
+            if worker.stopping or not control.allowed(worker.generation):
+                worker.stopping = True
+                with worker.batch:  # the batch that runs comes to its end
+                    pass
+                worker.query.stop()
+                break
+            time.sleep(poll)
+        problem = worker.problem()
+        control.end(worker.generation, "failed" if problem else "stopped", problem)
+
+    def _batch(self, worker: Worker, rows: DataFrame, n: int, options: dict[str, Any]) -> None:
+        """One batch of a stage: outcomes, then results (of the last stage), events and hand-off, each put in place as a whole, and at last its counts. A batch that is broken off runs again and
+        writes the same; what stands already stays."""
+        stage, before = worker.stage, self.stages[: self.stages.index(worker.stage)]
+        began, last = time.time(), stage == self.stages[-1]
+        rows = staged(rows, "batch-rows")
+        attempts = staged(C.opened(rows.select(*StructType.fromDDL(JOBS).names), ATTEMPTS).withColumnRenamed("repeat", "pos"), "batch-attempts")
+        dealt = attempts.repartition(worker.concurrency) if worker.concurrency else attempts
+        done = {name: rows.select(f"`{name}`.*").where("sample_id is not null").dropDuplicates(["sample_id"]) for name in before}
+        out = staged(Registry.load(self.handlers).stages[stage](dealt, done, options), f"batch-{stage}")
+        if self.control(stage).generation() != worker.generation:
+            raise StopAsked(f"worker {worker.worker_id} was replaced")
+        one = out.dropDuplicates(["sample_id"])
+        if last:
             about = attempts.select("sample_id", F.col("provenance.source").alias("provenance_source"), F.coalesce("provenance.occurrence_count", F.lit(1)).alias("occurrence_count"))
-            results = done[last].join(about.dropDuplicates(["sample_id"]), "sample_id").withColumn("pos", F.lit(n).cast("long")).dropDuplicates(["run_id", "sample_id"])
-            upsert(results, self.path("results"))
-            for name, rows in done.items():
-                rows.write.mode("overwrite").json(self.path(name, f"batch={n}"))
-            self._events(attempts, done, began).write.mode("overwrite").json(self.path("events", f"batch={n}"))
-            worker["heartbeat"] = time.time()
-            self._record(worker)
-
-        self._record(worker)
-        writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", self.path("checkpoint"))
-        query = writer.trigger(**(trigger or {"availableNow": True})).start()
-        self.queries[worker["worker_id"]] = query
-        return query
-
-    def _events(self, attempts: DataFrame, done: dict[str, DataFrame], began: dict[str, float]) -> DataFrame:
-        """Start and output of every stage, and the end of every job with its records; a stage's output is as late as its sample took."""
-        lines = None
-        jobs = attempts.select("pos", "sample_id", "task_id")
-        last = list(done)[-1]
-        for name, rows in done.items():
-            start = F.timestamp_micros(F.lit(int(began[name] * 1e6)))
-            one = rows.dropDuplicates(["sample_id"])
-            record = F.to_json(F.struct(*one.columns), {"ignoreNullFields": "false"})
-            end = F.timestamp_micros((F.lit(int(began[name] * 1e6)) + F.coalesce("latency_ms", F.lit(0.0)) * 1000).cast("long"))
-            own = jobs.join(one.select("sample_id", record.alias("record"), end.alias("end")), "sample_id")
-            attempt = F.struct(F.struct("sample_id", "task_id").alias("attempt"))
-            kinds = [(E.STARTED, start, F.to_json(F.struct(attempt.alias("payload")))), (E.OUTPUT, F.col("end"), F.concat(F.lit('{"step_record":'), F.col("record"), F.lit("}")))]
-            if name == last:
-                ended = F.concat(F.lit('{"payload":'), F.to_json(attempt), F.lit(f',"step_records":{{"{name}":'), F.col("record"), F.lit("}}"))
-                kinds.append((E.TERMINAL, F.col("end"), ended))
-            for kind, at, payload in kinds:
-                some = own.select(
-                    F.lit(self.run_id).alias("run_id"), F.concat(F.lit(f"{self.run_id}-"), F.col("pos").cast("string")).alias("job_id"), F.lit("default").alias("lane"), F.lit(name).alias("stage"),
-                    F.lit(kind).alias("event"), F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"), payload.alias("payload"),
-                )
-                lines = some if lines is None else lines.unionByName(some)
-        return lines.orderBy("job_id", "timestamp", F.when(F.col("event") == E.STARTED, 0).when(F.col("event") == E.OUTPUT, 1).otherwise(2))
-
-    def stop(self, worker_id: str | None = None, stage: str | None = None) -> list[dict[str, Any]]:
-        """Ask workers to stop, by id or by stage, or all. Those of this process stop once their batch is done; jobs that are not done stay for the next one."""
+            self.table.upsert(one.join(about.dropDuplicates(["sample_id"]), "sample_id").withColumn("pos", F.lit(n).cast("long")).dropDuplicates(["run_id", "sample_id"]))
+        self._put(self._events(stage, attempts, one, began, last).write.json, "events", f"{stage}-{n:012d}")
+        self._put(out.write.json, "outcomes", stage, f"batch-{n:012d}")
+        if not last:
+            key = attempts.select(F.col("pos").alias("repeat"), "sample_id")
+            handed = rows.join(key, "repeat").join(one.select("sample_id", F.struct(*one.columns).alias(stage)), "sample_id", "left").drop("sample_id")
+            self._put(handed.write.parquet, "handoff", stage, f"batch-{n:012d}")
+        kinds = {r.outcome_kind: r["count"] for r in attempts.select("sample_id").join(one, "sample_id").groupBy("outcome_kind").count().collect()} if "outcome_kind" in out.columns else {}
+        self.progress.count(stage, n, {"worker_id": worker.worker_id, "concurrency": worker.concurrency or self.spark.sparkContext.defaultParallelism, "jobs": attempts.count(), "kinds": kinds, "batch_seconds": time.time() - began})
+
+    def _put(self, write: Callable[[str], None], *parts: str) -> None:
+        """Write a folder out of sight and rename it into its place, unless it stands there already."""
+        if names(self.spark, self.path(*parts)):
+            return
+        beside = self.path("pending", uuid.uuid4().hex)
+        write(beside)
+        moved(self.spark, beside, self.path(*parts))
+
+    def _events(self, stage: str, attempts: DataFrame, one: DataFrame, began: float, last: bool) -> DataFrame:
+        """Start and output of a stage, and for the last one the end of every job with its records; a stage's output is as late as its sample took."""
+        start = F.timestamp_micros(F.lit(int(began * 1e6)))
+        record = F.to_json(F.struct(*one.columns), {"ignoreNullFields": "false"})
+        end = F.timestamp_micros((F.lit(int(began * 1e6)) + F.coalesce("latency_ms", F.lit(0.0)) * 1000).cast("long"))
+        own = attempts.select("pos", "sample_id", "task_id").join(one.select("sample_id", record.alias("record"), end.alias("end")), "sample_id")
+        attempt = F.struct(F.struct("sample_id", "task_id").alias("attempt"))
+        kinds = [(E.STARTED, start, F.to_json(F.struct(attempt.alias("payload")))), (E.OUTPUT, F.col("end"), F.concat(F.lit('{"step_record":'), F.col("record"), F.lit("}")))]
+        if last:
+            kinds.append((E.TERMINAL, F.col("end"), F.concat(F.lit('{"payload":'), F.to_json(attempt), F.lit(f',"step_records":{{"{stage}":'), F.col("record"), F.lit("}}"))))
+        said = F.array(*(F.struct(F.lit(kind).alias("event"), F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"), payload.alias("payload")) for kind, at, payload in kinds))
+        lines = own.select("pos", F.explode(said).alias("e"))  # a job's lines stay together and in order
+        return lines.select(F.lit(self.run_id).alias("run_id"), F.concat(F.lit(f"{self.run_id}-"), F.col("pos").cast("string")).alias("job_id"), F.lit("default").alias("lane"), F.lit(stage).alias("stage"), "e.event", "e.timestamp", "e.payload")
+
+    # -- workers of all processes
+
+    def workers(self, stage: str | None = None, stale_seconds: float = STALE_SECONDS) -> list[dict[str, Any]]:
+        """All workers, by their start; one that should run and was silent too long is stale."""
+        found = [w for s in self.stages if stage in (None, s) for w in self.control(s).workers(stale_seconds)]
+        return sorted(found, key=lambda w: w["started"])
+
+    def stop(self, worker_id: str | None = None, stage: str | None = None, seconds: float = 0.0) -> list[dict[str, Any]]:
+        """Ask workers of any process to stop, by id or by stage, or all. Each ends once its batch is done; what isn't done stays for the next one. Waits for them so many seconds."""
         if worker_id and stage:
             raise ValueError("stop by worker or by stage, not by both")
-        known = self.workers(stage)
-        chosen = [w for w in known if w["status"] in ("running", "stop_requested", "stale") and (worker_id is None or w["worker_id"] == worker_id)]
+        chosen = [w for w in self.workers(stage) if w["status"] in (*ACTIVE, "stale") and (worker_id is None or w["worker_id"] == worker_id)]
         if worker_id and not chosen:
             raise ValueError(f"no running worker {worker_id}")
         for w in chosen:
-            query = self.queries.get(w["worker_id"])
-            if query is not None and query.isActive:
-                query.stop()
-            w["status"] = "stopped" if query is not None else "stop_requested"
-            self._record(w)
-        return chosen
-
-    def replace(self, tasks: DataFrame, stage: str, concurrency: int, **more: Any):
-        """Stop the workers of a stage and start one with another concurrency; the checkpoint tells it what is left."""
-        stages = Registry.load(more.get("handlers", HANDLERS)).stages
-        if stage not in stages:
-            raise ValueError(f"unknown stage {stage!r}; known: {', '.join(stages)}")
-        self.stop(stage=stage)
-        return self.start(tasks, concurrency=concurrency, **more)
-
-    def wait(self, target: str = "terminal", timeout: float | None = None, poll: float = 1.0) -> dict[str, Any]:
-        """Wait until all expected jobs have ended, or a stage has done them; the status then."""
-        end = None if timeout is None else time.monotonic() + timeout
+            self.control(w["stages"][0]).ask(w["generation"])
+        for w in chosen:
+            if seconds:
+                self.control(w["stages"][0]).gone(w["generation"], seconds)
+        return [self.control(w["stages"][0]).worker(w["generation"]) for w in chosen]
+
+    def replace(self, tasks: DataFrame, stage: str, concurrency: int, seconds: float = 600.0, stale_seconds: float = STALE_SECONDS, **more: Any) -> Worker:
+        """Stop the worker of a stage, wherever it runs, wait until its batch is done, and start one with another concurrency here. Other stages go on."""
+        control = self.control(stage)
+        if g := control.generation():
+            control.ask(g)
+            if not control.gone(g, seconds, stale_seconds):
+                raise TimeoutError(f"the worker of stage {stage} did not stop in {seconds} s")
+        return self.start(tasks, stage, concurrency=concurrency, stale_seconds=stale_seconds, **more)
+
+    def start_all(self, tasks: DataFrame, **more: Any) -> list[Worker]:
+        """Workers for all stages, the later ones first."""
+        return [self.start(tasks, s, **more) for s in E.start_order(self.stages)]
+
+    def wait(self, target: str = "terminal", timeout: float | None = None, poll: float = 0.5, stall_seconds: float | None = None) -> dict[str, Any]:
+        """Wait until all expected jobs have ended, or a stage has done them; the status then. A worker of this process that fails is an error, and so is, if asked for, a silence of all stages."""
+        stage = self.stages[-1] if target == "terminal" else target
+        began, end = time.time(), None if timeout is None else time.monotonic() + timeout
         while True:
-            for w, query in self.queries.items():
-                if query.exception() is not None:
-                    raise RuntimeError(f"worker {w} failed: {query.exception()}")
-            now = self.status()
-            if now["expected_jobs"] and (now["terminals"] if target == "terminal" else now["stages"].get(target, 0)) >= now["expected_jobs"]:
-                return now
+            done, expected = self.progress.jobs(stage).get(stage, 0), self.expected()
+            if expected and done >= expected:
+                return self.status()
+            for w in self.local:
+                if problem := w.problem():
+                    raise RuntimeError(f"worker {w.worker_id} failed: {problem}")
+            if stall_seconds is not None and self.progress.silent(since=began) > stall_seconds:
+                raise Stalled(f"run {self.run_id}: no batch ended for {stall_seconds} s, {done} of {expected} jobs are done")
             if end is not None and time.monotonic() >= end:
-                raise TimeoutError(f"run {self.run_id} has {now['terminals']} of {now['expected_jobs']} jobs after {timeout} s")
+                raise TimeoutError(f"run {self.run_id} has {done} of {expected} jobs after {timeout} s")
             time.sleep(poll)
 
+    def work(self, tasks: DataFrame, stages: list[str] | None = None, wait_seconds: float = 7200, **more: Any) -> None:
+        """Workers of this process for some stages, or all, until these have done all expected jobs or are stopped from elsewhere."""
+        chosen = [self.start(tasks, s, **more) for s in E.start_order(stages or self.stages)]
+        end = time.monotonic() + wait_seconds
+        try:
+            while any(w.watch.is_alive() for w in chosen):
+                if any(w.problem() for w in chosen) or all(self.progress.jobs(w.stage).get(w.stage, 0) >= self.expected() for w in chosen if w.watch.is_alive()):
+                    break
+                if time.monotonic() >= end:
+                    raise TimeoutError(f"run {self.run_id} did not end in {wait_seconds} s")
+                time.sleep(0.3)
+        finally:
+            for w in chosen:
+                w.stopping = True
+            for w in chosen:
+                w.wait()
+        for w in chosen:
+            if (found := self.control(w.stage).worker(w.generation))["status"] == "failed":
+                raise RuntimeError(f"worker {w.worker_id} failed: {found['problem']}")
+
     def run_once(self, attempts: DataFrame, tasks: DataFrame, timeout: float | None = None, wait_seconds: float = 7200) -> DataFrame:
-        """Init, seed, run to the end; the results, which must be as many as the distinct samples."""
+        """Init, seed, run to the end; the results."""
         self.init()
         seed = self.seed(attempts)
-        query = self.start(tasks, timeout)
-        if not query.awaitTermination(wait_seconds):
-            query.stop()
-            raise TimeoutError(f"run {self.run_id} did not end in {wait_seconds} s")
-        self.finish()
-        ended = E.wall(self.events()).first().terminal_count
+        if seed["expected_jobs"]:
+            self.work(tasks, None, wait_seconds, timeout=timeout)
+        ended = self.progress.jobs(self.stages[-1]).get(self.stages[-1], 0)
         if ended < seed["expected_jobs"]:
             raise RuntimeError(f"run {self.run_id}: {ended} of {seed['expected_jobs']} jobs ended")
         return self.results()
 
-    def finish(self) -> None:
-        """Note which workers of this process have ended."""
-        for w in self.workers():
-            query = self.queries.get(w["worker_id"])
-            if query is not None and not query.isActive and w["status"] == "running":
-                self._record(w | {"status": "failed" if query.exception() is not None else "stopped"})
+    # -- what a run gives; nothing here writes into it
 
     def results(self) -> DataFrame:
-        recover(self.spark, self.path("results"))
-        return self.spark.read.parquet(self.path("results"))
-
-    def _has_results(self) -> bool:
-        recover(self.spark, self.path("results"))
-        return exists(self.spark, self.path("results"))
+        found = self.table.read()
+        if found is None:
+            raise ValueError(f"run {self.run_id} has no results")
+        return found
 
     def events(self) -> DataFrame:
-        return A.events(self.spark, self.path("events", "batch=*"), self.run_id)
+        return A.events(self.spark, self.path("events", "*"), self.run_id)
 
     def attempts(self) -> DataFrame:
         """The seeded attempts in the order of their jobs."""
-        return C.opened(self.spark.read.schema(JOBS).json(self.path("jobs")), ATTEMPTS).withColumnRenamed("repeat", "pos")
+        return C.opened(self.spark.read.schema(JOBS).json(self.path("jobs", "*")), ATTEMPTS).withColumnRenamed("repeat", "pos")
 
     def status(self) -> dict[str, Any]:
-        """Expected jobs, jobs that have ended, results by kind, outputs by stage, and the workers."""
-        seed = (self.metadata() or {}).get("seed") or {}
-        kinds = {r.outcome_kind: r["count"] for r in self.results().groupBy("outcome_kind").count().collect()} if self._has_results() else {}
-        stages: dict[str, int] = {}
-        ended = 0
-        if exists(self.spark, self.path("events", "batch=*")):
-            for r in E.status(self.events()).collect():
-                stages[r.stage] = r.completed
-                ended += r.terminals
-        active = [w for w in self.workers() if w["status"] in ("running", "stop_requested")]
-        return {"expected_jobs": seed.get("expected_jobs", 0), "terminals": ended, "kinds": kinds, "stages": stages, "active_workers": len(active), "active_concurrency": sum(w["concurrency"] for w in active)}
+        """Expected jobs, jobs that have ended, their outcomes by kind, jobs done by stage, and the active workers; from the rows of progress."""
+        last, active = self.stages[-1], [w for w in self.workers() if w["status"] in ACTIVE]
+        done = self.progress.jobs()
+        return {"expected_jobs": self.expected(), "terminals": done.get(last, 0), "kinds": self.progress.kinds(last), "stages": done, "active_workers": len(active), "active_concurrency": sum(w["concurrency"] for w in active)}
 
     def report(self) -> dict[str, Any]:
         """The whole report of the run, from its events and outcomes."""
-        seed = (self.metadata() or {}).get("seed") or {}
         events = self.events()
         flat = C.flattened(self.attempts())
-        return E.metrics_report(self.run_id, seed.get("expected_jobs", 0), events, flat, A.parse_from_events(events), A.tests_from_events(events))
+        return E.metrics_report(self.run_id, self.expected(), events, flat, A.parse_from_events(events), A.tests_from_events(events))
 
     def export(self, path: str | None = None) -> dict[str, str]:
         """The run's bundle: attempts, outcomes, manifest, and the report if all jobs have ended."""
         results = cast_to(self.results(), TEST_OUTCOMES)
-        parsed = cast_to(self.spark.read.schema(PARSE_OUTCOMES).json(self.path("parse", "batch=*")), PARSE_OUTCOMES)
+        parsed = cast_to(self.spark.read.schema(PARSE_OUTCOMES).json(self.path("outcomes", "parse", "*")), PARSE_OUTCOMES)
         return export_run(path or self.path("export"), self.attempts(), parsed.dropDuplicates(["sample_id"]), results, self.metadata() or {}, self.report())
 
+    # -- tuning
 
-def throughput(progress: list[Any], warm_up_batches: int = 1) -> float:
-    """Rows per second of a query's progress after its first micro-batches."""
-    rest = progress[warm_up_batches:] or progress
-    ms = sum(p["durationMs"]["triggerExecution"] for p in rest)
-    return sum(p["numInputRows"] for p in rest) / (ms / 1000) if ms else 0.0
-
-
-@dataclass
-class Window:
-    """What was seen in a window of measurement: jobs ended and infrastructure errors before and after it, and its seconds."""
-
-    terminals_before: int
-    terminals_after: int
-    seconds: float
-    infra_before: int = 0
-    infra_after: int = 0
+    def tune(
+        self, tasks: DataFrame, stage: str, start: int, most: int, measure_seconds: float = 60.0, warm_up_seconds: float = 15.0, least_samples: int = 5, on_step: Callable[[dict[str, Any]], None] | None = None, **more: Any
+    ) -> dict[str, Any]:
+        """The best concurrency of a stage while the run goes on: its worker is replaced by one with twice the concurrency, what it does while it warms up is passed over, and a window of
+        progress is measured, until the rate falls or gains too little or no jobs are left. The best one works on."""
+        control = self.control(stage)
+        left = lambda: self.progress.jobs(stage).get(stage, 0) >= self.expected()
+        if not (g := control.generation()) or control.worker(g)["concurrency"] != start or control.worker(g)["status"] not in ACTIVE:
+            self.replace(tasks, stage, start, **more)
+        return sweep(lambda n: self.progress.window(stage, measure_seconds, until=left), start, most, least_samples=least_samples, swap=lambda n: self.replace(tasks, stage, n, **more), warm_up_seconds=warm_up_seconds, on_step=on_step)
 
 
 def sweep(
@@ -368,4 +483,4 @@ def sweep(
     return {"steps": steps, "best_workers": best[0], "best_samples_per_second": best[1] or 0.0, "stop_reason": reason}
 
 
-__all__ = ["AlreadySeeded", "Registry", "Run", "Window", "new_run_id", "plain_path", "registry", "shared_root", "sweep", "throughput", "utc_now"]
+__all__ = ["AlreadySeeded", "Busy", "Progress", "Registry", "Run", "Stalled", "Window", "Worker", "new_run_id", "plain_path", "registry", "shared_root", "sweep", "utc_now"]

@@ -30,7 +30,8 @@ def test_import_to_analysis(spark, tmp_path, capsys):
     status = json.loads(capsys.readouterr().out)
     assert status == {"expected_jobs": 3, "terminals": 3, "kinds": {"tested": 2, "skipped": 1}, "stages": {"parse": 3, "test": 3}, "active_workers": 0, "active_concurrency": 0}
     step = lambda name, *more: (cli.main(["run", "--root", str(tmp_path), "--run_id", "r1", "--step", name, *more]), capsys.readouterr().out)[1]
-    assert "parse+test" in step("workers") and "stopped" in step("workers", "--stage", "test")
+    assert ": parse, " in step("workers") and ": parse, " not in (mine := step("workers", "--stage", "test")) and "stopped" in mine
+    assert step("vacuum").strip() == "0 folders deleted"
     assert json.loads(step("wait", "--wait", "5"))["terminals"] == 3 and "3 jobs" in step("show")
     assert "proof_report" in step("export", "--out", at("bundle")) and json.loads((tmp_path / "bundle/proof_report.json").read_text())["complete"]
     assert step("stop").strip() == "no workers" and step("preflight").strip() == "ready"
@@ -47,6 +48,17 @@ def test_import_to_analysis(spark, tmp_path, capsys):
     assert "best: 1 workers" in capsys.readouterr().out and json.loads((tmp_path / "sweep.json").read_text())["steps"][0]["reliable"]
     with pytest.raises(SystemExit, match="no handlers"):
         step("preflight", "--handlers", "no_such_module")
+    with pytest.raises(SystemExit, match="cannot write"):
+        cli.main(["run", "--root", at("tasks.json"), "--run_id", "r", "--step", "preflight"])
+    cli.main(["run", "--root", str(tmp_path), "--run_id", "r2", "--step", "init"])
+    assert step("init") and json.loads(capsys.readouterr().out or "{}") in ({}, status)
+    for name, more in (("init", []), ("seed", ["--attempts", at("a.jsonl")]), ("start", ["--stage", "parse", "--tasks", at("tasks.json"), "--timeout", "10"])):
+        cli.main(["run", "--root", str(tmp_path), "--run_id", "r3", "--step", name, *more])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["stages"] == {"parse": 3}
+    cli.main(["tune", "--root", str(tmp_path), "--run_id", "r3", "--tasks", at("tasks.json"), "--timeout", "10", "--start", "1", "--most", "1", "--least", "1", "--measure", "20", "--warm_up", "0"])
+    assert "best: 1 workers" in capsys.readouterr().out
+    cli.main(["run", "--root", str(tmp_path), "--run_id", "r3", "--step", "status"])
+    assert json.loads(capsys.readouterr().out)["terminals"] == 3
     with pytest.raises(SystemExit, match="no such path"):
         cli.main(["parse", "--attempts", at("none.jsonl"), "--out", at("x")])
 

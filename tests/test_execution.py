@@ -6,7 +6,6 @@ from evalmill.functions.extract import extract, parse_attempts
 from evalmill.functions.columns import outcome_banner
 from evalmill.plans.jobs import analyse, test_attempts
 from evalmill.schemas import ATTEMPTS, TASKS
-from evalmill.streaming.runs import AlreadySeeded, Registry, Run, Window, sweep
 
 test_attempts.__test__ = False
 ADD = "def add(a, b):\n    return a + b\n"
@@ -108,58 +107,6 @@ def test_whole_chain_and_analysis(spark, tasks, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/aggregates/by_task.parquet")).count() == 3
 
 
-def test_stream_equals_batch(spark, tasks, tmp_path):
-    a = attempts_of(spark, ("t1", ADD), ("t1", "nothing"), ("t2", ADD))
-    run_ = Run(spark, str(tmp_path), "run-1")
-    with pytest.raises(ValueError, match="not initialised"):
-        run_.seed(a)
-    got = {(r.sample_id, r.outcome_kind) for r in run_.run_once(a, tasks, 10.0).collect()}
-    assert sorted(r.repeat for r in spark.read.json(run_.path("jobs")).collect()) == [0, 1, 2]
-    batch = test_attempts(a, parse_attempts(a), tasks, 10.0)
-    assert got == {(r.sample_id, r.outcome_kind) for r in batch.collect()}
-    with pytest.raises(AlreadySeeded):
-        run_.seed(a)
-    run_.start(tasks).awaitTermination(60)  # nothing new: the checkpoint knows the jobs
-    assert {k: run_.status()[k] for k in ("expected_jobs", "terminals", "kinds")} == {"expected_jobs": 3, "terminals": 3, "kinds": {"tested": 1, "skipped": 2}}
-    report = run_.report()
-    assert report["complete"] and report["outcomes"]["tests_ran_count"] == 1 and set(report["throughput"]["by_stage"]) == {"parse", "test"} and set(report["throughput"]["by_task"]) == {"t1", "t2"}
-    assert run_.init(overwrite=True)["seed"] is None
-
-
-def test_workers_are_started_replaced_and_stopped(spark, tasks, tmp_path):
-    run_ = Run(spark, str(tmp_path), "run-2")
-    run_.init()
-    run_.seed(attempts_of(spark, ("t1", ADD), ("t1", "nothing")))
-    run_.start(tasks, 10.0, trigger={"processingTime": "1 second"}, concurrency=2)
-    assert run_.wait(timeout=90)["terminals"] == 2 and run_.wait("parse", 5)["stages"] == {"parse": 2, "test": 2}
-    assert [w["status"] for w in run_.workers("test")] == ["running"] and run_.workers("nope") == [] and run_.status()["active_concurrency"] == 2
-    assert [w["status"] for w in run_.workers(stale_seconds=-1)] == ["stale"]
-    with pytest.raises(ValueError, match="not by both"):
-        run_.stop("w", "test")
-    with pytest.raises(ValueError, match="no running worker"):
-        run_.stop("w")
-    with pytest.raises(ValueError, match="unknown stage"):
-        run_.replace(tasks, "nope", 1)
-    run_.replace(tasks, "test", 3, timeout=10.0).awaitTermination(60)
-    run_.finish()
-    assert sorted((w["concurrency"], w["status"]) for w in run_.workers()) == [(2, "stopped"), (3, "stopped")] and run_.stop() == []
-    with pytest.raises(TimeoutError):
-        Run(spark, str(tmp_path), "run-3").wait(timeout=0)
-
-
-def test_handlers_of_another_module(spark, tasks, tmp_path, monkeypatch):
-    (tmp_path / "own_handlers.py").write_text("from evalmill.streaming.runs import Registry, parse_stage, test_stage\nfrom pyspark.sql import functions as F\nregistry = Registry()\nregistry.stage('parse')(parse_stage)\n@registry.stage('test')\ndef nothing(attempts, before, options):\n    return test_stage(attempts, before, options).withColumn('skip_reason', F.lit('own'))\n")
-    monkeypatch.syspath_prepend(str(tmp_path))
-    assert list(Registry.load("own_handlers").stages) == ["parse", "test"]
-    with pytest.raises(ValueError, match="no registry"):
-        Registry.load("json")
-    run_ = Run(spark, str(tmp_path / "runs"), "r")
-    run_.init()
-    run_.seed(attempts_of(spark, ("t1", "nothing")))
-    run_.start(tasks, 10.0, handlers="own_handlers").awaitTermination(60)
-    assert run_.results().first().skip_reason == "own"
-
-
 def test_literals_travel_as_they_are_written(spark):
     source = "def check(candidate):\n    inputs = [[1e999], [-1e999, 'a'],\n        [(1,\n          2)]]\n    results = [1e999, {1: {2}}, None]\n"
     t = spark.createDataFrame([("t", source)], "task_id string, test string")
@@ -187,15 +134,3 @@ def test_contradictory_outcomes_are_errors(spark):
     for r in rows.collect():
         with pytest.raises(Exception, match="contradictory outcome of sample s"):
             checked_outcomes(cast_to(rows.where(F.col("outcome_kind") == r.outcome_kind), TEST_OUTCOMES)).collect()
-
-
-def test_sweep_stops():
-    rates = {2: 5.08, 4: 6.45, 8: 6.60}
-    swaps = []
-    report = sweep(lambda n: Window(0, int(rates[n] * 100), 100.0, 0, n), 2, 16, swap=swaps.append)
-    assert report["best_workers"] == 8 and report["stop_reason"].startswith("little gain with 8 workers") and len(report["steps"]) == 3
-    assert swaps == [4, 8] and report["steps"][2]["infra_error_delta"] == 8
-    # a step with too few jobs is neither the best nor compared with
-    report = sweep(lambda n: Window(0, {2: 100, 4: 3, 8: 120, 16: 90}[n], 10.0), 2, 16, swap=swaps.append)
-    assert [x["reliable"] for x in report["steps"]] == [True, False, True, True] and report["best_workers"] == 8 and report["stop_reason"].startswith("slower with 16") and swaps[-1] == 8
-    assert sweep(lambda n: 1 / 0, 2, 8, dry_run=True)["best_samples_per_second"] == 0.0
