@@ -120,7 +120,7 @@ def _scan_all(shared):
 def blocks_of(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks of at most block_bytes (or one item); the driver holds one block at a time."""
     block, size = [], 0
-    for r in items.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct().toLocalIterator():
+    for r in items.select(F.col(item_col).try_cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct().toLocalIterator():
         text = r.t.encode()
         if block and size + len(text) > block_bytes:
             yield block

@@ -334,3 +334,14 @@ def test_escaping():
         text = "".join(rng.choice(("<|", "\\", "<", "|", "s>", "/s>", "[INST]", "[/", "INST]", "a", chat.MARK, "<<SYS>>", "<s>")) for _ in range(rng.randint(0, 12)))
         out = chat.escape(text)
         assert chat.unescape(out) == text and not any(c in out for c in chat.CONTROLS)
+
+
+def test_windows_of_items_whose_id_is_no_number(spark):
+    """They hit, but there is no item to name; so it is in one block and in many, and documents of the pipeline that have them go."""
+    words = " ".join(f"word{k}" for k in range(12))
+    items = spark.createDataFrame([("one", words), ("7", "some other words"), (None, "null id words")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, "some other words"), (3, "null id words"), (4, "clean")], "doc_id long, text string")
+    for block_bytes in (1 << 20, 10):
+        got = {r.id: (len(r.hit_words), r.items) for r in decontaminate.contamination(docs, items, block_bytes=block_bytes).collect()}
+        assert got == {1: (12, []), 2: (3, [7]), 3: (3, []), 4: (0, [])}
+        assert [r.doc_id for r in decontaminate.clean_rows(docs, items, block_bytes=block_bytes).collect()] == [4]
