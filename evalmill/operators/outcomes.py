@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def _extreme(rows: DataFrame, keys: tuple[str, ...], pos: str, last: bool, null_keys: bool = False) -> DataFrame:
     """Rows at their key's extreme pos. Only keys and pos are aggregated (by hash, if pos is a number); the wide rows are shuffled once and
     not sorted. Both sides share the partitioning by key, as pos is compared and not joined on."""
@@ -77,21 +80,36 @@ def percentiles(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFra
     return hist_percentiles(hist, percents)
 
 
-def hist_percentiles(hist: DataFrame, percents: tuple[int, ...]) -> DataFrame:
-    """percentiles() from a histogram (v, c) of distinct values, which for lengths is small whatever the input."""
+def ranked_values(hist: DataFrame, ranks: list[int]) -> list[int]:
+    """The values at some ranks (from 0) of a histogram (v, c), by range: values are dealt into sorted ranges, the counts of the ranges (a row each) tell which ones hold a rank, and only
+    within these are counts added up. So no task has more than its range, also where all values differ."""
     from pyspark.sql import Window
 
-    upto = hist.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    n = F.col("n")
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    out = []
-    for p in percents:
-        if p == 50:
-            middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-            out.append(F.coalesce(middle.cast("long"), F.lit(0)).alias(f"p{p}"))
-        else:
-            out.append(F.coalesce(at(F.bround(F.lit(p / 100) * (n - 1))), F.lit(0)).cast("long").alias(f"p{p}"))
-    return upto.agg(*out)
+    from ..staging import staged
+
+    dealt = staged(hist.select("v", "c").repartitionByRange("v").withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r.first, r.range, r.n) for r in dealt.groupBy("range").agg(F.min("v").alias("first"), F.sum("c").alias("n")).collect())
+    place: dict[int, tuple[int, int]] = {}  # of each rank: its range, and the rank within it
+    before = 0
+    for _, k, n in sizes:
+        place |= {r: (k, r - before) for r in ranks if before <= r < before + n}
+        before += n
+    upto = F.sum("c").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = dealt.where(F.col("range").isin(*{k for k, _ in place.values()})).withColumn("upto", upto)
+    wanted = [(F.col("range") == k) & (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r) for k, r in set(place.values())]
+    found = held.where(reduce(lambda a, b: a | b, wanted)).collect() if wanted else []
+    value = {(k, r): x.v for k, r in place.values() for x in found if x.range == k and x.upto > r >= x.upto - x.c}
+    return [value[place[r]] for r in ranks]
+
+
+def hist_percentiles(hist: DataFrame, percents: tuple[int, ...]) -> DataFrame:
+    """percentiles() from a histogram (v, c) of distinct values."""
+    n = hist.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n")).first().n
+    of = {p: [(n - 1) // 2, n // 2] if p == 50 else [round(p / 100 * (n - 1))] for p in percents} if n else {}
+    ranks = sorted({r for own in of.values() for r in own})
+    value = dict(zip(ranks, ranked_values(hist, ranks)))
+    out = {p: int(sum(value[r] for r in own) / len(own)) for p, own in of.items()}
+    return hist.sparkSession.range(1).select(*(F.lit(out.get(p, 0)).cast("long").alias(f"p{p}") for p in percents))
 
 
 def with_quartile(rows: DataFrame, value: str = "decoder_input_len_zstd22", name: str = "compression_quartile", sizes: DataFrame | None = None) -> DataFrame:

@@ -14,8 +14,9 @@ from ..operators import stats as T
 from ..schemas import non_empty, one_of
 from ..sources import attempts as A
 from ..sources import sinks
+from ..sources.documents import write_text
 from ..sources.tasks import Profiles, snapshot, stub_attempts, task_sources, write_snapshot
-from ..staging import path_of
+from ..staging import path_of, staged
 from . import bindings as B
 from .bindings import _TASK, sql
 from .queries import ORACLE, enriched, fenced_sql, known_sql, known_tasks, quartiled, query, sample_attempts, suites, tested_sql
@@ -133,11 +134,17 @@ def task_dataset(spark, sf_dir):
     return snapshot(spark, *task_sources(f"{path}-none", f"{path}.parquet", prefer_snapshot=False)).select("task_id", "entry_point", "prompt", "canonical_solution")
 
 
-@query("SELECT * FROM (VALUES ('a/b:off/v1', 'a/b', CAST(0.7 AS DOUBLE), CAST(0.95 AS DOUBLE)), ('c/low', 'c', CAST(0.2 AS DOUBLE), CAST(0.95 AS DOUBLE))) t(profile_id, model, temperature, top_p)")
+@query("""SELECT doc_id, lang || '/v1' AS profile_id, 'model-' || lang AS model, CAST(CASE WHEN lang = 'en' THEN 0.2 ELSE 0.7 END AS DOUBLE) AS temperature, CAST(CASE WHEN lang = 'de' THEN 0.5 ELSE 0.95 END AS DOUBLE) AS top_p FROM documents WHERE lang IS NOT NULL""")
 def profile_registry(spark, sf_dir):
-    """Generation profiles: defaults where an entry has no value of its own."""
-    entries = {"a/b:off/v1": {"model": "a/b", "reasoning_disabled": True}, "c/low": {"model": "c", "effort": "low", "temperature": 0.2}}
-    return Profiles({"defaults": {"temperature": 0.7, "top_p": 0.95}, "profiles": entries}).table(spark)
+    """Each document with the generation profile of its language, from a written file of profiles: defaults where an entry has no value of its own."""
+    docs, path = B.table(spark, sf_dir, "documents").select("doc_id", "lang"), f"{path_of(spark, 'profiles')}.yaml"
+    lines = ["defaults:", "  temperature: 0.7", "  top_p: 0.95", "profiles:"]
+    for r in docs.select("lang").where("lang is not null").distinct().orderBy("lang").collect():  # languages are few
+        own = {"en": ["    temperature: 0.2"], "de": ["    top_p: 0.5"]}.get(r.lang, [])
+        lines += [f"  {r.lang}/v1:", f"    model: model-{r.lang}", *own]
+    write_text(spark, "\n".join(lines) + "\n", path)
+    profiles = Profiles.load(path, spark).table(spark)
+    return docs.join(F.broadcast(profiles), F.concat("lang", F.lit("/v1")) == F.col("profile_id")).drop("lang")
 
 
 def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +185,60 @@ def overall_rate(spark, sf_dir):
     return one.select("terminal_count", "wall_seconds", "overall_samples_per_second", (F.col("terminal_count") >= 100).alias("complete"))
 
 
+def delivered_events(spark: SparkSession, sf_dir: str, files: int = 6) -> tuple[str, str]:
+    """The log in files as they arrive: each event is up to a file's time late, and every third one comes again, some files later. The folder, and a delay that covers this."""
+    path, log = path_of(spark, "arrivals"), B.events(spark, sf_dir).select("seq", "run_id", F.col("job_id").cast("string").alias("job_id"), "stage", "event", F.col("ts").cast("timestamp").alias("ts"), "task_id", F.lit(None).cast("string").alias("sample_id"))
+    ends = log.agg(F.min(E.micros("ts")).alias("a"), F.max(E.micros("ts")).alias("b")).first()
+    step = ((ends.b or 0) - (ends.a or 0)) // files + 1
+    late = F.pmod(F.xxhash64("seq"), F.lit(2 * step))
+    first = F.floor((E.micros("ts") - F.lit(ends.a or 0) + late) / F.lit(step)).cast("int")
+    sent = log.withColumn("file", F.explode(F.when(F.col("seq") % 3 == 0, F.array(first, first + 1)).otherwise(F.array(first))))
+    sent = staged(sent, "arrivals-by-file")
+    for k in range(files + 3):
+        sent.where(F.col("file") == k).drop("file").write.mode("append").parquet(path)
+    return path, f"{6 * step // 1_000_000 + 1} seconds"
+
+
+def arriving(spark: SparkSession, path: str, delay: str) -> DataFrame:
+    from ..streaming import eventlog as L
+
+    return L.once(spark.readStream.schema(L.LOG).option("maxFilesPerTrigger", 8).option("maxFileAge", "36500d").parquet(path), delay)
+
+
+@query(sql("SELECT CAST(job_id AS VARCHAR) AS job_id, stage, latency_us FROM timing", "timing"))
+def streamed_stage_timing(spark, sf_dir):
+    """Stage timing with state, from events that arrive late, out of order and again."""
+    from ..streaming import eventlog as L
+
+    path, delay = delivered_events(spark, sf_dir)
+    out = path_of(spark, "timing-changes")
+    L.append(L.timing_changes(arriving(spark, path, delay), keep=10 * 365 * 86_400), out, path_of(spark, "checkpoint")).awaitTermination()
+    return L.timing_of(spark.read.parquet(out))
+
+
+@query(ORACLE["stage_throughput"])
+def streamed_throughput(spark, sf_dir):
+    """Service rates by stage, added up from the changes of timing and kept up to date in a table."""
+    from ..streaming import eventlog as L
+
+    path, delay = delivered_events(spark, sf_dir)
+    out, table = path_of(spark, "timing-changes"), sinks.Table(spark, path_of(spark, "rates"), ("stage",))
+    L.append(L.timing_changes(arriving(spark, path, delay), keep=10 * 365 * 86_400), out, path_of(spark, "checkpoint")).awaitTermination()
+    L.keep(L.rates(L.read_changes(spark, out)), table, path_of(spark, "checkpoint")).awaitTermination()
+    return L.with_rate(table.read()).select("stage", "outputs", "total_us", "samples_per_second")
+
+
+@query(sql("SELECT run_id, stage, CAST(count_if(event = 'stage_started') AS BIGINT) AS started, CAST(count_if(event = 'stage_output') AS BIGINT) AS completed, CAST(count_if(event = 'terminal') AS BIGINT) AS terminals FROM log GROUP BY 1, 2", "log"))
+def streamed_status(spark, sf_dir):
+    """Starts, outputs and ends by run and stage, each event counted once however often it is delivered."""
+    from ..streaming import eventlog as L
+
+    path, delay = delivered_events(spark, sf_dir)
+    table = sinks.Table(spark, path_of(spark, "counts"), ("run_id", "stage"))
+    L.keep(L.counts(arriving(spark, path, delay)), table, path_of(spark, "checkpoint")).awaitTermination()
+    return table.read().select("run_id", "stage", "started", "completed", "terminals")
+
+
 def outcome_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parse outcomes as outputs of their stage, test outcomes as ends of jobs."""
 

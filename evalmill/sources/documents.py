@@ -1,4 +1,4 @@
-"""Small JSON documents, written and read through Hadoop's file system."""
+"""Small documents, written and read through Hadoop's file system."""
 
 from __future__ import annotations
 
@@ -10,17 +10,25 @@ from pyspark.sql import SparkSession
 from ..staging import file_system
 
 
-def write_document(spark: SparkSession, document: Any, path: str) -> None:
+def write_text(spark: SparkSession, text: str, path: str) -> None:
     target, fs = file_system(spark, path)
     out = fs.create(target, True)
-    out.write(bytearray((json.dumps(document, indent=2, ensure_ascii=False) + "\n").encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
-def read_document(spark: SparkSession, path: str) -> Any:
+def read_text(spark: SparkSession, path: str) -> str:
     source, fs = file_system(spark, path)
     stream = fs.open(source)
     try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+def write_document(spark: SparkSession, document: Any, path: str) -> None:
+    write_text(spark, json.dumps(document, indent=2, ensure_ascii=False) + "\n", path)
+
+
+def read_document(spark: SparkSession, path: str) -> Any:
+    return json.loads(read_text(spark, path))

@@ -12,6 +12,7 @@ from ..operators.outcomes import latest
 from ..operators.stats import select_tasks
 from ..schemas import TASKS, cast_to
 from ..staging import exists
+from .documents import read_text
 
 
 def snapshot(spark: SparkSession, *paths: str) -> DataFrame:
@@ -59,13 +60,18 @@ class Profiles:
         self.defaults, self.entries = document.get("defaults", {}), document.get("profiles", {})
 
     @classmethod
-    def load(cls, path: str) -> Profiles:
+    def load(cls, path: str, spark: SparkSession | None = None) -> Profiles:
+        """From a local file, or with a session from any file that Spark can read."""
+        if spark is None:
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+        else:
+            text = read_text(spark, path)
         try:
             import yaml
         except ImportError:
-            return cls(_plain_yaml(open(path, encoding="utf-8").read()))
-        with open(path, encoding="utf-8") as f:
-            return cls(yaml.safe_load(f))
+            return cls(_plain_yaml(text))
+        return cls(yaml.safe_load(text))
 
     def ids(self) -> list[str]:
         return sorted(self.entries)

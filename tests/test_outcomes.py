@@ -75,6 +75,20 @@ def test_percentiles_follow_the_nearest_rank_rule(spark, n):
     assert tuple(got) == (at(25), int(statistics.median(v)) if v else 0, at(75), at(90))
 
 
+def test_ranks_of_values_that_all_differ(spark):
+    """Only the ranges that hold a rank are added up, in a window over ranges; no task sees all values."""
+    v = random.Random(1).sample(range(-(10**12), 10**12), 3000)
+    hist = spark.createDataFrame([(x, 1 + x % 3) for x in v], "v long, c long").repartition(6)
+    every = sorted(x for x in v for _ in range(1 + x % 3))
+    ranks = [0, 1, 17, len(every) // 2, len(every) - 2, len(every) - 1]
+    assert O.ranked_values(hist, ranks) == [every[r] for r in ranks] and O.ranked_values(hist, []) == []
+    rows = spark.createDataFrame([(x,) for x in v], "v long")
+    for frame in (O.percentiles(rows, "v", (25, 50, 90)), O.with_quartile(rows, "v")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+    assert {r["count"] for r in O.with_quartile(rows, "v").groupBy("compression_quartile").count().collect()} == {750}
+
+
 ENRICHED = "pos long, sample_id string, provenance_source string, provenance_model string, task_id string, provenance_occurrence_count long, parse_success boolean, has_test_outcome boolean, outcome_kind string, all_tests_passed boolean, compression_quartile string, decoder_input_len_zstd22 long, has_parse_outcome boolean"
 
 
