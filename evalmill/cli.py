@@ -77,10 +77,15 @@ def parse(spark: SparkSession, args: argparse.Namespace) -> Any:
 
 
 def test(spark: SparkSession, args: argparse.Namespace) -> Any:
+    """Test outcomes, committed frame by frame beside the output (<out>.frames), so that a call that broke off goes on where it was; at the end as lines."""
     from .operators.cases import batch_tally
+    from .sources.versions import Table, delete
 
     tasks, rows = _load(spark, args)
-    out = jobs.test_attempts(T.slice_limit(rows, args.limit), A.parse_outcomes(spark, args.parse), tasks, args.timeout)
+    table = Table(spark, f"{args.out}.frames", ("sample_id",))
+    if args.resume != "yes":
+        delete(spark, table.path)
+    out = jobs.test_in_frames(T.slice_limit(rows, args.limit), A.parse_outcomes(spark, args.parse), tasks, table, args.timeout, frame=args.frame, fail_fast=args.fail_fast == "yes")
     sinks.write_json_lines(out, args.out)
     return json.dumps(batch_tally(spark.read.schema(out.schema).json(args.out)).first().asDict())
 
@@ -192,7 +197,7 @@ def main(argv: list[str] | None = None) -> None:
 
     command("import-pool", import_pool, "source", "tasks", "out", "pool", "limit", pool=None, limit=None)
     command("parse", parse, "attempts", "out", "limit", limit=None)
-    command("test", test, "attempts", "parse", "tasks", "out", "limit", "timeout", limit=None, timeout=30.0)
+    command("test", test, "attempts", "parse", "tasks", "out", "limit", "timeout", "frame", "fail_fast", "resume", limit=None, timeout=30.0, frame=jobs.FRAME, fail_fast="no", resume="no")
     command("analyse", analyse, "attempts", "parse", "test", "out", "limit", limit=None)
     command("run", run, "root", "run_id", "step", "attempts", "tasks", "timeout", "wait", "overwrite", "handlers", "concurrency", "stage", "worker", "target", "out", "stall", run_id=None, step="all", attempts=None, tasks=None, timeout=30.0, wait=28_800.0, overwrite="no", handlers="evalmill.streaming.runs", concurrency=None, stage=None, worker=None, target="terminal", out=None, stall=None)
     command("tune", tune, "attempts", "parse", "tasks", "limit", "timeout", "start", "most", "least", "dry_run", "out", "root", "run_id", "stage", "measure", "warm_up", attempts=None, parse=None, root=None, run_id=None, stage=None, measure=60.0, warm_up=15.0, limit=None, timeout=30.0, start=2, most=64, least=5, dry_run="no", out=None)

@@ -319,6 +319,26 @@ def upserted_table(spark, sf_dir):
     return sinks.Table(spark, path).read().select("run_id", "sample_id", "pos", "outcome_kind")
 
 
+@query(ORACLE["latest_outcome"])
+def bucketed_latest_outcome(spark, sf_dir):
+    """The last outcome of each sample from a table that is laid out by sample."""
+    path = path_of(spark, "bucketed")
+    name = f"outcomes_{path.rpartition('-')[2]}"
+    sinks.write_bucketed(B.test_outcomes(spark, sf_dir), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return O.latest(spark.table(name), "sample_id").select("sample_id", "pos", "task_id", "run_id", "outcome_kind", "all_tests_passed")
+
+
+@query(tested_sql("SELECT sample_id, task_id, outcome_kind, CASE WHEN outcome_kind = 'tested' THEN adds_one END AS all_tests_passed FROM tested"))
+def resumed_batch(spark, sf_dir):
+    """Test outcomes in frames: a call that ends after its first frame, and one that goes on from there."""
+    from .jobs import parse_attempts, test_in_frames
+
+    rows, tasks, table = staged(sample_attempts(spark, sf_dir), "attempts"), suites(spark, sf_dir), sinks.Table(spark, path_of(spark, "frames"), ("sample_id",))
+    parsed, half = staged(parse_attempts(rows), "parsed"), -(-rows.count() // 2) or 1
+    test_in_frames(rows, parsed, tasks, table, 10.0, frame=half, most=1)
+    return test_in_frames(rows, parsed, tasks, table, 10.0, frame=half).select("sample_id", "task_id", "outcome_kind", "all_tests_passed")
+
+
 @query(ORACLE["slices_all"])
 def analysis_bundle_slices(spark, sf_dir):
     """The slice tables as the analysis bundle has them."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -85,6 +85,17 @@ def upsert(results: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "sam
     return Table(results.sparkSession, path, key).upsert(results)
 
 
+def write_bucketed(outcomes: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Outcomes as a table laid out by sample: the last record of each sample, and joins by sample, need no shuffle of it."""
+    outcomes.repartition(buckets, "sample_id").write.bucketBy(buckets, "sample_id").sortBy("sample_id").option("path", path).mode("overwrite").saveAsTable(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, schema: str, buckets: int) -> DataFrame:
+    """The same table in a session whose catalog doesn't know it."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({schema}) USING parquet CLUSTERED BY (sample_id) SORTED BY (sample_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def export_run(path: str, attempts: DataFrame, parse: DataFrame, test: DataFrame, manifest: dict[str, Any], report: dict[str, Any]) -> dict[str, str]:
     """A run's bundle; the proof report only if some jobs have ended, and as many as were expected."""
     spark = attempts.sparkSession

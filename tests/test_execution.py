@@ -134,3 +134,44 @@ def test_contradictory_outcomes_are_errors(spark):
     for r in rows.collect():
         with pytest.raises(Exception, match="contradictory outcome of sample s"):
             checked_outcomes(cast_to(rows.where(F.col("outcome_kind") == r.outcome_kind), TEST_OUTCOMES)).collect()
+
+
+def test_a_batch_in_frames_goes_on_where_it_was(spark, tasks, tmp_path, monkeypatch):
+    """What broke off is run again, what was committed isn't: each program leaves a mark when it runs."""
+    from evalmill.plans import jobs
+    from evalmill.sources.versions import Table
+
+    marks = tmp_path / "marks"
+    marks.mkdir()
+    program = lambda k: f"import tempfile, os\nopen({str(marks)!r} + '/{k}-' + str(os.getpid()), 'w').close()\n{ADD}"
+    a = attempts_of(spark, *(("t1", program(k)) for k in range(6)), ("t1", "nothing"))
+    a = a.unionByName(a.where("sample_id = 's0'").withColumn("pos", F.lit(10**12)))  # a sample that repeats
+    p, table = parse_attempts(a.where(F.col("pos") < 10**12)).persist(), Table(spark, str(tmp_path / "t"), ("sample_id",))
+    real, calls = jobs.test_attempts, []
+
+    def breaks(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return real(*args)
+
+    monkeypatch.setattr(jobs, "test_attempts", breaks)
+    with pytest.raises(KeyboardInterrupt):
+        jobs.test_in_frames(a, p, tasks, table, 10.0, frame=2)
+    assert table.read().count() == 4
+    out = jobs.test_in_frames(a, p, tasks, table, 10.0, frame=2)
+    assert len(calls) == 5 and sorted((r.sample_id, r.outcome_kind) for r in out.collect()) == [(f"s{k}", "tested") for k in range(6)] + [("s6", "skipped")]
+    ran = [f.name.partition("-")[0] for f in marks.iterdir()]
+    assert sorted(ran) == [str(k) for k in range(6)]
+    assert jobs.test_in_frames(a, p, tasks, table, 10.0).count() == 7 and len(calls) == 5  # nothing is left
+
+
+def test_a_batch_in_frames_stops_at_an_internal_error(spark, tasks, tmp_path):
+    from evalmill.plans.jobs import test_in_frames
+    from evalmill.sources.versions import Table
+
+    a = attempts_of(spark, ("t1", ADD), ("t9", ADD), ("t1", ADD), ("t1", ADD))
+    p = parse_attempts(a).persist()
+    out = test_in_frames(a, p, tasks, Table(spark, str(tmp_path / "t"), ("sample_id",)), 10.0, frame=1, fail_fast=True)
+    assert [(r.sample_id, r.outcome_kind) for r in out.orderBy("sample_id").collect()] == [("s0", "tested"), ("s1", "internal_error")]
+    assert test_in_frames(a.limit(0), p, tasks, Table(spark, str(tmp_path / "none"), ("sample_id",))).count() == 0

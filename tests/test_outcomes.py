@@ -81,12 +81,16 @@ def test_ranks_of_values_that_all_differ(spark):
     hist = spark.createDataFrame([(x, 1 + x % 3) for x in v], "v long, c long").repartition(6)
     every = sorted(x for x in v for _ in range(1 + x % 3))
     ranks = [0, 1, 17, len(every) // 2, len(every) - 2, len(every) - 1]
-    assert O.ranked_values(hist, ranks) == [every[r] for r in ranks] and O.ranked_values(hist, []) == []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, though the values are few
+    try:
+        assert O.ranked_values(hist, ranks) == [every[r] for r in ranks] and O.ranked_values(hist, []) == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = spark.createDataFrame([(x,) for x in v], "v long")
     for frame in (O.percentiles(rows, "v", (25, 50, 90)), O.with_quartile(rows, "v")):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "SinglePartition" not in plan
-    assert {r["count"] for r in O.with_quartile(rows, "v").groupBy("compression_quartile").count().collect()} == {750}
+    assert {r["count"] for r in O.with_quartile(rows, "v").groupBy("compression_quartile").count().collect()} <= {749, 750, 751}
 
 
 ENRICHED = "pos long, sample_id string, provenance_source string, provenance_model string, task_id string, provenance_occurrence_count long, parse_success boolean, has_test_outcome boolean, outcome_kind string, all_tests_passed boolean, compression_quartile string, decoder_input_len_zstd22 long, has_parse_outcome boolean"
@@ -162,3 +166,26 @@ def test_numbered(spark):
     rows = spark.createDataFrame([(v,) for v in values], "pos long").repartition(7)
     assert [r.at for r in T.numbered(rows, "at").orderBy("pos").collect()] == list(range(50))
     assert T.numbered(rows.limit(0), "at").count() == 0
+
+
+def test_outcomes_laid_out_by_sample_are_not_shuffled(spark, tmp_path):
+    """The last record of each sample without an exchange, and joined with attempts by an exchange of these alone; also in a session that has to be told of the table."""
+    from evalmill.sources import sinks
+
+    schema = "sample_id string, run_id string, outcome_kind string, pos long"
+    rows = [(f"s{k % 40}", None, f"kind{k}", k) for k in range(200)]
+    sinks.write_bucketed(spark.createDataFrame(rows, schema), "outcomes_by_sample", str(tmp_path / "b"), 4)
+    again = sinks.open_bucketed(spark, "outcomes_opened", str(tmp_path / "b"), schema, 4)
+    attempts = spark.createDataFrame([(k, f"s{k}", None) for k in range(50)], "pos long, sample_id string, run_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table in (spark.table("outcomes_by_sample"), again):
+            last, joined = O.latest(table, "sample_id"), O.with_outcome(attempts, table, "t")
+            plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan(last) and plan(joined).count("Exchange") == 1 and plan(joined).count("Bucketed: true") >= 2
+            assert {(r.sample_id, r.pos) for r in last.collect()} == {(f"s{k}", 160 + k) for k in range(40)}
+            assert joined.where("t is not null").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("outcomes_by_sample", "outcomes_opened"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
