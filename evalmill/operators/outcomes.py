@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,8 +81,8 @@ def percentiles(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFra
     return hist_percentiles(hist, percents)
 
 
-def ranked_values(hist: DataFrame, ranks: list[int]) -> list[int]:
-    """The values at some ranks (from 0) of a histogram (v, c), by range: values are dealt into sorted ranges, the counts of the ranges (a row each) tell which ones hold a rank, and only
+def ranked_values(hist: DataFrame, ranks_of: Callable[[int], list[int]]) -> dict[int, int]:
+    """The values at some ranks (from 0, given the number of rows) of a histogram (v, c), by range: values are dealt into sorted ranges, the counts of the ranges (a row each) tell which ones hold a rank, and only
     within these are counts added up. So no task has more than its range, also where all values differ."""
     from pyspark.sql import Window
 
@@ -89,6 +90,7 @@ def ranked_values(hist: DataFrame, ranks: list[int]) -> list[int]:
 
     dealt = staged(hist.select("v", "c").repartitionByRange("v").withColumn("range", F.spark_partition_id()), "ranges")
     sizes = sorted((r.first, r.range, r.n) for r in dealt.groupBy("range").agg(F.min("v").alias("first"), F.sum("c").alias("n")).collect())
+    ranks = ranks_of(sum(n for _, _, n in sizes))
     place: dict[int, tuple[int, int]] = {}  # of each rank: its range, and the rank within it
     before = 0
     for _, k, n in sizes:
@@ -99,15 +101,18 @@ def ranked_values(hist: DataFrame, ranks: list[int]) -> list[int]:
     wanted = [(F.col("range") == k) & (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r) for k, r in set(place.values())]
     found = held.where(reduce(lambda a, b: a | b, wanted)).collect() if wanted else []
     value = {(k, r): x.v for k, r in place.values() for x in found if x.range == k and x.upto > r >= x.upto - x.c}
-    return [value[place[r]] for r in ranks]
+    return {r: value[place[r]] for r in ranks}
 
 
 def hist_percentiles(hist: DataFrame, percents: tuple[int, ...]) -> DataFrame:
     """percentiles() from a histogram (v, c) of distinct values."""
-    n = hist.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n")).first().n
-    of = {p: [(n - 1) // 2, n // 2] if p == 50 else [round(p / 100 * (n - 1))] for p in percents} if n else {}
-    ranks = sorted({r for own in of.values() for r in own})
-    value = dict(zip(ranks, ranked_values(hist, ranks)))
+    of: dict[int, list[int]] = {}
+
+    def ranks_of(n: int) -> list[int]:
+        of.update({p: [(n - 1) // 2, n // 2] if p == 50 else [round(p / 100 * (n - 1))] for p in percents} if n else {})
+        return sorted({r for own in of.values() for r in own})
+
+    value = ranked_values(hist, ranks_of)
     out = {p: int(sum(value[r] for r in own) / len(own)) for p, own in of.items()}
     return hist.sparkSession.range(1).select(*(F.lit(out.get(p, 0)).cast("long").alias(f"p{p}") for p in percents))
 

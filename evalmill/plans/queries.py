@@ -37,10 +37,13 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.attempts(spark, sf_dir).select(F.octet_length("decoder_input").cast("long").alias("decoder_input_len_zstd22"))
+
+
 def quartiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with quartiles; the cut points need the attempts only."""
-    sizes = B.attempts(spark, sf_dir).select(F.octet_length("decoder_input").cast("long").alias("decoder_input_len_zstd22"))
-    return O.with_quartile(enriched(spark, sf_dir), sizes=sizes)
+    return O.with_quartile(enriched(spark, sf_dir), sizes=sizes(spark, sf_dir))
 
 
 MEASURES = """count(*) AS row_count, CAST(sum(provenance_occurrence_count) AS BIGINT) AS weighted_count, CAST(count_if(is_tested) AS BIGINT) AS tested_count,
