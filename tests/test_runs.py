@@ -302,7 +302,7 @@ def test_a_live_run_is_tuned(spark, tasks, tmp_path):
     run.start(tasks, "parse")
     run.wait("parse", 120)
     steps = []
-    report = run.tune(tasks, "test", 1, 2, measure_seconds=8.0, warm_up_seconds=1.0, least_samples=1, on_step=steps.append, timeout=10.0, max_files=1)
+    report = run.tune(tasks, "test", 1, 2, measure_seconds=20.0, warm_up_seconds=1.0, least_samples=1, on_step=steps.append, timeout=10.0, max_files=1)
     assert [s["workers"] for s in report["steps"]][:1] == [1] and report["best_workers"] in (1, 2) and steps == report["steps"]
     assert steps[0]["terminals_after"] > steps[0]["terminals_before"] and steps[0]["reliable"]
     if len(steps) > 1:
