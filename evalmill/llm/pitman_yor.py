@@ -12,7 +12,8 @@ weight of a new table. For dishes with more than EXACT customers the numbers com
 FEW / 2 tables are expected t is drawn from the normal law about the saddle point. The parts of the vocabulary are sampled in parallel; the totals of each
 restaurant that they share are exchanged between ROUNDS rounds, and strengths are drawn from them each time by auxiliary variables (gamma priors). Discounts are estimated from
 counts. Predictive probabilities are averaged over SAMPLES draws
-with their own totals, so that those of a context sum to one.
+with their own totals, so that those of a context sum to one. What is drawn for a dish comes from its word, its context, the seed and the step, and
+totals are whole numbers, so scores depend on the corpus and the seed, but for the last digits: not on parts, tasks or settings.
 
 Texts travel packed: a stretch of text sends each part of the vocabulary one row of distinct (word, context)
 pairs, with counts to learn from, with documents to score. Nothing is sent to the driver but sums of fixed
@@ -43,8 +44,8 @@ from .words import word_hashes
 CONTEXT_BITS = 16
 CONTEXTS, HASHED = 1 << CONTEXT_BITS, 1 << 14
 EXACT_CONTEXTS = CONTEXTS - HASHED - 1
-#: Words that a map task counts, at most, and those of them that it passes on, to find the frequent ones: its most frequent.
-COUNTED, COMMON = 1 << 18, 1 << 16
+#: Words that a map task counts before it passes them on; steps of the histogram of counts to the octave.
+COUNTED, STEPS_OF_COUNTS = 1 << 18, 64
 EXACT, SAMPLES, BURN_IN, ROUNDS = 256, 3, 2, 2
 #: Tables to which the law is tabulated for more than EXACT customers, and grid points of the customers to the octave.
 FEW, STEPS = 192, 3
@@ -111,33 +112,41 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
         yield texts, ids
 
 
-def _top(words: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(words) > most:
-        at = np.sort(np.argpartition(-count, most)[:most])
-        words, count = words[at], count[at]
-    return words, count
-
-
-def _common(counted: int, most: int):
-    """The most frequent words of a task's texts, with their counts there; from stretch to stretch only so many are held."""
+def _counts(held: int):
+    """The words of a task's texts with their counts, passed on when more than `held` of them are at hand: a word may come more than once."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, count = np.empty(0, np.uint64), np.empty(0, np.int64)
         for texts, _ in _stretches(batches):
             own, n = np.unique(word_hashes(texts)[0], return_counts=True)
-            both = np.concatenate((words, own))
-            words, near = np.unique(both, return_inverse=True)
-            words, count = _top(words, np.bincount(near, np.concatenate((count, n)), len(words)).astype(np.int64), counted)
-        words, count = _top(words, count, most)
+            words, near = np.unique(np.concatenate((words, own)), return_inverse=True)
+            count = np.bincount(near, np.concatenate((count, n)), len(words)).astype(np.int64)
+            if len(words) > held:
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count)], ["w", "c"])
+                words, count = words[:0], count[:0]
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count)], ["w", "c"])
 
     return f
 
 
-def frequent_words(texts: DataFrame, most: int | None = None) -> np.ndarray:
-    """Sorted hashes of the most frequent words, at most EXACT_CONTEXTS of them. Which words these are decides only who has a context of its own."""
-    counted = map_batches(texts, _common(COUNTED, COMMON), "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "w").limit(EXACT_CONTEXTS if most is None else most).select("w").toPandas()
+def frequent_words(texts: DataFrame, most: int = EXACT_CONTEXTS) -> np.ndarray:
+    """Sorted hashes of the `most` most frequent words, of equal counts those of the least hashes; all words of all texts are counted.
+
+    Tasks send what is above a count that a histogram of counts (STEPS_OF_COUNTS to the octave) gives, so the driver and the last sort
+    get about as many rows as asked for, and not so many from every task; only words of that last step are taken in part.
+    """
+    counted = staged(map_batches(texts, _counts(COUNTED), "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
+    step = F.floor(F.log2("c") * STEPS_OF_COUNTS).cast("int")
+    above, least = 0, 0
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if above + r["count"] > most:
+            last = counted.where(step == r.step).orderBy(F.desc("c"), "w").limit(most - above)
+            break
+        above, least = above + r["count"], r.step
+    else:
+        last = None
+    sure = counted.where(step >= least) if above else counted.limit(0)
+    top = (sure if last is None else sure.unionByName(last)).select("w").toPandas()
     return np.sort(top["w"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -332,12 +341,12 @@ def large(discount: float) -> np.ndarray:
     return np.array([r - r[0] for r in rows])
 
 
-def _seat_large(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def _seat_large(c: np.ndarray, weight: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
     """The same law for more than EXACT customers: from the grid if about FEW / 2 tables or fewer are expected, else the normal law about its saddle point."""
     tables = np.empty(len(c), np.int64)
     small = c <= EXACT
     if small.any():  # the caller's numbers end earlier
-        tables[small] = seat(c[small].astype(np.int64), weight[small], discount, stirling(EXACT, discount), rng)
+        tables[small] = _seat_small(c[small].astype(np.int64), weight[small], stirling(EXACT, discount), u[small])
     # tables have Poisson numbers and sizes of weights f's coefficients, given that sizes add up to c: w x (1 - x)^(d - 1) = c, y = 1 - x
     lo, hi = np.full(len(c), -2000.0), np.zeros(len(c))
     for _ in range(60):
@@ -348,7 +357,8 @@ def _seat_large(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.rand
     mean = weight * -np.expm1(discount * lo) / discount
     spread = np.sqrt(np.maximum(mean - c / (1 + (1 - discount) * (1 - y) / y), 0))
     far = np.flatnonzero(~small & (mean > FEW / 2))
-    tables[far] = np.clip(np.rint(rng.normal(mean[far], spread[far])), 1, c[far]).astype(np.int64)
+    normal = np.sqrt(-2 * np.log1p(-u[far])) * np.cos(2 * np.pi * uniform(mixed(u[far].view(np.uint64))))
+    tables[far] = np.clip(np.rint(mean[far] + spread[far] * normal), 1, c[far]).astype(np.int64)
     near = np.flatnonzero(~small & (mean <= FEW / 2))
     grid = large(discount) if len(near) else None
     for k in range(0, len(near), 4096):
@@ -359,12 +369,11 @@ def _seat_large(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.rand
         cubic = (-(x - 1) * (x - 2) * (x - 3) / 6, x * (x - 2) * (x - 3) / 2, -x * (x - 1) * (x - 3) / 2, x * (x - 1) * (x - 2) / 6)
         p = sum(q[:, None] * grid[first + j] for j, q in enumerate(cubic)) + np.log(weight[at])[:, None] * np.arange(1, FEW + 1)
         p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), 1)
-        tables[at] = 1 + (p[:, :-1] < rng.random(len(at))[:, None] * p[:, -1:]).sum(1)
+        tables[at] = 1 + (p[:, :-1] < u[at][:, None] * p[:, -1:]).sum(1)
     return tables
 
 
-def seat(count: np.ndarray, weight: np.ndarray, discount: float, numbers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables, drawn for dishes of so many customers, at which a new table has such a weight."""
+def _seat_small(count: np.ndarray, weight: np.ndarray, numbers: np.ndarray, u: np.ndarray) -> np.ndarray:
     tables = np.minimum(count, 1)
     some = np.flatnonzero((count > 1) & (count < len(numbers)))
     some = some[np.argsort(count[some], kind="stable")]
@@ -375,13 +384,44 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, numbers: np.nda
             at = some[k : min(e, k + max(1, (1 << 20) // c))]
             p = row + np.log(weight[at])[:, None] * t
             p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), 1)
-            tables[at] = 1 + (p[:, :-1] < rng.random(len(at))[:, None] * p[:, -1:]).sum(1)
+            tables[at] = 1 + (p[:, :-1] < u[at][:, None] * p[:, -1:]).sum(1)
+    return tables
+
+
+def seat(count: np.ndarray, weight: np.ndarray, discount: float, numbers: np.ndarray, rng) -> np.ndarray:
+    """Numbers of tables, drawn for dishes of so many customers, at which a new table has such a weight. rng: one uniform number per dish."""
+    u = rng.random(len(count))
+    tables = _seat_small(count, weight, numbers, u)
     many = np.flatnonzero(count >= len(numbers))
     if len(many):
-        tables[many] = _seat_large(count[many].astype(float), weight[many], discount, rng)
+        tables[many] = _seat_large(count[many].astype(float), weight[many], discount, u[many])
     return tables
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each number's 64 bits, mixed one to one by shifts and multiplications by odd numbers."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x9FB21C651E98DF25)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def uniform(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+class Draws:
+    """Random numbers of dishes: they come from the dish, the seed and the number of the step, so it makes no difference which task draws them, and with what."""
+
+    def __init__(self, dish: np.ndarray, seed: int):
+        self.dish, self.seed, self.step = dish, seed, 0
+
+    def random(self, n: int) -> np.ndarray:
+        self.step += 1
+        return uniform(mixed(self.dish ^ mixed(np.array([self.seed << 20 | self.step], np.uint64) * np.uint64(0xA0761D6478BD642F))))
+
+
 class Restaurants:
     """Totals that all parts share: customers and tables of the contexts, and of the parent."""
 
@@ -412,19 +452,19 @@ def _seat_all(shared, draws: int, burn_in: int, seed: int):
         for batch in batches:
             for r in rows_of(batch):
                 words, near, ctx, count = _unpacked(r)
-                rng = np.random.default_rng([seed, r["part"]])
+                again = np.flatnonzero(count > 1)
+                at_parent, at_context = Draws(words, 2 * seed), Draws(mixed(words[near[again]] + ctx[again].astype(np.uint64)), 2 * seed + 1)
                 tables = np.minimum(count, 1)
                 served = np.bincount(near, tables, len(words)).astype(np.int64)
-                parent = seat(served, np.full(len(words), base), state.parent_discount, parents, rng)
-                again = np.flatnonzero(count > 1)
+                parent = seat(served, np.full(len(words), base), state.parent_discount, parents, at_parent)
                 kept, parent_kept, sums = [], [], []
                 for n in range(burn_in + draws):
                     # the dish's own tables leave the parent while they are drawn
                     rest = np.maximum(served[near[again]] - tables[again], 0)
                     p = state.parent(rest, np.minimum(parent[near[again]], rest))
-                    tables[again] = seat(count[again], (state.strength + state.discount * state.tables[ctx[again]]) * p, state.discount, numbers, rng)
+                    tables[again] = seat(count[again], (state.strength + state.discount * state.tables[ctx[again]]) * p, state.discount, numbers, at_context)
                     served = np.bincount(near, tables, len(words)).astype(np.int64)
-                    parent = seat(served, np.full(len(words), base), state.parent_discount, parents, rng)
+                    parent = seat(served, np.full(len(words), base), state.parent_discount, parents, at_parent)
                     if n >= burn_in:
                         kept.append(tables.astype(np.int32).tobytes())
                         parent_kept += [served.astype(np.int32).tobytes(), parent.astype(np.int32).tobytes()]

@@ -557,6 +557,53 @@ def test_strengths_follow_their_posterior():
         assert abs(np.mean(found[50:]) - strength) < 0.25 * strength
 
 
+def test_frequent_words_are_those_of_the_whole_corpus(spark, monkeypatch):
+    """A word that leads in no task's texts, words counted in many portions, ties at the border and fewer words than asked for."""
+    import random
+
+    monkeypatch.setattr(pitman_yor, "COUNTED", 40)
+    monkeypatch.setattr(pitman_yor, "STRETCH", 300)
+    rng, texts = random.Random(4), []
+    for task in range(6):
+        own = [f"t{task}w{k}" for k in range(60) for _ in range(5)] + ["everywhere"] * 2 + [f"rare{rng.randrange(50)}" for _ in range(100)]
+        rng.shuffle(own)
+        texts += [" ".join(own[k : k + 20]) for k in range(0, len(own), 20)]
+    count = Counter(w for t in texts for w in t.split())
+    names = sorted(count)
+    code = dict(zip(names, (int(pitman_yor.word_hashes([w.encode()])[0][0]) for w in names)))
+    order = sorted(count, key=lambda w: (-count[w], code[w] - (1 << 64) * (code[w] >> 63)))
+    rows = spark.createDataFrame([(None, t) for t in texts], "id bigint, text string").repartition(5)
+    for most in (1, 30, 200, 10_000):
+        assert set(pitman_yor.frequent_words(rows, most).tolist()) == {code[w] for w in order[:most]}, most
+    assert len(pitman_yor.frequent_words(rows.limit(0))) == 0
+
+
+def test_scores_do_not_depend_on_parts_or_settings(spark, docs, monkeypatch):
+    """Chains and frequent words are those of the corpus, however it is dealt."""
+
+    def scores(parts, tasks):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        model = pitman_yor.fit(docs.select("text").repartition(tasks + 2), parts=parts, samples=2, seed=3)
+        return sorted((r.id is None, r.id, round(r.score, 6)) for r in pitman_yor.scored(docs, model).collect())
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        want = scores(3, 2)
+        monkeypatch.setattr(pitman_yor, "STRETCH", 4000)
+        assert scores(11, 5) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_random_numbers_of_dishes_are_even():
+    own = pitman_yor.Draws(np.arange(200_000, dtype=np.uint64), 7)
+    a, b = own.random(200_000), own.random(200_000)
+    other = pitman_yor.Draws(np.arange(200_000, dtype=np.uint64), 8).random(200_000)
+    for x in (a, b, other):
+        assert 0 <= x.min() and x.max() < 1 and abs(np.histogram(x, 20, (0, 1))[0] - 10_000).max() < 600
+    assert max(abs(np.corrcoef(x, y)[0, 1]) for x, y in ((a, b), (a, other), (a[:-1], a[1:]))) < 0.01
+
+
 def test_rare_words_share_contexts_and_frequent_ones_do_not(spark):
     words = [f"word{k}" for k in range(500)]
     docs = spark.createDataFrame([(" ".join(words[: k + 1]),) for k in range(500)], "text string")
