@@ -15,6 +15,7 @@ from . import session
 from .functions import columns as C
 from .functions import display
 from .functions.extract import parse_attempts
+from .operators import slices as S
 from .operators import stats as T
 from .plans import jobs
 from .sources import attempts as A
@@ -97,6 +98,12 @@ def analyse(spark: SparkSession, args: argparse.Namespace) -> Any:
     return json.dumps({k: summary[k] for k in ("attempt_count", "tested_pass_count", "tested_fail_count", "correctness_pass_rate")})
 
 
+def outcomes(spark: SparkSession, args: argparse.Namespace) -> Any:
+    """The outcome kinds of an analysis bundle, with attempts, weights and passes; of none, no lines."""
+    found = S.outcome_table(A.bundle_outcomes(spark, args.bundle)).collect()  # a row per kind
+    return "\n".join(json.dumps(r.asDict()) for r in sorted(found, key=lambda r: (-r.row_count, r.outcome_kind or "")))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> Any:
     """One step of a run's life, or all: preflight, init, seed, start, replace, stop, workers, wait, status, export, show, vacuum."""
     from .streaming.runs import Run, new_run_id
@@ -199,6 +206,7 @@ def main(argv: list[str] | None = None) -> None:
     command("parse", parse, "attempts", "out", "limit", limit=None)
     command("test", test, "attempts", "parse", "tasks", "out", "limit", "timeout", "frame", "fail_fast", "resume", limit=None, timeout=30.0, frame=jobs.FRAME, fail_fast="no", resume="no")
     command("analyse", analyse, "attempts", "parse", "test", "out", "limit", limit=None)
+    command("outcomes", outcomes, "bundle")
     command("run", run, "root", "run_id", "step", "attempts", "tasks", "timeout", "wait", "overwrite", "handlers", "concurrency", "stage", "worker", "target", "out", "stall", run_id=None, step="all", attempts=None, tasks=None, timeout=30.0, wait=28_800.0, overwrite="no", handlers="evalmill.streaming.runs", concurrency=None, stage=None, worker=None, target="terminal", out=None, stall=None)
     command("tune", tune, "attempts", "parse", "tasks", "limit", "timeout", "start", "most", "least", "dry_run", "out", "root", "run_id", "stage", "measure", "warm_up", attempts=None, parse=None, root=None, run_id=None, stage=None, measure=60.0, warm_up=15.0, limit=None, timeout=30.0, start=2, most=64, least=5, dry_run="no", out=None)
     command("spot-check", spot_check, "attempts", "task")

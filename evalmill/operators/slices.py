@@ -89,3 +89,11 @@ def task_hardness(rows: DataFrame) -> DataFrame:
 
 def joint_objective(rows: DataFrame, factor: float = JOINT_LAMBDA) -> DataFrame:
     return rows.where(tested()).select("sample_id", "pos", (passed().cast("int") - F.lit(factor) * F.col("decoder_input_len_zstd22")).alias("objective"))
+
+
+def outcome_table(rows: DataFrame) -> DataFrame:
+    """Attempts, weights and passes of each outcome kind, null where there was no test."""
+    weight = F.coalesce(F.col(WEIGHT), F.lit(0))
+    return rows.groupBy("outcome_kind").agg(
+        F.count("*").alias("row_count"), F.sum(weight).cast("long").alias("weighted_count"), F.count_if(passed()).alias("passed"), F.count_distinct("sample_id").alias("samples")
+    )

@@ -351,6 +351,15 @@ def analysis_bundle_slices(spark, sf_dir):
     return out
 
 
+@query(sql("""SELECT outcome_kind, count(*) AS row_count, CAST(sum(coalesce(provenance_occurrence_count, 0)) AS BIGINT) AS weighted_count, CAST(count_if(is_passed) AS BIGINT) AS passed, count(DISTINCT sample_id) AS samples
+FROM enriched GROUP BY outcome_kind""", "enriched"))
+def bundle_outcome_table(spark, sf_dir):
+    """Outcomes of a written bundle, from five of its columns, together with those of a bundle that isn't there."""
+    path = path_of(spark, "analysis")
+    quartiled(spark, sf_dir).write.parquet(f"{path}/enriched.parquet")
+    return S.outcome_table(A.bundle_outcomes(spark, path).unionByName(A.bundle_outcomes(spark, path_of(spark, "absent"))))
+
+
 @query(sql("""SELECT count(*) AS attempt_count, CAST(count_if(is_passed) AS BIGINT) AS tested_pass_count, CAST(count_if(NOT has_parse_outcome) AS BIGINT) AS missing_parse, CAST(count_if(NOT has_test_outcome) AS BIGINT) AS missing_test,
 CAST(count_if(NOT has_test_outcome) AS BIGINT) AS listed, CAST(count_if(coalesce(parse_success, false)) AS BIGINT) AS parsed, CAST(sum(provenance_occurrence_count) FILTER (outcome_kind = 'tested') AS BIGINT) AS tested_weighted, count(*) AS enriched_rows FROM enriched""", "enriched"))
 def analysis_bundle_summary(spark, sf_dir):

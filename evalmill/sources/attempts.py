@@ -145,3 +145,8 @@ def flat_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return cast_to(spark.read.parquet(path), schema)
+
+
+def bundle_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """How the attempts of an analysis bundle came out: five columns of its enriched rows, no other is read; without a bundle, no rows."""
+    return flat_table(spark, f"{path}/enriched.parquet", "sample_id string, has_test_outcome boolean, outcome_kind string, all_tests_passed boolean, provenance_occurrence_count bigint")

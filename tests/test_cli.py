@@ -26,6 +26,11 @@ def test_import_to_analysis(spark, tmp_path, capsys):
     cli.main(["analyse", "--attempts", at("a.jsonl"), "--parse", at("p.jsonl"), "--test", at("t.jsonl"), "--out", at("out")])
     assert json.loads(capsys.readouterr().out)["correctness_pass_rate"] == 0.5
     assert (tmp_path / "out/summary.json").exists()
+    cli.main(["outcomes", "--bundle", at("out")])
+    kinds = {r["outcome_kind"]: r for r in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert kinds["tested"] == {"outcome_kind": "tested", "row_count": 2, "weighted_count": 4, "passed": 1, "samples": 2} and kinds["skipped"]["passed"] == 0
+    cli.main(["outcomes", "--bundle", at("nowhere")])
+    assert capsys.readouterr().out.strip() == ""
     cli.main(["run", "--root", str(tmp_path), "--run_id", "r1", "--attempts", at("a.jsonl"), "--tasks", at("tasks.json"), "--timeout", "10"])
     status = json.loads(capsys.readouterr().out)
     assert status == {"expected_jobs": 3, "terminals": 3, "kinds": {"tested": 2, "skipped": 1}, "stages": {"parse": 3, "test": 3}, "active_workers": 0, "active_concurrency": 0}

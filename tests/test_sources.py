@@ -115,6 +115,16 @@ def test_scalars(spark):
 def test_absent_files_are_empty(spark, tmp_path):
     assert A.parse_outcomes(spark, str(tmp_path / "none.jsonl")).count() == 0 and A.test_outcomes(spark, str(tmp_path / "none.jsonl"), last=False).count() == 0
     assert A.flat_table(spark, str(tmp_path / "none.parquet"), TASKS).count() == 0
+    assert A.bundle_outcomes(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_bundle_outcomes_read_their_columns_only(spark, tmp_path):
+    """Columns that the writer left void are null as they should be, and the scan has no others."""
+    spark.sql("SELECT 's' AS sample_id, CAST(NULL AS STRING) AS outcome_kind, true AS all_tests_passed, CAST(2 AS INT) AS provenance_occurrence_count, 'long' AS text").write.parquet(str(tmp_path / "enriched.parquet"))
+    rows = A.bundle_outcomes(spark, str(tmp_path))
+    assert [tuple(r) for r in rows.collect()] == [("s", None, None, True, 2)]
+    scan = next(line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line)
+    assert "text" not in scan.split("ReadSchema")[1] and "all_tests_passed" in scan.split("ReadSchema")[1]
 
 
 def test_events_of_a_file_tell_their_attempts(spark, tmp_path):
