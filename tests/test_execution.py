@@ -122,6 +122,25 @@ def test_long_answers_are_cut_off_while_they_are_read(monkeypatch):
     assert out["infra_error"]["stage"] == "worker_payload_too_large"
 
 
+def test_candidates_run_where_the_package_is_an_archive(tmp_path):
+    """As on machines that lack it, to which it is sent as a zip."""
+    import os
+    import subprocess
+    import sys
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(X.__file__))))
+    with zipfile.ZipFile(tmp_path / "code.zip", "w") as z:
+        for top, _, names in os.walk(os.path.join(root, "evalmill")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.relpath(os.path.join(top, n), root))
+    program = f"import evalmill.functions.sandbox as X\nprint('code.zip' in X.__file__, X.execute({ADD!r}, 'add', [('(1, 2)', '3')], 10.0)['outcome_kind'])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(tmp_path / "code.zip")}
+    said = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == ["True", "tested"], said
+
+
 def test_long_noisy_tails():
     tail = "\n".join(f"x{i} is not ( code" if i % 2 else f"y{i} = {i}" for i in range(300))
     assert extract("def f():\n    return 1\n" + tail)["extracted_code"].startswith("def f():\n    return 1")
