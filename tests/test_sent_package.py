@@ -27,7 +27,7 @@ print("SAME" if got == sorted(map(repr, want)) else f"DIFFERENT {got[:3]}", len(
 """
 
 
-@pytest.mark.parametrize("name", ["replaced_run", "stream_run", "resumed_batch"])
+@pytest.mark.parametrize("name", ["replaced_run", "stream_run", "resumed_batch", "run_bundle"])
 def test_equal_to_sql(name, tmp_path):
     said = subprocess.run([sys.executable, "-c", PROGRAM, name, DATA, ROOT], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert "SAME" in said.stdout.split(), (said.stdout, said.stderr[-2000:])
