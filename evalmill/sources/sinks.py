@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import outcomes as O
 from ..operators import slices as S
+from ..operators.stats import numbered
 from ..schemas import checked_outcomes
 from ..staging import file_system, staged
-from .documents import write_document
+from .documents import write_document, write_document_with_lists
 from .versions import Table
 
 
@@ -44,7 +45,7 @@ def write_dedup(rows: DataFrame, folder: str) -> None:
             raise OSError(f"cannot write {name}")
 
 
-#: Ids without an outcome up to which a document lists them; the whole lists are tables.
+#: Ids without an outcome up to which export_analysis() gives them back; its document and tables have all.
 LISTED = 100_000
 
 
@@ -52,7 +53,7 @@ def export_analysis(rows: DataFrame, path: str, listed: int = LISTED) -> dict[st
     """enriched.parquet, aggregates/<name>.parquet, missing/<parse, test>.parquet and summary.json.
 
     rows are used again and again, so they come back from the written table. The slices are one aggregation, told apart by name.
-    The summary counts all missing ids and lists them up to a bound; the tables have them all.
+    The summary counts and lists all missing ids, like the tables; what is given back lists them up to a bound.
     """
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/enriched.parquet")
@@ -61,16 +62,20 @@ def export_analysis(rows: DataFrame, path: str, listed: int = LISTED) -> dict[st
     for name in S.slice_keys():
         slices.where(F.col("slice_name") == name).drop("slice_name").coalesce(1).write.mode("overwrite").parquet(f"{path}/aggregates/{name}.parquet")
     one, kinds, steps = S.summary(rows).first().asDict(), S.outcome_kinds(rows).collect(), S.funnel(rows).first().asDict()
-    failures = {}
+    failures, told, lists = {}, {}, {}
     for which in ("parse", "test"):
         O.missing(rows, which).write.mode("overwrite").parquet(f"{path}/missing/{which}.parquet")
         ids = spark.read.parquet(f"{path}/missing/{which}.parquet")
-        failures |= {f"missing_{which}_count": ids.count(), f"missing_{which}_sample_ids": [r.sample_id for r in ids.orderBy("pos").limit(listed).collect()]}
+        count, name = {f"missing_{which}_count": ids.count()}, f"missing_{which}_sample_ids"
+        failures |= count | {name: [r.sample_id for r in ids.orderBy("pos").limit(listed).collect()]}
+        told |= count | {name: [f"{name} {path}"] if count[f"missing_{which}_count"] else []}
+        if told[name]:
+            lists[told[name][0]] = numbered(ids, "at").select("at", F.col("sample_id").alias("value"))
     summary = one | {
         "outcome_kind_counts": {r.outcome_kind: r.row_count for r in kinds}, "outcome_kind_counts_weighted": {r.outcome_kind: r.weighted_count for r in kinds},
         "parse_funnel": steps, "join_failures": failures, "joint_objective_preview": {"formula": "pass - lambda * zstd bytes", "lambda_default": S.JOINT_LAMBDA},
     }
-    write_document(spark, summary, f"{path}/summary.json")
+    write_document_with_lists(spark, summary | {"join_failures": told}, lists, f"{path}/summary.json")
     return summary
 
 

@@ -147,3 +147,21 @@ def test_constructors(spark):
     assert C.opened(jobs, ATTEMPTS).first().sample_id == f.sample_id
     with pytest.raises(Exception, match="no attempt"):
         C.opened(jobs.withColumn("payload", F.lit("{}")), ATTEMPTS).collect()
+
+
+def test_the_summary_lists_all_missing_ids(spark, tmp_path):
+    """In their order and as they are, however few are given back; and none where all have outcomes."""
+    from evalmill.operators import outcomes as O
+    from evalmill.sources.sinks import export_analysis
+
+    ids = [f'é"{k}\\\n' if k % 9 == 0 else f"s{k}" for k in range(50)]
+    attempts = spark.createDataFrame([(k, i, None, "t", "f", "text", "text", "pool", "m", 1) for k, i in enumerate(ids)], "pos long, sample_id string, run_id string, task_id string, entry_point string, decoder_input string, raw_output string, provenance_source string, provenance_model string, provenance_occurrence_count int")
+    parse = attempts.select("pos", "sample_id", "run_id", F.lit(True).alias("parse_success"), F.lit(None).cast("string").alias("skip_reason"))
+    test = attempts.where("pos % 5 = 0").select("pos", "sample_id", "run_id", F.lit("skipped").alias("outcome_kind"), F.lit(False).alias("tests_ran"), F.lit(None).cast("boolean").alias("all_tests_passed"), F.lit(None).cast("double").alias("test_pass_rate"), F.lit(True).alias("skipped"), F.lit("x").alias("skip_reason"))
+    rows = O.with_quartile(O.enriched(attempts, parse, test, zstd=F.lit(1).cast("long")))
+    given = export_analysis(rows.repartition(3), str(tmp_path / "a"), listed=3)
+    told = json.loads((tmp_path / "a/summary.json").read_text())
+    assert told["join_failures"] == {"missing_parse_count": 0, "missing_parse_sample_ids": [], "missing_test_count": 40, "missing_test_sample_ids": [i for k, i in enumerate(ids) if k % 5]}
+    assert given["join_failures"]["missing_test_sample_ids"] == ids[1:4] and {k: v for k, v in given.items() if k != "join_failures"} == {k: v for k, v in told.items() if k != "join_failures"}
+    export_analysis(rows.where("has_test_outcome"), str(tmp_path / "a"))
+    assert json.loads((tmp_path / "a/summary.json").read_text())["join_failures"]["missing_test_sample_ids"] == []
