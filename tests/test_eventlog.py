@@ -99,3 +99,59 @@ def test_lines_of_a_run(spark, tmp_path):
     assert ended(L.append(L.log_lines(spark, str(tmp_path / "e")), str(tmp_path / "out"), str(tmp_path / "c")))
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r.sample_id, r.task_id, r.seq % 4) == ("s", "t", 0) and r.seq // 4 == 1767225600_500_000
+
+
+def test_state_is_of_groups_and_not_of_jobs(spark, tmp_path):
+    """However many jobs there are, a batch reads and writes the state of some groups; what it gives is that of the batch rules."""
+    at = lambda n: str(tmp_path / n)
+    rows, batch = log(spark, 5, jobs=900, n=6000)
+    ended(L.append(L.timing_changes(L.once(delivered(spark, at("log"), rows, 5, files=3, reach=900), "1 hour")), at("changes"), at("c")))
+    query = ended(L.append(L.timing_changes(L.once(spark.readStream.schema(L.LOG).parquet(at("log")), "1 hour")), at("more"), at("c2")))
+    want = plain(E.stage_timing(batch), "job_id", "stage", "latency_us")
+    assert len(want) > 700
+    for out in ("changes", "more"):
+        assert plain(L.timing_of(spark.read.parquet(at(out))), "job_id", "stage", "latency_us") == want
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) < 600
+
+
+def test_jobs_of_one_group_are_cleared_apart(spark, tmp_path):
+    """An old job goes and a newer one of its group stays: its output is timed from the start before."""
+    at = lambda n: str(tmp_path / n)
+    parts = [
+        [(0, "r", "old", "parse", E.STARTED, T0, None, None), (1, "r", "new", "parse", E.STARTED, T0 + timedelta(hours=3), None, None), (2, "r", None, "parse", E.STARTED, T0 + timedelta(hours=3), None, None)],
+        [(3, "r", "other", "parse", E.STARTED, T0 + timedelta(hours=3, seconds=30), None, None)],
+        [(4, "r", j, "parse", E.OUTPUT, T0 + timedelta(hours=3, seconds=60), None, None) for j in ("old", "new", None)],
+    ]
+    for part in parts:  # each in a call of its own: the watermark moves between them
+        spark.createDataFrame(part, L.LOG).coalesce(1).write.mode("append").parquet(at("log"))
+        events = L.once(spark.readStream.schema(L.LOG).option("maxFilesPerTrigger", 1).parquet(at("log")), "10 seconds")
+        ended(L.append(L.timing_changes(events, keep=3600, groups=1), at("changes"), at("c")))
+    assert sorted((str(r.job_id), r.rev, r.latency_us, r.outputs, r.total_us) for r in spark.read.parquet(at("changes")).collect()) == [("None", 1, 60_000_000, 1, 60_000_000), ("new", 1, 60_000_000, 1, 60_000_000)]
+
+
+def test_merging_frames_equals_going_through_events():
+    """Pairs, later starts and changes, batch after batch, against plain Python."""
+    import pandas as pd
+
+    kinds = {"job_id": "string", "stage": "string", "event": "object", "seq": "Int64", "us": "Int64"}
+    n = lambda x: None if x is pd.NA else x if isinstance(x, str) else int(x)
+    for seed in range(12):
+        rng, held = random.Random(seed), {}
+        pairs, later = L._unpacked(None, L._PAIRS), L._unpacked(None, L._LATER)
+        for _ in range(5):
+            events = [(rng.choice((None, "a", "b", "c")), rng.choice("pt"), rng.choice((E.STARTED, E.OUTPUT)), rng.randrange(50), rng.randrange(10**6)) for _ in range(rng.randrange(1, 20))]
+            want = []
+            for key in {e[:2] for e in events}:
+                starts, out, latency, rev = held.get(key, (set(), None, None, 0))
+                starts = starts | {e[3:] for e in events if e[:2] == key and e[2] == E.STARTED}
+                out = max([e[3:] for e in events if e[:2] == key and e[2] == E.OUTPUT] + [out] * (out is not None), default=None)
+                start = max((s for s in starts if out and s[0] < out[0]), default=None)
+                now = out[1] - start[1] if start else None
+                if now is not None and now != latency:
+                    rev += 1
+                    want.append((*key, rev, now, latency))
+                held[key] = {s for s in starts if s == start or out is None or s[0] > out[0]}, out, now, rev
+            pairs, later, changed = L.merged(pairs, later, pd.DataFrame(events, columns=list(kinds)).astype(kinds))
+            pairs, later = L._unpacked(L._packed(pairs, L._PAIRS), L._PAIRS), L._unpacked(L._packed(later, L._LATER), L._LATER)
+            assert sorted((repr(tuple(map(n, r))) for r in changed[["job_id", "stage", "rev", "latency", "was"]].itertuples(index=False))) == sorted(map(repr, want))
+            assert len(pairs) == len(held)
