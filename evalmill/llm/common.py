@@ -46,8 +46,23 @@ def relieve() -> None:
         pass
 
 
-def _relieved(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], each: int = 64):
+#: What a worker keeps from task to task, by the module whose functions use it.
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """The things that tasks of a module's functions share in a worker. Those of other modules go, as workers outlive stages."""
+    others = [m for m in _kept if m != module]
+    for m in others:
+        del _kept[m]
+    if others:
+        relieve()
+    return _kept.setdefault(module, {})
+
+
+def _relieved(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], module: str, each: int = 64):
     def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(module)
         for n, batch in enumerate(f(batches), 1):
             yield batch
             if n % each == 0:
@@ -154,12 +169,12 @@ def kept_batches(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], lis
             yield batch.filter(pa.array(stays(texts_of(batch[text_col])), pa.bool_()))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(_relieved(f), docs.schema)
+    return docs.mapInArrow(_relieved(f, keep.__module__), docs.schema)
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     bounded_batches(df.sparkSession, rows)
-    return df.mapInArrow(_relieved(f), schema)
+    return df.mapInArrow(_relieved(f, f.__module__), schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_batches, map_batches, staged, texts_of
+from .common import kept, kept_batches, map_batches, staged, texts_of
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -64,15 +64,12 @@ def automaton(found: dict[str, list[int]]) -> ahocorasick.Automaton:
     return a
 
 
-#: A worker's last patterns and their automaton.
-_kept: list = [None, None]
-
-
 def _automaton_of(shared) -> ahocorasick.Automaton:
     """That of broadcast patterns, built once per worker: a worker has one value for all tasks of a broadcast."""
-    if _kept[0] is not shared.value:
-        _kept[:] = shared.value, automaton(shared.value)
-    return _kept[1]
+    own = kept(__name__)
+    if own.get("patterns") is not shared.value:
+        own.update(patterns=shared.value, automaton=automaton(shared.value))
+    return own["automaton"]
 
 
 def hits(a: ahocorasick.Automaton, text: bytes) -> bool:

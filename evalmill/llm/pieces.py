@@ -18,7 +18,6 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from functools import cache
 from math import inf
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import kept, map_batches, texts_of
 
 SPACE = "▁"
 #: Cached runs of a worker; it starts anew beyond.
@@ -268,10 +267,12 @@ class Pieces:
         return np.concatenate(([self.bos], ids, [self.eos])).astype("<u4"), spans
 
 
-@cache
 def _model(path: str) -> Pieces:
-    """One for all tasks of a worker."""
-    return Pieces(path)
+    """One for all tasks of a worker that encode, until the worker runs something else."""
+    own = kept(__name__)
+    if path not in own:
+        own[path] = Pieces(path)
+    return own[path]
 
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

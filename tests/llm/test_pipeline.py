@@ -1,12 +1,14 @@
 """The pipeline's stages, each by brute force over what its predecessor kept."""
 
+import gc
 import hashlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalmill.llm import common, exact_dedup, near_dups, pieces, toxicity
+from evalmill.llm import common, decontaminate, exact_dedup, near_dups, pieces, toxicity
 
 from test_large_operators import linked
 from test_small_operators import contaminated
@@ -76,3 +78,20 @@ def test_stages_on_hard_rows(spark, docs, none):
         corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     texts = [r.text or "" for r in now.collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_workers_let_go_of_what_other_stages_kept(spark, docs):
+    """Workers are used again by the next stage: the model with its cached runs, and the automaton, are not there any more."""
+    rows = docs.select("doc_id", "text").repartition(8)
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+
+    def held(batches):
+        found = sum(isinstance(x, pieces.Pieces) for x in gc.get_objects()) + len(common._kept.get(decontaminate.__name__, ()))
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], ["found"])
+
+    pieces.encoded(rows, pieces.model_path()).collect()
+    assert all(r.found == 0 for r in common.map_batches(rows, held, "found long").collect())
+    decontaminate.clean_rows(rows, items).collect()
+    assert all(r.found == 0 for r in common.map_batches(rows, held, "found long").collect())
