@@ -3,8 +3,9 @@
 The model file is read here: pieces with scores, and the normaliser with its compiled character map (a
 double-array trie over UTF-8 and a table of replacements). Normalising walks the text: at each place the
 longest prefix in the map is replaced, else one character is copied, and each normalised character records
-the original bytes that it came from. Pairs are merged by score inside runs that no piece can cross (a run
-of spaces and what follows up to the next space), which are cached. Each piece covers a run of normalised
+the original bytes that it came from. Pairs are merged by score inside runs that no piece can cross (spaces
+and what follows them, up to the next space or between two characters that stand side by side in no piece,
+like a letter and a comma), which are cached. Each piece covers a run of normalised
 characters and so a span of original bytes; the byte pieces of one character all have its span. Decoding is
 that of the sentencepiece library.
 
@@ -17,8 +18,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 from math import inf
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +150,23 @@ class Normalizer:
         return text.replace(" ", self.space), first, last
 
 
+def _runs(pieces: Iterable[str]) -> re.Pattern:
+    """Runs that no piece can cross. Characters that stand side by side in some piece are of one class, with all that these are linked to; a run is spaces and characters of one class,
+    or spaces and one character that no piece has beside another. Merges only make pieces, so none joins two runs."""
+    group: dict[str, set[str]] = {}
+    for piece in pieces:
+        for x, y in zip(piece, piece[1:]):
+            if SPACE in (x, y):
+                continue
+            a, b = group.setdefault(x, {x}), group.setdefault(y, {y})
+            if a is not b:
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+                group.update(dict.fromkeys(b, a))
+    classes = sorted({id(g): "".join(sorted(g)) for g in group.values()}.values(), key=lambda g: (-len(g), g))
+    return re.compile(f"{SPACE}*(?:{''.join(f'[{re.escape(g)}]+|' for g in classes)}[^{SPACE}])|{SPACE}+")
+
+
 class Pieces:
     """A BPE model file with byte fallback."""
 
@@ -181,7 +201,7 @@ class Pieces:
         self.normalizer = Normalizer(normal.get(2, b""), bool(normal.get(3, 1)), bool(normal.get(4, 1)), bool(normal.get(5, 1)))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space inside; runs between spaces would not be independent")
-        self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.runs = _runs(self.ids)
         self.packed = {p: struct.pack("<IH", n, len(p) << 1) for p, n in self.ids.items()}
         self.cache: dict[str, bytes] = {}
 
@@ -189,7 +209,7 @@ class Pieces:
         """The pieces of a run: the pair with the best score, leftmost of equals, is merged until none is left."""
         score, parts = self.score.get, list(run)
         if len(parts) <= SHORT_RUN:
-            pairs = [score(x + y, -inf) for x, y in zip(parts, parts[1:])]
+            pairs = list(map(score, map(add, parts, parts[1:]), repeat(-inf)))
             while pairs and (best := max(pairs)) > -inf:
                 i = pairs.index(best)
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]

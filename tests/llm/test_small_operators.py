@@ -220,6 +220,19 @@ def test_the_cache_starts_anew(hard, library, monkeypatch):
     assert len(model.cache) <= 50
 
 
+def test_a_word_is_merged_once_whatever_marks_stand_beside_it(library):
+    """Runs end where no piece crosses, so words with other marks and lines behind them are no new runs."""
+    model = pieces.Pieces(pieces.model_path())
+    text = " ".join(f"wobblish{mark}" for mark in ("", ".", ",", "!!", "$$$", ").", "7", "7:30", ".\nAs", "\n\n", "&&&", "?", '",'))
+    assert model.encode(text)[0].tolist() == library.encode(text, add_bos=True, add_eos=True)
+    assert sum("wobblish" in run for run in model.cache) == 1
+    rng = random.Random(9)
+    every = sorted({c for p in model.ids for c in p if c != "▁"})
+    for _ in range(3000):
+        text = "".join(rng.choice((" ", "ing", "der", "\n", "漢", "\0", rng.choice(every), rng.choice(every), rng.choice("(){}[]^-\\\"'.,;:/_=*#$"))) for _ in range(rng.randint(0, 40)))
+        assert model.encode(text)[0].tolist() == library.encode(text, add_bos=True, add_eos=True)
+
+
 def test_spans_cover_the_text(hard, library):
     model = pieces.Pieces(pieces.model_path())
     rng = random.Random(4)
