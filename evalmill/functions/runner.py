@@ -1,10 +1,14 @@
-"""The process that runs one candidate. It reads a request from stdin and writes one JSON answer to a kept copy of stdout."""
+"""The process that runs one candidate. It reads a request from stdin and writes one JSON answer to a kept copy of stdout.
+
+It is forked by an interpreter that has started, imported what is needed here, and runs no candidate itself.
+"""
 
 import ast
 import json
 import math
 import os
 import resource
+import socket
 import sys
 
 
@@ -85,4 +89,31 @@ def main():
     os._exit(0)
 
 
-main()
+def serve(line):
+    """A process for each message, which is its folder and comes with its stdin and stdout: says its number, and how it ended."""
+    while True:
+        folder, pipes, _, _ = socket.recv_fds(line, 1 << 16, 2)
+        if not folder:
+            os._exit(0)
+        try:
+            child = os.fork()
+        except OSError as e:
+            line.sendall(f"! {e}\n".encode())
+            for fd in pipes:
+                os.close(fd)
+            continue
+        if not child:
+            os.setsid()
+            line.close()
+            os.chdir(folder)
+            for to, fd in enumerate(pipes):
+                os.dup2(fd, to)
+                os.close(fd)
+            main()
+        for fd in pipes:
+            os.close(fd)
+        line.sendall(b"%d\n" % child)
+        line.sendall(b"%d\n" % os.waitstatus_to_exitcode(os.waitpid(child, 0)[1]))
+
+
+serve(socket.socket(fileno=int(sys.argv[1])))

@@ -194,3 +194,34 @@ def test_a_batch_in_frames_stops_at_an_internal_error(spark, tasks, tmp_path):
     out = test_in_frames(a, p, tasks, Table(spark, str(tmp_path / "t"), ("sample_id",)), 10.0, frame=1, fail_fast=True)
     assert [(r.sample_id, r.outcome_kind) for r in out.orderBy("sample_id").collect()] == [("s0", "tested"), ("s1", "internal_error")]
     assert test_in_frames(a.limit(0), p, tasks, Table(spark, str(tmp_path / "none"), ("sample_id",))).count() == 0
+
+
+def test_a_candidate_that_ends_what_started_it_harms_no_other_sample(spark):
+    cases = [{"input_value": "1", "expected_output": "2"}]
+    codes = ["def f(x):\n    return x + 1\n"] * 6 + ["import os\nos.kill(os.getppid(), 9)\n"] * 2 + ["import json\njson.mark = 1\ndef f(x):\n    return x + 1\n", "import json\ndef f(x):\n    return x + 1 + hasattr(json, 'mark')\n"] * 3
+    rows = spark.createDataFrame([(f"s{k:02d}", "f", c, cases) for k, c in enumerate(codes)], "sample_id string, entry_point string, extracted_code string, cases array<struct<input_value:string,expected_output:string>>")
+    out = {r.sample_id: r for r in X.run_tests(rows, 10.0, 1).collect()}
+    assert [out[f"s{k:02d}"].outcome_kind for k in range(14)] == ["tested"] * 6 + ["infra_error"] * 2 + ["tested"] * 6
+    assert all(out[f"s{k:02d}"].all_tests_passed for k in range(14) if k not in (6, 7))
+
+
+def test_frames_and_streams_are_dealt_to_all_cores(spark, tasks, tmp_path, monkeypatch):
+    """Small batches too: adaptive execution would put them into a few tasks."""
+    import evalmill.plans.jobs as jobs
+    import evalmill.streaming.runs as runs
+    from evalmill.sources.versions import Table
+
+    a, dealt, real = attempts_of(spark, ("t1", ADD), ("t1", ADD)), [], jobs.test_attempts
+
+    def seen(attempts, parse, tasks, timeout=None, parallel=None):
+        dealt.append(parallel)
+        return real(attempts, parse, tasks, timeout, parallel)
+
+    monkeypatch.setattr(jobs, "test_attempts", seen)
+    monkeypatch.setattr(runs, "test_attempts", seen)
+    p = parse_attempts(a).persist()
+    assert jobs.test_in_frames(a, p, tasks, Table(spark, str(tmp_path / "t"), ("sample_id",)), 10.0).count() == 2
+    assert runs.test_stage(a, {"parse": p}, {"tasks": tasks, "timeout": 10.0}).count() == 2
+    runs.test_stage(a, {"parse": p}, {"tasks": tasks, "timeout": 10.0, "concurrency": 3})
+    n = spark.sparkContext.defaultParallelism
+    assert dealt == [n, n, 3]
