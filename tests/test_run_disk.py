@@ -30,6 +30,8 @@ def test_a_run_keeps_no_copies_of_texts(spark, tmp_path):
     assert set(V.names(spark, tables)) == before  # what seed and batches staged is gone
     whole = sum(map(len, texts))
     assert size(tmp_path / "run-1" / "jobs") < 0.8 * whole and size(tmp_path) < 2 * whole
+    paths = run.export()
+    assert size(tmp_path / "run-1" / "export") < 1 * whole and spark.read.json(paths["attempts"]).count() == len(texts)
 
 
 def test_scratch_deletes_what_was_staged_within(spark):
