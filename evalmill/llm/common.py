@@ -84,18 +84,21 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+#: Options of Parquet for rows of megabytes: pages of a row and row groups of about one, as readers hold a row group's columns, and codecs a page, at once.
+ROW_BY_ROW = {"parquet.page.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+
 #: Folders that staged() has written, by application, in order.
 _written: dict[str, list[str]] = {}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
     """df as written to the shared folder: cuts the lineage, outlives executors, and is read as often as needed.
 
     The folder is <shared root>/evalmill/<application>/<name>-<random>; release() removes them.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/evalmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED_ROWS, partitions, parts_for, rows_of, staged, text_bytes, texts_of
+from .common import PACKED_ROWS, ROW_BY_ROW, partitions, parts_for, rows_of, staged, texts_of, whole_text
 from .common import map_batches as _map
 from .words import word_hashes
 
@@ -53,10 +53,12 @@ FEW, STEPS = 192, 3
 STRENGTH, PARENT_STRENGTH, PRIOR = 1.0, 10.0, (1.0, 1.0)
 #: Bytes of text, and documents, that a map task packs at once; pairs that an owner adds up at once.
 STRETCH, STRETCH_DOCS, MERGE = 6 << 20, 60_000, 1 << 19
-#: Bytes of text to a part of the vocabulary.
-PART_BYTES = 24 << 20
+#: Bytes of text to a part of the vocabulary: a part is a row (its model of some 1.3 times as much), which the JVM and a worker hold several times.
+PART_BYTES = 8 << 20
 #: Documents' sums that an owner holds before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 22
+#: What all owners pass on of all documents' sums, as a share of the texts, and owners at least.
+SUMS_SHARE, LEAST_OWNERS = 1 / 3, 16
 
 END = np.uint64(0x8E5B2C1F9D3A7046)
 
@@ -64,7 +66,9 @@ PACKED = "part int, stretch bigint, words binary, pairs binary, contexts binary,
 COUNTS = "part int, words binary, pairs binary, contexts binary, counts binary, sums binary"
 SEATED = "part int, words binary, pairs binary, contexts binary, counts binary, tables binary, parent binary, sums binary"
 SUMS = "sums binary"
-PARTIAL = "stretch bigint, part int, base binary, score binary, known binary, ids array<bigint>"
+PARTIAL = "stretch bigint, part int, base binary, score binary, known binary, docs binary, ids array<bigint>"
+#: Bytes of a document's sums.
+SUM_BYTES = 20
 SCORED = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -486,7 +490,10 @@ def _score(shared, tokens_all: float, words_all: float):
 
         def flush() -> Iterator[pa.RecordBatch]:
             for stretch, (base, score, known) in sums.items():
-                yield _row(PARTIAL, [(stretch, 0, base.tobytes(), score.tobytes(), known.astype(np.int32).tobytes(), None)])
+                docs = np.flatnonzero((base != 0) | (score != 0) | (known != 0))
+                few = len(docs) * (SUM_BYTES + 2) < len(base) * SUM_BYTES
+                base, score, known = (x[docs] if few else x for x in (base, score, known))
+                yield _row(PARTIAL, [(stretch, 0, base.tobytes(), score.tobytes(), known.tobytes(), docs.astype(np.uint16).tobytes() if few else None, None)])
 
         def load(r: dict | None) -> tuple:
             if r is None:
@@ -502,7 +509,7 @@ def _score(shared, tokens_all: float, words_all: float):
         for batch in batches:
             for r in rows_of(batch):
                 if r["part"] < 0:
-                    yield _row(PARTIAL, [(r["stretch"], -1, b"", b"", r["docs"], r["ids"])])
+                    yield _row(PARTIAL, [(r["stretch"], -1, b"", b"", r["docs"], None, r["ids"])])
                     continue
                 if r["part"] != part:
                     part, model = r["part"], load(r if r["stretch"] is None else None)
@@ -526,6 +533,7 @@ def _score(shared, tokens_all: float, words_all: float):
                     if want.any():
                         score[want] = np.log10(sum(s.probability(ctx[want], 0.0, 0.0, odds(k)) for k, s in enumerate(states)) / len(states))
                 new = [np.bincount(docs, np.repeat(x, count)) for x in (base[near], score, is_known)]
+                new[2] = new[2].astype(np.int32)
                 old = sums.get(r["stretch"])
                 if old is None:
                     sums[r["stretch"]] = new
@@ -560,8 +568,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, n = r["ids"], np.frombuffer(r["known"], np.int32)
                 known, base, score = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
                 continue
+            docs = None if r["docs"] is None else np.frombuffer(r["docs"], np.uint16)
             for total, x in ((known, np.frombuffer(r["known"], np.int32)), (base, np.frombuffer(r["base"], float)), (score, np.frombuffer(r["score"], float))):
-                total[: len(x)] += x
+                total[slice(len(x)) if docs is None else docs] += x
     if ids is not None:
         yield from finish()
 
@@ -603,21 +612,22 @@ def _copied(hot: Hot, samples: int):
 
 
 class Model:
-    """The seated restaurants: one row per part of the vocabulary, and the totals of every draw."""
+    """The seated restaurants: one row per part of the vocabulary, and the totals of every draw. text_bytes: a text's mean size."""
 
-    def __init__(self, seated: DataFrame, states: list[Restaurants], parts: int, tokens_all: int, words_all: int, frequent: np.ndarray, hot: dict[int, int] | None = None):
-        self.seated, self.states, self.parts, self.tokens, self.words, self.frequent = seated, states, parts, tokens_all, words_all, frequent
+    def __init__(self, seated: DataFrame, states: list[Restaurants], parts: int, tokens_all: int, words_all: int, frequent: np.ndarray, hot: dict[int, int] | None = None, text_bytes: float = 0.0):
+        self.seated, self.states, self.parts, self.tokens, self.words, self.frequent, self.text_bytes = seated, states, parts, tokens_all, words_all, frequent, text_bytes
         self.hot = Hot(hot or {}, parts, tokens_all)
 
 
 def fit(texts: DataFrame, parts: int | None = None, samples: int = SAMPLES, burn_in: int = BURN_IN, rounds: int = ROUNDS, seed: int = 0, strengths: tuple[float, float] | None = None) -> Model:
     """texts: text. Learns from all rows. strengths: fixed ones instead of sampled ones."""
     spark = texts.sparkSession
-    parts = parts or parts_for(spark, text_bytes(texts), PART_BYTES, 4)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(whole_text()).cast("long")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    parts = parts or parts_for(spark, size.bytes, PART_BYTES, 4)
     rows = texts.select(F.lit(None).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_words(rows)
     packed = map_batches(rows, _pack(parts, True, spark.sparkContext.broadcast(frequent)), PACKED)
-    counts = staged(map_batches(packed.repartition(-(-parts // 4), "part").sortWithinPartitions("part", "stretch"), _add_up, COUNTS), "lm-counts")
+    counts = staged(map_batches(packed.repartition(-(-parts // 4), "part").sortWithinPartitions("part", "stretch"), _add_up, COUNTS), "lm-counts", ROW_BY_ROW)
     sums = totals(counts, 2 * CONTEXTS + 6)
     customers, kinds = sums[:CONTEXTS], sums[CONTEXTS : 2 * CONTEXTS]
     n, words, once, twice, one, two = sums[2 * CONTEXTS :]
@@ -630,11 +640,18 @@ def fit(texts: DataFrame, parts: int | None = None, samples: int = SAMPLES, burn
         if not fixed:
             strengths = sampled_strength(state.strength, discounts[0], customers, tables, rng), sampled_strength(state.parent_strength, discounts[1], parent[:1], parent[1:], rng)
         state = Restaurants(customers, tables, *parent, words, discounts, strengths)
-    seated = staged(map_batches(counts, _seat_all(spark.sparkContext.broadcast(state), samples, burn_in, seed + rounds), SEATED), "lm-seated")
+    seated = staged(map_batches(counts, _seat_all(spark.sparkContext.broadcast(state), samples, burn_in, seed + rounds), SEATED), "lm-seated", ROW_BY_ROW)
     drawn = totals(seated, samples * (CONTEXTS + 2)).reshape(samples, -1)
     hot = {r.w & (1 << 64) - 1: r.c for r in map_batches(counts, _frequent(n / parts), "w bigint, c bigint").collect()}  # at most as many as parts
     states = [Restaurants(customers, x[:CONTEXTS], *x[CONTEXTS:], words, discounts, (state.strength, state.parent_strength)) for x in drawn]
-    return Model(seated, states, parts, int(n), int(words), frequent, hot)
+    return Model(seated, states, parts, int(n), int(words), frequent, hot, size.bytes / max(size.rows, 1))
+
+
+def owners(model: Model, docs: int) -> int:
+    """Tasks that score: each holds and passes on the sums of all documents, once where it can hold them, so they are no more than SUMS_SHARE of the texts allows.
+    More documents are passed on part by part, those alone that have the part's words, and so by any number of owners."""
+    most = -(-model.parts // 4)
+    return most if docs > HELD else min(most, max(LEAST_OWNERS, int(model.text_bytes * SUMS_SHARE / SUM_BYTES)))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -643,7 +660,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = map_batches(rows, _pack(model.parts, False, spark.sparkContext.broadcast(model.frequent), model.hot), PACKED).withColumns({"tables": F.lit(None).cast("binary"), "parent": F.lit(None).cast("binary")})
     seated = map_batches(model.seated, _copied(model.hot, len(model.states)), SEATED).select("part", F.lit(None).cast("long").alias("stretch"), "words", "pairs", "contexts", "counts", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("array<bigint>").alias("ids"), "tables", "parent")
-    dealt = seated.unionByName(asked).repartition(-(-model.parts // 4), "part").sortWithinPartitions("part", F.asc_nulls_first("stretch"))
+    dealt = seated.unionByName(asked).repartition(owners(model, docs.count()), "part").sortWithinPartitions("part", F.asc_nulls_first("stretch"))
     sums = map_batches(dealt, _score(spark.sparkContext.broadcast(model.states), model.tokens, model.words), PARTIAL)
     return map_batches(sums.repartition(partitions(spark), "stretch").sortWithinPartitions("stretch", "part"), _gather, SCORED)
 

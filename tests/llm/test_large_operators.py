@@ -539,6 +539,24 @@ def test_scores_do_not_depend_on_what_owners_hold(spark, docs, monkeypatch):
     assert sorted(round(r.score, 9) for r in pitman_yor.scored(docs, model).collect()) == want
 
 
+def test_memory_of_scores_does_not_grow_with_the_corpus(spark, docs, monkeypatch):
+    """Parts are of few megabytes and are read one at a time; owners pass on each document's sums a bounded number of times, or those of the part's documents alone."""
+    import pyarrow.parquet as pq
+
+    assert pitman_yor.PART_BYTES <= 8 << 20
+    large = spark.range(4).repartition(1).select(F.expr("array_join(transform(sequence(1, 300000), x -> uuid()), '')").alias("x"))
+    m = pq.ParquetFile(common.staged(large, "large", common.ROW_BY_ROW).inputFiles()[0].removeprefix("file://")).metadata
+    assert [m.row_group(k).num_rows for k in range(m.num_row_groups)] == [1] * 4
+    model = pitman_yor.fit(docs.select("text"), parts=4, samples=1, rounds=1)
+    model.parts, model.text_bytes = 4000, 3000.0
+    assert pitman_yor.owners(model, 10_000) * pitman_yor.SUM_BYTES <= model.text_bytes / 3 and pitman_yor.owners(model, pitman_yor.HELD + 1) == 1000
+    # a part with a word of one document of a thousand
+    words = np.array([7], np.uint64).tobytes()
+    row = {"part": 0, "stretch": 0, "words": words, "pairs": np.array([1], np.int32).tobytes(), "contexts": np.array([1], np.uint16).tobytes(), "counts": np.array([1], np.int32).tobytes(), "docs": np.array([999], np.uint16).tobytes(), "ids": None, "tables": None, "parent": None}
+    out = [r for b in pitman_yor._score(SimpleNamespace(value=model.states), model.tokens, model.words)(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+    assert len(out) == 1 and sum(len(out[0][c]) for c in ("base", "score", "known", "docs")) <= pitman_yor.SUM_BYTES + 2
+
+
 def test_strengths_follow_their_posterior():
     """Seatings drawn with a known strength give it back."""
     rng = np.random.default_rng(5)
