@@ -324,3 +324,15 @@ def test_sweep_stops():
     report = sweep(lambda n: Window(0, {2: 100, 4: 3, 8: 120, 16: 90}[n], 10.0), 2, 16, swap=swaps.append)
     assert [x["reliable"] for x in report["steps"]] == [True, False, True, True] and report["best_workers"] == 8 and report["stop_reason"].startswith("slower with 16") and swaps[-1] == 8
     assert sweep(lambda n: 1 / 0, 2, 8, dry_run=True)["best_samples_per_second"] == 0.0
+
+
+def test_a_report_reads_jobs_and_events_once(spark, tasks, tmp_path, monkeypatch):
+    """However many parts the report has, they don't read the run's files anew, and what they read in their place is gone after it."""
+    run = Run(spark, str(tmp_path), "r")
+    run.run_once(attempts_of(spark, ("t1", ADD), ("t1", "nothing"), ("t2", ADD)), tasks, 10.0)
+    seen, real = [], R.E.metrics_report
+    monkeypatch.setattr(R.E, "metrics_report", lambda *a, **b: (seen.extend(a[2:]), real(*a, **b))[1])
+    report = run.report()
+    assert report["complete"] and report["outcomes"]["parse_success_count"] == 2 and report["outcomes"]["tests_ran_count"] == 1
+    assert len(seen) == 4 and all("Scan json" not in d._jdf.queryExecution().optimizedPlan().toString() and "/r/" not in d._jdf.queryExecution().executedPlan().toString() for d in seen)
+    assert not {"decoder_input", "raw_output", "extracted_code"} & {c for d in seen[1:] for c in d.columns}
