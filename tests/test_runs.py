@@ -336,3 +336,13 @@ def test_a_report_reads_jobs_and_events_once(spark, tasks, tmp_path, monkeypatch
     assert report["complete"] and report["outcomes"]["parse_success_count"] == 2 and report["outcomes"]["tests_ran_count"] == 1
     assert len(seen) == 4 and all("Scan json" not in d._jdf.queryExecution().optimizedPlan().toString() and "/r/" not in d._jdf.queryExecution().executedPlan().toString() for d in seen)
     assert not {"decoder_input", "raw_output", "extracted_code"} & {c for d in seen[1:] for c in d.columns}
+
+
+def test_a_wait_for_some_jobs_ends_before_all_are_done(spark, tasks, tmp_path):
+    """replaced_run waits for the first batch of the test stage, not for all of parse."""
+    run = seeded(spark, str(tmp_path), "r", *(("t1", ADD) for _ in range(4)))
+    run.start(tasks, "parse", max_files=1, trigger={"availableNow": True})
+    status = run.wait("parse", timeout=120, jobs=1)
+    assert 1 <= status["stages"]["parse"] <= 4
+    assert run.wait("parse", timeout=120, jobs=9)["stages"]["parse"] == 4  # no more than there are
+    run.stop(seconds=60)
